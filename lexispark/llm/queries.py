@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import decontam, dedup, mixing, sharding
-from lexispark.llm.common import table
+from lexispark.llm import decontam, dedup, licenses, mixing, ngramjoin, pii, sharding, toxicity, urlfilter, warc
+from lexispark.llm.common import shared_dir, table
 
 AZ = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -44,6 +45,60 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)"""
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def _op3() -> str:
+    """The same canonical form in SQL; digests of the known texts are computed there too."""
+    text = lambda t: "'" + t.replace("'", "''") + "'"
+    lines = lambda c: f"regexp_replace(regexp_replace(chr(10) || {AZ.format(c)}, {text(licenses.COPYRIGHT)}, chr(10), 'g'), {text(licenses.PUNCTUATION)}, ' ', 'g')"
+
+    def spelled(c: str) -> str:
+        out = f"' ' || {c} || ' '"
+        for a, b in licenses.SPELLINGS:
+            out = f"replace({out}, {text(f' {a} ')}, {text(f' {b} ')})"
+        return f"trim({out}, ' ')"
+
+    unit = lambda c: spelled(f"trim(regexp_replace({c}, '[ \\n]+', ' ', 'g'), ' ')")
+    known = ", ".join(f"({text(i)}, {text(k)}, {text(t)})" for i, k, t in licenses.KNOWN)
+    return f"""
+WITH k AS (SELECT digest, any_value(id) AS id, any_value(kind) AS kind FROM
+  (SELECT sha256({unit("c")}) AS digest, id, kind FROM (SELECT id, kind, {lines("t")} AS c FROM (VALUES {known}) v(id, kind, t))) GROUP BY digest),
+d AS (SELECT row_number() OVER () AS r, doc_id, {lines("text")} AS c FROM documents),
+u AS (SELECT r, 'whole' AS what, c AS x FROM d UNION ALL
+      SELECT r, 'paragraph', unnest(string_split(regexp_replace(c, '\\n ?\\n[ \\n]*', chr(11), 'g'), chr(11))) FROM d UNION ALL
+      SELECT r, 'line', unnest(string_split(c, chr(10))) FROM d),
+f AS (SELECT r, what, id, kind FROM u JOIN k ON sha256({unit("x")}) = digest),
+g AS (SELECT r, max(CASE WHEN what = 'whole' THEN id END) AS whole_license, string_agg(DISTINCT id, ',' ORDER BY id) AS licenses,
+      count(*) FILTER (what = 'line') AS n_notices, bool_or(kind <> 'permissive') AS restricted FROM f GROUP BY r)
+SELECT doc_id, whole_license, coalesce(licenses, '') AS licenses, coalesce(n_notices, 0) AS n_notices, coalesce(restricted, false) AS restricted
+FROM d LEFT JOIN g USING (r)"""
+
+
+ROLL_BYTES = SHARD_PAYLOAD = 16 << 20
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, sf_dir, "pages"), folder, roll_bytes=ROLL_BYTES, shard_bytes=SHARD_PAYLOAD)
+    return warc.read_warc(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4 = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to FROM f"""
+
+#: A fixed key, so that reruns of the query agree; real use passes a secret.
+PII_KEY = b"query key"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
 
@@ -68,6 +123,21 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
        CAST(floor(rank * each + start) - floor((rank - 1) * each + start) AS BIGINT) * size AS taken
 FROM r JOIN e ON r.absent = e.absent AND r.source = e.source"""
 
+RULES = ("block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.url_filter(table(spark, sf_dir, "pages"), urlfilter.parse_rules(RULES))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 SHARD_BYTES = 32 << 20
 
 
@@ -87,8 +157,9 @@ FROM k JOIN leaf ON k.h >> (60 - depth) = leaf.p"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op6_mixing, op10_sharding)}
+    run = (op1_exact_dedup, op2_decontamination, op3_license_scan, op4_warc, op5_pii, op6_mixing, op7_url_filter, op8_ngram_join, op9_toxicity, op10_sharding)
+    return {f.__name__: f for f in run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op2_decontamination": OP2, "op6_mixing": OP6, "op10_sharding": OP10}
+    return {"op1_exact_dedup": OP1, "op2_decontamination": OP2, "op3_license_scan": _op3(), "op4_warc": OP4, "op6_mixing": OP6, "op10_sharding": OP10}
