@@ -5,8 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexispark.llm import decontam, dedup, licenses, mixing, ngramjoin, pii, sharding, toxicity, urlfilter, warc
 from lexispark.llm.common import shared_dir, table
@@ -156,8 +156,12 @@ SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(p), CAST(depth AS INTEG
 FROM k JOIN leaf ON k.h >> (60 - depth) = leaf.p"""
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    run = (op1_exact_dedup, op2_decontamination, op3_license_scan, op4_warc, op5_pii, op6_mixing, op7_url_filter, op8_ngram_join, op9_toxicity, op10_sharding)
+    run = (op1_exact_dedup, op2_decontamination, op3_license_scan, op4_warc, op5_pii, op6_mixing, op7_url_filter, op8_ngram_join, op9_toxicity, op10_sharding, pipeline)
     return {f.__name__: f for f in run}
 
 
