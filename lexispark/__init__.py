@@ -1 +1,8 @@
 """Spark-native text retrieval and learning to rank."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value, so those need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1 +1 @@
-
+"""Index, search, scoring, evaluation and learning."""

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,20 +102,54 @@ def labelled(vectors: DataFrame, qrels: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.when(F.col("label") > 0, total / (2 * n[1.0])).otherwise(total / (2 * n[0.0])))
 
 
-def fit_svm(rows: DataFrame, alpha: float, iterations: int = 100):
-    """Scaled features and a linear support vector machine with hinge loss."""
-    rows = rows.withColumn("raw", array_to_vector("features"))
-    scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)
-    svm = LinearSVC(featuresCol="scaled", labelCol="label", weightCol="weight", regParam=alpha, maxIter=iterations, standardization=False, tol=1e-6)
-    return Pipeline(stages=[scaler, svm]).fit(rows)
-
-
-def linear_weights(model) -> tuple[list[float], float]:
-    """Weights and intercept for features that are not scaled."""
-    scaler, svm = model.stages
-    std = np.array([s if s > 0 else 1.0 for s in scaler.std.toArray()])
-    w = np.where(scaler.std.toArray() > 0, svm.coefficients.toArray() / std, 0.0)
-    return [float(x) for x in w], float(svm.intercept - (w * scaler.mean.toArray()).sum())
+def _partials(rows: DataFrame, each, columns: int) -> np.ndarray:
+    """One array of numbers from each partition's (x, y, weight); as many rows reach the driver as there are partitions."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [(np.stack(b["features"].to_list()), b["label"].to_numpy() * 2 - 1, b["weight"].to_numpy()) for b in batches if len(b)]
+        if parts:
+            yield pd.DataFrame({"v": [each(*(np.concatenate(x) for x in zip(*parts, strict=True))).tolist()]})
+
+    found = [r[0] for r in rows.select("features", "label", "weight").mapInPandas(run, "v array<double>").collect()]
+    return np.array(found).reshape(-1, columns)
+
+
+def fit_svm(rows: DataFrame, alpha: float, rounds: int = 6, epochs: int = 3, batch: int = 64, seed: int = 42) -> tuple[list[float], float]:
+    """Weights and intercept, for features that are not scaled, of a linear
+    support vector machine: hinge loss, squared penalty ``alpha``, classes weighted.
+
+    Features are scaled by their mean and deviation. In each round every
+    partition goes on from the same weights by averaged stochastic descent over
+    its own rows, and the partitions' averages are averaged by their weights.
+    """
+    size = len(rows.select("features").first()[0])
+    sums = _partials(rows, lambda x, y, w: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 2 * size + 1).sum(0)
+    mean = sums[1 : size + 1] / sums[0]
+    std = np.sqrt(np.maximum(sums[size + 1 :] / sums[0] - mean * mean, 0))
+    scale = np.where(std > 1e-9, 1 / np.where(std > 1e-9, std, 1), 0.0)
+    now = np.zeros(size + 1)
+    for r in range(rounds):
+
+        def descend(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray = now, r: int = r) -> np.ndarray:
+            x = np.hstack([(x - mean) * scale, np.ones((len(x), 1))])
+            g = np.random.default_rng([seed, r, len(x)])
+            at, total, steps = start.copy(), np.zeros(size + 1), 0
+            done = r * epochs * -(-len(x) // batch)
+            for _ in range(epochs):
+                for b in np.array_split(g.permutation(len(x)), max(1, len(x) // batch)):
+                    steps += 1
+                    rate = 1 / (alpha * (steps + done) + 10)
+                    wrong = (y[b] * (x[b] @ at) < 1) * w[b] * y[b]
+                    step = -(wrong @ x[b]) / len(b)
+                    step[:-1] += alpha * at[:-1]
+                    at -= rate * step
+                    total += at
+            return np.concatenate([[w.sum()], total / steps])
+
+        parts = _partials(rows, descend, size + 2)
+        now = np.average(parts[:, 1:], axis=0, weights=parts[:, 0])
+    weights = now[:-1] * scale
+    return [float(v) for v in weights], float(now[-1] - weights @ mean)
 
 
 def linear_scores(vectors: DataFrame, weights: list[float], intercept: float) -> DataFrame:
@@ -127,12 +159,12 @@ def linear_scores(vectors: DataFrame, weights: list[float], intercept: float) ->
 
 
 def choose_alpha(train: DataFrame, validation: DataFrame, qrels: DataFrame, topics: DataFrame, alphas: Sequence[float] = ALPHAS):
-    """(trials [(alpha, f1)], best alpha, best model): the first alpha of the highest f1 at 10."""
-    rows, trials, best = labelled(train, qrels).cache(), [], (-1.0, 0.0, None)
+    """(trials [(alpha, f1)], best alpha, its weights and intercept): the first alpha of the highest f1 at 10."""
+    rows, trials, best = labelled(train, qrels).select("features", "label", "weight").persist(StorageLevel.DISK_ONLY), [], (-1.0, 0.0, None)
     try:
         for alpha in alphas:
             model = fit_svm(rows, alpha)
-            scored = linear_scores(validation, *linear_weights(model))
+            scored = linear_scores(validation, *model)
             f1 = evaluation.macro(evaluation.prf(rank(scored, 10), qrels, topics, (10,)), "k").first()["f1"]
             trials.append((alpha, f1))
             if f1 > best[0]:

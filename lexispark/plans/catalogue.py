@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -329,7 +330,7 @@ def _trained(spark: SparkSession, sf_dir: str, alphas: tuple[float, ...]):
     q, j = topics(spark, sf_dir), qrels(spark, sf_dir)
     v = features.feature_vectors(full_index(spark, sf_dir), q)
     split = learning.odd_even(q).select("qid", "split")
-    v = v.join(F.broadcast(split), "qid")
+    v = v.join(F.broadcast(split), "qid").persist(StorageLevel.DISK_ONLY)
     train, held = v.filter("split = 'train'").drop("split"), v.filter("split = 'heldout'").drop("split")
     trials, alpha, model = learning.choose_alpha(train, held, j, q.join(F.broadcast(split.filter("split = 'heldout'")), "qid", "left_semi"), alphas)
     return trials, alpha, model, held
@@ -337,7 +338,7 @@ def _trained(spark: SparkSession, sf_dir: str, alphas: tuple[float, ...]):
 
 def svm_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, model, held = _trained(spark, sf_dir, (1.0,))
-    return ranking.rank(learning.linear_scores(held, *learning.linear_weights(model)), 10)
+    return ranking.rank(learning.linear_scores(held, *model), 10)
 
 
 def svm_alpha_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,8 +348,7 @@ def svm_alpha_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def svm_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, model, _ = _trained(spark, sf_dir, (1.0,))
-    w, _ = learning.linear_weights(model)
-    return spark.createDataFrame(list(zip(features.feature_names(), w, strict=True)), "feature string, weight double")
+    return spark.createDataFrame(list(zip(features.feature_names(), model[0], strict=True)), "feature string, weight double")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
