@@ -29,9 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan of few splits, as of one small file, over all cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("docid"), F.substring_index(t, "\n", 1).alias("title"), F.col("source").alias("author"), F.col("lang").alias("bibliography"), t.alias("body"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("docid"), F.substring_index(t, "\n", 1).alias("title"), F.col("source").alias("author"), F.col("lang").alias("bibliography"), t.alias("body"))
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
