@@ -27,7 +27,7 @@ def _fields(lines: Column, inline: bool, strip: bool) -> Column:
     follows them stays in the body; a second body tag goes on with the body.
     """
     kinds = list(TAGS.values())
-    start = F.struct(F.lit("").alias("now"), F.lit(False).alias("body"), *(F.lit("").alias(k) for k in kinds))
+    start = F.struct(F.lit("").alias("now"), F.lit(False).alias("begun"), *(F.lit("").alias(k) for k in kinds))
 
     def walk(a: Column, line: Column) -> Column:
         seen = F.trim(line) if strip else line
@@ -37,11 +37,11 @@ def _fields(lines: Column, inline: bool, strip: bool) -> Column:
         field = F.lit(None).cast("string")
         for t, k in TAGS.items():
             field = F.when(tag == t, F.lit(k)).otherwise(field)
-        stray = is_tag & a["body"] & field.isin("author", "bibliography")
+        stray = is_tag & a["begun"] & F.coalesce(field.isin("author", "bibliography"), F.lit(False))
         now = F.when(is_tag & ~stray, field).otherwise(a["now"])
         text = F.when(is_tag, F.trim(F.substring(seen, F.lit(3), F.length(seen)))).otherwise(F.trim(line))
         add = lambda k: F.when((now == k) & (text != ""), F.trim(F.concat(a[k], F.lit(" "), text))).otherwise(a[k])
-        return F.struct(now.alias("now"), (a["body"] | (is_tag & (field == "body"))).alias("body"), *(add(k).alias(k) for k in kinds))
+        return F.struct(now.alias("now"), (a["begun"] | F.coalesce(is_tag & (field == "body"), F.lit(False))).alias("begun"), *(add(k).alias(k) for k in kinds))
 
     return F.aggregate(lines, start, walk)
 
@@ -107,7 +107,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """(term, docid) of an index file: a header, then a term and comma-joined ids on each line."""
     p = F.split("value", " ")
     lines = spark.read.text(path).filter(~F.col("value").rlike(r"^[0-9]+,\s"))
-    return lines.select(p[0].alias("term"), F.explode(F.split(p[1], ",")).cast("bigint").alias("docid"))
+    return lines.select(p[0].alias("term"), F.explode(F.split(p[1], ",").cast("array<bigint>")).alias("docid"))
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
