@@ -48,16 +48,33 @@ class _Word:
         return self.m.endswith("CVC") & ~F.right(self.w, F.lit(1)).isin("w", "x", "y")
 
 
-def _rules(w: Column, m: Column, rules: list[tuple[str, str, Column | None]], least: int, every: bool) -> Column:
-    """The first rule that applies. If not ``every``, the longest matching suffix decides alone."""
-    out = w
-    for suffix, new, extra in reversed(rules if every else sorted(rules, key=lambda r: -len(r[0]))):
-        cut = _Word(w, m, len(suffix))
-        good = cut.measure() > least
-        good = good & extra if extra is not None else good
-        changed = F.concat(cut.w, F.lit(new))
-        out = F.when(w.endswith(suffix) & good, changed).otherwise(out) if every else F.when(w.endswith(suffix), F.when(good, changed).otherwise(w)).otherwise(out)
-    return out
+def _rules(df: DataFrame, rules: dict[str, str], least: int, every: bool) -> DataFrame:
+    """Apply a table of suffixes to ``_w`` by its mask ``_m``.
+
+    The longest suffix that matches is found by one pattern and looked up in a
+    map, so that a step has one measure and not one for each rule. If ``every``,
+    a suffix whose condition fails leaves its turn to the next shorter one that
+    ends it; the rules' order is the same.
+    """
+    w, m = F.col("_w"), F.col("_m")
+    new = F.create_map(*(F.lit(x) for pair in rules.items() for x in pair))
+    shorter = {x: max((y for y in rules if x != y and x.endswith(y)), key=len, default="") for x in rules}
+    after = F.create_map(*(F.lit(x) for pair in shorter.items() if pair[1] for x in pair)) if any(shorter.values()) else None
+    df = df.withColumn("_s", F.regexp_extract("_w", f"(?:{'|'.join(rules)})$", 0)).withColumn("_old", w).withColumn("_done", F.lit(False))
+    depth, at = 1, set(rules)
+    while every and (at := {shorter[x] for x in at if shorter[x]}):
+        depth += 1
+    for turn in range(depth):
+        cut = F.length("_old") - F.length("_s")
+        good = (F.col("_s") != "") & (F.size(F.regexp_extract_all(F.substring(m, F.lit(1), cut), F.lit("V+C+"), F.lit(0))) > least)
+        if "ion" in rules:
+            good = good & ((F.col("_s") != "ion") | F.substring("_old", -4, 1).isin("s", "t"))
+        good = ~F.col("_done") & F.coalesce(good, F.lit(False))
+        df = df.withColumn("_good", good)
+        df = df.withColumn("_w", F.when(F.col("_good"), F.concat(F.substring("_old", F.lit(1), cut), F.try_element_at(new, F.col("_s")))).otherwise(w)).withColumn("_done", F.col("_done") | F.col("_good"))
+        if turn + 1 < depth:
+            df = df.withColumn("_s", F.coalesce(F.try_element_at(after, F.col("_s")), F.lit("")))
+    return df.drop("_s", "_old", "_done", "_good")
 
 
 def _step1a(w: Column, m: Column) -> Column:
@@ -81,11 +98,6 @@ def _step1c(w: Column, m: Column) -> Column:
     return F.when(w.endswith("y") & s.vowel(), F.concat(s.w, F.lit("i"))).otherwise(w)
 
 
-def _step4(w: Column, m: Column, every: bool) -> Column:
-    s = _Word(w, m, 3)
-    return _rules(w, m, [("ion", "", s.w.endswith("s") | s.w.endswith("t")), *((x, "", None) for x in STEP4)], 1, every)
-
-
 def _step5a(w: Column, m: Column) -> Column:
     s = _Word(w, m, 1)
     return F.when(w.endswith("e") & ((s.measure() > 1) | (s.measure() == 1) & ~s.cvc()), s.w).otherwise(w)
@@ -103,12 +115,15 @@ def stem(words: DataFrame, word: str = "term", out: str = "stem", stemmer: str =
     every = stemmer == "porter_all"
     steps = [_step1a, None, _step1c]
     if stemmer != "weak":
-        steps += [lambda w, m: _rules(w, m, [(a, b, None) for a, b in STEP2], 0, every), lambda w, m: _rules(w, m, [(a, b, None) for a, b in STEP3], 0, every), lambda w, m: _step4(w, m, every), _step5a, _step5b]
+        steps += [(dict(STEP2), 0), (dict(STEP3), 0), ({"ion": "", **dict.fromkeys(STEP4, "")}, 1), _step5a, _step5b]
     w, m, cut = F.col("_w"), F.col("_m"), F.col("_cut")
     df = words.withColumn("_w", F.col(word))
     for step in steps:  # a select for each step, so that no expression repeats the one before
         df = df.withColumn("_m", mask(w))
-        df = df.withColumn("_w", step(w, m)) if step else df.withColumn("_cut", _step1b_cut(w, m)).withColumn("_w", _step1b(w, m, cut))
+        if step is None:
+            df = df.withColumn("_cut", _step1b_cut(w, m)).withColumn("_w", _step1b(w, m, cut))
+        else:
+            df = _rules(df, *step, every) if isinstance(step, tuple) else df.withColumn("_w", step(w, m))
     # Predicates on the stem are not pushed through explode; pushed through all steps they would grow without end.
     return df.withColumn(out, F.explode(F.array(F.when(F.length(word) <= 2, F.col(word)).otherwise(w)))).drop("_w", "_m", "_cut")
 
