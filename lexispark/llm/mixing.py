@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import small
+from lexispark.llm.common import small, stored
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: Documents of one size class are dealt into so many parts, so that no part holds a whole large source.
@@ -68,7 +68,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("given"), F.col(source_col).isNull().alias("absent"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.regexp_count(text, F.lit(TOKEN)).cast("bigint").alias("size"))
     bits = F.length(F.bin("size"))
     rows = rows.withColumn("class", bits * F.lit(16) + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))").cast("int")).withColumn("part", F.pmod(_hex_int(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4), F.lit(PARTS)).cast("int"))
-    cells = rows.groupBy("absent", "source", "class", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sum"))
+    # Counted once: the targets, the ranks and the size check all read these few rows instead of the texts.
+    cells = stored(rows.groupBy("absent", "source", "class", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sum")), "cells")
     sources = source_targets(cells.groupBy("absent", "source").agg(F.sum("sum").alias("source_size")), weights, cap)
     own = Window.partitionBy("absent", "source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("absent", "source", "class", "part", F.coalesce(F.sum("n").over(own), F.lit(0)).alias("ahead")).join(small(sources, 10_000), ["absent", "source"])
