@@ -141,7 +141,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                     name = f"pages-{now[0]:06d}-{now[1]:04d}.warc.gz"
                     disk.create_dir(f"{base}/_temporary/{attempt}", recursive=True)
                     path = f"{base}/_temporary/{attempt}/{name}"
-                    file = _File(name, path, disk.open_output_stream(path), digest=hashlib.sha256())
+                    file = _File(name, path, disk.open_output_stream(path, compression=None), digest=hashlib.sha256())
                 file.out.write(data)
                 file.digest.update(data)
                 file.size, file.records = file.size + len(data), file.records + 1
@@ -208,7 +208,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
         disk, base = opened(folder)
         for b in batches:
             for name in b["name"]:
-                with disk.open_input_stream(f"{base}/{name}") as f:
+                with disk.open_input_stream(f"{base}/{name}", compression=None) as f:
                     rows, held = [], 0
                     for data in members(iter(lambda f=f: f.read(1 << 20), b"")):
                         h, payload = parsed(data)
