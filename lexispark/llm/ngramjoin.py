@@ -18,6 +18,9 @@ from lexispark.llm.common import stored
 PIECE = 1 << 20
 #: Texts and bytes of text of a block; a larger bucket is verified block against block.
 BLOCK_ROWS, BLOCK_BYTES = 256, 4 << 20
+#: Copies of one text are dealt over so many salts, by their ids.
+SALTS = 60
+SALT = f"cast(pmod(xxhash64(doc_id), {SALTS}) as int)"
 U = np.uint64
 _LUT = np.zeros(256, np.uint8)  # the byte after lower-casing A-Z, 0 for what is not in words
 for _c in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
@@ -311,7 +314,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     forest = forest or Forest()
     length = forest.length(threshold, target)
     signed = stored(signatures(docs, id_col, text_col, n, forest, length), "signatures")
-    members = signed.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("weight"), F.max("bytes").alias("bytes"), F.first("prefixes").alias("prefixes"))
+    members = signed.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("weight"), F.max("bytes").alias("bytes"), F.first("prefixes").alias("prefixes"), F.expr(f"bit_or(shiftleft(1L, {SALT}))").alias("used"))
     members = stored(members, "members")
     spots = members.select("key", "bytes", F.posexplode("prefixes").alias("tree", "prefix"))
     buckets = spots.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("size"), F.expr("bit_xor(xxhash64(key))").alias("who"), F.expr("bit_xor(xxhash64(key, 1))").alias("who2")).filter("m > 1")
@@ -332,10 +335,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = components(found.filter("to is not null").select(F.col("key").alias("a"), F.col("to").alias("b")))
     smallest = classes.join(members.select("key", "rid"), F.col("v") == F.col("key")).groupBy("class_key").agg(F.min("rid").alias("class_id"))
     classes = classes.join(smallest, "class_key").select(F.col("v").alias("key"), "class_id")
-    members = members.select("key", "rid", "weight").join(counts, "key", "left").join(classes, "key", "left")
-    members = members.select("key", F.coalesce("class_id", "rid").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
+    members = members.select("key", "rid", "weight", "used").join(counts, "key", "left").join(classes, "key", "left")
+    # Labels go back by key and salt, once for each salt in use, so no task gets all copies of a text.
+    salt = F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftright(used, s) & 1L) = 1L)")).alias("salt")
+    members = members.select("key", salt, F.coalesce("class_id", "rid").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
     lone = F.col("doc_id").isNull() | F.col("key").isNull()
-    left = signed.select("doc_id", F.when(~lone, F.col("key")).alias("key"))
-    paired = left.filter("key is not null").join(members, "key").select("doc_id", "class_id", "n_links", "n_texts")
+    left = signed.select("doc_id", F.when(~lone, F.col("key")).alias("key"), F.expr(SALT).alias("salt"))
+    paired = left.filter("key is not null").join(members, ["key", "salt"]).select("doc_id", "class_id", "n_links", "n_texts")
     zero = F.lit(0).cast("bigint")
     return paired.unionByName(left.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_texts")))
