@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.operators.index import FIELDS, Index, small
+from lexispark.operators.index import FIELDS, Index, bounded, small
 from lexispark.operators.scoring import cosine, topic_sizes, topic_terms
 
 #: Names and order of the features.
@@ -28,8 +28,8 @@ def field_features(index: Index, field: str, topics: DataFrame) -> DataFrame:
     """
     one = index.field(field)
     terms = topic_terms(topics, index.analyzer)
-    known = terms.join(one.df, "term")
-    hit = one.tf.join(small(known), "term").join(one.dl, "docid").crossJoin(F.broadcast(one.stats.select(F.col("n").alias("docs"), "avg")))
+    known = bounded(one.df.join(small(terms), "term"), terms)
+    hit = one.tf.join(known, "term").join(one.dl, "docid").crossJoin(F.broadcast(one.stats.select(F.col("n").alias("docs"), "avg")))
     idf = F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1
     bm25 = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg")))
     tf = F.col("tf").cast("double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded(df: DataFrame, by: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint for ``df``, which has at most as many rows as ``by``, if ``by`` is counted to have few."""
+    return F.broadcast(df) if by.limit(rows + 1).count() <= rows else df
+
+
 def long_fields(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(docid, field, text), one row for each field of a document; absent text is empty."""
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f in fields)))
@@ -64,13 +70,18 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("tf", "df", "dl", "stats")), analyzer)
 
 
-def build(docs: DataFrame, analyzer: Analyzer, fields: tuple[str, ...] = FIELDS) -> Index:
-    """Count terms once; lengths, document frequencies and statistics are sums over the counts."""
+def build(docs: DataFrame, analyzer: Analyzer, fields: tuple[str, ...] = FIELDS, keep: bool = False) -> Index:
+    """Count terms once; lengths, document frequencies and statistics are sums over the counts.
+
+    ``keep``: the counts stay in the session's cache, in memory or on disk, so
+    that queries do not read the texts again; save() is for longer than that.
+    """
     text = long_fields(docs, fields)
     tokens = text.select("field", "docid", F.explode(analyzer.terms(F.col("text"))).alias("term"))
     tf = tokens.groupBy("field", "docid", "term").agg(F.count(F.lit(1)).alias("tf"))
     if analyzer.stemmer != "none":
         tf = stemmed(tf, analyzer).groupBy("field", "docid", "term").agg(F.sum("tf").alias("tf"))
+    tf = tf.persist(StorageLevel.MEMORY_AND_DISK) if keep else tf
     df = tf.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     counted = tf.groupBy("field", "docid").agg(F.sum("tf").alias("len"))
     # Documents without a term stay, with length 0.

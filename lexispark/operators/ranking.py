@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def rank(scores: DataFrame, k: int | None = None) -> DataFrame:
-    """(qid, docid, score, rank): descending scores, compared to 12 places; ties go to the lower docid."""
+    """(qid, docid, score, rank): descending scores, compared to 9 places, below which sums depend on their order; ties go to the lower docid."""
     if k is not None and k < 1:
         raise ValueError("k must be at least 1")
-    by = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "docid")
+    by = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "docid")
     out = scores.withColumn("rank", F.row_number().over(by))
     return out.filter(F.col("rank") <= k) if k else out
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import Analyzer
-from lexispark.operators.index import FIELDS, Index, small, stemmed
+from lexispark.operators.index import FIELDS, Index, bounded, small, stemmed
 
 MODELS = ("tf", "tf_idf", "lemur_tf_idf", "bm25_engine", "bm25", "cosine")
 
@@ -51,8 +51,8 @@ def matches(index: Index, terms: DataFrame) -> DataFrame:
     The topics' terms are few and go to the postings; document lengths join
     only what matched.
     """
-    known = terms.join(index.df, "term")
-    found = index.tf.join(small(known), "term").join(index.dl, "docid")
+    known = bounded(index.df.join(small(terms), "term"), terms)  # a term has one row in df
+    found = index.tf.join(known, "term").join(index.dl, "docid")
     return found.crossJoin(F.broadcast(index.stats.select("n", "avg")))  # one row
 
 
@@ -72,10 +72,10 @@ def cosine(index: Index, terms: DataFrame) -> DataFrame:
     weights = index.df.crossJoin(n).select("term", idf.alias("idf"))
     doc = index.tf.join(weights, "term").select("docid", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norms = doc.groupBy("docid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    query = terms.join(weights, "term").select("qid", "term", ((1 + F.log("qtf")) * F.col("idf")).alias("qw"))
+    query = weights.join(small(terms), "term").select("qid", "term", ((1 + F.log("qtf")) * F.col("idf")).alias("qw"))
     qnorms = query.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = doc.join(small(query), "term").groupBy("qid", "docid").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dots.join(norms, "docid").join(small(qnorms), "qid").select("qid", "docid", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
+    dots = doc.join(bounded(query, terms), "term").groupBy("qid", "docid").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return dots.join(norms, "docid").join(bounded(qnorms, terms), "qid").select("qid", "docid", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
 
 
 def zones(index: Index, topics: DataFrame) -> DataFrame:

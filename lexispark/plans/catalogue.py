@@ -62,11 +62,11 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def body_index(spark: SparkSession, sf_dir: str, analyzer: Analyzer = PLAIN) -> index.Index:
-    return index.build(documents(spark, sf_dir), analyzer, ("body",)).field("body")
+    return index.build(documents(spark, sf_dir), analyzer, ("body",), keep=True).field("body")
 
 
 def full_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    return index.build(documents(spark, sf_dir), PLAIN)
+    return index.build(documents(spark, sf_dir), PLAIN, keep=True)
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:

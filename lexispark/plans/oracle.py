@@ -32,7 +32,7 @@ def r6(x: str) -> str:
 
 
 def ranked(source: str, name: str = "rk") -> str:
-    return f"{name} AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, docid) AS INTEGER) AS rank FROM {source})"
+    return f"{name} AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, docid) AS INTEGER) AS rank FROM {source})"
 
 
 def weight(model: str, k1: str = "1.2::DOUBLE", b: str = "0.75::DOUBLE") -> str:
@@ -153,7 +153,7 @@ gz AS (SELECT gr.*, coalesce(f1, 0.0::DOUBLE) AS f1 FROM gr LEFT JOIN gf ON gr.g
 
 BM25_GRID = f"""WITH {INDEX}, {MATCH}, {QRELS}, gr AS (SELECT CAST(i * {len(B)} + k AS INTEGER) AS g, k1, b FROM (SELECT unnest([{", ".join(map(str, K1))}])::DOUBLE AS k1, unnest(range(0, {len(K1)})) AS i), (SELECT unnest([{", ".join(map(str, B))}])::DOUBLE AS b, unnest(range(0, {len(B)})) AS k)),
 gs AS (SELECT g, qid, docid, sum({weight("bm25", "k1", "b")}) AS score FROM m CROSS JOIN gr WHERE qid % 2 = 1 GROUP BY ALL),
-gk AS (SELECT g, qid, docid, row_number() OVER (PARTITION BY g, qid ORDER BY round(score, 12) DESC, docid) AS rank FROM gs),
+gk AS (SELECT g, qid, docid, row_number() OVER (PARTITION BY g, qid ORDER BY round(score, 9) DESC, docid) AS rank FROM gs),
 gh AS (SELECT g, gk.qid, rank, row_number() OVER (PARTITION BY g, gk.qid ORDER BY rank) AS seen FROM gk JOIN j ON gk.qid = j.qid AND gk.docid = j.docid WHERE rank <= 1000),
 ga AS (SELECT g, sum(s / relevant) / (SELECT count(*) FROM q WHERE qid % 2 = 1) AS ap FROM (SELECT g, qid, sum(seen::DOUBLE / rank) AS s FROM gh GROUP BY ALL) x JOIN (SELECT qid, count(*) AS relevant FROM j GROUP BY qid) t ON x.qid = t.qid GROUP BY g)
 SELECT gr.g, k1, b, {r6("coalesce(ap, 0.0::DOUBLE)")} AS ap FROM gr LEFT JOIN ga ON gr.g = ga.g"""
