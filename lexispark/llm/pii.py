@@ -214,7 +214,7 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
         p = Pseudonymizer(key)
         for b in batches:
             out = [p.text(t) for t in b]
-            yield pd.DataFrame({"text": [t for t, _ in out], "kinds": [k for _, k in out]})
+            yield pd.DataFrame({"text": pd.Series([t for t, _ in out], dtype=object), "kinds": pd.Series([k for _, k in out], dtype=object)})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("r"))
     n = lambda k: F.coalesce(F.try_element_at("r.kinds", F.lit(k)), F.lit(0))

@@ -285,7 +285,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for t, y in zip(b["t"], b["y"], strict=True):
                 seen[y].update(evidence(t, decoder))
         names = list(seen[0] | seen[1])
-        yield pd.DataFrame({"f": names, "pos": [seen[1][f] for f in names], "neg": [seen[0][f] for f in names]})
+        for low in range(0, len(names), 20_000):  # plain objects in slices: large string columns of pandas come in chunks, which the transfer refuses
+            some = names[low : low + 20_000]
+            yield pd.DataFrame({"f": pd.Series(some, dtype=object), "pos": [seen[1][f] for f in some], "neg": [seen[0][f] for f in some]})
 
     n1, n0 = (sample.filter(F.col("y") == y).count() for y in (1, 0))
     if not n1 or not n0:

@@ -222,7 +222,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
                     yield frame(rows)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "headers", "payload"])
+        out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "headers", "payload"], dtype=object)
         return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
     return files.mapInPandas(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, headers string, payload binary")

@@ -99,3 +99,14 @@ def test_trigram_counts_do_not_depend_on_pieces():
     for t in texts:
         toxicity.count_trigrams([t], b)
     assert a.sum() > 0 and (a > 0).tolist() == (b > 0).tolist()
+
+
+def test_large_batches_of_strings(spark):
+    """More, and longer, strings than one chunk of a string column holds."""
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(n))
+    docs = [(i, words(400) + (" grimbo" if i % 2 else "")) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    lab = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    assert {(r.doc_id % 2, r.predicted) for r in toxicity.toxicity(df, lab).collect()} == {(0, 0), (1, 1)}
+    assert pii.pseudonymize(df, b"k").filter("n_found = 0").count() == 150
