@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,9 @@ MODELS = ("tf", "tf_idf", "lemur_tf_idf", "bm25_engine", "bm25", "cosine")
 def topic_terms(topics: DataFrame, analyzer: Analyzer) -> DataFrame:
     """(qid, term, qtf); topics without a term have no row."""
     terms = topics.select("qid", F.explode(analyzer.terms(F.col("query"))).alias("term"))
-    return stemmed(terms, analyzer).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    out = stemmed(terms, analyzer).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    # Read several times; stemming is worth keeping.
+    return out if analyzer.stemmer == "none" else out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def topic_sizes(topics: DataFrame, terms: DataFrame) -> DataFrame:
