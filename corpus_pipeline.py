@@ -39,7 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix to target weights takes them."""
     taken = mixing.mix(docs).filter("copies <> 1").select(F.col("doc_id").alias("id"), F.col("copies").cast("int").alias("n"))
     # Rows without an id cannot be told apart and are kept once.
-    times = small(stored(taken.filter("id is not null").groupBy("id").agg(F.max("n").alias("n")), "copies"))
+    # A fixed share of the documents has other copies than one, so they are never broadcast; hashing them leaves the texts unsorted.
+    times = taken.filter("id is not null").groupBy("id").agg(F.max("n").alias("n")).hint("shuffle_hash")
     n = next(f"n{i}" for i in range(len(docs.columns) + 1) if f"n{i}" not in docs.columns)
     found = docs.join(times.select(F.col("id").alias("doc_id"), F.col("n").alias(n)), "doc_id", "left")
     return found.select(*docs.columns, F.explode(F.expr(f"array_repeat(0, coalesce({n}, 1))")).alias(n)).select(*docs.columns)
