@@ -15,7 +15,10 @@ SHARD_BYTES = 32 << 20
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` but for the rows whose doc_id is in ``ids``; rows without an id stay."""
-    return docs.join(small(stored(ids.select("doc_id").distinct(), "dropped")), "doc_id", "left_anti").select(docs.columns)
+    gone = stored(ids.select("doc_id").distinct(), "dropped")
+    few = small(gone)
+    # Ids beyond the bound of a broadcast are hashed, so that the texts are not sorted.
+    return docs.join(gone.hint("shuffle_hash") if few is gone else few, "doc_id", "left_anti").select(docs.columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
