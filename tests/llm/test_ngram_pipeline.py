@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lexispark.llm import ngramjoin
+from lexispark.llm import mixing, ngramjoin
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -108,3 +108,26 @@ def test_pipeline(spark, tmp_path):
     assert kept[2] == [i for i in kept[1] if i != 13]
     assert set(kept[3]) <= set(kept[2]) and max(Counter(kept[3]).values()) <= 3
     assert {"shard", "depth", "shard_bytes"} <= set(kept[4])
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_without_keeps_rows_without_an_id(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(corpus_pipeline, "small", lambda df: df)
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "c"), (3, None)], "doc_id long, text string")
+    gone = spark.createDataFrame([(1,), (1,), (None,), (9,)], "doc_id long")
+    left = corpus_pipeline.without(docs, gone)
+    assert left.columns == ["doc_id", "text"]
+    assert sorted(map(str, (r.doc_id for r in left.collect()))) == ["2", "3", "None"]
+    plan = left._jdf.queryExecution().sparkPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == few and ("ShuffledHashJoin" in plan) != few
+
+
+def test_mixing_stage_repeats_as_the_operator_says(spark):
+    rng = random.Random(10)
+    docs = spark.createDataFrame([(i if i % 9 else None, "w " * rng.randint(0, 40), "en", f"s{i % 4}" if i % 5 else None, 0) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs).filter("doc_id is not null").collect()}
+    out = corpus_pipeline.mix_sources(spark, docs, "")
+    got = Counter(r.doc_id for r in out.collect())
+    assert out.columns == docs.columns and got.pop(None) == 34
+    assert got == Counter({k: n for k, n in copies.items() if n})
