@@ -151,7 +151,7 @@ def day(s: str, key: bytes) -> str | None:
 
 
 def email(s: str, key: bytes) -> str:
-    """Letters and digits of the local part keep their kinds; the host stays, its labels up to the registered ones are permuted too."""
+    """Letters and digits of the local part keep their kinds; the host stays."""
     local, _, host = s.rpartition("@")
     new = re.sub(r"[0-9A-Za-z]+", lambda m: letters_and_digits(m[0], key, "local"), local)
     return new + "@" + host
