@@ -49,30 +49,75 @@ def parse_rules(rules: Sequence[str]) -> list[Rule]:
     return out
 
 
-def templates(urls: DataFrame, most_children: int = 24, levels: int = 12) -> DataFrame:
+def shape_of(path: Column, levels: int = 12) -> Column:
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", levels), lambda s: F.when(s.rlike(VARIABLE), F.concat(F.lit("*"), F.regexp_extract(s, VARIABLE, 1))).otherwise(s))
+
+
+EXTENSION = r"(\.[A-Za-z]{1,5})$"
+
+
+def alike(child: DataFrame, purity: float, z: float) -> DataFrame:
+    """(host, template, kind, s): the siblings that a test on their labels finds alike.
+
+    ``child`` has a row for each child ``s`` of a branch and each kind of path
+    below it (how many segments follow, and the extension), with its pages, its
+    labels and whether a rule gave some. A rule names its segments, so its
+    labels are no sample of their siblings and such a child is never alike
+    another. Labelled children of a kind are alike if none differs from the
+    others by ``z`` standard errors (those that do are left out) and the rest
+    passes a chi-square test of equal shares. A child without labels joins only
+    if so many labelled ones are alike that the lower Wilson bound for children
+    of one label reaches ``purity``, and if at their rate of labels it is no
+    surprise that it has none. How many children there are does not matter.
+    """
+    keys = ["host", "template", "kind"]
+    free = child.filter(~F.col("ruled") & (F.col("s") != ""))
+    some = free.filter("labelled > 0")
+    all_ = some.groupBy(keys).agg(F.count(F.lit(1)).alias("m"), F.sum("labelled").alias("L"), F.sum("bad").alias("B")).filter("m > 1")
+    some = some.join(small(all_), keys)
+    others, p = F.col("L") - F.col("labelled"), F.col("B") / F.col("L")
+    apart = F.abs(F.col("bad") / F.col("labelled") - (F.col("B") - F.col("bad")) / others)
+    some = some.filter(apart <= z * F.greatest(F.sqrt(p * (1 - p) * (1 / F.col("labelled") + 1 / others)), F.lit(1e-12))).drop("m", "L", "B")
+    sums = some.groupBy(keys).agg(F.count(F.lit(1)).alias("m"), F.sum("labelled").alias("L"), F.sum("bad").alias("B"), F.sum(F.col("bad") * F.col("bad") / F.col("labelled")).alias("squares")).filter("m > 1")
+    chi = F.when(p * (1 - p) > 0, (F.col("squares") - F.col("B") * p) / F.when(p * (1 - p) > 0, p * (1 - p))).otherwise(F.lit(0.0))
+    sums = stored(sums.filter(chi <= F.col("m") - 1 + z * F.sqrt(2 * (F.col("m") - 1))).select(*keys, "m"), "alike")
+    labelled = some.join(small(sums), keys).select(*keys, "s")
+    enough = small(sums.filter(F.col("m") >= purity * z * z / (1 - purity)).drop("m"))
+    near = free.join(enough, keys)
+    rate = near.groupBy(keys).agg((F.sum(F.least("labelled", "n")) / F.greatest(F.sum("n"), F.lit(1))).alias("rate"))
+    none = near.filter("labelled = 0").join(small(rate), keys).filter(F.pow(1 - F.col("rate"), F.col("n")) >= 0.025)
+    return labelled.unionByName(none.select(*keys, "s"))
+
+
+def templates(shapes: DataFrame, purity: float, z: float, sampled: bool) -> DataFrame:
     """(host, shape, template): the template of each path shape of a host.
 
-    ``urls`` has host and path. Paths are first cut into segments and segments
-    that are variable by form become ``*``; equal shapes of a host are one row
-    from here on. Then level by level from the root, where a branch has more
-    than ``most_children`` children, all of them become ``*`` and their
-    subtrees one. Paths deeper than ``levels`` keep one segment for the rest.
+    ``shapes`` has host, shape (segments, those variable by form are ``*``), n
+    pages, labelled, bad and ruled, one row for each shape of a host. Segments
+    stay as they are unless ``alike`` finds siblings alike, level by level from
+    the root; these become ``*`` and their subtrees of a kind one, or ``*word``
+    beside a segment variable by form that is not alike. Without ``sampled``
+    labels no siblings can be, and the levels need not be walked.
     """
-    segments = F.transform(F.split(F.regexp_replace("path", "^/", ""), "/", levels), lambda s: F.when(s.rlike(VARIABLE), F.concat(F.lit("*"), F.regexp_extract(s, VARIABLE, 1))).otherwise(s))
-    shapes = stored(urls.select("host", segments.alias("shape")).groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n")), "shapes")
+    if not sampled:
+        return shapes.select("host", "shape", F.concat(F.lit("/"), F.array_join("shape", "/")).alias("template"))
+    keys = ["host", "template", "kind"]
     depth = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
-    tree = shapes.select("host", "shape", F.lit("").alias("template"))
+    tree = shapes.withColumn("template", F.lit(""))
     for level in range(depth):
         here = F.get(F.col("shape"), F.lit(level))
-        # One row for each child of a branch, however many shapes lie below it.
-        wide = tree.filter(here.isNotNull()).select("host", "template", here.alias("s")).distinct().groupBy("host", "template").agg(F.count(F.lit(1)).alias("children")).filter(F.col("children") > most_children)
-        step = F.when(here.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("children").isNull(), here).otherwise(F.lit("*"))))
-        tree = tree.join(small(wide), ["host", "template"], "left").select("host", "shape", step.alias("template"))
-    return stored(tree, "templates")
-
-
-def shape_of(path: Column, levels: int = 12) -> Column:
-    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", levels), lambda s: F.when(s.rlike(VARIABLE), F.concat(F.lit("*"), F.regexp_extract(s, VARIABLE, 1))).otherwise(s))
+        ext = F.regexp_extract(F.element_at("shape", -1), EXTENSION, 1)
+        tree = tree.withColumn("s", here).withColumn("kind", F.concat((F.size("shape") - level).cast("string"), ext))
+        # One row for each child of a branch and kind, however many shapes lie below it.
+        child = stored(tree.filter("s is not null").groupBy(*keys, "s").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.max("ruled").alias("ruled")), "children")
+        merged = stored(alike(child, purity, z), "merged").withColumn("merged", F.lit(True))
+        form = child.filter(F.col("s").rlike(r"^\*(\.[A-Za-z]{1,5})?$")).join(small(merged), [*keys, "s"], "left_anti").select(*keys).distinct().withColumn("beside", F.lit(True))
+        beside = small(form.join(small(merged.select(*keys).distinct()), keys, "left_semi"))
+        star = F.concat(F.when(F.col("beside"), "*word").otherwise("*"), F.when(F.size("shape") == level + 1, ext).otherwise(""))
+        step = F.when(F.col("s").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("merged"), star).otherwise(F.col("s"))))
+        tree = tree.join(small(merged), [*keys, "s"], "left").join(beside, keys, "left").withColumn("template", step).drop("s", "kind", "merged", "beside")
+        tree = stored(tree, "tree")
+    return tree.select("host", "shape", "template")
 
 
 def judged(counts: DataFrame, purity: float, smoothing: float, z: float) -> DataFrame:
@@ -98,13 +143,15 @@ def judged(counts: DataFrame, purity: float, smoothing: float, z: float) -> Data
     return c.withColumn("purity", (F.col("b") + smoothing * host) / (F.col("l") + smoothing)).select("host", "template", F.col("l").alias("labelled"), "purity", (F.col("purity") >= purity).alias("rejected"))
 
 
-def url_filter(pages: DataFrame, rules: Sequence[Rule], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", label_col: str = "bad", purity: float = 0.8, smoothing: float = 4.0, z: float = 1.96, most_children: int = 24) -> DataFrame:
+def url_filter(pages: DataFrame, rules: Sequence[Rule], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", label_col: str = "bad", purity: float = 0.8, smoothing: float = 4.0, z: float = 1.96) -> DataFrame:
     """Judge every url by rules, and by its host's path templates where no rule fits.
 
     Labelled urls are those of ``labels`` (``url_col`` and a 0/1 column
     ``label_col``) and, as the rules say what is wanted, the urls that rules
     fit (block is bad). Trees are built from counts of path shapes, not from
-    single urls, and a host's shapes are not gathered in one task.
+    single urls, and a host's shapes are not gathered in one task. Segments are
+    merged only as ``alike`` says, so labels of rules stay with the segments
+    that the rules name.
 
     Returns page_id, host, path, rule, verdict, template, purity (null for a
     template without labels). A null url, or one without ``://``, has empty
@@ -114,13 +161,14 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], labels: DataFrame | None
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("u"))
     rows = rows.select("page_id", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
     rows = rows.withColumn("m", matched(F.col("host"), F.col("path"), rules)).withColumn("shape", shape_of(F.col("path")))
-    known = rows.select("host", "path", "shape", (F.col("m.action") == "block").cast("int").alias("bad"))
+    known = rows.select("host", "path", "shape", (F.col("m.action") == "block").cast("int").alias("bad"), F.lit(1).alias("page"), F.col("m").isNotNull().alias("ruled"))
     if labels is not None:
         given = labels.select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(label_col).cast("int").alias("bad"))
-        known = known.unionByName(given.withColumn("shape", shape_of(F.col("path"))))
-    tree = templates(known.select("host", "path"), most_children)
+        known = known.unionByName(given.select("host", "path", shape_of(F.col("path")).alias("shape"), "bad", F.lit(0).alias("page"), F.lit(False).alias("ruled")))
     # bad is null without a label, and count skips nulls.
-    by_shape = known.groupBy("host", "shape").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    by_shape = known.groupBy("host", "shape").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.sum("page").alias("n"), F.max("ruled").alias("ruled"))
+    by_shape = stored(by_shape, "shapes")
+    tree = stored(templates(by_shape, purity, z, labels is not None), "templates")
     counts = by_shape.join(tree, ["host", "shape"]).groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     verdicts = tree.join(judged(counts, purity, smoothing, z), ["host", "template"], "left").select("host", "shape", "template", "purity", "rejected")
     out = rows.join(small(stored(verdicts, "verdicts")), ["host", "shape"], "left")

@@ -89,3 +89,16 @@ def test_templates_and_purity(spark):
     assert [got[i].verdict for i in (901, 902, 903)] == ["allow"] * 3
     for i, (_, _, bad) in enumerate(urls):
         assert got[i].verdict == ("block" if bad else "allow")
+
+
+@pytest.mark.parametrize("sections", [24, 25])
+@pytest.mark.parametrize("given", [False, True])
+def test_labels_of_one_section_stay_there(spark, sections, given):
+    """However many sections a host has, a blocked one says nothing about the others."""
+    names = ["en", *(f"{a}{b}" for a in "fgh" for b in "klmnopqrstuvwxyzabcd")][:sections]
+    rows = [(i * 10 + k, f"http://big.example.com/{s}/{k}") for i, s in enumerate(names) for k in range(3)]
+    labels = spark.createDataFrame([(u, 1) for _, u in rows if "/en/" in u], "url string, bad int") if given else None
+    rules = [] if given else urlfilter.parse_rules(["block com/en/"])
+    got = {r.page_id: r for r in urlfilter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules, labels).collect()}
+    assert {i: r.verdict for i, r in got.items()} == {i: "block" if i < 10 else "allow" for i, _ in rows}
+    assert got[0].template == "/en/*" and got[10].template == "/fk/*"
