@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +14,30 @@ from lexispark.llm.common import small, stored, table
 SHARD_BYTES = 32 << 20
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose doc_id is in ``ids``; rows without an id stay."""
-    gone = stored(ids.select("doc_id").distinct(), "dropped")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, and that column's name; ids may be null or repeated.
+
+    Rows of stored tables are numbered by their place in their file, so each
+    read numbers them alike and no text is written again. The driver lists the
+    files. Other tables are stored once with their numbers.
+    """
+    row = next(f"row{i}" for i in range(len(docs.columns) + 1) if f"row{i}" not in docs.columns)
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:
+        return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    files = sorted(r[0] for r in docs.select(F.col("_metadata.file_path").alias("f")).distinct().collect())
+    places = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "file_path string, file long")
+    number = F.shiftleft("file", 40) + F.col(row)  # a file has fewer than 2 ** 40 rows
+    return placed.join(F.broadcast(places), "file_path").select(*docs.columns, number.alias(row)), row
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` but for the rows whose ``key`` is in the doc_id of ``ids``; rows without one stay."""
+    gone = stored(ids.select(F.col("doc_id").alias(key)).distinct(), "dropped")
     few = small(gone)
     # Ids beyond the bound of a broadcast are hashed, so that the texts are not sorted.
-    return docs.join(gone.hint("shuffle_hash") if few is gone else few, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("shuffle_hash") if few is gone else few, key, "left_anti").select(docs.columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,24 +47,29 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the smallest id stays."""
-    classes = ngramjoin.ngram_join(docs)
-    return without(docs, classes.filter("doc_id <> class_id"))
+    """Of each near-duplicate class one row stays, that with the smallest id; null ids come last, and of equal ids the first row stays."""
+    rows, row = numbered(docs)
+    # Rows without links are classes of their own.
+    classes = stored(ngramjoin.ngram_join(rows, id_col=row).filter("n_links > 0").select(F.col("doc_id").alias(row), "class_id").join(rows.select(row, "doc_id"), row), "classes")
+    first = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))).alias("first")).select(F.col(f"first.{row}").alias(row))
+    return without(rows, classes.join(first, row, "left_anti").select(F.col(row).alias("doc_id")), row).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more lies in benchmark passages go."""
-    return without(docs, decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    rows, row = numbered(docs)
+    return without(rows, decontam.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=row).filter("contaminated"), row).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix to target weights takes them."""
-    taken = mixing.mix(docs).filter("copies <> 1").select(F.col("doc_id").alias("id"), F.col("copies").cast("int").alias("n"))
-    # Rows without an id cannot be told apart and are kept once.
+    rows, row = numbered(docs)
+    taken = mixing.mix(rows, row_col=row).filter("copies <> 1 and doc_id is not null")
+    # Rows without an id are kept once.
     # A fixed share of the documents has other copies than one, so they are never broadcast; hashing them leaves the texts unsorted.
-    times = taken.filter("id is not null").groupBy("id").agg(F.max("n").alias("n")).hint("shuffle_hash")
     n = next(f"n{i}" for i in range(len(docs.columns) + 1) if f"n{i}" not in docs.columns)
-    found = docs.join(times.select(F.col("id").alias("doc_id"), F.col("n").alias(n)), "doc_id", "left")
+    times = taken.select(row, F.col("copies").cast("int").alias(n)).hint("shuffle_hash")
+    found = rows.join(times, row, "left")
     return found.select(*docs.columns, F.explode(F.expr(f"array_repeat(0, coalesce({n}, 1))")).alias(n)).select(*docs.columns)
 
 

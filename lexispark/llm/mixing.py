@@ -46,7 +46,7 @@ def _hex_int(c: Column, chars: int, at: int = 1) -> Column:
     return F.conv(F.substring(F.md5(c.cast("binary")), at, chars), 16, 10).cast("bigint")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, row_col: str | None = None) -> DataFrame:
     """How often a mix to target weights takes each document.
 
     Systematic sampling: within a source, documents stand in the order of their
@@ -62,10 +62,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text has size 0; a null source is a source. Documents of an empty source
     are taken 0 times. Repeated ids are counted as separate rows; repeated rows
     of one id and size may swap their copies. An empty table gives no rows.
-    Reruns agree, whatever the partitioning.
+    Reruns agree, whatever the partitioning. A unique ``row_col`` is returned
+    too and tells rows of one id and size apart.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("given"), F.col(source_col).isNull().alias("absent"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.regexp_count(text, F.lit(TOKEN)).cast("bigint").alias("size"))
+    own_row = [row_col] if row_col else []
+    rows = docs.select(*own_row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("given"), F.col(source_col).isNull().alias("absent"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.regexp_count(text, F.lit(TOKEN)).cast("bigint").alias("size"))
     bits = F.length(F.bin("size"))
     rows = rows.withColumn("class", bits * F.lit(16) + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))").cast("int")).withColumn("part", F.pmod(_hex_int(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4), F.lit(PARTS)).cast("int"))
     # Counted once: the targets, the ranks and the size check all read these few rows instead of the texts.
@@ -77,8 +79,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # An offset of 16 bits and a half stays exact beside ranks, so equal expectations give equal copies.
     cells = cells.withColumn("offset", (_hex_int(salt, 4).cast("double") + F.lit(0.5)) / F.lit(65536.0)).withColumn("each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0)))
     rows = rows.join(cells, ["absent", "source", "class", "part"])
-    rank = F.col("ahead") + F.row_number().over(Window.partitionBy("absent", "source", "class", "part").orderBy("size", "doc_id"))
+    rank = F.col("ahead") + F.row_number().over(Window.partitionBy("absent", "source", "class", "part").orderBy("size", "doc_id", *own_row))
     rows = rows.withColumn("rank", rank.cast("double"))
     upto = lambda r: F.floor(r * F.col("each") + F.col("offset"))
     rows = rows.withColumn("copies", (upto(F.col("rank")) - upto(F.col("rank") - F.lit(1.0))).cast("bigint"))
-    return rows.select("doc_id", F.col("given").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select(*own_row, "doc_id", F.col("given").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

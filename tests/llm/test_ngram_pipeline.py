@@ -131,3 +131,31 @@ def test_mixing_stage_repeats_as_the_operator_says(spark):
     got = Counter(r.doc_id for r in out.collect())
     assert out.columns == docs.columns and got.pop(None) == 34
     assert got == Counter({k: n for k, n in copies.items() if n})
+
+
+@pytest.mark.parametrize("on_disk", [True, False])
+def test_stages_judge_rows_and_not_ids(spark, tmp_path, on_disk):
+    rng = random.Random(12)
+    text = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(8)]
+    spark.createDataFrame([(1, text[7])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(0, text[0]), (1, text[1]), (1, text[0]), (2, text[2]), (2, text[2]), (None, text[2]), (None, text[3]), (None, text[3]), (3, text[4]), (3, text[4] + " " + text[7]), (None, text[5] + " " + text[7]), (None, text[6]), (4, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    if on_disk:
+        docs.write.parquet(f"{tmp_path}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    count = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    one = corpus_pipeline.keep_one_of_each_class(spark, docs, str(tmp_path))
+    assert one.columns == docs.columns
+    assert count(one) == Counter(rows) - Counter([(1, text[0]), (2, text[2]), (None, text[2]), (None, text[3])])
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert count(clean) == Counter(r for r in rows if text[7] not in (r[1] or ""))
+
+
+def test_mixing_stage_repeats_each_row_of_an_id_on_its_own(spark):
+    docs = spark.createDataFrame([(i // 3, "w " * (i % 40), "en", f"s{i % 4}", 0) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.size] += r.copies
+    got = Counter((r.doc_id, len(r.text.split())) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    assert got == +want
