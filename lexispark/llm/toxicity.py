@@ -25,10 +25,11 @@ LEET = {
 }
 SEPARATORS = frozenset(" .-_*~^'")
 #: Places where a word may be disguised: signs for letters, separators inside a token, single characters set apart.
-#: All begin with a plain class or a blank, which the search skips to quickly; a letter three times is sought by comparing arrays.
+#: SIGN and INNER begin with a plain class, which the search skips to quickly; a letter three times is sought by comparing arrays.
 SIGN = re.compile(r"[0-9@$|+€£¡*]")
 INNER = re.compile(r"[._\-~^!(<'](?=\S)")
-SPACED = re.compile(r" [^\W_](?:[ .\-_~^*][^\s.\-_~^*]){2,}(?!\S)| [@$!|+€][ .\-_~^*]\S(?:[ .\-_~^*][^\s.\-_~^*])+(?!\S)")
+#: A spaced span stands between any signs that are no letters or digits, with runs of separators inside; not after an elision ("i'd i ...").
+SPACED = re.compile(r"(?:[^\W_]|[@$!|+€£¡])(?![^\W_])(?<![^\W_].)(?<![^\W_]['’].)(?:[ .\-_~^*]+(?:[^\W_]|[@$!|+€£¡(<])(?![^\W_])){2,}")
 LETTER = re.compile(r"[^\W\d_]")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 TOKEN = re.compile(r"[^\W\d_]{3,}")
@@ -108,8 +109,6 @@ def log_probabilities(n: np.ndarray) -> np.ndarray:
 class Decoder:
     """Viterbi decoding of a disguised span to the likeliest letters."""
 
-    BEAM = 16
-
     def __init__(self, logp: np.ndarray) -> None:
         self.logp = logp.tolist()
         self.decode = lru_cache(1 << 16)(self._decode)
@@ -133,10 +132,10 @@ class Decoder:
             yield found
 
     def _decode(self, span: str) -> str:
-        beam = {(0, 0): (0.0, "")}
+        states = {(0, 0): (0.0, "")}
         for found in [*self.options(span), [(" ", 0.0)]]:
             new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, out) in beam.items():
+            for (a, b), (score, out) in states.items():
                 for text, cost in found:
                     x, y, s = a, b, score - cost
                     for ch in text:
@@ -147,13 +146,18 @@ class Decoder:
                         x, y = y, c
                     if (x, y) not in new or new[x, y][0] < s:
                         new[x, y] = (s, out + text)
-            beam = dict(sorted(new.items(), key=lambda kv: (-kv[1][0], kv[1][1]))[: self.BEAM]) if len(new) > self.BEAM else new
-        return max(beam.values(), key=lambda v: (v[0], v[1]))[1].strip()
+            states = new  # at most K * K
+        return max(states.values(), key=lambda v: (v[0], v[1]))[1].strip()
 
     def restored(self, text: str) -> list[tuple[str, bool]]:
         """The decoded spans of a lower-cased text; true: set apart in single characters, where word ends are lost."""
         text = f" {text} ".replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        found = [(self.decode(m[0].strip()), True) for m in SPACED.finditer(text)]
+        found = []
+        for m in SPACED.finditer(text):
+            found.append((self.decode(m[0]), True))
+            # A mark at the end may be a letter or punctuation; both readings count.
+            if (short := m[0].rstrip("!|+(<@$€£¡ .-_~^*")) != m[0] and len(short) > 4:
+                found.append((self.decode(short), True))
         end = -1
         for at in self.places(text):
             if at < end:

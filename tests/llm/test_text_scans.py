@@ -110,3 +110,12 @@ def test_large_batches_of_strings(spark):
     lab = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
     assert {(r.doc_id % 2, r.predicted) for r in toxicity.toxicity(df, lab).collect()} == {(0, 0), (1, 1)}
     assert pii.pseudonymize(df, b"k").filter("n_found = 0").count() == 150
+
+
+def test_spaced_words_at_any_boundary():
+    n = np.zeros(toxicity.K**3, np.int64)
+    toxicity.count_trigrams(["the idiot ran and the idiots walked by the river"] * 50, n)
+    d = toxicity.Decoder(toxicity.log_probabilities(n))
+    for t in ["i d i o t", "an i d i o t.", "i d i o t!", "an i d i o t, he", '"i d i o t"', "(i d i o t)", "i - d - i - o - t", "i  d  i  o  t", "the i d i o t ran", "i. d. i. o. t.", "[i_d_i_o_t]", "i d 1 0 t", "i d i o t !", "so:i d i o t;"]:
+        assert any("idiot" in w.split() and apart for w, apart in d.restored(t)), t
+    assert not d.restored("the idiot ran by a river") and not d.restored("a b")
