@@ -100,12 +100,27 @@ def phone(s: str, key: bytes) -> str | None:
     d = digits_of(s)
     if not 7 <= len(d) <= 15:
         return None
-    m = re.match(r"\+(\d{1,3})(?=\D)", s)
+    m = re.match(r"\+(\d{1,3})(?=\D)", s) or (re.match(r"(1)(?=\D)", s) if len(d) == 11 else None)
     code = m[1] if m else d[:1] if s.startswith("+") else ""
     rest = d[len(code) :]
     return into(s, code + permuted(rest, key, "phone"))
 
 
+#: The most digits after the code of countries whose numbers end at a known length.
+NATIONAL = {
+    "1": 10, "7": 10, "20": 10, "27": 9, "30": 10, "31": 9, "32": 9, "33": 9, "34": 9, "36": 9, "39": 11, "40": 9, "41": 9, "44": 10, "45": 8, "46": 10, "47": 8, "48": 9, "49": 11,
+    "51": 9, "52": 10, "54": 11, "55": 11, "56": 9, "57": 10, "58": 10, "60": 10, "61": 9, "63": 10, "64": 10, "65": 8, "66": 9, "81": 10, "82": 10, "84": 10, "86": 11, "90": 10, "91": 10, "92": 10,
+    "351": 9, "353": 9, "358": 10, "359": 9, "370": 8, "371": 8, "372": 8, "380": 9, "420": 9, "421": 9, "852": 8, "966": 9, "971": 9, "972": 9,
+}
+
+
+def too_long(s: str) -> bool:
+    """Whether an international number has more digits than its country's numbers, a trunk (0) aside."""
+    d = digits_of(s.replace("(0)", ""))
+    code = next((d[:n] for n in (1, 2, 3) if d[:n] in NATIONAL), None)
+    return s.startswith("+") and code is not None and len(d) - len(code) > NATIONAL[code]
+
+
 def ssn(s: str, key: bytes) -> str | None:
     """Area not 000, 666 or 900-999, group not 00, serial not 0000; permuted among such numbers."""
     area, group, serial = map(int, s.split("-"))
@@ -166,7 +181,8 @@ PATTERN = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ipv4>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
     r"|(?P<card>(?<![\w.+-])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]|\.\d))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w|\.\d)|(?<![\w.-])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))",
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w|\.\d)|(?<![\w.-])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+    r"|(?<![\w.+-])1(?P<cut>[ .-])\d{3}(?P=cut)\d{3}(?P=cut)\d{4}(?![\w-])|(?<![\w.+-])\d{3} \d{3} \d{4}(?![\w-]|\.\d))",
     re.ASCII,
 )
 WORTH = re.compile(r"[0-9@]")
@@ -186,14 +202,35 @@ class Pseudonymizer:
         if text is None or not WORTH.search(text):
             return text, found
 
-        def swap(m: re.Match) -> str:
-            new = self.one(m.lastgroup, m[m.lastgroup])
+        out, done, at = [], 0, 0
+        while m := PATTERN.search(text, at):
+            kind, end, new = self.reading(text, m)
             if new is None:
-                return m[0]
-            found[m.lastgroup] = found.get(m.lastgroup, 0) + 1
-            return new
-
-        return PATTERN.sub(swap, text), found
+                at = m.start() + 1
+                continue
+            found[kind] = found.get(kind, 0) + 1
+            out += (text[done : m.start()], new)
+            done = at = end
+        return "".join((*out, text[done:])), found
+
+    def reading(self, text: str, m: re.Match) -> tuple[str, int, str | None]:
+        """(kind, end, pseudonym) of the longest valid reading from the start of
+        ``m`` that ends at a group of it; pseudonym null if there is none. A
+        phone number longer than its country's comes after shorter ones."""
+        spare = (m.lastgroup, m.end(), None)
+        for end in range(m.end(), m.start(), -1):
+            if end < m.end():
+                if not text[end - 1].isalnum() or text[end].isalnum():
+                    continue
+                r = PATTERN.fullmatch(text, m.start(), end)
+            else:
+                r = m
+            new = r and self.one(r.lastgroup, r[0])
+            if new is not None and not (r.lastgroup == "phone" and too_long(r[0])):
+                return r.lastgroup, end, new
+            if new is not None and spare[2] is None:
+                spare = (r.lastgroup, end, new)
+        return spare
 
 
 def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +238,8 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
     E-mail addresses, IBANs, dates, social security numbers, IPv4 addresses,
     card numbers and phone numbers are recognised by form and validated (check
-    digits, ranges, calendar); what fails stays as it is. A keyed Feistel
+    digits, ranges, calendar); where a candidate fails, shorter readings that end
+    at its groups and then values inside it are tried. A keyed Feistel
     permutation of the values of the same format gives the pseudonym, so equal
     values stay equal in all documents, different ones stay different, and the
     result is valid again. The key is a secret of the caller. Null texts stay

@@ -119,3 +119,17 @@ def test_spaced_words_at_any_boundary():
     for t in ["i d i o t", "an i d i o t.", "i d i o t!", "an i d i o t, he", '"i d i o t"', "(i d i o t)", "i - d - i - o - t", "i  d  i  o  t", "the i d i o t ran", "i. d. i. o. t.", "[i_d_i_o_t]", "i d 1 0 t", "i d i o t !", "so:i d i o t;"]:
         assert any("idiot" in w.split() and apart for w, apart in d.restored(t)), t
     assert not d.restored("the idiot ran by a river") and not d.restored("a b")
+
+
+def test_shorter_readings_and_phone_forms():
+    p = pii.Pseudonymizer(b"secret")
+    for value, after, kind in [
+        ("BE68 5390 0754 7034", " IS", "iban"), ("AT61 1904 3002 3457 3201", " BIC", "iban"), ("+44 20 7946 0958", " 2019", "phone"), ("+44 20 7946 0958", " 12 men", "phone"),
+        ("1-555-123-4567", " ok", "phone"), ("555 123 4567", " ok", "phone"), ("+44 20 7946 0958", "", "phone"),
+    ]:
+        alone, _ = p.text(value)
+        assert alone != value and p.text(f"at {value}{after}") == (f"at {alone}{after}", {kind: 1})
+    assert p.text("1-555-123-4567")[0][2:] == p.text("555-123-4567")[0]
+    # What lies inside a candidate that is none is found.
+    inside, found = p.text("AB12 1234 4709 5590 3008 4884")
+    assert found == {"card": 1} and inside.startswith("AB12 1234 ")
