@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,60 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org/>"""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"""
+_APACHE_END = """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+
+
+def _texts() -> list[tuple[str, str, str]]:
+    """The whole texts of the package's folder, with and without what follows their terms."""
+    out = []
+    for name, id_, kind in (("Apache-2.0", "Apache-2.0", "permissive"), ("CC0-1.0", "CC0-1.0", "permissive"), ("GPL-2", "GPL-2.0", "copyleft"), ("GPL-3", "GPL-3.0", "copyleft"), ("LGPL-2.1", "LGPL-2.1", "copyleft"), ("LGPL-3", "LGPL-3.0", "copyleft"), ("MPL-2.0", "MPL-2.0", "copyleft")):
+        t = (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text(encoding="utf-8")
+        terms, end, _ = t.partition("END OF TERMS AND CONDITIONS")
+        out += [(id_, kind, t)] + ([(id_, kind, terms), (id_, kind, terms + end)] if end else [])
+    return out
+
+
+def _headers() -> list[tuple[str, str, str]]:
+    """The standard headers: their first paragraph, and all of it."""
+    out = [("Apache-2.0", "permissive", _APACHE), ("Apache-2.0", "permissive", f"{_APACHE}\nhttp://www.apache.org/licenses/LICENSE-2.0\n{_APACHE_END}")]
+    out += [("MPL-2.0", "copyleft", _MPL), *(("MPL-2.0", "copyleft", f"{_MPL} If a copy of the MPL was not distributed with this file, You can obtain one at {u}") for u in ("http://mozilla.org/MPL/2.0/.", "http://www.mozilla.org/MPL/2.0/."))]
+    for id_, name, version in (("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3")):
+        for what in ("program", "library", "file", "software"):
+            for term in (f"either version {version} of the License, or (at your option) any later version.", f"version {version} of the License.", f"version {version}."):
+                first = f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published by the Free Software Foundation, {term}"
+                rest = f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for more details."
+                got = f"You should have received a copy of the GNU {name} Public License along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+                out += [(id_, "copyleft", t) for t in (first, f"{first} {rest}", f"{first} {rest} {got}")]
+    return out
+
+
+def _names() -> list[tuple[str, str, str]]:
+    """(id, kind, name) of every licence as notices call it."""
+    out = [("MIT", "permissive", n) for n in ("the MIT License", "MIT", "MIT License")] + [("ISC", "permissive", n) for n in ("the ISC License", "ISC")] + [("Zlib", "permissive", n) for n in ("the zlib License", "Zlib")]
+    out += [("Unlicense", "permissive", n) for n in ("the Unlicense", "Unlicense")] + [("CC0-1.0", "permissive", n) for n in ("CC0 1.0", "CC0-1.0", "CC0 1.0 Universal")]
+    out += [("Apache-2.0", "permissive", n) for n in ("the Apache License, Version 2.0", "the Apache License 2.0", "Apache-2.0", "Apache License 2.0")]
+    out += [(f"BSD-{n}-Clause", "permissive", f"{a}BSD {n}-Clause{b}") for n in "23" for a, b in (("the ", " License"), ("", ""), ("", " License"))]
+    out += [("MPL-2.0", "copyleft", n) for n in ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "the Mozilla Public License, v. 2.0", "MPL-2.0", "the MPL 2.0")]
+    for id_, name, short, version in (("GPL-2.0", "General", "GPL", "2"), ("GPL-3.0", "General", "GPL", "3"), ("LGPL-2.1", "Lesser General", "LGPL", "2.1"), ("LGPL-3.0", "Lesser General", "LGPL", "3"), ("AGPL-3.0", "Affero General", "AGPL", "3")):
+        dotted = version if "." in version else version + ".0"
+        for n in (f"the GNU {name} Public License, version {version}", f"the GNU {name} Public License v{dotted}", f"the GNU {name} Public License v{version}", f"the GNU {short}, version {version}", f"{short}-{dotted}", f"the {short}-{dotted}", f"the {short}v{version}", f"{short}v{version}"):
+            out += [(id_, "copyleft", n + end) for end in ("", " only", " or later", " or any later version", ", or (at your option) any later version")]
+    for parts, kind in (("BY", "permissive"), ("BY-SA", "copyleft"), ("BY-NC", "restricted"), ("BY-NC-SA", "restricted"), ("BY-ND", "restricted"), ("BY-NC-ND", "restricted")):
+        long = "-".join({"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}[x] for x in parts.split("-"))
+        out += [(f"CC-{parts}-4.0", kind, n) for n in (f"CC {parts} 4.0", f"CC {parts} 4.0 International", f"a Creative Commons {long} 4.0 International License", f"the Creative Commons {long} 4.0 International License")]
+    return out
+
+
+#: How notices begin.
+PHRASES = ("Licensed under", "Released under", "Distributed under", "Available under", *(f"This {w} is {v} under" for w in ("work", "software", "project", "program", "library") for v in ("licensed", "released", "distributed")))
+
 #: Licence id, kind and a known text, whole licences and the notices that refer to one.
 KNOWN = (
     ("MIT", "permissive", _MIT), ("MIT", "permissive", "MIT License\n" + _MIT),
@@ -38,15 +94,8 @@ KNOWN = (
     ("BSD-2-Clause", "permissive", "\n".join((_BSD_HEAD, _BSD_1, _BSD_2, _BSD_END))),
     ("BSD-3-Clause", "permissive", "\n".join((_BSD_HEAD, _BSD_1, _BSD_2, _BSD_3, _BSD_END))),
     ("Zlib", "permissive", _ZLIB),
-    ("MIT", "permissive", "Released under the MIT License."), ("MIT", "permissive", "Licensed under the MIT License."), ("MIT", "permissive", "This work is licensed under the MIT License."),
-    ("Apache-2.0", "permissive", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "permissive", "Released under the Apache License, Version 2.0."), ("Apache-2.0", "permissive", "This work is licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "permissive", "Licensed under the BSD 3-Clause License."), ("BSD-2-Clause", "permissive", "Licensed under the BSD 2-Clause License."),
-    ("GPL-3.0", "copyleft", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "copyleft", "Licensed under the GNU General Public License, version 3."), ("GPL-3.0", "copyleft", "Released under the GNU General Public License, version 3."),
-    ("GPL-2.0", "copyleft", "This work is licensed under the GNU General Public License, version 2."), ("GPL-2.0", "copyleft", "Licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "copyleft", "Licensed under the GNU Lesser General Public License, version 3."), ("AGPL-3.0", "copyleft", "Licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "copyleft", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "permissive", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "copyleft", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "permissive", "Released under CC0 1.0."),
-    ("CC-BY-NC-4.0", "restricted", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-SA-4.0", "restricted", "Licensed under CC BY-NC-SA 4.0."), ("CC-BY-ND-4.0", "restricted", "Licensed under CC BY-ND 4.0."), ("CC-BY-NC-ND-4.0", "restricted", "Licensed under CC BY-NC-ND 4.0."),
+    ("Unlicense", "permissive", _UNLICENSE), *_texts(), *_headers(),
+    *((i, k, f"{phrase} {name}.") for i, k, name in _names() for phrase in PHRASES),
 )
 
 #: What makes a line a copyright line, from its first letter, digit, sign (c) or bracket.

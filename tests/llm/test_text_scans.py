@@ -133,3 +133,14 @@ def test_shorter_readings_and_phone_forms():
     # What lies inside a candidate that is none is found.
     inside, found = p.text("AB12 1234 4709 5590 3008 4884")
     assert found == {"card": 1} and inside.startswith("AB12 1234 ")
+
+
+def test_license_texts_headers_and_every_notice(spark):
+    whole = {i: t for i, _, t in reversed(licenses.KNOWN) if len(t) > 5000}
+    rows = [(i, t) for i, t in whole.items()] + [("Apache-2.0", 'prose\n\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n\nprose')]
+    rows += [("GPL-2.0", "Released under the GNU General Public License, version 2.\nx"), ("LGPL-3.0", "x\nReleased under LGPL-3.0-only"), ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3 or later.\nx"), ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0\nx"), ("BSD-3-Clause", "Released under the BSD 3-Clause License\nx"), ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0\nx")]
+    assert set(whole) >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    for n, (i, _) in enumerate(rows):
+        assert i in got[n].licenses.split(",") and got[n].whole_license == (i if n < len(whole) else None), i
+        assert got[n].restricted == (i not in ("Apache-2.0", "CC0-1.0", "BSD-3-Clause")), i
