@@ -41,19 +41,62 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What ``stored`` has written in this process, until discarded.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that it is
     neither computed again nor lost with an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table that ``stored`` returned."""
+    at, disk = _files(df.sparkSession, df._stored_at)
+    return disk.getContentSummary(at).getLength()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote for tables that no later plan reads."""
+    for df in tables:
+        at, disk = _files(df.sparkSession, df._stored_at)
+        disk.delete(at, True)
+        _written.remove(df._stored_at)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that the operators have stored in this process and not yet
+    discarded; for when their results have been written. Gives the number of folders."""
+    n = len(_written)
+    while _written:
+        at, disk = _files(spark, _written.pop())
+        disk.delete(at, True)
+    return n
+
+
+#: Stored tables whose files (compressed columns) are larger than this are never broadcast by the operators here.
+BROADCAST_BYTES = 4 << 20
 
 
-#: Tables of more rows than this are never broadcast by the operators here.
-BROADCAST_ROWS = 100_000
+def few(table: DataFrame) -> DataFrame:
+    """A table that ``stored`` returned, with a broadcast hint if its files are small, else as it is: a plain shuffle join."""
+    return F.broadcast(table) if file_bytes(table) <= BROADCAST_BYTES else table
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have few rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def integral(df: DataFrame, *columns: str) -> None:
+    """Raise TypeError at the call, not deep in a job, if an id column is no integer."""
+    for c in columns:
+        if (kind := df.select(c).dtypes[0][1]) not in ("tinyint", "smallint", "int", "bigint"):
+            raise TypeError(f"column {c} must hold integers, not {kind}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import small, stored
+from lexispark.llm.common import few, stored
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: Documents of one size class are dealt into so many parts, so that no part holds a whole large source.
@@ -72,9 +72,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("class", bits * F.lit(16) + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))").cast("int")).withColumn("part", F.pmod(_hex_int(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4), F.lit(PARTS)).cast("int"))
     # Counted once: the targets, the ranks and the size check all read these few rows instead of the texts.
     cells = stored(rows.groupBy("absent", "source", "class", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sum")), "cells")
-    sources = source_targets(cells.groupBy("absent", "source").agg(F.sum("sum").alias("source_size")), weights, cap)
+    sources = stored(source_targets(cells.groupBy("absent", "source").agg(F.sum("sum").alias("source_size")), weights, cap), "sources")
     own = Window.partitionBy("absent", "source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("absent", "source", "class", "part", F.coalesce(F.sum("n").over(own), F.lit(0)).alias("ahead")).join(small(sources, 10_000), ["absent", "source"])
+    cells = cells.select("absent", "source", "class", "part", F.coalesce(F.sum("n").over(own), F.lit(0)).alias("ahead")).join(few(sources), ["absent", "source"])
     salt = F.concat(F.lit(f"{seed}:"), F.when(F.col("absent"), F.lit("-")).otherwise(F.lit("+")), F.col("source"))
     # An offset of 16 bits and a half stays exact beside ranks, so equal expectations give equal copies.
     cells = cells.withColumn("offset", (_hex_int(salt, 4).cast("double") + F.lit(0.5)) / F.lit(65536.0)).withColumn("each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0)))
