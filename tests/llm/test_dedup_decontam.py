@@ -4,8 +4,11 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from fractions import Fraction
 
-from lexispark.llm import decontam, dedup
+import pytest
+
+from lexispark.llm import common, decontam, dedup
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, text string, kept string, row int, w string, digest int"
@@ -55,7 +58,10 @@ def brute(rows, items):
     return sorted(out)
 
 
-def test_decontamination_matches_brute_force(spark):
+@pytest.mark.parametrize("most", [common.BROADCAST_BYTES, -1])
+def test_decontamination_matches_brute_force(spark, monkeypatch, most):
+    """With fingerprints joined in the scan, and with a benchmark too large for that."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
     rng = random.Random(2)
     word = lambda: rng.choice(["aa", "b", "cc", "ñd", "E", "7"])
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 3, 5, 8, 12, 13, 14, 20, 40])] + [(77, None), (78, "..."), (5, "aa b cc")]
@@ -63,9 +69,8 @@ def test_decontamination_matches_brute_force(spark):
     rows += [(100 + i, f"pre. {t!s} post, {t!s}") for i, (_, t) in enumerate(items)] + [(1, None), (1, None), (2, ""), (None, items[8][1].upper())]
     rows.append((500, " ".join(word() for _ in range(300)) + " " + items[8][1]))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (50_000, 3):
-        got = decontam.decontaminate(docs(spark, rows), bench, block=block).collect()
-        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == brute(rows, items)
+    got = decontam.decontaminate(docs(spark, rows), bench).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == brute(rows, items)
 
 
 def test_decontamination_over_chunks(spark, monkeypatch):
@@ -83,3 +88,11 @@ def test_decontamination_empty_tables(spark):
     got = decontam.decontaminate(docs(spark, [(1, "a b"), (2, None)]), none).collect()
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in got) == [(1, 2, 0, False), (2, 0, 0, False)]
     assert decontam.decontaminate(docs(spark, []), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.3, 0.29, 0.05, 1 / 3])
+def test_share_is_exact(spark, share):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    rows = [(n, "a b c" + " x" * (n - 3)) for n in range(3, 70)]
+    got = {r.doc_id: r.contaminated for r in decontam.decontaminate(docs(spark, rows), bench, share=share).collect()}
+    assert got == {n: 3 >= Fraction(str(share)) * n for n, _ in rows}
