@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import small, stored
+from lexispark.llm.common import discard, few, stored
 
 #: Bits of the hash; two keys that share all of them cannot be parted.
 HASH_BITS = 60
@@ -27,11 +27,11 @@ def prefix(h: Column, depth: int) -> Column:
 
 def bits(p: Column, depth: Column) -> Column:
     """A prefix of ``depth`` bits as a string; depth 0 is the empty string."""
-    return F.when(depth == 0, F.lit("")).otherwise(F.expr("lpad(bin(p), cast(depth as int), '0')"))
+    return F.when(depth == 0, F.lit("")).otherwise(F.lpad(F.bin(p), depth, "0"))
 
 
 def directory(keys: DataFrame, limit: int) -> DataFrame:
-    """The leaves (depth, p, shard_bytes, shard_docs) for keys (h, bytes).
+    """The leaves (depth, p, shard_bytes, shard_docs), a stored table, for keys (h, bytes).
 
     Depths are tried in steps of eight: one partial aggregate counts the bytes
     of the prefixes of the oversized buckets of the step before, sums of those
@@ -40,7 +40,7 @@ def directory(keys: DataFrame, limit: int) -> DataFrame:
     oversized when all bits are used holds equal keys or one large text, and
     stays one shard.
     """
-    leaves, active, base = [], keys, 0
+    leaves, read, active, base = [], [], keys, 0
     while True:
         depth = min(base + STEP, HASH_BITS)
         cells = active.groupBy(prefix(F.col("h"), depth).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
@@ -48,14 +48,19 @@ def directory(keys: DataFrame, limit: int) -> DataFrame:
         levels = levels.groupBy("depth", F.expr(f"shiftright(cell, cast({depth} - depth as int))").alias("p")).agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_docs"), F.min("low").alias("low"), F.max("high").alias("high"))
         fits = (F.col("shard_bytes") <= limit) | (F.col("low") == F.col("high"))
         levels = stored(levels.withColumn("fits", fits), "directory")
+        read.append(levels)
         above = levels.select((F.col("depth") + 1).alias("depth"), F.col("p").alias("up"), F.col("fits").alias("ended"))
         new = levels.join(above, (levels["depth"] == above["depth"]) & (F.shiftright(levels["p"], 1) == above["up"]), "left").select(levels["depth"], "p", "shard_bytes", "shard_docs", "fits", F.coalesce("ended", F.lit(False)).alias("ended"))
         leaves.append(new.filter(F.col("fits") & ~F.col("ended")).select("depth", "p", "shard_bytes", "shard_docs"))
         over = levels.filter((F.col("depth") == depth) & ~F.col("fits")).select(F.col("p").alias("cell"))
         if depth == HASH_BITS or over.isEmpty():
             break
-        active, base = active.join(small(over), prefix(F.col("h"), depth) == F.col("cell"), "left_semi"), depth
-    return reduce(DataFrame.unionByName, leaves)
+        over = stored(over, "oversized")
+        read.append(over)
+        active, base = active.join(few(over), prefix(F.col("h"), depth) == F.col("cell"), "left_semi"), depth
+    out = stored(reduce(DataFrame.unionByName, leaves), "shards")
+    discard(*read)
+    return out
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 32 << 20) -> DataFrame:
@@ -72,21 +77,20 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     own = ["shard", "depth", "shard_bytes", "shard_docs", "bytes"]
     rows = docs.drop(*own)
     taken = set(rows.columns)
-    h = next(f"h{i}" for i in range(len(taken) + 1) if f"h{i}" not in taken)
+    h, leaf = (next(f"{x}{i}" for i in range(len(taken) + 1) if f"{x}{i}" not in taken) for x in ("h", "leaf"))
     rows = rows.withColumn(h, key_hash(id_col, text_col)).withColumn("bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint"))
-    leaves = stored(directory(rows.select(F.col(h).alias("h"), "bytes"), limit), "shards")
-    leaves = leaves.select("depth", "p", "shard_bytes", "shard_docs", bits(F.col("p"), F.col("depth")).alias("shard"))
-    depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # at most HASH_BITS + 1 values
-    if not depths:
-        return rows.select(*docs.drop(*own).columns, F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("shard_bytes"), F.lit(0).cast("bigint").alias("shard_docs"), "bytes").limit(0)
-    # Exactly one depth of a row's prefixes is in the directory; the leaves cover the hash space without overlap.
-    deepest = depths[-1]
-    leaves = leaves.withColumn("low", F.expr(f"shiftleft(p, cast({deepest} - depth as int))"))
-    if deepest - depths[0] <= 12:  # every leaf becomes a few entries of the directory
-        entries = leaves.select("depth", "shard_bytes", "shard_docs", "shard", F.explode(F.expr(f"sequence(low, low + shiftleft(1L, cast({deepest} - depth as int)) - 1L)")).alias("entry"))
-        out = rows.join(small(entries), prefix(F.col(h), deepest) == F.col("entry"))
-    else:
-        keyed = leaves.select("depth", "p", "shard_bytes", "shard_docs", "shard")
-        probes = rows.withColumn("probe", F.explode(F.array(*(F.struct(F.lit(d).alias("at"), prefix(F.col(h), d).alias("to")) for d in depths))))
-        out = probes.join(small(keyed), (F.col("probe.at") == F.col("depth")) & (F.col("probe.to") == F.col("p")))
-    return out.select(*docs.drop(*own).columns, *own)
+    keys = stored(rows.select(F.col(h).alias("h"), "bytes"), "keys")
+    leaves = directory(keys, limit)
+    discard(keys)
+    # The directory proper: an entry for each prefix of so many bits that there are at most four times as many entries
+    # as leaves. A leaf above that depth has several entries; those below it stand in their entry, by their first hash.
+    deepest, n = leaves.agg(F.max("depth"), F.count(F.lit(1))).first()
+    depth = min(deepest or 0, (4 * n).bit_length() - 1 if n else 0)
+    one = F.struct(F.expr(f"shiftleft(p, cast({HASH_BITS} - depth as int))").alias("low"), "depth", "p", "shard_bytes", "shard_docs")
+    up, span = F.expr(f"shiftright(p, cast(greatest(depth - {depth}, 0) as int))"), F.expr(f"shiftleft(1L, cast(greatest({depth} - depth, 0) as int))")
+    entries = leaves.select(one.alias("leaf"), F.explode(F.sequence(up * span, (up + 1) * span - 1)).alias("entry"))
+    entries = stored(entries.groupBy("entry").agg(F.array_sort(F.collect_list("leaf")).alias(leaf)), "entries")
+    out = rows.join(few(entries), prefix(F.col(h), depth) == F.col("entry"))
+    x = F.element_at(F.col(leaf), F.size(F.filter(leaf, lambda v: v["low"] <= F.col(h))))
+    found = out.select(*docs.drop(*own).columns, "bytes", x.alias(leaf))
+    return found.select(*docs.drop(*own).columns, bits(F.col(f"{leaf}.p"), F.col(f"{leaf}.depth")).alias("shard"), F.col(f"{leaf}.depth").cast("int").alias("depth"), F.col(f"{leaf}.shard_bytes").alias("shard_bytes"), F.col(f"{leaf}.shard_docs").alias("shard_docs"), "bytes")
