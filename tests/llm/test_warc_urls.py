@@ -3,6 +3,8 @@
 import hashlib
 import os
 import random
+import re
+from collections import defaultdict
 
 import pytest
 
@@ -102,3 +104,73 @@ def test_labels_of_one_section_stay_there(spark, sections, given):
     got = {r.page_id: r for r in urlfilter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules, labels).collect()}
     assert {i: r.verdict for i, r in got.items()} == {i: "block" if i < 10 else "allow" for i, _ in rows}
     assert got[0].template == "/en/*" and got[10].template == "/fk/*"
+
+
+def brute_url_filter(rows, rules, labels, purity, smoothing):
+    """Templates by form alone, purity pooled over like templates of a branch. Siblings that the operator merges have like shares, so their verdicts are the same."""
+    form = lambda s: "*" + (m[2] or "") if (m := re.match(r"^([0-9]+|[0-9a-fA-F]{8,})(\.[A-Za-z]{1,5})?$", s)) else s
+    split = lambda u: re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u).groups()
+    key = lambda u: (split(u)[0].lower(), tuple(form(s) for s in re.sub("^/", "", split(u)[1]).split("/")))
+
+    def rule(u):
+        h, p = split(u)
+        fit = [(len(a) + len(b) - 1, act == "block", act) for act, a, b in rules if (h.lower() == a or h.lower().endswith("." + a)) and p.startswith(b)]
+        return max(fit)[2] if fit else None
+
+    given = [(key(u), b) for u, b in labels if rule(u) is None]
+    seen = defaultdict(list)
+    for k, b in given:
+        seen[k].append(b)
+    ruled = defaultdict(list)
+    for _, u in rows:
+        if rule(u):
+            ruled[key(u)].append(int(rule(u) == "block"))
+    overall = sum(b for _, b in given) / len(given)
+    hosts = defaultdict(list)
+    for (h, _), b in given:
+        hosts[h].append(b)
+    prior = lambda h: (sum(hosts[h]) + smoothing * overall) / (len(hosts[h]) + smoothing)
+    out, branches = {}, defaultdict(list)
+    for k in set(seen) | set(ruled):
+        all_ = seen[k] + ruled[k]
+        branches[k[0], k[1][:-1]].append((sum(all_) / len(all_), "/" + "/".join(k[1]), len(all_), sum(all_), k))
+    for (h, _), some in branches.items():
+        classes, last = [], None
+        for share, name, n, bad, k in sorted(some):
+            if last is not None:
+                pooled = (bad + last[0] * last[1]) / (n + last[1])
+                if share - last[0] > 1.96 * max((pooled * (1 - pooled) * (1 / n + 1 / last[1])) ** 0.5, 1e-12):
+                    classes.append([])
+            classes = classes or [[]]
+            classes[-1].append((n, bad, k))
+            last = (share, n)
+        for c in classes:
+            n, bad = sum(x[0] for x in c), sum(x[1] for x in c)
+            for _, _, k in c:
+                out[k] = (bad + smoothing * prior(h)) / (n + smoothing)
+    return {i: (rule(u) or ("block" if out.get(key(u), 0) >= purity else "allow"), out.get(key(u))) for i, u in rows}
+
+
+def test_verdicts_match_brute_force(spark):
+    rng = random.Random(14)
+    hosts = ["a.example.com", "b.example.net", "c.example.org", "d.example.org"]
+    rows = [(i, f"http://{h}/{rng.choice(['en', 'de', 'fr', 'x/y/z'])}/{i}{rng.choice(['', '.html', '/'])}") for i in range(300) for h in [rng.choice(hosts)]]
+    labels = [(u, int(rng.random() < (0.95 if "d.example" in u and "fr" in u else 0.1))) for _, u in rows]
+    got = urlfilter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), RULES, spark.createDataFrame(labels, "url string, bad int"), purity=0.65, smoothing=2.0)
+    want = brute_url_filter(rows, RULES, labels, 0.65, 2.0)
+    seen = {r.page_id: r.verdict for r in got.collect()}
+    assert seen == {i: v for i, (v, _) in want.items()}
+    assert any(seen[i] == "block" and "d.example" in u and "/fr/" in u for i, u in rows)
+
+
+def test_junk_labels(spark):
+    rows = [("a", "<p>plain words of a page, as usual.</p>"), ("b", "<b>THIS!! IS!! ALL!! NOISE!!</b>"), ("c", None), ("d", "<style>p{}</style><script>x==1;;</script>"), ("e", "one two three four five six seven &&&"), ("f", "w " * 200_000)]
+    got = dict(urlfilter.junk_labels(spark.createDataFrame(rows, "url string, html string")).collect())
+    assert got == {"a": 0, "b": 1, "c": 1, "d": 1, "e": 0, "f": 0}
+
+
+def test_labels_of_urls_that_rules_fit_are_the_rules(spark):
+    pages = spark.createDataFrame([(i, f"http://x.example.com/{p}/{i}") for i, p in enumerate(["en"] * 5 + ["fr"] * 5)], "page_id long, url string")
+    labels = pages.selectExpr("url", "CASE WHEN url LIKE '%/en/%' THEN 1 ELSE 0 END AS bad")
+    got = urlfilter.url_filter(pages, RULES, labels, purity=0.5).collect()
+    assert {r.page_id: r.verdict for r in got} == {i: "block" if i < 5 and i != 7 else "allow" for i in range(10)}
