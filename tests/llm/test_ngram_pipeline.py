@@ -71,6 +71,28 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert ngramjoin.ngram_join(df.limit(0)).count() == 0
 
 
+def chain(rng, n, size, step):
+    """Texts of which each shares most words with the next, and ever fewer with those behind."""
+    words = [f"c{rng.randint(0, 10**6)}" for _ in range(size + n * step)]
+    return [" ".join(words[i * step : i * step + size]) for i in range(n)]
+
+
+def test_chains_and_tight_groups_lose_no_link(spark, monkeypatch):
+    """Members stop at different prefixes, and blocks meet at every level."""
+    monkeypatch.setattr(ngramjoin, "BLOCK_ROWS", 5)
+    rng = random.Random(21)
+    base = " ".join(f"t{rng.randint(0, 10**6)}" for _ in range(400))
+    texts = family(rng, base, 60, 3) + chain(rng, 40, 120, 5) + family(rng, base[: len(base) // 4], 30, 6)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngramjoin.ngram_join(df).collect()} == brute(rows)
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError, match="integers"):
+        ngramjoin.ngram_join(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_recall_and_pieces():
     f = ngramjoin.Forest()
     assert f.recall(0.8, f.length(0.8, 0.9995)) >= 0.9995 and f.recall(0.8, f.length(0.8, 0.9995) + 1) < 0.9995
@@ -110,27 +132,25 @@ def test_pipeline(spark, tmp_path):
     assert {"shard", "depth", "shard_bytes"} <= set(kept[4])
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_without_keeps_rows_without_an_id(spark, monkeypatch, few):
-    if not few:
-        monkeypatch.setattr(corpus_pipeline, "small", lambda df: df)
-    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "c"), (3, None)], "doc_id long, text string")
-    gone = spark.createDataFrame([(1,), (1,), (None,), (9,)], "doc_id long")
-    left = corpus_pipeline.without(docs, gone)
-    assert left.columns == ["doc_id", "text"]
-    assert sorted(map(str, (r.doc_id for r in left.collect()))) == ["2", "3", "None"]
-    plan = left._jdf.queryExecution().sparkPlan().toString()
-    assert ("BroadcastHashJoin" in plan) == few and ("ShuffledHashJoin" in plan) != few
+def test_without_judges_rows_by_one_plan(spark):
+    docs = spark.createDataFrame([(1, "a", 10), (1, "b", 11), (2, "a", 12), (None, "c", 13), (3, None, 14)], "doc_id long, text string, row0 long")
+    gone = spark.createDataFrame([(11,), (13,), (99,)], "row0 long")
+    left = corpus_pipeline.without(docs, "row0", gone)
+    assert sorted(map(str, left.collect())) == sorted(["Row(doc_id=1, text='a')", "Row(doc_id=2, text='a')", "Row(doc_id=3, text=None)"])
+    assert "ShuffledHashJoin" in left._jdf.queryExecution().sparkPlan().toString()
 
 
 def test_mixing_stage_repeats_as_the_operator_says(spark):
+    """Rows without an id are taken as often as the mix says, too."""
     rng = random.Random(10)
     docs = spark.createDataFrame([(i if i % 9 else None, "w " * rng.randint(0, 40), "en", f"s{i % 4}" if i % 5 else None, 0) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
-    copies = {r.doc_id: r.copies for r in mixing.mix(docs).filter("doc_id is not null").collect()}
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.size] += r.copies
     out = corpus_pipeline.mix_sources(spark, docs, "")
-    got = Counter(r.doc_id for r in out.collect())
-    assert out.columns == docs.columns and got.pop(None) == 34
-    assert got == Counter({k: n for k, n in copies.items() if n})
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, len(r.text.split())) for r in out.collect()) == +want
+    assert any(n > 1 for (i, _), n in want.items() if i is None)
 
 
 @pytest.mark.parametrize("on_disk", [True, False])
@@ -152,6 +172,15 @@ def test_stages_judge_rows_and_not_ids(spark, tmp_path, on_disk):
     assert count(clean) == Counter(r for r in rows if text[7] not in (r[1] or ""))
 
 
+def test_stages_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([(1, "a b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, row0 int, n0 int, key string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0 and set(none.columns) <= set(out.columns), name
+
+
 def test_mixing_stage_repeats_each_row_of_an_id_on_its_own(spark):
     docs = spark.createDataFrame([(i // 3, "w " * (i % 40), "en", f"s{i % 4}", 0) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
     want = Counter()
