@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import decontam, mixing, ngramjoin, sharding, toxicity
-from lexispark.llm.common import small, stored, table
+from lexispark.llm.common import stored, table
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 1 << 20
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -32,40 +32,44 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return placed.join(F.broadcast(places), "file_path").select(*docs.columns, number.alias(row)), row
 
 
-def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` but for the rows whose ``key`` is in the doc_id of ``ids``; rows without one stay."""
-    gone = stored(ids.select(F.col("doc_id").alias(key)).distinct(), "dropped")
-    few = small(gone)
-    # Ids beyond the bound of a broadcast are hashed, so that the texts are not sorted.
-    return docs.join(gone.hint("shuffle_hash") if few is gone else few, key, "left_anti").select(docs.columns)
+def without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """``rows`` but for those whose number is in the column ``row`` of ``gone``.
+    The numbers are hashed at every size, so the texts are neither sorted nor
+    shuffled by another plan on a larger table."""
+    return rows.join(gone.select(row).hint("shuffle_hash"), row, "left_anti").drop(row)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score marks go. The score is one more column of the scan; nothing is shuffled."""
+    """Documents that the toxicity score marks go; null and empty texts stay. The score is one more column of the scan; nothing is shuffled."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.filter(toxicity.scores(model, F.col("text")) < 0.5)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class one row stays, that with the smallest id; null ids come last, and of equal ids the first row stays."""
+    """Of each near-duplicate class one row stays, that with the smallest id;
+    null ids come last, and of equal ids the first row stays. Texts without
+    words, null and empty ones too, are classes of their own and stay."""
     rows, row = numbered(docs)
     # Rows without links are classes of their own.
     classes = stored(ngramjoin.ngram_join(rows, id_col=row).filter("n_links > 0").select(F.col("doc_id").alias(row), "class_id").join(rows.select(row, "doc_id"), row), "classes")
     first = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))).alias("first")).select(F.col(f"first.{row}").alias(row))
-    return without(rows, classes.join(first, row, "left_anti").select(F.col(row).alias("doc_id")), row).select(docs.columns)
+    gone = stored(classes.join(first, row, "left_anti").select(row), "dropped")
+    return without(rows, row, gone).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more lies in benchmark passages go."""
+    """Documents of which a twentieth or more lies in benchmark passages go, row
+    by row; texts without words stay."""
     rows, row = numbered(docs)
-    return without(rows, decontam.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=row).filter("contaminated"), row).select(docs.columns)
+    gone = decontam.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=row).filter("contaminated")
+    return without(rows, row, stored(gone.select(F.col("doc_id").alias(row)), "dropped")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to target weights takes them."""
+    """Each row as often as the mix to target weights takes it, whether it has an
+    id or not; texts without words count nothing and go with their source's share."""
     rows, row = numbered(docs)
-    taken = mixing.mix(rows, row_col=row).filter("copies <> 1 and doc_id is not null")
-    # Rows without an id are kept once.
+    taken = mixing.mix(rows, row_col=row).filter("copies <> 1")
     # A fixed share of the documents has other copies than one, so they are never broadcast; hashing them leaves the texts unsorted.
     n = next(f"n{i}" for i in range(len(docs.columns) + 1) if f"n{i}" not in docs.columns)
     times = taken.select(row, F.col("copies").cast("int").alias(n)).hint("shuffle_hash")
@@ -74,7 +78,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard."""
+    """Every row with its shard; null texts have no bytes, equal rows share a shard."""
     return sharding.shard(docs, limit=SHARD_BYTES)
 
 
@@ -91,7 +95,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over documents; each stage's rows are written to the shared
+    folder and read again. What stages store stays there until ``release``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
