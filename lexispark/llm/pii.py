@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
+from calendar import monthrange
 from collections.abc import Iterator
-from datetime import date
 from functools import lru_cache
 
 import pandas as pd
@@ -142,27 +143,40 @@ def ipv4(s: str, key: bytes) -> str | None:
     return ".".join(map(str, n.to_bytes(4, "big")))
 
 
-FIRST, DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
+@lru_cache
+def days_of(form: tuple[int, int, int]) -> list[tuple[int, int, int]]:
+    """All dates of 1900 to 2099 as their three numbers in a form: numbers of so
+    many digits, year first, or year last with day and month in either order."""
+    year_first = form[0] == 4
+    a, b = form[1:] if year_first else form[:2]
+    one, two = (range(1, 10) if n == 1 else range(1, 32) for n in (a, b))
+    lengths = lambda leap: (31, 29 if leap else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+    out = []
+    for year in range(1900, 2100):
+        long = lengths(monthrange(year, 2)[1] == 29)
+        is_day = lambda m, d, long=long: m <= 12 and d <= long[m - 1]
+        if year_first:
+            out += [(year, x, y) for x in one for y in two if is_day(x, y)]
+        else:
+            out += [(x, y, year) for x in one for y in two if is_day(x, y) or is_day(y, x)]
+    out.sort()
+    return out
 
 
 def day(s: str, key: bytes) -> str | None:
-    """Year-month-day, or day and month before the year; permuted among the days of 1900 to 2099."""
+    """Year-month-day, or day and month in either order before the year;
+    permuted among all dates of the same form, so widths stay and different
+    texts of a form stay different."""
     a, sep1, b, sep2, c = re.match(r"(\d+)(\D)(\d+)(\D)(\d+)$", s).groups()
     if sep1 != sep2:
         return None
-    orders = [(a, b, c)] if len(a) == 4 else [(c, b, a), (c, a, b)]
-    for k, (y, m, d) in enumerate(orders):
-        try:
-            n = date(int(y), int(m), int(d)).toordinal() - FIRST
-        except ValueError:
-            continue
-        if not 0 <= n < DAYS:
-            continue
-        # One order of day and month holds all days of the format, so equal texts stay equal.
-        new = date.fromordinal(FIRST + feistel(n, DAYS, key, f"day{len(a) == 4}{k}"))
-        y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
-        return sep1.join((y, m, d) if len(a) == 4 else (d, m, y) if k == 0 else (m, d, y))
-    return None
+    form, value = (len(a), len(b), len(c)), (int(a), int(b), int(c))
+    all_ = days_of(form)
+    at = bisect_left(all_, value)
+    if at == len(all_) or all_[at] != value:
+        return None
+    new = all_[feistel(at, len(all_), key, f"day{form}")]
+    return sep1.join(f"{v:0{n}d}" for v, n in zip(new, form, strict=True))
 
 
 def email(s: str, key: bytes) -> str:
