@@ -104,6 +104,10 @@ PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 _VARIANT = "|".join(a for a, _ in SPELLINGS)
 
 
+def _apart(words: str) -> str:
+    return words.replace(" ", "  ")
+
+
 def canonical_lines(text: Column) -> Column:
     """The text with A-Z lower-cased, copyright lines emptied and each run of other signs made a blank."""
     t = F.concat(F.lit("\n"), ascii_lower(F.coalesce(text, F.lit(""))))
@@ -111,11 +115,12 @@ def canonical_lines(text: Column) -> Column:
 
 
 def respelled(t: Column) -> Column:
-    """Equal spellings made one; only texts with a variant pay for it."""
-    out = F.concat(F.lit(" "), t, F.lit(" "))
+    """Equal spellings made one; only texts with a variant pay for it. Each word
+    has blanks of its own on both sides meanwhile, so neighbours do not share one."""
+    out = F.concat(F.lit(" "), F.replace(t, F.lit(" "), F.lit("  ")), F.lit(" "))
     for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.when(t.rlike(_VARIANT), F.trim(out)).otherwise(t)
+        out = F.replace(out, F.lit(f" {_apart(a)} "), F.lit(f" {_apart(b)} "))
+    return F.when(t.rlike(_VARIANT), F.trim(F.replace(out, F.lit("  "), F.lit(" ")))).otherwise(t)
 
 
 def unit(lines: Column) -> Column:

@@ -55,10 +55,13 @@ def _op3() -> str:
     lines = lambda c: f"regexp_replace(regexp_replace(chr(10) || {AZ.format(c)}, {text(licenses.COPYRIGHT)}, chr(10), 'g'), {text(licenses.PUNCTUATION)}, ' ', 'g')"
 
     def spelled(c: str) -> str:
-        out = f"' ' || {c} || ' '"
+        """Word by word first, then variants of several words, between blanks that neighbours do not share."""
+        cases = " ".join(f"WHEN {text(a)} THEN {text(b)}" for a, b in licenses.SPELLINGS if " " not in a)
+        out = f"array_to_string(list_transform(string_split({c}, ' '), lambda w: ' ' || CASE w {cases} ELSE w END || ' '), '')"
         for a, b in licenses.SPELLINGS:
-            out = f"replace({out}, {text(f' {a} ')}, {text(f' {b} ')})"
-        return f"trim({out}, ' ')"
+            if " " in a:
+                out = f"replace({out}, {text(' ' + a.replace(' ', '  ') + ' ')}, {text(' ' + b.replace(' ', '  ') + ' ')})"
+        return f"trim(replace({out}, '  ', ' '), ' ')"
 
     unit = lambda c: spelled(f"trim(regexp_replace({c}, '[ \\n]+', ' ', 'g'), ' ')")
     known = ", ".join(f"({text(i)}, {text(k)}, {text(t)})" for i, k, t in licenses.KNOWN)

@@ -2,8 +2,11 @@
 
 import random
 import re
+from collections import Counter
+from datetime import date
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lexispark.llm import licenses, pii, toxicity
 
@@ -144,3 +147,75 @@ def test_license_texts_headers_and_every_notice(spark):
     for n, (i, _) in enumerate(rows):
         assert i in got[n].licenses.split(",") and got[n].whole_license == (i if n < len(whole) else None), i
         assert got[n].restricted == (i not in ("Apache-2.0", "CC0-1.0", "BSD-3-Clause")), i
+
+
+def test_dates_are_permuted_within_their_form():
+    """Every date of a form, in both orders of day and month, has a pseudonym of its own in the same form."""
+    key = b"secret"
+    for form, some in (((2, 2, 4), 200 * (365 + 365 - 144) + 2 * 49 - 0), ((1, 1, 4), 200 * 81)):
+        texts = ["/".join(f"{v:0{n}d}" for v, n in zip(d, form, strict=True)) for d in pii.days_of(form)]
+        assert len(set(texts)) == len(texts) == some
+    day_first = {f"{d:02d}/{m:02d}/{y}" for y in (1900, 1999, 2000) for m in range(1, 13) for d in range(1, 1 + pii.monthrange(y, m)[1])}
+    month_first = {f"{m:02d}/{d:02d}/{y}" for y in (1900, 1999, 2000) for m in range(1, 13) for d in range(1, 1 + pii.monthrange(y, m)[1])}
+    for group in (day_first | month_first, {"1/2/2001", "9/9/2001", "7/3/1950"}, {"2024-02-29", "2024-2-29", "1950-7-3", "1950-12-3"}):
+        new = {t: pii.day(t, key) for t in group}
+        assert None not in new.values() and len(set(new.values())) == len(group)
+        assert all(re.sub(r"\d", "9", n) == re.sub(r"\d", "9", t) for t, n in new.items())
+        assert all(pii.day(n, key) is not None for n in new.values())
+    for bad in ("29/02/1900", "31.04.2000", "00/01/2000", "13/13/2000", "1899-12-31", "2100-01-01", "01/02.2000"):
+        assert pii.day(bad, key) is None
+
+
+def brute_pii(text):
+    """Found values by plain rules, for texts that hold one value between blanks at a time."""
+    found = Counter()
+    for w in (text or "").split(" "):
+        if re.fullmatch(r"[a-z0-9.]+@[a-z0-9.]+\.[a-z]{2,}", w):
+            found["email"] += 1
+        elif re.fullmatch(r"\d{4}-\d\d-\d\d", w):
+            try:
+                found["date"] += 1900 <= date.fromisoformat(w).year < 2100
+            except ValueError:
+                pass
+        elif re.fullmatch(r"\d+(\.\d+){3}", w):
+            found["ipv4"] += all(int(x) < 256 and str(int(x)) == x for x in w.split("."))
+        elif re.fullmatch(r"\d{3}-\d\d-\d{4}", w):
+            found["ssn"] += not (w[:3] in ("000", "666") or w[0] == "9" or w[4:6] == "00" or w[7:] == "0000")
+        elif re.fullmatch(r"\d{16}", w):
+            digits = [int(c) for c in w]
+            total = sum(digits[1::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[::2])
+            found["card"] += total % 10 == 0 and len(set(w)) > 1
+    return +found
+
+
+def test_pseudonyms_match_brute_force(spark):
+    """What is found, that the rest stays, and that equal values stay equal and different ones different over a whole table."""
+    rng = random.Random(17)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    value = [
+        lambda: f"u{digits(2)}.x@mail{rng.randint(0, 3)}.example.org", lambda: f"{rng.randint(1880, 2110)}-{rng.randint(0, 13):02d}-{rng.randint(0, 32):02d}", lambda: ".".join(str(rng.randint(0, 300)) for _ in range(4)),
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: digits(16), lambda: "plain", lambda: "v" + digits(5),
+    ]
+    rows = [(i, " ".join(rng.choice(value)() for _ in range(rng.randint(0, 40)))) for i in range(400)] + [(7, None), (7, ""), (None, "x " * 100_000 + "u12.x@mail1.example.org")]
+    got = pii.pseudonymize(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_date int"), b"k").collect()
+    assert len(got) == len(rows)
+    kinds = lambda r: {k: r[f"n_{k}"] for k in pii.KINDS if r[f"n_{k}"]}
+    assert sorted(str((r.doc_id, sorted(kinds(r).items()))) for r in got) == sorted(str((i, sorted(brute_pii(t).items()))) for i, t in rows)
+    old, new = {i: t for i, t in rows if i != 7}, {r.doc_id: r.text for r in got if r.doc_id != 7}
+    pairs = {}
+    for i, t in old.items():
+        assert len(t.split(" ")) == len(new[i].split(" "))
+        for a, b in zip(t.split(" "), new[i].split(" "), strict=True):
+            assert pairs.setdefault(a, b) == b
+            assert brute_pii(a) == brute_pii(b) and (a == b or brute_pii(a))
+    assert len(set(pairs.values())) == len(pairs)
+
+
+def test_spellings_of_neighbours(spark):
+    mit = licenses.KNOWN[0][2]
+    rows = [(1, "licence licence license"), (2, "per cent per cent of the of the"), (3, "sub licence sub license non commercial"), (4, mit.replace("License", "Licence"))]
+    got = {r.doc_id: r.u for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", licenses.unit(licenses.canonical_lines(F.col("text"))).alias("u")).collect()}
+    assert (got[1], got[2], got[3]) == ("license license license", "percent percent of the of the", "sublicense sublicense noncommercial")
+    known = (("X", "permissive", "the license license of x"),)
+    found = licenses.license_scan(spark.createDataFrame([(1, "The licence, Licence of X!"), (2, "word " * 300_000), (3, None)], "doc_id long, text string"), known).collect()
+    assert {r.doc_id: r.whole_license for r in found} == {1: "X", 2: None, 3: None}
