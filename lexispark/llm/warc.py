@@ -10,13 +10,20 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Cells of the histogram from which shard bounds are cut; so many rows reach the driver at most.
-CELLS = 4096
+from lexispark.llm.common import discard, integral, stored
+
+#: Cells of the id histogram for each shard that a part of it should give, as a power of two.
+CELL_BITS = 3
+#: Compressed bytes that a reading task gets.
+READ_BYTES = 32 << 20
+#: Copies of one payload are dealt over so many salts, by their ids.
+SALTS = 60
 #: No clock enters the records, so equal input gives equal bytes.
 DATE = "2000-01-01T00:00:00Z"
 RECORD_SPACE = uuid.UUID("7a0c1d52-8d6e-5c0b-9a54-0f3d9f6b2c11")
@@ -69,44 +76,118 @@ class _File:
     digest: object = None
 
 
+@dataclass(frozen=True)
+class Shards:
+    """Where shards begin: the first id of each range, the ranges' first shard
+    numbers, and how many shards a range has, by digest, if it is one heavy id.
+    Null ids come last and are a range of their own."""
+
+    starts: np.ndarray
+    first: np.ndarray
+    parts: np.ndarray
+    null_first: int
+    null_parts: int
+
+    @property
+    def number(self) -> int:
+        return self.null_first + self.null_parts
+
+    def of(self, ids: Column, digest: Column) -> Column:
+        at = self
+
+        @F.pandas_udf("int")
+        def shard(i: pd.Series, d: pd.Series) -> pd.Series:
+            none = i.isna().to_numpy()
+            k = np.searchsorted(at.starts, i.fillna(0).to_numpy().astype(np.int64), "right") - 1
+            k = np.maximum(k, 0)
+            first = np.where(none, at.null_first, at.first[k])
+            parts = np.where(none, max(1, at.null_parts), at.parts[k])
+            share = np.array([int(x[:8], 16) for x in d], dtype=np.int64)
+            return pd.Series((first + share * parts // (1 << 32)).astype(np.int32))
+
+        return shard(ids, digest)
+
+
+def cut(keyed: DataFrame, per: int) -> Shards:
+    """Shard bounds from the payload bytes of ids, so that they depend on the data alone.
+
+    Ids are summed by their high bits; cells above ``per`` bytes are summed
+    again by more bits, until a cell fits or is one id. So an id far away from
+    the others costs a round and no balance. Numbers that reach the driver are
+    some for each shard, as are the rows of the manifest.
+    """
+    low, high, total, nulls = keyed.agg(F.min("id"), F.max("id"), F.coalesce(F.sum(F.when(F.col("id").isNotNull(), F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("size") + 1)), F.lit(0))).first()
+    cells: list[tuple[int, int, int]] = []  # first id, shift, bytes
+    if low is not None:
+        wide, bits = (high - low).bit_length(), max(1, -(-total // per)).bit_length() + CELL_BITS
+        shift = max(0, min(63, wide - bits))
+        heavy, rows = None, keyed.filter("id is not null")
+        while True:
+            cell = F.expr(f"shiftright(id, {shift})")
+            some = rows if heavy is None else rows.join(F.broadcast(heavy), F.expr(f"shiftright(id, {before})") == F.col("up"), "left_semi")
+            sums = [(c, int(n)) for c, n in some.groupBy(cell.alias("c")).agg(F.sum("size")).collect()]
+            over = [c for c, n in sums if n > per and shift]
+            cells += [(c << shift, shift, n) for c, n in sums if not (n > per and shift)]
+            if not over:
+                break
+            most = max(n for _, n in sums)
+            heavy = keyed.sparkSession.createDataFrame([(c,) for c in over], "up long")
+            before, shift = shift, max(0, shift - max(1, -(-most // per)).bit_length() - CELL_BITS)
+    starts, first, parts, filled, to = [], [], [], 0, -1
+    for at, _, n in sorted(cells):
+        of = max(1, -(-n // per))
+        if not starts or filled + n > per or of > 1:
+            to += parts[-1] if parts else 1
+            starts.append(at)
+            first.append(to)
+            parts.append(of)
+            filled = 0
+        filled += n if of == 1 else per
+    after = first[-1] + parts[-1] if starts else 0
+    if not starts:
+        starts, first, parts = [0], [0], [1]
+    return Shards(np.array(starts, np.int64), np.array(first, np.int64), np.array(parts, np.int64), after, -(-nulls // per) if nulls else 0)
+
+
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", roll_bytes: int = 256 << 20, shard_bytes: int = 1 << 30, least: int = 100) -> DataFrame:
     """Write one record per row and return the manifest (shard, part, name, bytes, records, sha256).
 
-    Records are sorted by id in shards whose bounds are cut from a histogram of
-    the ids' payload bytes, so they depend on the data alone and not on
-    sampling. A shard is one task's; its files roll when their compressed size
-    passes ``roll_bytes``. Each attempt of a task writes under names of its
-    own; the manifest, which Spark commits, has the names of the attempts that
-    counted, and only then are those files renamed. Both steps can be repeated.
-    Of equal payloads of at least ``least`` bytes the row of the smallest id is
-    a response and the others are revisits, which hold no payload; a null id is
-    smaller than all.
+    Records are sorted by id and payload digest in shards of about
+    ``shard_bytes`` of payload, whose bounds depend on the data alone. A shard
+    is one task's; its files roll when their compressed size passes
+    ``roll_bytes``. Each attempt of a task writes under names of its own; the
+    manifest, which Spark commits, has the names of the attempts that counted,
+    and only then are those files renamed. Both steps can be repeated. Of equal
+    payloads of at least ``least`` bytes the row of the smallest id is a
+    response and the others are revisits, which hold no payload.
+
+    Ids must be integers (else TypeError). A null id comes after all others; if
+    all ids of a payload are null, or the smallest is repeated, one row is the
+    response and the others revisit it. An id whose rows are larger than a
+    shard is dealt over several by digest; only rows equal in id and payload
+    stay together. Null urls and payloads are written as empty; rows without
+    any payload bytes are responses. An empty table gives an empty manifest;
+    other columns are ignored.
     """
+    integral(pages, id_col)
     spark = pages.sparkSession
     folder = uri(folder)
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    keyed = rows.select("id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("bigint").alias("size"))
-    low, high, total = keyed.agg(F.min("id"), F.max("id"), F.sum("size")).first()
-    low, high = (low, high) if low is not None else (0, 0)
-    width = (high - low) // CELLS + 1
-    cell = f"cast(coalesce((cast(id as decimal(20,0)) - {low}BD) / {width}BD, 0) as int)"
-    sums = dict(keyed.groupBy(F.expr(cell).alias("c")).agg(F.sum("size")).collect())  # at most CELLS rows
-    shards, filled, to = [], 0, 0
-    per = max(1, shard_bytes, -(-(total or 0) // CELLS))
-    for c in range(CELLS + 1):
-        shards.append(to)
-        filled += sums.get(c, 0)
-        if filled >= per:
-            to, filled = to + 1, 0
-    n = to + 1
-    shard = F.element_at(F.array(*map(F.lit, shards)), F.expr(cell) + 1)
-
-    groups = keyed.filter(F.col("size") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNotNull().alias("k"), "id")).alias("m")).filter("n > 1").select("digest", F.col("m.id").alias("first"))
-    again = keyed.filter(F.col("size") >= least).select("id", "digest").join(groups, "digest").distinct()
+    rows = rows.select("id", F.sha2("payload", 256).alias("digest"), "url", "payload")
+    keyed = stored(rows.select("id", "digest", F.octet_length("payload").cast("bigint").alias("size")), "keyed")
+    shards = cut(keyed, max(1, shard_bytes))
+    n = max(1, shards.number)
+
+    # Copies are counted by digest and salt before they are counted by digest, and told the same way.
+    large = keyed.filter(F.col("size") >= least).select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    part = large.groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("k"), "id")).alias("m"))
+    groups = part.groupBy("digest").agg(F.sum("n").alias("n"), F.min("m").alias("m"), F.collect_set("salt").alias("salts")).filter("n > 1").select("digest", F.col("m.id").alias("first"), F.explode("salts").alias("salt"))
+    again = stored(large.join(groups, ["digest", "salt"]).select("id", "digest", "first").distinct(), "copies")
     # A row without payload goes ahead of the pages of its id and tells the writer which payload is known.
-    both = rows.select(shard.alias("shard"), F.col("id"), F.lit(1).alias("kind"), F.sha2("payload", 256).alias("digest"), "url", "payload", F.lit(None).cast("bigint").alias("first"))
-    both = both.unionByName(again.select(shard.alias("shard"), "id", F.lit(0).alias("kind"), "digest", F.lit("").alias("url"), F.lit(b"").alias("payload"), "first"))
-    both = both.repartition(n, "shard").sortWithinPartitions("shard", "id", "digest", "kind", "url")
+    both = rows.select("id", F.lit(1).alias("kind"), "digest", "url", "payload", F.lit(None).cast("bigint").alias("first"))
+    both = both.unionByName(again.select("id", F.lit(0).alias("kind"), "digest", F.lit("").alias("url"), F.lit(b"").alias("payload"), "first"))
+    both = both.select(shards.of(F.col("id"), F.col("digest")).alias("shard"), "*").repartitionById(n, F.col("shard"))
+    both = both.sortWithinPartitions("shard", F.asc_nulls_last("id"), "digest", "kind", "url")
     fields = "shard int, part int, name string, temporary string, bytes long, records long, sha256 string"
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,6 +230,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         yield pd.DataFrame(done, columns=["shard", "part", "name", "temporary", "bytes", "records", "sha256"])
 
     both.mapInPandas(write, fields).write.mode("overwrite").parquet(f"{folder}/_manifest")
+    discard(keyed, again)
     manifest = spark.read.schema(fields).parquet(f"{folder}/_manifest")
 
     def commit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,10 +281,14 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
     """Records of the files in a folder's manifest: page_id, url, record_type,
     payload_bytes, payload_digest (both of the full payload), refers_to,
-    headers (JSON), payload (null for a revisit, or if not asked for)."""
+    headers (JSON), payload (null for a revisit, or if not asked for). A null id
+    comes back as null, a null url or payload as empty. Lengths and digests of
+    all records are checked, and a damaged one is an error. An empty manifest
+    gives no rows."""
     folder = uri(folder)
     manifest = spark.read.parquet(f"{folder}/_manifest").select("name", "bytes")
-    files = manifest.repartition(max(1, min(manifest.count(), 10_000)), "name")
+    count, total = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    files = manifest.repartition(max(1, min(count, max(2 * spark.sparkContext.defaultParallelism, total // READ_BYTES))))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         disk, base = opened(folder)

@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexispark.llm import urlfilter, warc
 
@@ -53,11 +54,30 @@ def test_repeated_ids_nulls_and_empty(spark, tmp_path):
     rows = [(1, "u", "x" * 100), (1, "u", "x" * 100), (1, "u", "y" * 100), (None, "u", "z" * 100), (2, "u", "z" * 100)]
     warc.write_warc(pages(spark, rows), f"{tmp_path}/a")
     got = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.read_warc(spark, f"{tmp_path}/a").collect())
-    assert got == [("1", "response", "None"), ("1", "response", "None"), ("1", "revisit", "1"), ("2", "revisit", "None"), ("None", "response", "None")]
+    # The smallest id that is not null is the response.
+    assert got == [("1", "response", "None"), ("1", "response", "None"), ("1", "revisit", "1"), ("2", "response", "None"), ("None", "revisit", "2")]
+    warc.write_warc(pages(spark, [(None, "u", "z" * 100), (None, "v", "z" * 100), (None, None, None)]), f"{tmp_path}/c")
+    assert sorted((r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(spark, f"{tmp_path}/c").collect()) == [(0, "response", None), (100, "response", None), (100, "revisit", None)]
+    with pytest.raises(TypeError, match="integers"):
+        warc.write_warc(pages(spark, []).withColumn("page_id", F.lit("x")), f"{tmp_path}/d")
     warc.write_warc(pages(spark, []), f"{tmp_path}/b")
     assert warc.read_warc(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_shards_of_outlying_and_heavy_ids(spark, tmp_path):
+    """An id far away costs no balance, and an id larger than a shard is dealt over several."""
+    rng = random.Random(19)
+    rows = [(i, "u", "%x" % rng.getrandbits(4000)) for i in range(100)] + [(2**62, "u", "far"), (-(2**62), "u", "near")] + [(i, "u", "%x" % rng.getrandbits(4000)) for i in [None] * 30 + [50] * 40]
+    out = warc.write_warc(pages(spark, rows), f"{tmp_path}/a", roll_bytes=3000, shard_bytes=10_000).collect()
+    shards = {}
+    for m in out:
+        shards[m.shard] = shards.get(m.shard, 0) + m.records
+    assert sum(shards.values()) == len(rows) and max(shards.values()) <= 20 and len(shards) >= 15
+    assert max(m.part for m in out) >= 1
+    got = warc.read_warc(spark, f"{tmp_path}/a").collect()
+    assert sorted((str(r.page_id), bytes(r.payload).decode()) for r in got) == sorted((str(i), h) for i, _, h in rows)
+
+
 def test_damage_is_found(spark, tmp_path):
     warc.write_warc(pages(spark, [(1, "u", "x" * 100)]), f"{tmp_path}/a")
     name = next(f for f in os.listdir(f"{tmp_path}/a") if f.endswith(".warc.gz"))
