@@ -270,13 +270,16 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_evidence: int = 4_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, odds: float = 4.0, spare: int = 3) -> Model:
     """Language model over all documents, classifier over labelled rows outside the held-out fold.
 
     At most ``max_rows`` labelled rows are used, those of the smallest id
-    hashes, and at most ``max_evidence`` words and beginnings, those of the
-    highest log-likelihood ratio. Rows without a label are left out; of several
-    labels of an id the largest counts. Without labels all scores are 0.2.
+    hashes; texts are whole. Evidence is every word, and every beginning of 4 to
+    8 letters of a word, that stands in at least ``odds`` times as many toxic
+    rows as others and ``spare`` more, and whose log-likelihood ratio chance
+    does not explain; there is no bound on how many. Rows without a label are
+    left out; of several labels of an id the largest counts. Without labels all
+    scores are 0.2.
     """
     model = Model(log_probabilities(trigram_table(docs, text_col)))
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).filter(~held_out(F.col(id_col)))
@@ -303,8 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
     ratio = 2 * (part(F.col("pos"), both * rate) + part(F.col("neg"), both * (1 - rate)))
     # A chance threshold: about one in twenty corpora of 100,000 features has a false one.
-    strong = sums.filter(F.col("pos") >= 4 * F.col("neg") + 3).withColumn("ratio", ratio).filter(F.col("ratio") > 2 * math.log(20 * 100_000))
-    rows = strong.orderBy(F.desc("ratio"), "f").limit(max_evidence).collect()
+    strong = sums.filter(F.col("pos") >= odds * F.col("neg") + spare).withColumn("ratio", ratio).filter(F.col("ratio") > 2 * math.log(20 * 100_000))
+    rows = strong.select("f", "pos", "neg").collect()  # of at most max_rows rows, whatever the number of documents
     model.whole, model.starts = prune({r["f"]: (r["pos"], r["neg"]) for r in rows})
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -331,7 +334,7 @@ def scores(model: Model, text: Column) -> Column:
     return run(text)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fitting: int) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fitting: float) -> DataFrame:
     """Score every document: doc_id, held_out, score, predicted.
 
     Tokens that may be disguised are decoded by Viterbi search over a lattice

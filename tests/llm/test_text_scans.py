@@ -1,5 +1,6 @@
 """License scans, pseudonyms and toxicity."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -219,3 +220,30 @@ def test_spellings_of_neighbours(spark):
     known = (("X", "permissive", "the license license of x"),)
     found = licenses.license_scan(spark.createDataFrame([(1, "The licence, Licence of X!"), (2, "word " * 300_000), (3, None)], "doc_id long, text string"), known).collect()
     assert {r.doc_id: r.whole_license for r in found} == {1: "X", 2: None, 3: None}
+
+
+def test_decoding_matches_all_paths():
+    """The Viterbi search against the best of all readings of short spans."""
+    n = np.zeros(toxicity.K**3, np.int64)
+    toxicity.count_trigrams(["the idiot ran by a river and sat still", "a silly stone lay on the table"] * 30, n)
+    logp = toxicity.log_probabilities(n)
+    d, rng = toxicity.Decoder(logp), random.Random(23)
+
+    def score(reading):
+        a = b = 0
+        total = 0.0
+        for text, cost in reading:
+            total -= cost
+            for ch in text:
+                c = toxicity.letter_class(ch)
+                if c or b:
+                    total += float(logp[a, b, c])
+                    a, b = b, c
+        return total
+
+    for _ in range(150):
+        span = "".join(rng.choice(["i", "d", "0", "1", "t", "$", "s", "l", ".", "*", "iii", "a", "@"]) for _ in range(rng.randint(1, 6)))
+        readings = [*itertools.product(*d.options(span), [(" ", 0.0)])]
+        best = max(map(score, readings))
+        found = d.decode(span)
+        assert any("".join(t for t, _ in r).strip() == found or re.sub(" +", " ", "".join(t for t, _ in r)).strip() == re.sub(" +", " ", found) for r in readings if score(r) > best - 1e-6), span
