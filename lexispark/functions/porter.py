@@ -166,9 +166,9 @@ def stem_sql(source: str, stemmer: str = "porter", name: str = "stems") -> str:
         steps.append(f"CASE WHEN ends_with(w, 'l') AND {double('w', 'm')} AND {measure('m')} > 1 THEN {cut(1)} ELSE w END")
     if stemmer == "none":
         return f"{name} AS (SELECT term, term AS stem FROM {source})"
-    parts = [f"{name}_0 AS (SELECT term, term AS w FROM {source})"]
+    parts = [f"{name}_0 AS MATERIALIZED (SELECT term, term AS w FROM {source})"]
     for i, step in enumerate(steps):
         masked = f"(SELECT *, {went if i == 1 else '0'} AS c FROM (SELECT term, w, {m} AS m FROM {name}_{i}))"
-        parts.append(f"{name}_{i + 1} AS (SELECT term, {step} AS w FROM {masked})")
+        parts.append(f"{name}_{i + 1} AS MATERIALIZED (SELECT term, {step} AS w FROM {masked})")
     parts.append(f"{name} AS (SELECT term, CASE WHEN length(term) <= 2 THEN term ELSE w END AS stem FROM {name}_{len(steps)})")
     return ",\n".join(parts)

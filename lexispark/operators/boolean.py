@@ -24,17 +24,17 @@ def rejected(queries: DataFrame) -> DataFrame:
 
 
 def search(tf: DataFrame, queries: DataFrame, stemmer: str = "porter_all") -> DataFrame:
-    """(query_id, op, left, right, docids) for accepted queries.
+    """(query_id, query, op, left, right, docids) for accepted queries.
 
     Words are normalized to their first piece and stemmed; stop words are not
     taken out. An absent term has no documents. A query's answer is found by
     counting its terms in each document, so no posting list is one row.
     """
-    q = parse(queries).filter("ok").select("query_id", "op", first_term(F.col("left")).alias("left"), first_term(F.col("right")).alias("right"))
+    q = parse(queries).filter("ok").select("query_id", "query", "op", first_term(F.col("left")).alias("left"), first_term(F.col("right")).alias("right"))
     stems = stem(q.select(F.col("left").alias("term")).union(q.select("right")).distinct(), stemmer=stemmer)
     for side in ("left", "right"):
         q = q.join(stems.select(F.col("term").alias(side), F.col("stem").alias(f"{side}_stem")), side).drop(side).withColumnRenamed(f"{side}_stem", side)
-    q = q.select("query_id", "op", "left", "right")
+    q = q.select("query_id", "query", "op", "left", "right")
     terms = q.select("query_id", "op", F.explode(F.array_distinct(F.array("left", "right"))).alias("term"), F.when(F.col("left") == F.col("right"), 1).otherwise(2).alias("need"))
     hits = tf.select("term", "docid").distinct().join(small(terms), "term").groupBy("query_id", "op", "need", "docid").agg(F.count(F.lit(1)).alias("n"))
     hits = hits.filter((F.col("op") == "OR") | (F.col("n") == F.col("need")))
@@ -43,6 +43,7 @@ def search(tf: DataFrame, queries: DataFrame, stemmer: str = "porter_all") -> Da
 
 
 def answer_blocks(answers: DataFrame) -> DataFrame:
-    """(query_id, block): the text block of each answer."""
-    lines = F.concat_ws("\n", F.concat(F.lit("Query: "), F.col("query")), F.concat_ws(" ", F.lit("Stemmed query:"), "left", "op", "right"), F.concat(F.lit("Matched documents: "), F.size("docids").cast("string")), F.array_join("docids", " "))
-    return answers.select("query_id", lines.alias("block"))
+    """(query_id, line): the text block of each answer, after an empty line but for the first."""
+    block = F.concat_ws("\n", F.concat(F.lit("Query: "), F.trim("query")), F.concat_ws(" ", F.lit("Stemmed query:"), "left", "op", "right"), F.concat(F.lit("Matched documents: "), F.size("docids").cast("string")), F.array_join("docids", " "))
+    first = answers.agg(F.min("query_id").alias("first"))
+    return answers.crossJoin(F.broadcast(first)).select("query_id", F.concat(F.when(F.col("query_id") == F.col("first"), "").otherwise("\n"), block).alias("line"))

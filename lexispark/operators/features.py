@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.operators.index import FIELDS, Index, bounded, small
-from lexispark.operators.scoring import cosine, topic_sizes, topic_terms
+from lexispark.operators.scoring import topic_sizes, topic_terms
 
 #: Names and order of the features.
 FEATURES = (
@@ -18,48 +18,58 @@ FEATURES = (
 )
 
 
-def field_features(index: Index, field: str, topics: DataFrame) -> DataFrame:
-    """(qid, docid, the features) of one field, for pairs that match in it.
+def features_by_field(index: Index, topics: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(field, qid, docid, the features), for pairs that match in the field; all fields in one pass.
 
     Moments run over all distinct terms of a topic, and a term that the
     document lacks counts 0; they follow in closed form from the sum, the sum
     of squares and the number of terms, so no zero is ever a row. Any other
     pair has its field's length as stream_length and 0 elsewhere.
     """
-    one = index.field(field)
+    some = lambda d: d.filter(F.col("field").isin(*fields))
     terms = topic_terms(topics, index.analyzer)
-    known = bounded(one.df.join(small(terms), "term"), terms)
-    hit = one.tf.join(known, "term").join(one.dl, "docid").crossJoin(F.broadcast(one.stats.select(F.col("n").alias("docs"), "avg")))
+    stats = F.broadcast(some(index.stats).select("field", F.col("n").alias("docs"), "avg"))  # a row for each field
     idf = F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1
+    known = some(index.df).join(small(terms), "term").join(stats, "field").select("field", "qid", "term", "df", "docs", "avg", idf.alias("term_idf"), ((1 + F.log("qtf")) * idf).alias("qw"))
+    qnorms = known.groupBy("field", "qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    weight = (1 + F.log("tf")) * F.col("term_idf")
+    norms = some(index.tf).join(some(index.df).join(stats, "field").select("field", "term", idf.alias("term_idf")), ["field", "term"]).groupBy("field", "docid").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    hit = some(index.tf).join(bounded(known, terms), ["field", "term"]).join(some(index.dl), ["field", "docid"])
     bm25 = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg")))
     tf = F.col("tf").cast("double")
-    hit = hit.select("qid", "docid", "len", tf.alias("x_tf"), idf.alias("term_idf"), (tf / F.greatest("len", F.lit(1))).alias("x_normalized_tf"), (tf * idf).alias("x_tfidf"), bm25.alias("bm"))
-    aggs = [F.count(F.lit(1)).alias("matched"), F.first("len").alias("stream_length"), F.sum("term_idf").alias("idf"), F.sum("bm").alias("bm25")]
+    hit = hit.select("field", "qid", "docid", "len", "term_idf", tf.alias("x_tf"), (tf / F.greatest("len", F.lit(1))).alias("x_normalized_tf"), (tf * F.col("term_idf")).alias("x_tfidf"), bm25.alias("bm"), (weight * F.col("qw")).alias("product"))
+    aggs = [F.count(F.lit(1)).alias("matched"), F.first("len").alias("stream_length"), F.sum("term_idf").alias("idf"), F.sum("bm").alias("bm25"), F.sum("product").alias("dot")]
     for x in ("tf", "normalized_tf", "tfidf"):
         c = F.col(f"x_{x}")
         aggs += [F.sum(c).alias(f"{x}_sum"), F.min(c).alias(f"{x}_low"), F.max(c).alias(f"{x}_max"), F.sum(c * c).alias(f"{x}_squares")]
-    pairs = hit.groupBy("qid", "docid").agg(*aggs).join(small(topic_sizes(topics, terms)), "qid").join(cosine(one, terms).withColumnRenamed("score", "vector_space"), ["qid", "docid"])
-    out = {"query_term_number": F.col("matched").cast("double"), "query_term_ratio": F.col("matched") / F.col("n"), "stream_length": F.col("stream_length").cast("double"), "idf": F.col("idf"), "boolean": F.lit(1.0), "vector_space": F.col("vector_space"), "bm25": F.col("bm25")}
+    pairs = hit.groupBy("field", "qid", "docid").agg(*aggs).join(small(topic_sizes(topics, terms)), "qid").join(bounded(qnorms, terms), ["field", "qid"]).join(norms, ["field", "docid"])
+    out = {"query_term_number": F.col("matched").cast("double"), "query_term_ratio": F.col("matched") / F.col("n"), "stream_length": F.col("stream_length").cast("double"), "idf": F.col("idf"), "boolean": F.lit(1.0), "vector_space": F.col("dot") / (F.col("norm") * F.col("qnorm")), "bm25": F.col("bm25")}
     for x in ("tf", "normalized_tf", "tfidf"):
         mean = F.col(f"{x}_sum") / F.col("n")
         out |= {f"{x}_sum": F.col(f"{x}_sum"), f"{x}_min": F.when(F.col("matched") < F.col("n"), 0.0).otherwise(F.col(f"{x}_low")), f"{x}_max": F.col(f"{x}_max"), f"{x}_mean": mean, f"{x}_variance": F.greatest(F.col(f"{x}_squares") / F.col("n") - mean * mean, F.lit(0.0))}
-    return pairs.select("qid", "docid", *(out[f].alias(f) for f in FEATURES))
+    return pairs.select("field", "qid", "docid", *(out[f].alias(f) for f in FEATURES))
+
+
+def field_features(index: Index, field: str, topics: DataFrame) -> DataFrame:
+    """(qid, docid, the features) of one field, for pairs that match in it."""
+    return features_by_field(index, topics, (field,)).drop("field")
 
 
 def feature_names(fields: tuple[str, ...] = FIELDS) -> list[str]:
     return [f"{field}.{f}" for field in fields for f in FEATURES]
 
 
+def bare_features(index: Index, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(docid, features): what a document has for any topic that it does not match: field lengths, and 0 elsewhere."""
+    lengths = index.dl.groupBy("docid").pivot("field", list(fields)).agg(F.first("len"))
+    parts = [F.array(*(F.coalesce(F.col(f), F.lit(0)).cast("double") if x == "stream_length" else F.lit(0.0) for x in FEATURES)) for f in fields]
+    return lengths.select("docid", F.concat(*parts).alias("features"))
+
+
 def feature_vectors(index: Index, topics: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(qid, docid, features): an array in the order of feature_names, for pairs that match in any field."""
-    out = None
-    for f in fields:
-        one = field_features(index, f, topics).select("qid", "docid", F.array(*FEATURES).alias(f"v_{f}"))
-        out = one if out is None else out.join(one, ["qid", "docid"], "full")
-    lengths = index.dl.groupBy("docid").pivot("field", list(fields)).agg(F.first("len"))
-    out = out.join(lengths, "docid")
-    parts = []
-    for f in fields:
-        rest = F.array(*(F.coalesce(F.col(f), F.lit(0)).cast("double") if x == "stream_length" else F.lit(0.0) for x in FEATURES))
-        parts.append(F.coalesce(F.col(f"v_{f}"), rest))
+    one = features_by_field(index, topics, fields).select("qid", "docid", "field", F.array(*FEATURES).alias("v"))
+    out = one.groupBy("qid", "docid").agg(*(F.first(F.when(F.col("field") == f, F.col("v")), ignorenulls=True).alias(f"v_{f}") for f in fields))
+    out = out.join(bare_features(index, fields).withColumnRenamed("features", "bare"), "docid")
+    parts = [F.coalesce(F.col(f"v_{f}"), F.slice("bare", 1 + i * len(FEATURES), len(FEATURES))) for i, f in enumerate(fields)]
     return out.select("qid", "docid", F.concat(*parts).alias("features"))

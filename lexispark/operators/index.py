@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -92,6 +93,11 @@ def build(docs: DataFrame, analyzer: Analyzer, fields: tuple[str, ...] = FIELDS,
     return Index(tf, df, dl, stats, analyzer)
 
 
+def lookup(spark, path: str, field: str, terms: Sequence[str]) -> DataFrame:
+    """(term, docid, tf) of a saved index for a few terms: filters on sorted files, so that few row groups are read."""
+    return spark.read.parquet(f"{path}/tf").filter((F.col("field") == field) & F.col("term").isin(*terms)).select("term", "docid", "tf")
+
+
 def postings(tf: DataFrame) -> DataFrame:
     """(term, docids): ascending distinct ids. One term's ids are one row, as in the text form of an index."""
     return tf.groupBy("term").agg(F.sort_array(F.collect_set("docid")).alias("docids"))

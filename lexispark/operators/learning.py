@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -92,98 +91,171 @@ def bm25_grid(found: DataFrame, qrels: DataFrame, topics: DataFrame, depth: int
     return grid.join(mean, "g", "left").select("g", "k1", "b", F.coalesce(F.col("sum") / F.col("topics"), F.lit(0.0)).alias("ap"))
 
 
-def labelled(vectors: DataFrame, qrels: DataFrame) -> DataFrame:
-    """Feature rows with label 0 or 1 and weights that balance the classes."""
-    rows = evaluation.judged(vectors, qrels).withColumn("label", (F.col("label") > 0).cast("double"))
-    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+def unmatched(vectors: DataFrame, lengths: DataFrame, qrels: DataFrame, topics: DataFrame) -> DataFrame:
+    """(features, label, n): the pairs of topic and document that ``vectors``
+    lacks. All pairs of a document that match nowhere have the same features,
+    those of ``lengths``, so they are one row for each label, counted."""
+    wanted = topics.select("qid").distinct()
+    own = vectors.join(small(wanted), "qid", "left_semi")
+    seen = own.groupBy("docid").agg(F.count(F.lit(1)).alias("seen"))
+    good = qrels.filter("label > 0").join(small(wanted), "qid", "left_semi").join(own.select("qid", "docid"), ["qid", "docid"], "left_anti").groupBy("docid").agg(F.count(F.lit(1)).alias("good"))
+    each = lengths.join(seen, "docid", "left").join(good, "docid", "left").fillna(0, ["seen", "good"]).crossJoin(F.broadcast(wanted.agg(F.count(F.lit(1)).alias("topics"))))
+    both = F.explode(F.array(F.struct(F.lit(0.0).alias("label"), (F.col("topics") - F.col("seen") - F.col("good")).alias("n")), F.struct(F.lit(1.0).alias("label"), F.col("good").alias("n"))))
+    return each.select("features", both.alias("x")).select("features", "x.label", "x.n").filter("n > 0")
+
+
+def labelled(vectors: DataFrame, qrels: DataFrame, rest: DataFrame | None = None) -> DataFrame:
+    """(features, label, weight): feature rows with label 0 or 1 and weights that
+    balance the classes. ``rest`` has rows that stand for ``n`` pairs each."""
+    rows = evaluation.judged(vectors, qrels).select("features", (F.col("label") > 0).cast("double").alias("label"), F.lit(1).cast("bigint").alias("n"))
+    rows = rows if rest is None else rows.unionByName(rest.select("features", "label", F.col("n").cast("bigint").alias("n")))
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     if len(n) != 2:
         raise ValueError("training needs relevant and other pairs")
     total = sum(n.values())
-    return rows.withColumn("weight", F.when(F.col("label") > 0, total / (2 * n[1.0])).otherwise(total / (2 * n[0.0])))
+    return rows.withColumn("weight", F.col("n") * F.when(F.col("label") > 0, total / (2 * n[1.0])).otherwise(total / (2 * n[0.0])))
 
 
-def _partials(rows: DataFrame, each, columns: int) -> np.ndarray:
-    """One array of numbers from each partition's (x, y, weight); as many rows reach the driver as there are partitions."""
+#: Partial sums of more partitions than this are added up in tasks before they reach the driver.
+PARTIALS = 64
+
+
+def _sums(rows: DataFrame, each, *columns: str) -> np.ndarray:
+    """The sum of ``each`` (an array of numbers) over Arrow batches of feature rows; a batch at a time is in memory."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [(np.stack(b["features"].to_list()), b["label"].to_numpy() * 2 - 1, b["weight"].to_numpy()) for b in batches if len(b)]
-        if parts:
-            yield pd.DataFrame({"v": [each(*(np.concatenate(x) for x in zip(*parts, strict=True))).tolist()]})
+        total = 0.0
+        for b in batches:
+            if len(b):
+                total = total + each(np.stack(b["features"].to_list()), *(b[c].to_numpy() for c in columns))
+        if not np.isscalar(total):
+            yield pd.DataFrame({"v": [total.tolist()]})
 
-    found = [r[0] for r in rows.select("features", "label", "weight").mapInPandas(run, "v array<double>").collect()]
-    return np.array(found).reshape(-1, columns)
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum((np.stack(b["v"].to_list()).sum(0) for b in batches if len(b)), 0.0)
+        if not np.isscalar(total):
+            yield pd.DataFrame({"v": [total.tolist()]})
 
+    found = rows.select("features", *columns).mapInPandas(run, "v array<double>")
+    if rows.rdd.getNumPartitions() > PARTIALS:
+        found = found.repartition(PARTIALS).mapInPandas(add, "v array<double>")
+    return sum(np.array(r[0]) for r in found.collect())
 
-def fit_svm(rows: DataFrame, alpha: float, rounds: int = 6, epochs: int = 3, batch: int = 64, seed: int = 42) -> tuple[list[float], float]:
-    """Weights and intercept, for features that are not scaled, of a linear
-    support vector machine: hinge loss, squared penalty ``alpha``, classes weighted.
 
-    Features are scaled by their mean and deviation. In each round every
-    partition goes on from the same weights by averaged stochastic descent over
-    its own rows, and the partitions' averages are averaged by their weights.
-    """
-    size = len(rows.select("features").first()[0])
-    sums = _partials(rows, lambda x, y, w: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 2 * size + 1).sum(0)
+def scaler(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of each feature over (features, n) rows that stand for n pairs."""
+
+    def each(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.concatenate([[n.sum()], n @ x, n @ (x * x)])
+
+    sums = _sums(rows, each, "n")
+    size = (len(sums) - 1) // 2
     mean = sums[1 : size + 1] / sums[0]
-    std = np.sqrt(np.maximum(sums[size + 1 :] / sums[0] - mean * mean, 0))
+    return mean, np.sqrt(np.maximum(sums[size + 1 :] / sums[0] - mean * mean, 0))
+
+
+#: Where the hinge is rounded off, so that Newton steps apply.
+ROUND = 0.1
+STEPS = (1.0, 0.5, 0.25, 0.125, 1 / 16, 1 / 64, 1 / 512)
+
+
+def fit_svms(rows: DataFrame, alphas: Sequence[float], tolerance: float = 1e-4, rounds: int = 200) -> list[tuple[list[float], float]]:
+    """For each alpha the weights and intercept, for features that are not
+    scaled, of a linear support vector machine over (features, label, weight, n).
+
+    Hinge loss, rounded off over a width of ``ROUND``, with squared penalty
+    ``alpha`` on scaled features, classes weighted. The optimum is found by
+    Newton steps with a line search, of all alphas in the same passes over the
+    rows, so it does not depend on how rows are partitioned. A fit whose
+    gradient is not below ``tolerance`` after ``rounds`` is an error.
+    """
+    mean, std = scaler(rows)
     scale = np.where(std > 1e-9, 1 / np.where(std > 1e-9, std, 1), 0.0)
-    now = np.zeros(size + 1)
-    for r in range(rounds):
-
-        def descend(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray = now, r: int = r) -> np.ndarray:
-            x = np.hstack([(x - mean) * scale, np.ones((len(x), 1))])
-            g = np.random.default_rng([seed, r, len(x)])
-            at, total, steps = start.copy(), np.zeros(size + 1), 0
-            done = r * epochs * -(-len(x) // batch)
-            for _ in range(epochs):
-                for b in np.array_split(g.permutation(len(x)), max(1, len(x) // batch)):
-                    steps += 1
-                    rate = 1 / (alpha * (steps + done) + 10)
-                    wrong = (y[b] * (x[b] @ at) < 1) * w[b] * y[b]
-                    step = -(wrong @ x[b]) / len(b)
-                    step[:-1] += alpha * at[:-1]
-                    at -= rate * step
-                    total += at
-            return np.concatenate([[w.sum()], total / steps])
-
-        parts = _partials(rows, descend, size + 2)
-        now = np.average(parts[:, 1:], axis=0, weights=parts[:, 0])
-    weights = now[:-1] * scale
-    return [float(v) for v in weights], float(now[-1] - weights @ mean)
+    size, models = len(mean) + 1, np.zeros((len(alphas), len(mean) + 1))
+    penalty = np.array([[a] * (size - 1) + [1e-9] for a in alphas])
+    total = rows.agg(F.sum("weight")).first()[0]
+    at = lambda x: np.hstack([(x - mean) * scale, np.ones((len(x), 1))])
+    live = list(range(len(alphas)))
+    for _ in range(rounds):
+        now = models[live]
+
+        def slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray, now: np.ndarray = now) -> np.ndarray:
+            x, y, out = at(x), y * 2 - 1, []
+            for v in now:
+                gap = 1 - y * (x @ v)
+                first, second = np.clip(gap / ROUND, 0, 1), ((gap > 0) & (gap < ROUND)) / ROUND
+                out += [-(w * y * first) @ x, ((x * (w * second)[:, None]).T @ x).ravel()]
+            return np.concatenate(out)
+
+        sums = _sums(rows, slopes, "label", "weight").reshape(len(live), -1) / total
+        g = sums[:, :size] + penalty[live] * now
+        live_now = [k for k, i in enumerate(live) if np.abs(g[k]).max() > tolerance]
+        if not live_now:
+            return [([float(v) for v in m[:-1] * scale], float(m[-1] - (m[:-1] * scale) @ mean)) for m in models]
+        steps = np.stack([-np.linalg.solve(sums[k, size:].reshape(size, size) + np.diag(penalty[live[k]] + 1e-8), g[k]) for k in live_now])
+        live, now = [live[k] for k in live_now], now[live_now]
+
+        def losses(x: np.ndarray, y: np.ndarray, w: np.ndarray, now: np.ndarray = now, steps: np.ndarray = steps) -> np.ndarray:
+            x, y = at(x), y * 2 - 1
+            base, move = x @ now.T, x @ steps.T
+            out = []
+            for t in STEPS:
+                gap = np.maximum(1 - y[:, None] * (base + t * move), 0)
+                out.append(w @ np.where(gap < ROUND, gap * gap / (2 * ROUND), gap - ROUND / 2))
+            return np.concatenate(out)
+
+        tried = _sums(rows, losses, "label", "weight").reshape(len(STEPS), -1) / total
+        for k, i in enumerate(live):
+            cost = [tried[j, k] + 0.5 * float(penalty[i] @ (now[k] + t * steps[k]) ** 2) for j, t in enumerate(STEPS)]
+            models[i] = now[k] + STEPS[int(np.argmin(cost))] * steps[k]
+    raise RuntimeError(f"no convergence in {rounds} rounds for alpha {[alphas[i] for i in live]}")
 
 
 def linear_scores(vectors: DataFrame, weights: list[float], intercept: float) -> DataFrame:
-    """(qid, docid, score): one expression over the feature array."""
+    """The columns but features, and score: one expression over the feature array."""
     dot = F.aggregate(F.zip_with("features", F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
-    return vectors.select("qid", "docid", (dot + F.lit(intercept)).alias("score"))
-
-
-def choose_alpha(train: DataFrame, validation: DataFrame, qrels: DataFrame, topics: DataFrame, alphas: Sequence[float] = ALPHAS):
-    """(trials [(alpha, f1)], best alpha, its weights and intercept): the first alpha of the highest f1 at 10."""
-    rows, trials, best = labelled(train, qrels).select("features", "label", "weight").persist(StorageLevel.DISK_ONLY), [], (-1.0, 0.0, None)
+    return vectors.select(*(c for c in vectors.columns if c in ("qid", "docid")), (dot + F.lit(intercept)).alias("score"))
+
+
+def rank_all(scores: DataFrame, rest: DataFrame, topics: DataFrame, k: int) -> DataFrame:
+    """The first k of all documents for each topic: ``scores`` (qid, docid, score)
+    has the pairs that match, ``rest`` (docid, score) what a document scores for
+    any other topic. Only the best of ``rest`` meet the topics: as many as leave
+    every topic k that it does not match, or else all."""
+    total, most, topics = rest.count(), 4 * k, topics.select("qid").distinct()
+    while True:
+        best = rest.orderBy(F.desc(F.round("score", 9)), "docid").limit(most)
+        fill = topics.crossJoin(F.broadcast(best)).join(scores.select("qid", "docid"), ["qid", "docid"], "left_anti").select("qid", "docid", "score")
+        if most >= total or topics.join(fill.groupBy("qid").count().filter(F.col("count") >= k), "qid", "left_anti").isEmpty():
+            return rank(scores.unionByName(fill), k)
+        most *= 8
+
+
+def choose_alpha(train: DataFrame, validation: DataFrame, lengths: DataFrame, qrels: DataFrame, train_topics: DataFrame, topics: DataFrame, alphas: Sequence[float] = ALPHAS):
+    """(trials [(alpha, f1)], best alpha, its weights and intercept): the first
+    alpha of the highest f1 at 10 over ``topics``. Training and ranking take in
+    every pair of topic and document."""
+    rows, trials, best = labelled(train, qrels, unmatched(train, lengths, qrels, train_topics)).persist(StorageLevel.DISK_ONLY), [], (-1.0, 0.0, None)
     try:
-        for alpha in alphas:
-            model = fit_svm(rows, alpha)
-            scored = linear_scores(validation, *model)
-            f1 = evaluation.macro(evaluation.prf(rank(scored, 10), qrels, topics, (10,)), "k").first()["f1"]
-            trials.append((alpha, f1))
-            if f1 > best[0]:
-                best = (f1, alpha, model)
+        for alpha, model in zip(alphas, fit_svms(rows, alphas), strict=True):
+            ranked = rank_all(linear_scores(validation, *model), linear_scores(lengths, *model), topics, 10)
+            f1 = evaluation.macro(evaluation.prf(ranked, qrels, topics, (10,)), "k").first()["f1"]
+            trials.append((float(alpha), f1))
+            if round(f1, 12) > round(best[0], 12):
+                best = (f1, float(alpha), model)
     finally:
         rows.unpersist()
     return trials, best[1], best[2]
 
 
-def save_bundle(path: str, weights: list[float], intercept: float, zone: Sequence[float], extra: dict) -> None:
-    """A model bundle with the version of its scoring."""
-    os.makedirs(path, exist_ok=True)
-    with open(os.path.join(path, "model.json"), "w") as f:
-        json.dump({"version": VERSION, "weights": weights, "intercept": intercept, "zone_weights": list(zone), **extra}, f, indent=2)
+def save_bundle(spark: SparkSession, path: str, weights: Sequence[float], intercept: float, zone: Sequence[float], extra: dict) -> None:
+    """A model bundle with the version of its scoring, on any file system that Spark writes."""
+    value = json.dumps({"version": VERSION, "weights": list(weights), "intercept": intercept, "zone_weights": list(zone), **extra})
+    spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def load_bundle(path: str) -> dict:
-    with open(os.path.join(path, "model.json")) as f:
-        found = json.load(f)
+def load_bundle(spark: SparkSession, path: str) -> dict:
+    found = json.loads(spark.read.text(path, wholetext=True).first()[0])
     if found.get("version") != VERSION:
         raise ValueError("the bundle's scoring version differs; train again")
     return found

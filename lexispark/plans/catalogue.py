@@ -1,11 +1,14 @@
 """Queries over the test tables.
 
-documents become a collection (title is the first line), benchmark items the
-topics, and a document is relevant to an item whose text it contains.
+documents become a collection (title is the first line, author the first five
+words, bibliography the language), benchmark items the topics, and a document
+is relevant to an item whose text it contains.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -14,15 +17,17 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import porter, text
 from lexispark.functions.text import STOP, Analyzer
-from lexispark.operators import boolean, evaluation, features, index, learning, ranking, scoring
+from lexispark.operators import boolean, evaluation, features, index, learning, ranking, reports, scoring, verify, workflow
 from lexispark.operators.index import FIELDS, small
+from lexispark.sources import collection, sinks
 
 PLAIN = Analyzer()
 BOOLEAN = Analyzer(possessive=True, stemmer="porter_all")
-TOPICS = 40
 #: Fixed queries for the Boolean operators; the last two are malformed.
 BOOLEAN_QUERIES = ((1, "things AND others"), (2, "erth or ened"), (3, "The AND nothinglikethis"), (4, "running's OR reeding"), (5, "reered and reered"), (6, "one two"), (7, "one NOT two"))
 DEPTH = 100
+#: A second stop list for the preprocessing grid.
+SHORT_STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "is", "it", "of", "on", "or", "the", "to")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +42,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
-    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("docid"), F.substring_index(t, "\n", 1).alias("title"), F.col("source").alias("author"), F.col("lang").alias("bibliography"), t.alias("body"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("docid"), F.substring_index(t, "\n", 1).alias("title"), F.substring_index(t, " ", 5).alias("author"), F.col("lang").alias("bibliography"), t.alias("body"))
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +60,9 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0)))
     q = q.withColumn("term", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
     d = documents(spark, sf_dir).select("docid", "body")
-    have = d.select("docid", F.explode(F.array_distinct(text.alnum(F.col("body")))).alias("term")).join(small(q.filter("term is not null").select("qid", "query", "term")), "term")
-    found = have.join(d, "docid").filter(F.col("body").contains(F.col("query"))).select("qid", "docid")
+    # The topics' terms are looked up in the scan, so no text leaves it.
+    have = d.select("docid", "body", F.explode(F.array_distinct(text.alnum(F.col("body")))).alias("term")).join(small(q.filter("term is not null").select("qid", "query", "term")), "term")
+    found = have.filter(F.col("body").contains(F.col("query"))).select("qid", "docid")
     short = d.join(small(q.filter("term is null").select("qid", "query"), 10_000), F.col("body").contains(F.col("query"))).select("qid", "docid")
     return found.union(short).select("qid", "docid", (1 + F.pmod("docid", F.lit(4))).cast("int").alias("label"))
 
@@ -138,7 +144,8 @@ def preprocessing_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = tf.select("term").distinct()
     stems = porter.stem(porter.stem(terms, out="porter"), out="weak", stemmer="weak").select("term", F.explode(F.array(*(F.struct(F.lit(s).alias("stemmer"), F.col(c).alias("stem")) for s, c in (("none", "term"), ("weak", "weak"), ("porter", "porter"))))).alias("x")).select("term", "x.*")
     sets = spark.createDataFrame([(s, f) for s, fs in text.FIELD_SETS.items() for f in fs], "fields string, field string")
-    stops = F.explode(F.when(F.col("term").isin(*STOP), F.array(F.lit("none"))).otherwise(F.array(F.lit("none"), F.lit("list"))))
+    lists = {"none": (), "list": STOP, "short": SHORT_STOP}
+    stops = F.explode(F.filter(F.array(*(F.when(~F.col("term").isin(*w) if w else F.lit(True), F.lit(n)) for n, w in lists.items())), lambda x: x.isNotNull()))
     rows = tf.join(F.broadcast(sets), "field").withColumn("stop", stops).join(stems, "term")
     per = rows.groupBy("fields", "stemmer", "stop", "stem", "docid").agg(F.sum("tf").alias("tf"))
     per = per.groupBy("fields", "stemmer", "stop", "stem").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"))
@@ -332,29 +339,221 @@ def split_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.seeded_split(spark, sorted(r[0] for r in topics(spark, sf_dir).select("qid").collect()))
 
 
-def _trained(spark: SparkSession, sf_dir: str, alphas: tuple[float, ...]):
-    q, j = topics(spark, sf_dir), qrels(spark, sf_dir)
-    v = features.feature_vectors(full_index(spark, sf_dir), q)
-    split = learning.odd_even(q).select("qid", "split")
-    v = v.join(F.broadcast(split), "qid").persist(StorageLevel.DISK_ONLY)
-    train, held = v.filter("split = 'train'").drop("split"), v.filter("split = 'heldout'").drop("split")
-    trials, alpha, model = learning.choose_alpha(train, held, j, q.join(F.broadcast(split.filter("split = 'heldout'")), "qid", "left_semi"), alphas)
-    return trials, alpha, model, held
+def _three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.pmod("qid", F.lit(5))
+    return topics(spark, sf_dir).select("qid", F.when(part < 3, "train").when(part == 3, "validation").otherwise("test").alias("split"))
 
 
-def svm_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, model, held = _trained(spark, sf_dir, (1.0,))
-    return ranking.rank(learning.linear_scores(held, *model), 10)
+def _part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return topics(spark, sf_dir).join(F.broadcast(_three_way(spark, sf_dir).filter(F.col("split") == name).select("qid")), "qid", "left_semi")
+
+
+def _training(spark: SparkSession, sf_dir: str, idx: index.Index) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows to train on, bare features, judgements) for the training topics: every pair of topic and document."""
+    q, j, bare = _part(spark, sf_dir, "train"), qrels(spark, sf_dir), features.bare_features(idx)
+    v = features.feature_vectors(idx, q).persist(StorageLevel.DISK_ONLY)  # read for the counts and for the rows
+    return learning.labelled(v, j, learning.unmatched(v, bare, j, q)), bare, j
 
 
 def svm_alpha_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trials, _, _, _ = _trained(spark, sf_dir, (0.01, 0.1, 1.0))
+    """f1 at 10 over the validation topics for all eight alphas."""
+    idx = full_index(spark, sf_dir)
+    bare = features.bare_features(idx).persist(StorageLevel.DISK_ONLY)
+    train, held = _part(spark, sf_dir, "train"), _part(spark, sf_dir, "validation")
+    trials, _, _ = learning.choose_alpha(features.feature_vectors(idx, train).persist(StorageLevel.DISK_ONLY), features.feature_vectors(idx, held).persist(StorageLevel.DISK_ONLY), bare, qrels(spark, sf_dir), train, held)
     return spark.createDataFrame(trials, "alpha double, f1 double")
 
 
+#: What the queries of one model take; the grid above is about the choice.
+ALPHA = 0.01
+
+
+def _model(spark: SparkSession, sf_dir: str) -> tuple[list[float], float]:
+    rows, _, _ = _training(spark, sf_dir, full_index(spark, sf_dir))
+    rows = rows.persist(StorageLevel.DISK_ONLY)
+    try:
+        return learning.fit_svms(rows, (ALPHA,))[0]
+    finally:
+        rows.unpersist()
+
+
 def svm_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, model, _ = _trained(spark, sf_dir, (1.0,))
-    return spark.createDataFrame(list(zip(features.feature_names(), model[0], strict=True)), "feature string, weight double")
+    return spark.createDataFrame(list(zip(features.feature_names(), _model(spark, sf_dir)[0], strict=True)), "feature string, weight double")
+
+
+def svm_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train, write a bundle, read it and rank all documents for topics that were not trained on."""
+    path = f"{scratch(spark)}/bundle"
+    learning.save_bundle(spark, path, *_model(spark, sf_dir), WEIGHTS, {"alpha": ALPHA, "features": features.feature_names()})
+    return rounded(workflow.predict(spark, path, full_index(spark, sf_dir), _part(spark, sf_dir, "test"), 10), "score")
+
+
+def svm_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of each feature over all pairs of training topics and documents."""
+    rows, _, _ = _training(spark, sf_dir, full_index(spark, sf_dir))
+    mean, std = learning.scaler(rows)
+    return rounded(spark.createDataFrame([(f, float(m), float(d)) for f, m, d in zip(features.feature_names(), mean, std, strict=True)], "feature string, mean double, deviation double"), "mean", "deviation", places=5)
+
+
+#: Fixed weights of the decision query: three features of each field.
+DECISION = {"query_term_ratio": 1.5, "bm25": 0.25, "stream_length": -0.001}
+
+
+def linear_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten of all documents by given weights, documents that match nowhere too."""
+    idx = full_index(spark, sf_dir)
+    w = [DECISION.get(f.split(".")[1], 0.0) for f in features.feature_names()]
+    scores = learning.linear_scores(features.feature_vectors(idx, topics(spark, sf_dir)), w, -0.5)
+    return rounded(learning.rank_all(scores, learning.linear_scores(features.bare_features(idx), w, -0.5), topics(spark, sf_dir), 10), "score")
+
+
+def svm_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs, and the weight of each, by label."""
+    rows, _, _ = _training(spark, sf_dir, full_index(spark, sf_dir))
+    return rounded(rows.groupBy("label").agg(F.sum("n").alias("pairs"), F.sum("weight").alias("weight")), "weight")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files that a query writes and reads, in the shared folder if the session names one."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lexispark-")
+    return f"{top.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def collection_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a tagged file and read back by the fielded reader; line ends in a field are blanks."""
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    d = documents(spark, sf_dir).select("docid", *(flat(F.col(f)).alias(f) for f in FIELDS))
+    path = scratch(spark)
+    sinks.write_lines(d.select("docid", F.concat(F.lit(".I "), F.col("docid").cast("string"), *(F.concat(F.lit(f"\n{tag}\n"), F.regexp_replace(F.col(f), r"(?m)^\.", "·")) for tag, f in collection.TAGS.items())).alias("line")), path, ["docid"])
+    return collection.read_collection(spark, path).select("docid", *(F.octet_length(f).cast("bigint").alias(f) for f in FIELDS))
+
+
+def processed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged titles and bodies analyzed, written as a processed file and read back."""
+    path = scratch(spark)
+    sinks.write_processed(workflow.analyze(documents(spark, sf_dir), Analyzer(possessive=True)), path)
+    return collection.read_processed(spark, path).select("docid", F.array_join("tokens", " ").alias("tokens"))
+
+
+def index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as a text file, read back."""
+    path = scratch(spark)
+    sinks.write_index(body_index(spark, sf_dir, BOOLEAN).tf, path)
+    return collection.read_index(spark, path)
+
+
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three terms looked up in a saved index."""
+    path = scratch(spark)
+    full_index(spark, sf_dir).save(path)
+    return index.lookup(spark, path, "body", ("others", "things", "nothinglikethis"))
+
+
+def topic_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics written as a tagged file, read back: places from 1 and labels."""
+    path = scratch(spark)
+    t = topics(spark, sf_dir)
+    line = F.concat(F.lit(".I "), F.format_string("%03d", F.col("qid").cast("bigint")), F.lit("\n.W\n"), F.trim(F.regexp_replace(F.coalesce("query", F.lit("")), r"\s+", " ")))
+    t.orderBy("qid").select(line.alias("line")).coalesce(1).write.text(path)  # topics are few and their places count
+    return collection.read_topics(spark, path)
+
+
+def judgement_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgements written as codes and read back as gains and as binary labels."""
+    path = scratch(spark)
+    j = qrels(spark, sf_dir)
+    sinks.write_lines(j.select("qid", "docid", F.concat_ws(" ", "qid", "docid", (5 - F.col("label")).cast("string"), F.lit("")).alias("line")), path, ["qid", "docid"])
+    return collection.read_graded(spark, path).join(collection.read_binary(spark, path).withColumnRenamed("label", "relevant"), ["qid", "docid"])
+
+
+def boolean_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer blocks of all accepted queries as written."""
+    q = spark.createDataFrame(list(BOOLEAN_QUERIES), "query_id bigint, query string")
+    path = scratch(spark)
+    if not sinks.write_answers(boolean.search(body_index(spark, sf_dir, BOOLEAN).tf, q), path):
+        raise ValueError("no query was parsed")
+    return spark.read.text(path).filter("value <> ''").groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _written(spark: SparkSession, sf_dir: str, model: str = "bm25") -> DataFrame:
+    labels = topics(spark, sf_dir).select("qid", F.format_string("%05d", F.col("qid").cast("bigint")).alias("original_id"))
+    path = scratch(spark)
+    sinks.write_run(ranking.run_lines(ranking.rank(scoring.score(body_index(spark, sf_dir), topics(spark, sf_dir), model), DEPTH), "lexispark", 9, labels), path)
+    return verify.numbered(collection.read_run(spark, path), labels)
+
+
+def run_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures counted again from a written run, beside those of the run that was written."""
+    q, j = topics(spark, sf_dir), qrels(spark, sf_dir)
+    reported = evaluation.macro(evaluation.prf(_run(spark, sf_dir), j, q), "k")
+    return rounded(verify.recheck(_written(spark, sf_dir), j, q, reported), "reported", "found")
+
+
+def run_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of two runs with different documents."""
+    a, b = (ranking.rank(scoring.score(body_index(spark, sf_dir), topics(spark, sf_dir), m), 20) for m in ("bm25", "tf"))
+    return verify.disagreements(a, b)
+
+
+def split_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults of a split with a topic in two parts, one in none and an unknown one."""
+    bad = _three_way(spark, sf_dir).filter("qid <> 3").unionByName(spark.createDataFrame([(1, "test"), (2, "test"), (-7, "train")], "qid bigint, split string"))
+    return verify.split_faults(bad, topics(spark, sf_dir))
+
+
+def split_three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _three_way(spark, sf_dir)
+
+
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.experiments(body_index(spark, sf_dir), topics(spark, sf_dir), qrels(spark, sf_dir), ("tf", "tf_idf", "bm25"), DEPTH).select("name", "place", F.col("AP").alias("ap"), F.col("`nDCG@10`").alias("ndcg_10"))
+
+
+def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models by average precision, best first."""
+    return rounded(_models(spark, sf_dir), "ap", "ndcg_10")
+
+
+def model_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread and best of the models by family, which the names tell."""
+    t = _models(spark, sf_dir).withColumn("family", F.when(F.col("name").startswith("bm25"), "bm25").otherwise("tf"))
+    return rounded(reports.spread(t, "family", "ap"), "spread")
+
+
+def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid settings by the controls in their names, with the change against a fixed value."""
+    grid = spark.createDataFrame([(text.model_name("bm25", {"k_1": k, "b": b}), 2.0, k + b) for k in learning.K1 for b in learning.B], "name string, old double, new double")
+    return reports.change(reports.within(reports.named(grid, "bm25(", ")"), (1.0, 1.4), (0.3, 0.6)), "old", "new").select("name", "k1", "b", "change")
+
+
+def variant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preprocessing variants of bodies alone beside the same of all fields."""
+    g = preprocessing_grid(spark, sf_dir).withColumn("name", F.regexp_replace("variant", "^[a-z_]+?__", ""))
+    a, b = (reports.named(g, f"{x}__", "", "variant").select("name", "terms", "tokens") for x in ("text", "all"))
+    return reports.beside(a, b)
+
+
+def top_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three largest of given weights."""
+    w = [(f, DECISION.get(f.split(".")[1], 0.0) * (1 + i / 100)) for i, f in enumerate(features.feature_names())]
+    return rounded(reports.largest(spark.createDataFrame(w, "feature string, weight double")), "weight")
+
+
+def input_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("docid", reports.digest(F.col("body")).alias("sha256"))
+
+
+def mean_distinct_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean over topics of distinct scores and of documents that share the first place."""
+    t = tie_diagnostics(spark, sf_dir)
+    return rounded(t.agg(F.avg("distinct_scores").alias("distinct_scores"), F.avg("top_ties").alias("top_ties")), "distinct_scores", "top_ties")
+
+
+def id_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, ids, judged pairs, topics and documents that are judged."""
+    d = documents(spark, sf_dir).agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("docid").alias("ids"))
+    j = qrels(spark, sf_dir).agg(F.count(F.lit(1)).alias("judged"), F.count_distinct("qid").alias("judged_topics"), F.count_distinct("docid").alias("judged_documents"))
+    return d.crossJoin(F.broadcast(j))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -364,6 +563,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         *(_feature_matrix(f) for f in FIELDS), feature_matrix_all, rank_padded_topk, trec_run, run_label_ids, prf_at_k, macro_prf, ranked_measures, _measure("average_precision", "ap"),
         _measure("ndcg_at_10", "ndcg_10"), _measure("reciprocal_rank", "rr"), _measure("recall_at_100", "r_100"), baseline_better_worse, split_odd_even, split_semi_join, qrels_join_default_zero,
         qrels_coverage_anti, dangling_docs, simplex_grid, zone_grid_search, argmax_first, bm25_grid_search, run_verification, tie_diagnostics, score_diagnostics, split_seeded,
-        svm_train_predict, svm_alpha_grid, svm_weights,
+        svm_train_predict, svm_alpha_grid, svm_weights, svm_scaler, svm_class_counts, linear_decision, collection_file, processed_file, index_file, index_lookup, topic_file, judgement_file,
+        boolean_file, run_recheck, run_disagreements, split_check, split_three_way, model_table, model_spread, model_names, variant_pairs, top_coefficients, input_digests, mean_distinct_scores, id_counts,
     ]
     return {f.__name__: f for f in run}

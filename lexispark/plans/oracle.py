@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from lexispark.functions.porter import stem_sql
-from lexispark.functions.text import FIELD_SETS, STOP
-from lexispark.operators.features import FEATURES
+from lexispark.functions.text import FIELD_SETS, STOP, model_name
+from lexispark.operators.features import FEATURES, feature_names
 from lexispark.operators.index import FIELDS
 from lexispark.operators.learning import B, K1
-from lexispark.plans.catalogue import BOOLEAN_QUERIES, DEPTH, WEIGHTS
+from lexispark.plans.catalogue import BOOLEAN_QUERIES, DECISION, DEPTH, SHORT_STOP, WEIGHTS
 
 STOPS = ", ".join(f"'{w}'" for w in STOP)
+SHORT_STOPS = ", ".join(f"'{w}'" for w in SHORT_STOP)
 POSSESSIVE = r"regexp_replace(regexp_replace(lower({0}), '''s($|[^a-z])', '\1', 'g'), '''s($|[^a-z])', '\1', 'g')"
 TERMS = "regexp_extract_all({0}, '[a-z0-9]+')"
 PLAIN, NORMAL = TERMS.format("lower({0})"), TERMS.format(POSSESSIVE)
-DOCS = "d AS (SELECT doc_id AS docid, string_split(coalesce(text, ''), chr(10))[1] AS title, source AS author, lang AS bibliography, coalesce(text, '') AS body FROM documents)"
+DOCS = "d AS (SELECT doc_id AS docid, string_split(coalesce(text, ''), chr(10))[1] AS title, array_to_string(string_split(coalesce(text, ''), ' ')[1:5], ' ') AS author, lang AS bibliography, coalesce(text, '') AS body FROM documents)"
 LONG = "f AS (" + " UNION ALL ".join(f"SELECT docid, '{x}' AS field, coalesce({x}, '') AS text FROM d" for x in FIELDS) + ")"
 TOK = f"tok AS (SELECT docid, field, term FROM (SELECT docid, field, unnest({PLAIN.format('text')}) AS term FROM f) WHERE term NOT IN ({STOPS}))"
 TF = "tf AS (SELECT field, docid, term, count(*) AS tf FROM tok GROUP BY ALL)"
@@ -176,10 +177,78 @@ def grid_stats() -> str:
     sets = ", ".join(f"('{s}', '{x}')" for s, xs in FIELD_SETS.items() for x in xs)
     return f"""WITH {DOCS}, {LONG}, t0 AS (SELECT docid, field, unnest({PLAIN.format("text")}) AS term FROM f), {voc},
 st3 AS (SELECT term, 'none' AS stemmer, term AS stem FROM voc UNION ALL SELECT term, 'weak', stem FROM wk UNION ALL SELECT term, 'porter', stem FROM pt),
-x AS (SELECT fields, stemmer, stop, stem, docid, count(*) AS tf FROM t0 JOIN (VALUES {sets}) fs(fields, field) ON t0.field = fs.field JOIN st3 ON st3.term = t0.term CROSS JOIN (VALUES ('none'), ('list')) sl(stop) WHERE stop = 'none' OR t0.term NOT IN ({STOPS}) GROUP BY ALL)
+x AS (SELECT fields, stemmer, stop, stem, docid, count(*) AS tf FROM t0 JOIN (VALUES {sets}) fs(fields, field) ON t0.field = fs.field JOIN st3 ON st3.term = t0.term CROSS JOIN (VALUES ('none'), ('list'), ('short')) sl(stop) WHERE stop = 'none' OR stop = 'list' AND t0.term NOT IN ({STOPS}) OR stop = 'short' AND t0.term NOT IN ({SHORT_STOPS}) GROUP BY ALL)
 SELECT concat_ws('__', fields, stemmer, stop) AS variant, (SELECT count(*) FROM d) AS docs, count(DISTINCT stem) AS terms, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, round(sum(tf) / (SELECT count(*) FROM d)::DOUBLE, 2) AS avg FROM x GROUP BY fields, stemmer, stop"""
 
 
+def scaled() -> str:
+    """Mean and deviation of each feature over all pairs of training topics and documents."""
+    ctes, parts = ", ".join(feature_sql(x, x) for x in FIELDS), []
+    for x in FIELDS:
+        sums = ", ".join(f"{{'feature': '{x}.{y}', 's': coalesce(sum({y}), 0.0::DOUBLE), 'q': coalesce(sum({y} * {y}), 0.0::DOUBLE)}}" for y in FEATURES if y != "stream_length")
+        parts.append(f"SELECT unnest([{sums}], recursive := true) FROM {x}ff WHERE qid % 5 < 3")
+        parts.append(f"SELECT '{x}.stream_length', sum(len)::DOUBLE * any_value(t), sum(len * len)::DOUBLE * any_value(t) FROM dl, (SELECT count(*) AS t FROM q WHERE qid % 5 < 3) WHERE field = '{x}'")
+    return f"""WITH {INDEX}, {ctes}, sm AS ({" UNION ALL ".join(parts)}), pn AS (SELECT (SELECT count(*) FROM q WHERE qid % 5 < 3) * (SELECT count(*) FROM d) AS n)
+SELECT feature, round(s / n + 1e-10::DOUBLE, 5) + 0.0 AS mean, round(sqrt(greatest(q / n - (s / n) * (s / n), 0.0::DOUBLE)) + 1e-10::DOUBLE, 5) + 0.0 AS deviation FROM sm, pn"""
+
+
+def decision() -> str:
+    """The first ten of all pairs by fixed weights."""
+    ctes = ", ".join(feature_sql(x, x) for x in FIELDS)
+    terms = []
+    for x in FIELDS:
+        for y, w in DECISION.items():
+            terms.append(f"{w}::DOUBLE * " + (f"(SELECT len FROM dl WHERE dl.docid = d.docid AND dl.field = '{x}')" if y == "stream_length" else f"coalesce({x}ff.{y}, 0.0::DOUBLE)"))
+    joins = " ".join(f"LEFT JOIN {x}ff ON q.qid = {x}ff.qid AND d.docid = {x}ff.docid" for x in FIELDS)
+    return f"WITH {INDEX}, {ctes}, s AS (SELECT q.qid, d.docid, {' + '.join(terms)} - 0.5::DOUBLE AS score FROM q CROSS JOIN d {joins}), {ranked('s')} SELECT qid, docid, {r6('score')} AS score, rank FROM rk WHERE rank <= 10"
+
+
+def models() -> str:
+    """CTE mt: three models with the means of two measures, and their places."""
+    ctes, rows = [], []
+    for m in ("tf", "tf_idf", "bm25"):
+        ctes += [scored(m).replace("s AS", f"{m}s AS", 1), ranked(f"{m}s", f"{m}k"), f"{m}r AS (SELECT * FROM {m}k WHERE rank <= {DEPTH})", measured(f"{m}r", f"{m}m")]
+        name = model_name(m, {"k_1": 1.2, "b": 0.75}) if m.startswith("bm25") else m
+        rows.append(f"SELECT '{name}' AS name, avg(ap) AS ap, avg(ndcg_10) AS ndcg_10 FROM {m}m")
+    return f"WITH {INDEX}, {MATCH}, {QRELS}, {', '.join(ctes)}, mt AS (SELECT *, CAST(row_number() OVER (ORDER BY round(ap, 12) DESC, name) AS INTEGER) AS place FROM ({' UNION ALL '.join(rows)}))"
+
+
+def more() -> dict[str, str]:
+    """Queries over written files, runs, splits and tables of results."""
+    idx = f"WITH {INDEX}"
+    flat = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+    two = [f"{scored(m).replace('s AS', f'{m}s AS', 1)}, {ranked(f'{m}s', f'{m}k')}" for m in ("bm25", "tf")]
+    split = "sp3 AS (SELECT item_id AS qid, CASE WHEN item_id % 5 < 3 THEN 'train' WHEN item_id % 5 = 3 THEN 'validation' ELSE 'test' END AS split FROM benchmark)"
+    names = ", ".join(f"('{model_name('bm25', {'k_1': k, 'b': b})}', {k}::DOUBLE, {b}::DOUBLE)" for k in K1 for b in B)
+    weights = ", ".join(f"('{f}', {DECISION.get(f.split('.')[1], 0.0) * (1 + i / 100)!r}::DOUBLE)" for i, f in enumerate(feature_names()))
+    lines = "unnest(['Query: ' || trim(query), 'Stemmed query: ' || \"left\" || ' ' || op || ' ' || \"right\", 'Matched documents: ' || n, docids])"
+    asked = ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in BOOLEAN_QUERIES)
+    return {
+        "svm_scaler": scaled(),
+        "svm_class_counts": f"{idx}, {QRELS}, n AS (SELECT (SELECT count(*) FROM q WHERE qid % 5 < 3) * (SELECT count(*) FROM d) AS pairs, (SELECT count(*) FROM j WHERE qid % 5 < 3) AS good) SELECT label, CAST(p AS BIGINT) AS pairs, {r6('pairs / 2::DOUBLE')} AS weight FROM (SELECT 1.0::DOUBLE AS label, good AS p, pairs FROM n UNION ALL SELECT 0.0::DOUBLE, pairs - good, pairs FROM n)",
+        "linear_decision": decision(),
+        "collection_file": f"WITH {DOCS} SELECT docid, " + ", ".join(f"CAST(strlen(regexp_replace({flat.format(x)}, '^\\.', '·')) AS BIGINT) AS {x}" for x in FIELDS) + " FROM d",
+        "processed_file": f"WITH {DOCS}, m AS (SELECT docid, title || ' ' || body AS t FROM d) SELECT docid, array_to_string(list_filter({NORMAL.format('t')}, lambda x: x NOT IN ({STOPS})), ' ') AS tokens FROM m",
+        "index_file": f"WITH {DOCS}, {STEMMED} SELECT term, docid FROM sp",
+        "index_lookup": f"{idx} SELECT term, docid, tf FROM tf WHERE field = 'body' AND term IN ('others', 'things', 'nothinglikethis')",
+        "topic_file": f"SELECT row_number() OVER (ORDER BY item_id) AS qid, printf('%03d', item_id) AS original_id, {flat.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS query FROM benchmark",
+        "judgement_file": f"{idx}, {QRELS} SELECT qid, docid, label, CAST(1 AS INTEGER) AS relevant FROM j",
+        "boolean_file": f"SELECT line, count(*) AS n FROM (SELECT {lines} AS line FROM ({boolean(tuple(i for i, _ in BOOLEAN_QUERIES))}) b JOIN (VALUES {asked}) a(id, query) ON a.id = b.query_id) WHERE line <> '' GROUP BY line",
+        "run_recheck": f"WITH {RUN}, {PRF}, mm AS (SELECT CAST(k AS INTEGER) AS k, unnest(['precision', 'recall', 'f1']) AS measure, unnest([avg(p), avg(r), avg(f1)]) AS v FROM pf GROUP BY k) SELECT k, measure, {r6('v')} AS reported, {r6('v')} AS found, true AS ok FROM mm",
+        "run_disagreements": f"WITH {INDEX}, {MATCH}, {', '.join(two)} SELECT coalesce(x.qid, y.qid) AS qid, coalesce(x.rank, y.rank) AS rank, x.docid AS a, y.docid AS b FROM (SELECT * FROM bm25k WHERE rank <= 20) x FULL JOIN (SELECT * FROM tfk WHERE rank <= 20) y ON x.qid = y.qid AND x.rank = y.rank WHERE x.docid IS DISTINCT FROM y.docid",
+        "split_check": f"WITH {split}, bad AS (SELECT * FROM sp3 WHERE qid <> 3 UNION ALL SELECT * FROM (VALUES (1, 'test'), (2, 'test'), (-7, 'train'))), p AS (SELECT qid, count(DISTINCT split) AS parts FROM bad GROUP BY qid) SELECT count(*) FILTER (parts > 1) AS in_several, count(*) FILTER (parts IS NULL) AS in_none, count(*) FILTER (b.item_id IS NULL) AS unknown FROM benchmark b FULL JOIN p ON b.item_id = p.qid",
+        "split_three_way": f"WITH {split} SELECT qid, split FROM sp3",
+        "model_table": f"{models()} SELECT name, place, {r6('ap')} AS ap, {r6('ndcg_10')} AS ndcg_10 FROM mt",
+        "model_spread": f"{models()} SELECT family, count(*) AS settings, {r6('max(ap) - min(ap)')} AS spread, arg_min(name, place) AS best FROM (SELECT *, CASE WHEN starts_with(name, 'bm25') THEN 'bm25' ELSE 'tf' END AS family FROM mt) GROUP BY family",
+        "model_names": f"SELECT name, k1, b, printf('%+.1f%%', 100 * (k1 + b - 2) / 2) AS change FROM (VALUES {names}) v(name, k1, b) WHERE k1 BETWEEN 1.0 AND 1.4 AND b BETWEEN 0.3 AND 0.6",
+        "variant_pairs": f"SELECT substr(a.variant, 7) AS name, a.terms, a.tokens, b.terms AS terms_2, b.tokens AS tokens_2 FROM ({grid_stats()}) a JOIN ({grid_stats()}) b ON starts_with(a.variant, 'text__') AND starts_with(b.variant, 'all__') AND substr(a.variant, 7) = substr(b.variant, 6)",
+        "top_coefficients": f"SELECT feature, {r6('weight')} AS weight FROM (SELECT * FROM (VALUES {weights}) v(feature, weight) ORDER BY abs(round(weight, 12)) DESC, feature LIMIT 3)",
+        "input_digests": f"WITH {DOCS} SELECT docid, sha256(body) AS sha256 FROM d",
+        "mean_distinct_scores": f"{idx}, {ZONES}, {zone(WEIGHTS)}, t AS (SELECT qid, max(score) AS best, count(DISTINCT score) AS ds FROM s GROUP BY qid), u AS (SELECT s.qid, any_value(ds) AS ds, count(*) FILTER (abs(score - best) < 1e-12) AS tt FROM s JOIN t ON s.qid = t.qid GROUP BY s.qid) SELECT {r6('avg(ds)')} AS distinct_scores, {r6('avg(tt)')} AS top_ties FROM u",
+        "id_counts": f"{idx}, {QRELS} SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(DISTINCT docid) FROM d) AS ids, count(*) AS judged, count(DISTINCT qid) AS judged_topics, count(DISTINCT docid) AS judged_documents FROM j",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     idx = f"WITH {INDEX}"
     out = {
@@ -233,4 +302,4 @@ def oracle_sql() -> dict[str, str]:
         "tie_diagnostics": f"{idx}, {ZONES}, {zone(WEIGHTS)}, t AS (SELECT qid, max(score) AS best, count(DISTINCT score) AS distinct_scores FROM s GROUP BY qid) SELECT s.qid, {r6('best')} AS best, distinct_scores, count(*) FILTER (abs(score - best) < 1e-12) AS top_ties FROM s JOIN t ON s.qid = t.qid GROUP BY s.qid, best, distinct_scores",
         "score_diagnostics": f"{idx}, {ZONES} SELECT count(*) AS pairs, {', '.join(f'{r6(f"avg(CASE WHEN {x} > 0 THEN 1.0::DOUBLE ELSE 0.0 END)")} AS match_{x}' for x in FIELDS)} FROM z",
     }
-    return out
+    return out | more()

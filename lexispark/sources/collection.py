@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Tag of a line and the field it opens.
+#: The tag of a line and the field it opens, and the gains of judgement codes.
 TAGS = {".T": "title", ".A": "author", ".B": "bibliography", ".W": "body"}
 GAIN = {1: 4, 2: 3, 3: 2, 4: 1}
 
@@ -115,7 +115,24 @@ def read_processed(spark: SparkSession, path: str) -> DataFrame:
     return _records(spark, path).select(F.col("head").cast("bigint").alias("docid"), F.filter(F.split(F.array_join(F.slice("lines", 2, 1 << 30), " "), r"\s+"), lambda t: t != "").alias("tokens"))
 
 
-def read_config(path: str, defaults: dict) -> dict:
+def read_config(spark: SparkSession, path: str, defaults: dict) -> dict:
     """A JSON object laid over defaults."""
-    with open(path) as f:
-        return {**defaults, **json.load(f)}
+    return {**defaults, **read_json(spark, path)}
+
+
+def read_json(spark: SparkSession, path: str):
+    """A small JSON value, as write_json wrote it."""
+    return json.loads("".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of results, as write_csv wrote it; the schema is given, never inferred."""
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def read_run(spark: SparkSession, path: str) -> DataFrame:
+    """(original_id, docid, rank, score, tag) of a run file; a line of another form is an error."""
+    p = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    ok = F.when(F.size(p) == 6, p).otherwise(F.raise_error(F.concat(F.lit("not a run line: "), F.col("value"))).cast("array<string>"))
+    return lines.select(ok.alias("p")).select(F.col("p")[0].alias("original_id"), F.col("p")[2].cast("bigint").alias("docid"), F.col("p")[3].cast("int").alias("rank"), F.col("p")[4].cast("double").alias("score"), F.col("p")[5].alias("tag"))

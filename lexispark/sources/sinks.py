@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.operators.boolean import answer_blocks
 from lexispark.operators.index import header, postings
 
 
@@ -35,18 +36,26 @@ def write_run(lines: DataFrame, path: str) -> None:
     write_lines(lines, path, ["qid", "rank"])
 
 
+def write_answers(answers: DataFrame, path: str) -> bool:
+    """Boolean answers as blocks with an empty line between them. If no query was
+    parsed nothing is written, what stands at ``path`` stays, and the result is false."""
+    if answers.isEmpty():
+        return False
+    write_lines(answer_blocks(answers), path, ["query_id"])
+    return True
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json(value: object, path: str) -> None:
-    with open(path, "w") as f:
-        json.dump(value, f, indent=2)
-        f.write("\n")
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    """A small value as indented JSON, on any file system that Spark writes."""
+    spark.createDataFrame([(json.dumps(value, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def markdown(df: DataFrame, rows: int = 100) -> str:
-    """The first rows of a result as a table for a report."""
-    some = df.limit(rows).collect()
+def markdown(df: DataFrame) -> str:
+    """A result as a table for a report. It is gathered on the driver, so it is for tables of measures."""
+    some = df.collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in some])
