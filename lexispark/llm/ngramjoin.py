@@ -389,8 +389,9 @@ def nodes(members: DataFrame, levels: list[int], floor: int, trees: int) -> Data
 def search(members: DataFrame, sets: DataFrame, levels: list[int], floor: int, forest: Forest, threshold: float) -> list[DataFrame]:
     """A round: the links due at nodes of members whose level was lowered to one of ``levels``; stored tables as FOUND."""
     spots = nodes(members.select("key", "bytes", "weight", "was", "now", "base", "deep"), levels, floor, forest.trees)
-    wanted = nodes(members.filter("now < was").select("now", "base", "deep"), levels, floor, forest.trees).filter("level = now").select(*NODE).distinct()
-    spots = spots.join(wanted, list(NODE), "left_semi")
+    if levels != [forest.depth]:  # at first all nodes are due
+        wanted = nodes(members.filter("now < was").select("now", "base", "deep"), levels, floor, forest.trees).filter("level = now").select(*NODE).distinct()
+        spots = spots.join(wanted, list(NODE), "left_semi")
     large = spots.groupBy(*NODE).agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("size"), F.expr("bit_xor(xxhash64(key))").alias("who"), F.expr("bit_xor(xxhash64(key, 1))").alias("who2")).filter("m > 1")
     # Nodes of one depth with the same members are one node, that of the first tree.
     large = large.groupBy("level", "m", "size", "who", "who2").agg(F.min(F.struct("tree", "node", "below")).alias("b"))
@@ -487,9 +488,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while levels:
         found += search(matched, sets, levels, floor, forest, threshold)
         lowered = F.lit(floor)
+        # The second round goes to the length that the links found so far ask for; a member that this does not satisfy goes on to the shortest.
         for d, x in enumerate(depths):
             reached = (F.coalesce("texts", F.lit(0)) + forest.recall(threshold, x)) / (F.coalesce(f"need{d}", F.lit(0.0)) + 1) >= target
-            lowered = F.when(reached, F.lit(x)).otherwise(lowered)
+            lowered = F.when(reached if levels == [forest.depth] else reached & (F.col("now") == x), F.lit(x)).otherwise(lowered)
         after = matched.join(counted(found, len(depths)), "key", "left").select("key", "rid", "weight", "bytes", "base", "deep", F.col("now").alias("was"), F.least("now", lowered).cast("int").alias("now"))
         after = stored(after, "matched")
         discard(matched)
@@ -502,7 +504,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         edges = one if edges is None else edges.unionByName(one)
     classes = components(edges)
     smallest = classes.join(members.select("key", "rid"), F.col("v") == F.col("key")).groupBy("class_key").agg(F.min("rid").alias("class_id"))
-    named = classes.join(smallest, "class_key").select(F.col("v").alias("key"), "class_id")
+    # A class may hold a third of all texts, so its name goes to its members by salts.
+    dealt = classes.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    named = dealt.join(smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["class_key", "salt"]).select(F.col("v").alias("key"), "class_id")
     labels = members.select("key", "rid", "weight", "used").join(counts, "key", "left").join(named, "key", "left")
     # Labels go back by key and salt, once for each salt in use, so no task gets all copies of a text.
     salt = F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftright(used, s) & 1L) = 1L)")).alias("salt")
