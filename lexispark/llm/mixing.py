@@ -60,16 +60,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Returns doc_id, source, size, source_size, target, copies, taken. A null
     text has size 0; a null source is a source. Documents of an empty source
-    are taken 0 times. Repeated ids are counted as separate rows; repeated rows
-    of one id and size may swap their copies. An empty table gives no rows.
-    Reruns agree, whatever the partitioning. A unique ``row_col`` is returned
-    too and tells rows of one id and size apart.
+    are taken 0 times. Repeated ids are counted as separate rows; rows equal in
+    id and text may swap their copies. An empty table gives no rows. Reruns
+    agree, whatever the partitioning. A unique ``row_col`` is returned too and
+    tells equal rows apart. Sources are put in order in one task: a few numbers
+    for each source.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own_row = [row_col] if row_col else []
-    rows = docs.select(*own_row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("given"), F.col(source_col).isNull().alias("absent"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.regexp_count(text, F.lit(TOKEN)).cast("bigint").alias("size"))
+    # Parts and the order of rows of one size come from id and text, so rows without an id are dealt out too.
+    mark = _hex_int(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary"))), 15)
+    rows = docs.select(*own_row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("given"), F.col(source_col).isNull().alias("absent"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.regexp_count(text, F.lit(TOKEN)).cast("bigint").alias("size"), mark.alias("mark"))
     bits = F.length(F.bin("size"))
-    rows = rows.withColumn("class", bits * F.lit(16) + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))").cast("int")).withColumn("part", F.pmod(_hex_int(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4), F.lit(PARTS)).cast("int"))
+    rows = rows.withColumn("class", bits * F.lit(16) + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))").cast("int")).withColumn("part", F.pmod("mark", F.lit(PARTS)).cast("int"))
     # Counted once: the targets, the ranks and the size check all read these few rows instead of the texts.
     cells = stored(rows.groupBy("absent", "source", "class", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sum")), "cells")
     sources = stored(source_targets(cells.groupBy("absent", "source").agg(F.sum("sum").alias("source_size")), weights, cap), "sources")
@@ -79,7 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # An offset of 16 bits and a half stays exact beside ranks, so equal expectations give equal copies.
     cells = cells.withColumn("offset", (_hex_int(salt, 4).cast("double") + F.lit(0.5)) / F.lit(65536.0)).withColumn("each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0)))
     rows = rows.join(cells, ["absent", "source", "class", "part"])
-    rank = F.col("ahead") + F.row_number().over(Window.partitionBy("absent", "source", "class", "part").orderBy("size", "doc_id", *own_row))
+    rank = F.col("ahead") + F.row_number().over(Window.partitionBy("absent", "source", "class", "part").orderBy("size", "mark", *own_row))
     rows = rows.withColumn("rank", rank.cast("double"))
     upto = lambda r: F.floor(r * F.col("each") + F.col("offset"))
     rows = rows.withColumn("copies", (upto(F.col("rank")) - upto(F.col("rank") - F.lit(1.0))).cast("bigint"))

@@ -109,9 +109,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6 = r"""
 WITH d AS (SELECT doc_id, source IS NULL AS absent, coalesce(source, '') AS source,
-                  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-c AS (SELECT *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) AS class,
-             CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4) AS BIGINT) % 64 AS part FROM d),
+                  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS mark FROM documents),
+c AS (SELECT *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) AS class, mark % 64 AS part FROM d),
 s AS (SELECT absent, source, sum(size) AS source_size FROM d GROUP BY ALL),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY absent, source) - 1) % 3 AS weight, row_number() OVER (ORDER BY absent, source) AS place FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / weight, place) AS turn, sum(source_size) OVER () AS total,
@@ -122,7 +122,7 @@ t AS (SELECT absent, source, source_size,
              CASE WHEN turn >= first THEN CAST(remaining * weight AS DOUBLE) / CAST(among AS DOUBLE) ELSE CAST(3 * source_size AS DOUBLE) END AS target FROM o LEFT JOIN l ON true),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN target / CAST(source_size AS DOUBLE) ELSE 0 END AS each,
              (CAST('0x' || substr(md5('7:' || CASE WHEN absent THEN '-' ELSE '+' END || source), 1, 4) AS BIGINT) + 0.5::DOUBLE) / 65536::DOUBLE AS start FROM t),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY c.absent, c.source ORDER BY class, part, size, doc_id) AS DOUBLE) AS rank FROM c)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY c.absent, c.source ORDER BY class, part, size, mark) AS DOUBLE) AS rank FROM c)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
        CAST(floor(rank * each + start) - floor((rank - 1) * each + start) AS BIGINT) * size AS taken
 FROM r JOIN e ON r.absent = e.absent AND r.source = e.source"""

@@ -82,3 +82,17 @@ def test_sharding_deep_and_empty(spark, monkeypatch):
     assert shards(df.limit(0), 10).count() == 0
     assert {(r.shard, r.depth) for r in shards(df, 10**6).collect()} == {("", 0)}
     assert shards(df, 10).agg(F.count_distinct("shard")).first()[0] == 64
+
+
+def test_mix_of_rows_without_an_id_and_very_long_texts(spark):
+    """Rows without an id are dealt over parts like others, and reruns agree on which are taken."""
+    rng = random.Random(8)
+    rows = [(None, " ".join(rng.choices(["a", "b", "c"], k=30)), "s") for _ in range(400)] + [(1, "w " * 400_000, "t"), (2, "w", "t"), (3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    take = lambda d: sorted((str(r.doc_id), r.size, r.taken) for r in mixing.mix(d).collect())
+    assert take(df) == take(df.repartition(5))
+    texts = lambda d: Counter({t: n for t, n in mixing.mix(d, row_col="row").join(d, "row").groupBy("text").agg(F.sum("copies")).collect() if t and len(t) < 100})
+    one = df.withColumn("row", F.monotonically_increasing_id())
+    assert texts(one) == texts(one.repartition(3))
+    got = mixing.mix(df).collect()
+    assert {r.size for r in got if r.source == "t"} == {400_000, 1} and [r.taken for r in got if r.source is None] == [0]
