@@ -194,3 +194,13 @@ def test_labels_of_urls_that_rules_fit_are_the_rules(spark):
     labels = pages.selectExpr("url", "CASE WHEN url LIKE '%/en/%' THEN 1 ELSE 0 END AS bad")
     got = urlfilter.url_filter(pages, RULES, labels, purity=0.5).collect()
     assert {r.page_id: r.verdict for r in got} == {i: "block" if i < 5 and i != 7 else "allow" for i in range(10)}
+
+
+def test_very_long_urls(spark):
+    """A path of many segments leaves the walk where it is alone."""
+    deep = "/".join(f"s{i}" for i in range(3000))
+    rows = [(1, f"http://x.example.org/{deep}"), (2, f"http://x.example.org/{deep}/y"), (3, "http://x.example.org/" + "z" * 200_000)]
+    labels = spark.createDataFrame([(rows[0][1], 1), ("http://x.example.org/a", 0)], "url string, bad int")
+    got = {r.page_id: r for r in urlfilter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), [], labels).collect()}
+    assert got[1].template == "/" + deep and got[1].path == "/" + deep and len(got[3].path) == 200_001
+    assert {r.verdict for r in got.values()} == {"allow"}
