@@ -184,7 +184,8 @@ def fit_svms(rows: DataFrame, alphas: Sequence[float], tolerance: float = 1e-4,
             for v in now:
                 gap = 1 - y * (x @ v)
                 first, second = np.clip(gap / ROUND, 0, 1), ((gap > 0) & (gap < ROUND)) / ROUND
-                out += [-(w * y * first) @ x, ((x * (w * second)[:, None]).T @ x).ravel()]
+                bent = second > 0  # few rows
+                out += [-(w * y * first) @ x, ((x[bent] * (w * second)[bent, None]).T @ x[bent]).ravel()]
             return np.concatenate(out)
 
         sums = _sums(rows, slopes, "label", "weight").reshape(len(live), -1) / total
