@@ -130,8 +130,8 @@ FROM r JOIN e ON r.absent = e.absent AND r.source = e.source"""
 RULES = ("block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/")
 
 
-#: The test tables have no labelled urls, so the pages' own texts give the labels; templates of mostly junk pages are rejected.
-PURITY, SMOOTHING = 0.65, 2.0
+#: The test tables have no labelled urls, so the pages' own texts give the labels; a template is rejected if a page of it is more likely junk than not.
+PURITY, SMOOTHING = 0.5, 2.0
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
