@@ -381,9 +381,11 @@ def verify_pairs(blocks: DataFrame, floor: int, forest: Forest, threshold: float
 
 def nodes(members: DataFrame, levels: list[int], floor: int, trees: int) -> DataFrame:
     """The columns of ``members`` and a row for each node of its sets at ``levels``."""
-    at = ", ".join(map(str, levels))
-    each = F.expr(f"flatten(transform(array({at}), x -> transform(base, (b, t) -> struct(x AS level, t AS tree, b AS node, CASE WHEN x = {floor} THEN 0 ELSE deep[(x - {floor} - 1) * {trees} + t] END AS below))))")
-    return members.select(*(c for c in members.columns if c not in ("base", "deep")), F.explode(each).alias("x")).select("*", "x.*").drop("x")
+    own = [c for c in members.columns if c not in ("base", "deep")]
+    spots = members.select(*own, "deep", F.posexplode("base").alias("tree", "node"))
+    spots = spots.select(*own, "deep", "tree", "node", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    below = F.when(F.col("level") == floor, F.lit(0)).otherwise(F.get(F.col("deep"), (F.col("level") - floor - 1) * trees + F.col("tree")))
+    return spots.select(*own, "level", "tree", "node", below.alias("below"))
 
 
 def search(members: DataFrame, sets: DataFrame, levels: list[int], floor: int, forest: Forest, threshold: float) -> list[DataFrame]:
