@@ -328,15 +328,13 @@ def test_train_predict_and_verify(spark, tmp_path):
     sinks.write_run(ranking.run_lines(ranking.rank(scoring.score(idx.field("title"), q, "tf").withColumn("score", F.col("docid").cast("double")), 5), "t", 9, labels), str(tmp_path / "s"))
     with pytest.raises(ValueError, match="differ"):
         workflow.verify_run(spark, str(tmp_path / "r"), labels, j, q, reported, str(tmp_path / "s"))
-    tables = workflow.experiments(idx.field("title"), q, j, ("tf", "bm25"), 20)
-    assert sorted(r.place for r in tables.collect()) == [1, 2]
 
 
 def test_preprocess_a_file(spark, tmp_path):
     (tmp_path / "c").write_text(TAGGED)
     workflow.preprocess(spark, str(tmp_path / "c"), str(tmp_path / "p"), ("on", "and", "a"))
     got = {r.docid: r.tokens for r in collection.read_processed(spark, str(tmp_path / "p")).collect()}
-    assert got == {7: ["kite", "wind", "kite", "rise", "i", "no", "tag", "here", "thei", "fall"], 3: ["onli", "bodi"], 12: []}
+    assert got == {7: ["kite", "wind", "kite", "rise", "is", "no", "tag", "here", "thei", "fall"], 3: ["onli", "bodi"], 12: []}
 
 
 def test_index_file_round_trip(spark, tmp_path):
