@@ -20,6 +20,8 @@ from lexispark.llm.common import discard, integral, stored
 
 #: Cells of the id histogram for each shard that a part of it should give, as a power of two.
 CELL_BITS = 3
+#: Payload bytes of a writing task, if shards are smaller.
+TASK_BYTES = 8 << 20
 #: Compressed bytes that a reading task gets.
 READ_BYTES = 32 << 20
 #: Copies of one payload are dealt over so many salts, by their ids.
@@ -154,7 +156,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     Records are sorted by id and payload digest in shards of about
     ``shard_bytes`` of payload, whose bounds depend on the data alone. A shard
-    is one task's; its files roll when their compressed size passes
+    is written by one task; its files roll when their compressed size passes
     ``roll_bytes``. Each attempt of a task writes under names of its own; the
     manifest, which Spark commits, has the names of the attempts that counted,
     and only then are those files renamed. Both steps can be repeated. Of equal
@@ -186,7 +188,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     # A row without payload goes ahead of the pages of its id and tells the writer which payload is known.
     both = rows.select("id", F.lit(1).alias("kind"), "digest", "url", "payload", F.lit(None).cast("bigint").alias("first"))
     both = both.unionByName(again.select("id", F.lit(0).alias("kind"), "digest", F.lit("").alias("url"), F.lit(b"").alias("payload"), "first"))
-    both = both.select(shards.of(F.col("id"), F.col("digest")).alias("shard"), "*").repartitionById(n, F.col("shard"))
+    # Small shards share a task with their neighbours, in order.
+    per = max(1, TASK_BYTES // max(1, shard_bytes))
+    both = both.select(shards.of(F.col("id"), F.col("digest")).alias("shard"), "*").repartitionById(-(-n // per), F.floor(F.col("shard") / per).cast("int"))
     both = both.sortWithinPartitions("shard", F.asc_nulls_last("id"), "digest", "kind", "url")
     fields = "shard int, part int, name string, temporary string, bytes long, records long, sha256 string"
 
