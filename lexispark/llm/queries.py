@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexispark.llm import decontam, dedup, licenses, mixing, ngramjoin, pii, sharding, toxicity, urlfilter, warc
+from lexispark.llm import conversations, decontam, dedup, licenses, mixing, ngramjoin, packing, pii, sharding, spelling, toxicity, urlfilter, warc
 from lexispark.llm.common import shared_dir, table
 
 AZ = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -166,14 +167,96 @@ SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(p), CAST(depth AS INTEG
 FROM k JOIN leaf ON k.h >> (60 - depth) = leaf.p"""
 
 
+#: An occurrence loses a code point if this divides the crc32 of its place and letters.
+DAMAGE = 97
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), damage=DAMAGE)
+
+
+#: crc32 by bytes and its table, which are a list each; characters up to U+07FF have one byte or two.
+CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS crc_table"""
+BYTES = "flatten(list_transform(string_split({0}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END))"
+CRC = f"xor(list_reduce({BYTES}, lambda c, b: xor(c >> 8, crc_table[CAST(xor(c & 255, b) AS BIGINT) + 1]), 4294967295), 4294967295)"
+
+OP11 = f"""
+WITH RECURSIVE tab AS ({CRC_TABLE}),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({AZ.format("text")}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+c AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+h AS (SELECT run, n, CAST({CRC.format("id || ':' || run")} AS BIGINT) AS h FROM c, tab),
+d AS (SELECT n, CASE WHEN h % {DAMAGE} = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+gap AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+one AS (SELECT a.word, b.word AS near, b.n AS m FROM gap a JOIN gap b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT g.word, v.word, v.n FROM gap g JOIN v ON g.rest = v.word UNION SELECT v.word, g.word, g.n FROM gap g JOIN v ON g.rest = v.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, near)) AS near, max(m) AS m FROM one GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN near END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM v LEFT JOIN b USING (word)),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT w.word, f.form FROM walk w JOIN f ON f.word = w.at WHERE f.form IS NOT NULL),
+ends AS (SELECT w.word, w.at AS root FROM walk w JOIN f ON f.word = w.at WHERE f.form IS NULL)
+SELECT word, n, n_near, form, form_n, root FROM f JOIN ends USING (word)"""
+
+#: The vocabulary that documents are packed with.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(VOCABULARY)
+    pieces = packing.pack(table(spark, sf_dir, "documents"), lambda: packing.worker_encoder(path))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
+#: One recursion over all conversations, row by row; equal rows of a turn are not gathered and segments not used.
+OP13 = f"""
+WITH RECURSIVE tab AS ({CRC_TABLE}),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               CAST({CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} AS BIGINT) % 20 AS h FROM conversations, tab),
+rows AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+         FROM (SELECT *, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM raw WHERE h <> 0)),
+p AS (SELECT *, row_number() OVER w - 1 AS i, substr(role, 1, 1) AS x, lag(substr(role, 1, 1)) OVER w AS before,
+             rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core
+      FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM p),
+r AS (SELECT *, core = '' AS blank, core <> '' AND seen AS dup, core <> '' AND NOT seen AND right(core, 1) NOT IN ('.', '!', '?') AS cut FROM q),
+n AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+             count(*) FILTER (i > 0 AND before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+ins(s, via, k) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (2, 2, 2), (3, 3, 0), (3, 2, 1), (3, 3, 2)),
+mv(x, via, e, cost, letter) AS (VALUES ('s', 0, 1, 0, 'K'), ('u', 0, 2, 0, 'K'), ('u', 1, 2, 0, 'K'), ('u', 3, 2, 0, 'K'), ('a', 2, 3, 0, 'K'), (NULL, 0, 2, 1, 'R'), (NULL, 1, 2, 1, 'R'), (NULL, 3, 2, 1, 'R'), (NULL, 2, 3, 1, 'R')),
+step AS (SELECT conv_id, i, s, s AS e, 2 AS cost, 'D' AS letters, '' AS said FROM r, (SELECT unnest(range(4)) AS s)
+         UNION ALL
+         SELECT conv_id, i, s, e, mv.cost + 5 * k + CASE WHEN cut THEN 5 ELSE 0 END, repeat('I', k) || letter,
+                CASE k WHEN 0 THEN '' WHEN 1 THEN CASE WHEN s = 2 THEN 'assistant:' ELSE 'user:' END || chr(10) ELSE CASE WHEN s = 2 THEN 'assistant:' || chr(10) || 'user:' ELSE 'user:' || chr(10) || 'assistant:' END || chr(10) END
+                || CASE WHEN letter = 'K' THEN role WHEN e = 3 THEN 'assistant' ELSE 'user' END || ':' || text || chr(10)
+         FROM r JOIN mv ON mv.x IS NULL OR mv.x = r.x JOIN ins USING (via) WHERE NOT blank AND NOT dup),
+walk AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS s, 0::BIGINT AS cost, '' AS audit, '' AS said FROM n
+         UNION ALL
+         SELECT conv_id, i + 1, e, best.cost, best.audit, best.said FROM (
+           SELECT w.conv_id, w.i, x.e, min({{'cost': w.cost + x.cost, 'audit': w.audit || x.letters, 'said': w.said || x.said}}) AS best
+           FROM walk w JOIN step x ON x.conv_id IS NOT DISTINCT FROM w.conv_id AND x.i = w.i AND x.s = w.s GROUP BY ALL)),
+done AS (SELECT w.conv_id, min({{'cost': cost + CASE s WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END, 'audit': audit || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+                                'said': said || CASE s WHEN 1 THEN 'user:' || chr(10) || 'assistant:' || chr(10) WHEN 2 THEN 'assistant:' || chr(10) ELSE '' END}}) AS best
+         FROM walk w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.rows = w.i GROUP BY w.conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(regexp_replace(coalesce(best.said, ''), chr(10) || '$', '')) AS repaired_sha256
+FROM ids LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM ids.conv_id"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    run = (op1_exact_dedup, op2_decontamination, op3_license_scan, op4_warc, op5_pii, op6_mixing, op7_url_filter, op8_ngram_join, op9_toxicity, op10_sharding, pipeline)
+    run = (op1_exact_dedup, op2_decontamination, op3_license_scan, op4_warc, op5_pii, op6_mixing, op7_url_filter, op8_ngram_join, op9_toxicity, op10_sharding, op11_spelling, op12_packing, op13_conversations, pipeline)
     return {f.__name__: f for f in run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op2_decontamination": OP2, "op3_license_scan": _op3(), "op4_warc": OP4, "op6_mixing": OP6, "op10_sharding": OP10}
+    return {"op1_exact_dedup": OP1, "op2_decontamination": OP2, "op3_license_scan": _op3(), "op4_warc": OP4, "op6_mixing": OP6, "op10_sharding": OP10, "op11_spelling": OP11, "op13_conversations": OP13}
