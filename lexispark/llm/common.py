@@ -48,18 +48,36 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, not made yet; ``release`` deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that it is
     neither computed again nor lost with an executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def same_files(view: DataFrame, of: DataFrame) -> DataFrame:
+    """``view``, known to be made of the columns of the stored table ``of``, so that it can be judged by its files."""
+    view._stored_at = of._stored_at
+    return view
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name`` with the first number that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return next(f"{name}{i}" for i in range(len(taken) + 1) if f"{name}{i}".lower() not in taken)
+
+
 def _files(spark: SparkSession, path: str) -> tuple:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import common
-from lexispark.llm.common import few, file_bytes, stored, words
+from lexispark.llm.common import few, file_bytes, same_files, stored, words
 
 #: An encoded fingerprint holds the hash above and the position in its chunk below.
 POSITION_BITS = 17
@@ -77,11 +77,25 @@ def looked_up(chunks: DataFrame, prints: DataFrame, lengths: list[int], widest:
     if file_bytes(known) > common.BROADCAST_BYTES:
         known = stored(known.join(spread.select(fp).distinct(), "fp", "left_semi"), "fingerprints")
     if file_bytes(known) <= common.BROADCAST_BYTES:
+        # A lone flag beside the key: joined in the scan, and the words around are cut out of hits only.
         found = spread.select(*own, "w", fp, pos).join(F.broadcast(known.withColumn("known", F.lit(True))), "fp", "left").filter(kept)
         return found.select(*own, "fp", "pos", *around)
-    salted = known.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("known"))
-    spread = spread.select(*own, "w", fp, pos).select(*own, "fp", "pos", *around, F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int").alias("salt"))
-    return spread.join(salted, ["fp", "salt"], "left").filter(kept).drop("salt", "known")
+    spread = spread.select(*own, "w", fp, pos).select(*own, "fp", "pos", *around)
+    return print_join(spread, same_files(known.withColumn("known", F.lit(True)), known)).filter(kept).drop("known")
+
+
+def print_join(rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """A left join of ``rows`` to ``prints`` on fp. If ``prints``, a stored table
+    or a view of one, is small, it is broadcast. If not, a common fingerprint
+    is salted, and a row without any gets a key of its own that nothing else
+    has, so that neither meets in one task."""
+    if file_bytes(prints) <= common.BROADCAST_BYTES:
+        return rows.join(F.broadcast(prints), "fp", "left")
+    none = F.col("fp").isNull()
+    salt = F.when(none, F.lit(-1)).otherwise(F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS))).cast("int")
+    keyed = rows.withColumn("salt", salt).withColumn("at fp", F.when(none, F.xxhash64("row", "base")).otherwise(F.col("fp")))
+    salted = prints.withColumnRenamed("fp", "at fp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return keyed.join(salted, ["at fp", "salt"], "left").drop("at fp", "salt")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, k: int = 5, share: float = 0.05) -> DataFrame:
@@ -124,13 +138,16 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     rows = rows.select("*", *(grams(F.col("w"), s).alias(f"g{s}") for s in sizes))
     rows = rows.select("row", "doc_id", "n_words", "base", "w", *(minima(F.col(f"g{shape(n, k)[0]}"), shape(n, k)[1]).alias(f"m{n}") for n in lengths))
 
-    hits = looked_up(rows, prints, lengths, max(shape(n, k)[1] for n in lengths)).join(few(prints), "fp", "left")
+    hits = looked_up(rows, prints, lengths, max(shape(n, k)[1] for n in lengths))
+    hits = print_join(hits, prints)
     start = F.col("pos") - F.col("at")
     same = (start >= 0) & (F.array_join(F.slice("words", F.greatest(start - F.col("low"), F.lit(0)) + F.lit(1), F.col("length")), " ") == F.col("win"))
     hits = hits.select("row", "doc_id", "n_words", F.when(same, F.col("win")).alias("win"), F.when(same, F.struct((F.col("base") + start).cast("long").alias("start"), (F.col("base") + start + F.col("length")).cast("long").alias("end"))).alias("span"))
     # One row for each document and window before the items of a window come in.
     hits = hits.groupBy("row", "win").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_set("span").alias("spans"))
-    hits = hits.join(few(stored(wins.select("win", "items"), "window-items")), "win", "left")
+    # A row without a window has a key that is none, as words hold no NUL.
+    hits = hits.withColumn("at", F.coalesce("win", F.concat(F.lit("\0"), F.col("row").cast("string"))))
+    hits = hits.join(few(stored(wins.select(F.col("win").alias("at"), "items"), "window-items")), "at", "left")
     found = hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("items", F.array().cast("array<string>")))))).alias("items"))
     return verdicts(found, share)
 

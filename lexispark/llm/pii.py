@@ -82,8 +82,26 @@ def iban(s: str, key: bytes) -> str | None:
     return re.sub(r"\S", lambda _: next(it), s)
 
 
+#: Letters and digits that are permuted as one number; a longer run is permuted piece by piece.
+PIECE = 64
+
+
 def letters_and_digits(s: str, key: bytes, tweak: str) -> str:
-    """Digits, small and capital letters permuted together, each within its kind and place."""
+    """Digits, small and capital letters permuted together, each within its kind and place.
+
+    Of more than ``PIECE`` signs each piece is permuted on its own, under its
+    place and all that stands before it, so different runs of a form stay
+    different and the work grows with the run's length.
+    """
+    out, before = [], hashlib.sha256()
+    for at in range(0, len(s), PIECE):
+        piece = s[at : at + PIECE]
+        out.append(_piece(piece, key, f"{tweak}|{at}|{before.hexdigest()}|" if at else tweak))
+        before.update(piece.encode())
+    return "".join(out)
+
+
+def _piece(s: str, key: bytes, tweak: str) -> str:
     size, n = 1, 0
     radix = [10 if c.isdigit() else 26 for c in s]
     for c, r in zip(s, radix, strict=True):
@@ -205,7 +223,10 @@ WORTH = re.compile(r"[0-9@]")
 class Pseudonymizer:
     def __init__(self, key: bytes) -> None:
         self.key = key
-        self.one = lru_cache(1 << 16)(self._one)
+        self.kept = lru_cache(1 << 16)(self._one)
+
+    def one(self, kind: str, value: str) -> str | None:
+        return (self.kept if len(value) <= 256 else self._one)(kind, value)
 
     def _one(self, kind: str, value: str) -> str | None:
         return KINDS[kind](value, self.key)
@@ -256,7 +277,9 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     at its groups and then values inside it are tried. A keyed Feistel
     permutation of the values of the same format gives the pseudonym, so equal
     values stay equal in all documents, different ones stay different, and the
-    result is valid again. The key is a secret of the caller. Null texts stay
+    result is valid again. A value may be of any length; its letters and digits
+    beyond ``PIECE`` are permuted piece by piece, and only values of at most
+    256 signs are kept for reuse. The key is a secret of the caller. Null texts stay
     null with no finds; repeated and null ids get a row each; other columns are
     ignored; an empty table gives no rows.
     """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import corpus_pipeline
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import conversations, decontam, dedup, licenses, mixing, ngramjoin, packing, pii, sharding, spelling, toxicity, urlfilter, warc
-from lexispark.llm.common import shared_dir, table
+from lexispark.llm.common import folder, table
 
 AZ = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -85,9 +84,9 @@ ROLL_BYTES, SHARD_PAYLOAD = 64 << 10, 512 << 10
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write_warc(table(spark, sf_dir, "pages"), folder, roll_bytes=ROLL_BYTES, shard_bytes=SHARD_PAYLOAD)
-    return warc.read_warc(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archive = folder(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), archive, roll_bytes=ROLL_BYTES, shard_bytes=SHARD_PAYLOAD)
+    return warc.read_warc(spark, archive, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP4 = """

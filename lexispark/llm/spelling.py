@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import ascii_lower, discard, few, stored
+from lexispark.llm.common import ascii_lower, discard, few, same_files, stored
 
 #: A run of letters after A-Z are lower-cased.
 RUN = r"[a-zÀ-ÿ]+"
@@ -124,19 +124,13 @@ def roots(forms: DataFrame) -> DataFrame:
     now = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         ends = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        new = stored(now.join(few_of(ends, now), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        new = stored(now.join(few(same_files(ends, now)), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         discard(now)
         if new.filter("moved").isEmpty():
             return new
         now = new
 
 
-def few_of(view: DataFrame, of: DataFrame) -> DataFrame:
-    """A broadcast hint for a view of a stored table whose files are small."""
-    view._stored_at = of._stored_at
-    return few(view)
-
-
 def variants(words: DataFrame, ratio: int = 2, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(word, n, n_near, form, form_n, root) for each row of ``words`` (word, n), which must be distinct.
 

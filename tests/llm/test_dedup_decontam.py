@@ -96,3 +96,16 @@ def test_share_is_exact(spark, share):
     rows = [(n, "a b c" + " x" * (n - 3)) for n in range(3, 70)]
     got = {r.doc_id: r.contaminated for r in decontam.decontaminate(docs(spark, rows), bench, share=share).collect()}
     assert got == {n: 3 >= Fraction(str(share)) * n for n, _ in rows}
+
+
+def test_rows_without_a_print_have_keys_of_their_own(spark, monkeypatch):
+    """Beyond the broadcast bound, rows without a fingerprint or window meet in no task, and a print in every row is salted."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    rows = spark.createDataFrame([(i, i % 7, None if i % 3 else 5, 0, i) for i in range(3000)], "row long, base long, fp long, pos int, n int")
+    prints = common.stored(spark.createDataFrame([(5, "a"), (5, "b"), (6, "c")], "fp long, win string"), "prints")
+    out = decontam.print_join(rows, prints)
+    assert out.filter("win is null").count() == 2000 and out.filter("win is not null").count() == 2000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "at fp" in plan and "salt" in plan
+    keys = rows.select(decontam.F.when(decontam.F.col("fp").isNull(), decontam.F.xxhash64("row", "base")).alias("k")).filter("k is not null").distinct().count()
+    assert keys == 2000

@@ -188,3 +188,31 @@ def test_mixing_stage_repeats_each_row_of_an_id_on_its_own(spark):
         want[r.doc_id, r.size] += r.copies
     got = Counter((r.doc_id, len(r.text.split())) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
     assert got == +want
+
+
+def test_stages_with_clashing_names(spark, tmp_path):
+    """Names that the stages might use for themselves, in a table of several files."""
+    rng = random.Random(13)
+    text = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(30)]
+    spark.createDataFrame([(1, text[7])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["file_path", "file", "file0", "name0", "row0", "n0", "row_index", "key", "shard", "FILE1", "copies"]
+    rows = [(i, t, "en", f"s{i % 3}", 0, *names) for i, t in enumerate([*text, text[3], text[4]])]
+    at = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names]).repartition(3)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        at.write.parquet(f"{tmp_path}/in{k}")
+        at = stage(spark, spark.read.parquet(f"{tmp_path}/in{k}"), str(tmp_path))
+        if name != "sharding":
+            assert at.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+            assert all(tuple(r)[5:] == tuple(names) for r in at.collect())
+        if name == "near_duplicates":
+            assert at.filter("doc_id >= 30").count() == 0 and at.count() >= 28
+        if name == "decontamination":
+            assert at.filter("doc_id = 7").count() == 0
+
+
+def test_rows_of_many_files_have_numbers_of_their_own(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS doc_id", "'t' AS text").repartition(17).write.parquet(f"{tmp_path}/t")
+    rows, row = corpus_pipeline.numbered(spark.read.parquet(f"{tmp_path}/t"))
+    first, again = (dict(rows.select("doc_id", row).collect()) for _ in range(2))
+    assert first == again and len(set(first.values())) == 1000
