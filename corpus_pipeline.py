@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm import decontam, mixing, ngramjoin, sharding, toxicity
-from lexispark.llm.common import stored, table
+from lexispark.llm.common import few, free, stored, table
 
 SHARD_BYTES = 1 << 20
 
@@ -17,19 +17,21 @@ SHARD_BYTES = 1 << 20
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a number for each row, and that column's name; ids may be null or repeated.
 
-    Rows of stored tables are numbered by their place in their file, so each
-    read numbers them alike and no text is written again. The driver lists the
-    files. Other tables are stored once with their numbers.
+    Rows of stored tables are numbered by their file's place among all names
+    and their own place in it, so each read numbers them alike and no text is
+    written again. The names are a stored table that is joined by its size.
+    Other tables are stored once with their numbers.
     """
-    row = next(f"row{i}" for i in range(len(docs.columns) + 1) if f"row{i}" not in docs.columns)
+    row, name, file = (free(docs, x) for x in ("row", "name", "file"))
     try:
-        placed = docs.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias(row))
+        at = docs.metadataColumn("_metadata")
+        placed = docs.select("*", at["file_path"].alias(name), at["row_index"].alias(row))
     except AnalysisException:
         return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
-    files = sorted(r[0] for r in docs.select(F.col("_metadata.file_path").alias("f")).distinct().collect())
-    places = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "file_path string, file long")
-    number = F.shiftleft("file", 40) + F.col(row)  # a file has fewer than 2 ** 40 rows
-    return placed.join(F.broadcast(places), "file_path").select(*docs.columns, number.alias(row)), row
+    names = placed.select(name).distinct()
+    places = stored(names.select(name, F.row_number().over(Window.orderBy(name)).cast("long").alias(file)), "files")
+    number = F.shiftleft(file, 40) + F.col(row)  # a file has fewer than 2 ** 40 rows
+    return placed.join(few(places), name).select(*docs.columns, number.alias(row)), row
 
 
 def without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, row = numbered(docs)
     taken = mixing.mix(rows, row_col=row).filter("copies <> 1")
     # A fixed share of the documents has other copies than one, so they are never broadcast; hashing them leaves the texts unsorted.
-    n = next(f"n{i}" for i in range(len(docs.columns) + 1) if f"n{i}" not in docs.columns)
+    n = free(docs, "n")
     times = taken.select(row, F.col("copies").cast("int").alias(n)).hint("shuffle_hash")
     found = rows.join(times, row, "left")
     return found.select(*docs.columns, F.explode(F.expr(f"array_repeat(0, coalesce({n}, 1))")).alias(n)).select(*docs.columns)
