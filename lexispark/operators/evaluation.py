@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark.functions import significance
 from lexispark.operators.index import small
 
 CUTOFFS = (5, 10, 20, 50, 100)
@@ -68,6 +69,32 @@ def compare(baseline: DataFrame, other: DataFrame, metric: str) -> DataFrame:
     return out.select("topics", "better", "worse", "mean", F.when(F.col("sd") > 0, F.col("mean") / (F.col("sd") / F.sqrt("topics"))).alias("t"))
 
 
+def by_measure(per_topic: DataFrame) -> DataFrame:
+    """(qid, measure, value) of what ``measures`` returns."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(f"`{m}`").alias("value")) for m in METRICS)))
+    return per_topic.select("qid", each.alias("x")).select("qid", "x.*")
+
+
+def comparisons(baseline: DataFrame, other: DataFrame, sets: DataFrame) -> DataFrame:
+    """A row for each set of topics in ``sets`` (set, qid) and each measure: both
+    means, topics better and worse, the paired t value, its p and that of the sign test.
+
+    Differences below twelve places are none; t and p are null where all
+    differences are equal. All comparisons are one job.
+    """
+    pairs = by_measure(baseline).withColumnRenamed("value", "x").join(by_measure(other).withColumnRenamed("value", "y"), ["qid", "measure"])
+    d = pairs.join(small(sets.select("set", "qid")), "qid").withColumn("d", F.round(F.col("y") - F.col("x"), 12))
+    out = d.groupBy("set", "measure").agg(
+        F.count(F.lit(1)).alias("topics"), F.avg("x").alias("baseline"), F.avg("y").alias("other"),
+        F.count(F.when(F.col("d") > 0, 1)).alias("better"), F.count(F.when(F.col("d") < 0, 1)).alias("worse"),
+        F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"),
+    )
+    out = out.withColumn("t", F.when(F.col("sd") > 1e-12, F.col("mean") / (F.col("sd") / F.sqrt("topics"))))
+    p = significance.t_test(F.col("t"), F.col("topics"))
+    sign = significance.sign_test(F.col("better"), F.col("worse"))
+    return out.select("set", "measure", "topics", "baseline", "other", "better", "worse", "t", p.alias("p"), sign.alias("sign_p"))
+
+
 def sign_test(better: int, worse: int) -> float:
     """Exact two-sided sign test."""
     n, low = better + worse, min(better, worse)

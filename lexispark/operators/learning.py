@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from lexispark.operators import evaluation
 from lexispark.operators.index import FIELDS, small
 from lexispark.operators.ranking import rank
 from lexispark.operators.scoring import term_weight
+from lexispark.sources.store import stored
 
 #: The grids.
 ALPHAS = (1e-05, 0.0001, 0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
@@ -50,7 +51,13 @@ def f1_by_setting(scored: DataFrame, qrels: DataFrame, topics: DataFrame, k: int
     """(g, f1): mean f1 at k over topics of (g, qid, docid, score), all settings in one job."""
     both = F.struct("g", "qid").alias("qid")
     ranked = rank(scored.select(both, "docid", "score"), k).select(F.col("qid.g").alias("g"), F.col("qid.qid").alias("qid"), "docid", "rank")
-    hits = evaluation.judged(ranked, qrels).groupBy("g", "qid").agg(F.count(F.when(F.col("label") > 0, 1)).alias("hits"))
+    return f1_of_ranked(ranked, qrels, topics, k)
+
+
+def f1_of_ranked(ranked: DataFrame, qrels: DataFrame, topics: DataFrame, k: int = 10) -> DataFrame:
+    """(g, f1) of (g, qid, docid, rank), for settings that rank anything at all."""
+    top = ranked.filter(F.col("rank") <= k)
+    hits = evaluation.judged(top, qrels).groupBy("g", "qid").agg(F.count(F.when(F.col("label") > 0, 1)).alias("hits"))
     relevant = evaluation.totals(topics, qrels).filter("relevant > 0")
     n = F.broadcast(topics.agg(F.count(F.lit(1)).alias("topics")))
     per = hits.join(small(relevant), "qid").withColumn("p", F.col("hits") / k).withColumn("r", F.col("hits") / F.col("relevant"))
@@ -118,98 +125,162 @@ def labelled(vectors: DataFrame, qrels: DataFrame, rest: DataFrame | None = None
 
 #: Partial sums of more partitions than this are added up in tasks before they reach the driver.
 PARTIALS = 64
+#: Rows of a block of numbers.
+BLOCK = 1024
 
 
-def _sums(rows: DataFrame, each, *columns: str) -> np.ndarray:
-    """The sum of ``each`` (an array of numbers) over Arrow batches of feature rows; a batch at a time is in memory."""
+def blocks(rows: DataFrame) -> DataFrame:
+    """(x, y, w, n), a stored table: the columns features, label, weight and n of
+    up to ``BLOCK`` rows as the bytes of their numbers, so that a pass over
+    them reads no row on its own. The files are not compressed, so a split is
+    as large in memory as on disk."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = 0.0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                total = total + each(np.stack(b["features"].to_list()), *(b[c].to_numpy() for c in columns))
-        if not np.isscalar(total):
-            yield pd.DataFrame({"v": [total.tolist()]})
+            for at in range(0, b.num_rows, BLOCK):
+                x, *rest = b.slice(at, BLOCK).columns
+                columns = [x.flatten(), *rest]
+                yield pa.RecordBatch.from_arrays([pa.array([c.cast(pa.float64()).to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in columns], names=["x", "y", "w", "n"])
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = sum((np.stack(b["v"].to_list()).sum(0) for b in batches if len(b)), 0.0)
-        if not np.isscalar(total):
-            yield pd.DataFrame({"v": [total.tolist()]})
+    return stored(rows.select("features", "label", "weight", "n").mapInArrow(run, "x binary, y binary, w binary, n binary"), "blocks", "none")
 
-    found = rows.select("features", *columns).mapInPandas(run, "v array<double>")
-    if rows.rdd.getNumPartitions() > PARTIALS:
-        found = found.repartition(PARTIALS).mapInPandas(add, "v array<double>")
-    return sum(np.array(r[0]) for r in found.collect())
 
+def _sums(packed: DataFrame, each) -> np.ndarray:
+    """The sum of ``each`` (an array of numbers) over blocks (x, y, w, n)."""
 
-def scaler(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and population deviation of each feature over (features, n) rows that stand for n pairs."""
+    def add(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for p in parts:
+            total = p if total is None else total + p
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[np.ndarray]:
+            for b in batches:
+                for row in zip(*b.columns, strict=True):
+                    x, y, w, n = (np.frombuffer(v.as_buffer()) for v in row)
+                    yield each(x.reshape(len(y), -1), y, w, n)
+
+        yield from add(parts())
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from add(np.frombuffer(v.as_buffer()) for b in batches for v in b.column(0))
 
-    def each(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.concatenate([[n.sum()], n @ x, n @ (x * x)])
+    found = packed.mapInArrow(run, "v binary")
+    if packed.rdd.getNumPartitions() > PARTIALS:
+        found = found.repartition(PARTIALS).mapInArrow(again, "v binary")
+    return sum(np.frombuffer(r[0]) for r in found.collect())
 
-    sums = _sums(rows, each, "n")
-    size = (len(sums) - 1) // 2
-    mean = sums[1 : size + 1] / sums[0]
-    return mean, np.sqrt(np.maximum(sums[size + 1 :] / sums[0] - mean * mean, 0))
+
+def _moments(packed: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean and population deviation of each feature over rows that stand for n pairs, and the sum of the weights."""
+    sums = _sums(packed, lambda x, y, w, n: np.concatenate([[n.sum(), w.sum()], n @ x, n @ (x * x)]))
+    size = (len(sums) - 2) // 2
+    mean = sums[2 : size + 2] / sums[0]
+    return mean, np.sqrt(np.maximum(sums[size + 2 :] / sums[0] - mean * mean, 0)), float(sums[1])
+
+
+def scaler(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of each feature over (features, label, weight, n) rows that stand for n pairs."""
+    return _moments(blocks(rows))[:2]
 
 
 #: Where the hinge is rounded off, so that Newton steps apply.
 ROUND = 0.1
 STEPS = (1.0, 0.5, 0.25, 0.125, 1 / 16, 1 / 64, 1 / 512)
+#: The penalty of the intercept, next to none; it is there for the dual to be finite.
+INTERCEPT = 1e-7
+
 
+@dataclass(frozen=True)
+class Fit:
+    """One alpha's model for features that are not scaled, with both objectives at it: no model's loss is below ``dual``."""
 
-def fit_svms(rows: DataFrame, alphas: Sequence[float], tolerance: float = 1e-4, rounds: int = 200) -> list[tuple[list[float], float]]:
-    """For each alpha the weights and intercept, for features that are not
-    scaled, of a linear support vector machine over (features, label, weight, n).
+    alpha: float
+    weights: list[float]
+    intercept: float
+    primal: float
+    dual: float
+    passes: int
+
+
+def svm_path(rows: DataFrame, alphas: Sequence[float], tolerance: float = 1e-7, rounds: int = 100) -> list[Fit]:
+    """For each alpha a linear support vector machine over (features, label, weight, n), and its certificate.
 
     Hinge loss, rounded off over a width of ``ROUND``, with squared penalty
-    ``alpha`` on scaled features, classes weighted. The optimum is found by
-    Newton steps with a line search, of all alphas in the same passes over the
-    rows, so it does not depend on how rows are partitioned. A fit whose
-    gradient is not below ``tolerance`` after ``rounds`` is an error.
+    ``alpha`` on scaled features, classes weighted. Alphas are fitted from the
+    largest down, each from its neighbour's optimum, by Newton steps. A pass
+    over the blocks gives the loss at all lengths of a step and the slopes at
+    the whole step, which is nearly always the one taken. The optimum does not
+    depend on how rows are partitioned. A fit whose gap between both objectives
+    is not below ``tolerance`` after ``rounds`` passes is an error.
+
+    The dual variables follow from the margins: u = clip((1 - y f) / ROUND, 0, 1)
+    are feasible for any model, so ``dual``, the mean of w (u - ROUND / 2 u^2)
+    less half the sum of (mean of w u y x)^2 / penalty, is a lower bound of
+    the loss of every model, and equal to ``primal`` at the optimum alone.
     """
-    mean, std = scaler(rows)
+    packed = blocks(rows)
+    mean, std, total = _moments(packed)
     scale = np.where(std > 1e-9, 1 / np.where(std > 1e-9, std, 1), 0.0)
-    size, models = len(mean) + 1, np.zeros((len(alphas), len(mean) + 1))
-    penalty = np.array([[a] * (size - 1) + [1e-9] for a in alphas])
-    total = rows.agg(F.sum("weight")).first()[0]
-    at = lambda x: np.hstack([(x - mean) * scale, np.ones((len(x), 1))])
-    live = list(range(len(alphas)))
-    for _ in range(rounds):
-        now = models[live]
-
-        def slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray, now: np.ndarray = now) -> np.ndarray:
-            x, y, out = at(x), y * 2 - 1, []
-            for v in now:
-                gap = 1 - y * (x @ v)
-                first, second = np.clip(gap / ROUND, 0, 1), ((gap > 0) & (gap < ROUND)) / ROUND
-                bent = second > 0  # few rows
-                out += [-(w * y * first) @ x, ((x[bent] * (w * second)[bent, None]).T @ x[bent]).ravel()]
-            return np.concatenate(out)
-
-        sums = _sums(rows, slopes, "label", "weight").reshape(len(live), -1) / total
-        g = sums[:, :size] + penalty[live] * now
-        live_now = [k for k, i in enumerate(live) if np.abs(g[k]).max() > tolerance]
-        if not live_now:
-            return [([float(v) for v in m[:-1] * scale], float(m[-1] - (m[:-1] * scale) @ mean)) for m in models]
-        steps = np.stack([-np.linalg.solve(sums[k, size:].reshape(size, size) + np.diag(penalty[live[k]] + 1e-8), g[k]) for k in live_now])
-        live, now = [live[k] for k in live_now], now[live_now]
-
-        def losses(x: np.ndarray, y: np.ndarray, w: np.ndarray, now: np.ndarray = now, steps: np.ndarray = steps) -> np.ndarray:
-            x, y = at(x), y * 2 - 1
-            base, move = x @ now.T, x @ steps.T
-            out = []
-            for t in STEPS:
-                gap = np.maximum(1 - y[:, None] * (base + t * move), 0)
-                out.append(w @ np.where(gap < ROUND, gap * gap / (2 * ROUND), gap - ROUND / 2))
-            return np.concatenate(out)
-
-        tried = _sums(rows, losses, "label", "weight").reshape(len(STEPS), -1) / total
-        for k, i in enumerate(live):
-            cost = [tried[j, k] + 0.5 * float(penalty[i] @ (now[k] + t * steps[k]) ** 2) for j, t in enumerate(STEPS)]
-            models[i] = now[k] + STEPS[int(np.argmin(cost))] * steps[k]
-    raise RuntimeError(f"no convergence in {rounds} rounds for alpha {[alphas[i] for i in live]}")
+    size = len(mean) + 1
+
+    def pass_at(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Loss at each point, slope and curvature of the loss at the first, and the dual's linear part there."""
+
+        def each(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
+            x, y = np.hstack([(x - mean) * scale, np.ones((len(x), 1))]), y * 2 - 1
+            gap = 1 - y[:, None] * (x @ points.T)
+            above = np.maximum(gap, 0)
+            loss = w @ np.where(above < ROUND, above * above / (2 * ROUND), above - ROUND / 2)
+            u = np.clip(gap[:, 0] / ROUND, 0, 1)
+            bent = (gap[:, 0] > 0) & (gap[:, 0] < ROUND)  # few rows
+            curve = (x[bent].T * (w[bent] / ROUND)) @ x[bent]
+            return np.concatenate([loss, [w @ (u - ROUND / 2 * u * u)], -(w * y * u) @ x, curve.ravel()])
+
+        sums = _sums(packed, each) / total
+        k = len(points)
+        return sums[:k], sums[k + 1 : k + 1 + size], sums[k + 1 + size :].reshape(size, size), float(sums[k])
+
+    fits, now = {}, np.zeros(size)
+    for alpha in sorted(alphas, reverse=True):
+        penalty = np.array([alpha] * (size - 1) + [INTERCEPT])
+        cost = lambda loss, v, penalty=penalty: loss + 0.5 * float(penalty @ (v * v))
+        (loss,), slope, curve, linear = pass_at(now[None])
+        passes, damping = 1, 0.0
+        while True:
+            primal, dual = cost(loss, now), linear - 0.5 * float(slope @ (slope / penalty))
+            if primal - dual <= tolerance * max(1.0, primal):
+                break
+            if passes >= rounds:
+                raise RuntimeError(f"no convergence in {rounds} rounds for alpha {alpha}: a gap of {primal - dual}")
+            step = -np.linalg.solve(curve + np.diag(penalty + damping), slope + penalty * now)
+            tried = [now + t * step for t in STEPS]
+            losses, slope1, curve1, linear1 = pass_at(np.stack(tried))
+            costs = [cost(a, v) for a, v in zip(losses, tried, strict=True)]
+            at, passes = int(np.argmin(costs)), passes + 1
+            if costs[0] <= costs[at] + 1e-12 * abs(costs[at]):
+                at = 0
+            # Where only short steps help, the curvature of so few rows says little; a damped step goes further.
+            damping = 0.0 if at == 0 else min(1.0, max(1e-6, damping * 4)) if STEPS[at] < 0.1 else damping
+            now, loss, slope, curve, linear = tried[at], losses[at], slope1, curve1, linear1
+            if at:
+                (loss,), slope, curve, linear = pass_at(now[None])
+                passes += 1
+        weights = now[:-1] * scale
+        fits[alpha] = Fit(float(alpha), [float(v) for v in weights], float(now[-1] - weights @ mean), float(primal), float(dual), passes)
+    return [fits[a] for a in alphas]
+
+
+def fit_svms(rows: DataFrame, alphas: Sequence[float], tolerance: float = 1e-7, rounds: int = 100) -> list[tuple[list[float], float]]:
+    """The weights and intercept of ``svm_path`` for each alpha."""
+    return [(f.weights, f.intercept) for f in svm_path(rows, alphas, tolerance, rounds)]
+
+
+def objectives(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
+    """(alpha, primal, dual, gap, passes) of each fit."""
+    return spark.createDataFrame([(f.alpha, f.primal, f.dual, f.primal - f.dual, f.passes) for f in fits], "alpha double, primal double, dual double, gap double, passes int")
 
 
 def linear_scores(vectors: DataFrame, weights: list[float], intercept: float) -> DataFrame:
@@ -218,35 +289,81 @@ def linear_scores(vectors: DataFrame, weights: list[float], intercept: float) ->
     return vectors.select(*(c for c in vectors.columns if c in ("qid", "docid")), (dot + F.lit(intercept)).alias("score"))
 
 
-def rank_all(scores: DataFrame, rest: DataFrame, topics: DataFrame, k: int) -> DataFrame:
-    """The first k of all documents for each topic: ``scores`` (qid, docid, score)
-    has the pairs that match, ``rest`` (docid, score) what a document scores for
-    any other topic. Only the best of ``rest`` meet the topics: as many as leave
-    every topic k that it does not match, or else all."""
-    total, most, topics = rest.count(), 4 * k, topics.select("qid").distinct()
-    while True:
-        best = rest.orderBy(F.desc(F.round("score", 9)), "docid").limit(most)
-        fill = topics.crossJoin(F.broadcast(best)).join(scores.select("qid", "docid"), ["qid", "docid"], "left_anti").select("qid", "docid", "score")
-        if most >= total or topics.join(fill.groupBy("qid").count().filter(F.col("count") >= k), "qid", "left_anti").isEmpty():
-            return rank(scores.unionByName(fill), k)
-        most *= 8
+def linear_grid(vectors: DataFrame, models: Sequence[tuple[Sequence[float], float]]) -> DataFrame:
+    """(g, qid and docid as far as ``vectors`` has them, score) of every model, numbered from 0: one product of features and weights for each batch."""
+    keys = [c for c in ("qid", "docid") if c in vectors.columns]
+    weights, intercepts = np.array([w for w, _ in models], float), np.array([b for _, b in models], float)
+    kinds = ", ".join(f"{c} {dict(vectors.dtypes)[c]}" for c in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("features").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            scores = x @ weights.T + intercepts
+            again = pa.array(np.repeat(np.arange(b.num_rows), len(weights)))
+            g = pa.array(np.tile(np.arange(len(weights), dtype=np.int32), b.num_rows))
+            yield pa.RecordBatch.from_arrays([g, *(b.column(c).take(again) for c in keys), pa.array(scores.ravel())], names=["g", *keys, "score"])
+
+    return vectors.select(*keys, "features").mapInArrow(run, f"g int, {kinds}, score double")
+
+
+#: Neighbours in the order of a ranking that are looked through together.
+SPAN = 4096
+
+
+def rank_all(scores: DataFrame, rest: DataFrame, topics: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """The first k of all documents for each topic (and each value of ``by``):
+    ``scores`` (by, qid, docid, score) has the pairs that match, ``rest`` (by,
+    docid, score) what a document scores for any other topic.
+
+    ``rest`` is put in order once, and its places are dealt into spans. For
+    each topic its matches are counted in each span; running sums of what is
+    left show the few spans that hold its first k places without a match, and
+    only there the matches are looked up and left out. So a topic that matches
+    nearly all documents meets no more than the spans and k places.
+    """
+    by = list(by)
+    order = [*by, F.desc(F.round("score", 9)), "docid"]
+    placed = stored(rest.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), "placed")
+    span = F.floor(F.col("place") / SPAN).alias("span")
+    # Places count on within a file from a multiple of the span, so those of a span have no gap.
+    spans = placed.groupBy(*by, span).agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    taken = scores.select(*by, "qid", "docid").join(placed.select(*by, "docid", "place"), [*by, "docid"])
+    taken = stored(taken.select(*by, "qid", "place", span), "taken")
+    used = taken.groupBy(*by, "qid", "span").agg(F.count(F.lit(1)).alias("used"))
+    asked = small(topics.select("qid").distinct())
+    left = spans.crossJoin(asked).join(used, [*by, "qid", "span"], "left")
+    left = left.withColumn("free", F.col("high") - F.col("low") + 1 - F.coalesce("used", F.lit(0))).filter("free > 0")
+    upto = Window.partitionBy(*by, "qid").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("free").over(upto), F.lit(0))
+    need = left.withColumn("before", before).filter(F.col("before") < k)
+    need = stored(need.select(*by, "qid", "span", "low", "high", F.least("free", F.lit(k) - F.col("before")).cast("int").alias("need")), "needed")
+    gone = taken.join(small(need.select(*by, "qid", "span")), [*by, "qid", "span"], "left_semi")
+    gone = gone.groupBy(*by, "qid", "span").agg(F.collect_list("place").alias("gone"))  # at most a span
+    open_ = F.array_except(F.sequence("low", "high"), F.coalesce("gone", F.array().cast("array<bigint>")))
+    fill = need.join(gone, [*by, "qid", "span"], "left").select(*by, "qid", F.explode(F.slice(open_, F.lit(1), F.col("need"))).alias("place"))
+    fill = placed.join(small(fill), [*by, "place"]).select(*by, "qid", "docid", "score")
+    both = scores.select(*by, "qid", "docid", "score").unionByName(fill)
+    if not by:
+        return rank(both, k)
+    return rank(both.select(F.struct(*by, "qid").alias("qid"), "docid", "score"), k).select("qid.*", "docid", "score", "rank")
 
 
 def choose_alpha(train: DataFrame, validation: DataFrame, lengths: DataFrame, qrels: DataFrame, train_topics: DataFrame, topics: DataFrame, alphas: Sequence[float] = ALPHAS):
     """(trials [(alpha, f1)], best alpha, its weights and intercept): the first
     alpha of the highest f1 at 10 over ``topics``. Training and ranking take in
-    every pair of topic and document."""
-    rows, trials, best = labelled(train, qrels, unmatched(train, lengths, qrels, train_topics)).persist(StorageLevel.DISK_ONLY), [], (-1.0, 0.0, None)
-    try:
-        for alpha, model in zip(alphas, fit_svms(rows, alphas), strict=True):
-            ranked = rank_all(linear_scores(validation, *model), linear_scores(lengths, *model), topics, 10)
-            f1 = evaluation.macro(evaluation.prf(ranked, qrels, topics, (10,)), "k").first()["f1"]
-            trials.append((float(alpha), f1))
-            if round(f1, 12) > round(best[0], 12):
-                best = (f1, float(alpha), model)
-    finally:
-        rows.unpersist()
-    return trials, best[1], best[2]
+    every pair of topic and document; all alphas are ranked and judged in one job."""
+    fits = svm_path(labelled(train, qrels, unmatched(train, lengths, qrels, train_topics)), alphas)
+    trials = judged_alphas(fits, validation, lengths, qrels, topics)
+    at = max(range(len(fits)), key=lambda i: (round(trials[i][1], 12), -i))
+    return trials, fits[at].alpha, (fits[at].weights, fits[at].intercept)
+
+
+def judged_alphas(fits: Sequence[Fit], vectors: DataFrame, lengths: DataFrame, qrels: DataFrame, topics: DataFrame) -> list[tuple[float, float]]:
+    """(alpha, f1 at 10) of every fit over ``topics``, from one ranking of all of them."""
+    models = [(f.weights, f.intercept) for f in fits]
+    ranked = rank_all(linear_grid(vectors, models), linear_grid(lengths, models), topics, 10, ["g"])
+    found = dict(f1_of_ranked(ranked, qrels, topics).collect())  # a row for each alpha
+    return [(f.alpha, found.get(i, 0.0)) for i, f in enumerate(fits)]
 
 
 def save_bundle(spark: SparkSession, path: str, weights: Sequence[float], intercept: float, zone: Sequence[float], extra: dict) -> None:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import Analyzer, join_fields, model_name
 from lexispark.operators import evaluation, features, index, learning, ranking, reports, scoring, verify
 from lexispark.sources import collection, sinks
+from lexispark.sources.store import stored
 
 
 def analyze(docs: DataFrame, analyzer: Analyzer, fields: tuple[str, ...] = ("title", "body")) -> DataFrame:
@@ -39,6 +39,29 @@ def experiments(idx: index.Index, topics: DataFrame, qrels: DataFrame, models: S
     return reports.by_metric(rows, "AP")
 
 
+def tuned_against_default(idx: index.Index, topics: DataFrame, qrels: DataFrame, split: DataFrame, depth: int = 1000) -> DataFrame:
+    """BM25 with the best setting of the grid on the training topics against its
+    defaults, for the topics held out and for all: what ``comparisons`` gives, with k1 and b of the setting.
+
+    ``split`` (qid, split) has train and heldout. The best setting is a row that
+    is joined to the matches, so choice and comparison are one plan.
+    """
+    train = topics.join(small_part(split, "train"), "qid", "left_semi")
+    found = stored(scoring.matches(idx, scoring.topic_terms(topics, idx.analyzer)), "matches")
+    trained = found.join(small_part(split, "train"), "qid", "left_semi")
+    best = learning.first_best(learning.bm25_grid(trained, qrels, train, depth), "ap").select("k1", "b")
+    best = stored(best, "best")  # one row
+    tuned = found.crossJoin(F.broadcast(best)).groupBy("qid", "docid").agg(F.sum(scoring.term_weight("bm25", F.col("k1"), F.col("b"))).alias("score"))
+    plain = scoring.score(idx, topics, found=found)
+    a, b = (evaluation.measures(ranking.rank(s, depth), qrels, topics) for s in (plain, tuned))
+    sets = topics.select(F.lit("full").alias("set"), "qid").unionByName(split.filter("split = 'heldout'").select(F.col("split").alias("set"), "qid"))
+    return evaluation.comparisons(a, b, sets).crossJoin(F.broadcast(best))
+
+
+def small_part(split: DataFrame, name: str) -> DataFrame:
+    return index.small(split.filter(F.col("split") == name).select("qid"))
+
+
 @dataclass(frozen=True)
 class Trained:
     """What training found: trials (alpha, f1), the zone grid's best weights, the model for reports and the one for use."""
@@ -62,21 +85,16 @@ def train(idx: index.Index, topics: DataFrame, qrels: DataFrame, split: DataFram
     """
     if any(verify.split_faults(split, topics).first()):
         raise ValueError("the split does not deal out exactly the topics")
-    part = lambda *names: topics.join(F.broadcast(split.filter(F.col("split").isin(*names)).select("qid")), "qid", "left_semi")
-    vectors = features.feature_vectors(idx, topics).persist(StorageLevel.DISK_ONLY)
-    bare = features.bare_features(idx).persist(StorageLevel.DISK_ONLY)
-    try:
-        of = lambda *names: vectors.join(F.broadcast(part(*names).select("qid")), "qid", "left_semi")
-        trials, alpha, reported = learning.choose_alpha(of("train"), of("validation"), bare, qrels, part("train"), part("validation"), alphas)
-        best = learning.first_best(learning.zone_grid(scoring.zones(idx, part("train")), qrels, part("train"))).first()
-        both = part("train", "validation")
-        (deployed,) = learning.fit_svms(learning.labelled(of("train", "validation"), qrels, learning.unmatched(of("train", "validation"), bare, qrels, both)), [alpha])
-        ranked = learning.rank_all(learning.linear_scores(of("test"), *reported), learning.linear_scores(bare, *reported), part("test"), max(evaluation.CUTOFFS))
-        rows = evaluation.macro(evaluation.prf(ranked, qrels, part("test")), "k").collect()  # one for each cutoff
-        metrics = vectors.sparkSession.createDataFrame(rows, "k int, precision double, recall double, f1 double")
-    finally:
-        vectors.unpersist()
-        bare.unpersist()
+    part = lambda *names: topics.join(index.small(split.filter(F.col("split").isin(*names)).select("qid")), "qid", "left_semi")
+    vectors, bare = stored(features.feature_vectors(idx, topics), "features"), stored(features.bare_features(idx), "bare")
+    of = lambda *names: vectors.join(index.small(part(*names).select("qid")), "qid", "left_semi")
+    trials, alpha, reported = learning.choose_alpha(of("train"), of("validation"), bare, qrels, part("train"), part("validation"), alphas)
+    best = learning.first_best(learning.zone_grid(scoring.zones(idx, part("train")), qrels, part("train"))).first()
+    both = part("train", "validation")
+    (deployed,) = learning.fit_svms(learning.labelled(of("train", "validation"), qrels, learning.unmatched(of("train", "validation"), bare, qrels, both)), [alpha])
+    ranked = learning.rank_all(learning.linear_scores(of("test"), *reported), learning.linear_scores(bare, *reported), part("test"), max(evaluation.CUTOFFS))
+    rows = evaluation.macro(evaluation.prf(ranked, qrels, part("test")), "k").collect()  # one for each cutoff
+    metrics = vectors.sparkSession.createDataFrame(rows, "k int, precision double, recall double, f1 double")
     zone = (best["a"], best["b"], best["c"], best["d"])
     if path:
         learning.save_bundle(vectors.sparkSession, path, *deployed, zone, {"alpha": alpha, "features": features.feature_names(), **(extra or {})})

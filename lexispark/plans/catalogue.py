@@ -7,25 +7,25 @@ is relevant to an item whose text it contains.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import porter, text
 from lexispark.functions.text import STOP, Analyzer
-from lexispark.operators import boolean, evaluation, features, index, learning, ranking, reports, scoring, verify, workflow
+from lexispark.operators import boolean, evaluation, features, index, learning, ranking, reports, scoring, variants, verify, workflow
 from lexispark.operators.index import FIELDS, small
 from lexispark.sources import collection, sinks
+from lexispark.sources.store import folder, stored
 
 PLAIN = Analyzer()
 BOOLEAN = Analyzer(possessive=True, stemmer="porter_all")
 #: Fixed queries for the Boolean operators; the last two are malformed.
 BOOLEAN_QUERIES = ((1, "things AND others"), (2, "erth or ened"), (3, "The AND nothinglikethis"), (4, "running's OR reeding"), (5, "reered and reered"), (6, "one two"), (7, "one NOT two"))
 DEPTH = 100
+#: Columns for the measures, in their order.
+MEASURES = ("ap", "ndcg_10", "ndcg_20", "p_5", "p_10", "r_100", "rr")
 #: A second stop list for the preprocessing grid.
 SHORT_STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "is", "it", "of", "on", "or", "the", "to")
 
@@ -64,7 +64,8 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = d.select("docid", "body", F.explode(F.array_distinct(text.alnum(F.col("body")))).alias("term")).join(small(q.filter("term is not null").select("qid", "query", "term")), "term")
     found = have.filter(F.col("body").contains(F.col("query"))).select("qid", "docid")
     short = d.join(small(q.filter("term is null").select("qid", "query"), 10_000), F.col("body").contains(F.col("query"))).select("qid", "docid")
-    return found.union(short).select("qid", "docid", (1 + F.pmod("docid", F.lit(4))).cast("int").alias("label"))
+    # Read several times by what judges a run.
+    return stored(found.union(short).select("qid", "docid", (1 + F.pmod("docid", F.lit(4))).cast("int").alias("label")), "judgements")
 
 
 def body_index(spark: SparkSession, sf_dir: str, analyzer: Analyzer = PLAIN) -> index.Index:
@@ -154,6 +155,13 @@ def preprocessing_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.crossJoin(n).select(F.concat_ws("__", "fields", "stemmer", "stop").alias("variant"), F.col("n").alias("docs"), "terms", "postings", "tokens", F.round(F.col("tokens") / F.col("n"), 2).alias("avg"))
 
 
+def preprocessing_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven measures of BM25 over each of the 27 preprocessing variants, best average precision first."""
+    stops = {"none": (), "list": STOP, "short": SHORT_STOP}
+    found = variants.grid(documents(spark, sf_dir), topics(spark, sf_dir), qrels(spark, sf_dir), stops)
+    return rounded(found.select("name", "place", *(F.col(f"`{m}`") for m in evaluation.METRICS)), *evaluation.METRICS).toDF("name", "place", *MEASURES)
+
+
 def _boolean(spark: SparkSession, sf_dir: str, keep: tuple[int, ...] | None = None) -> DataFrame:
     q = spark.createDataFrame([r for r in BOOLEAN_QUERIES if keep is None or r[0] in keep], "query_id bigint, query string")
     return boolean.search(body_index(spark, sf_dir, BOOLEAN).tf, q).select("query_id", "op", "left", "right", F.size("docids").cast("bigint").alias("n"), F.array_join("docids", " ").alias("docids"))
@@ -163,6 +171,17 @@ def boolean_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boolean(spark, sf_dir, (1, 3, 5))
 
 
+def boolean_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve most frequent terms, each with the next, by AND and by OR."""
+    idx = body_index(spark, sf_dir)
+    top = idx.df.orderBy(F.desc("df"), "term").limit(12).withColumn("at", F.row_number().over(Window.orderBy(F.desc("df"), "term")))  # twelve rows
+    following = top.select((F.col("at") - 1).alias("at"), F.col("term").alias("next"))
+    ops = F.explode(F.array(F.struct(F.lit(0).alias("i"), F.lit("AND").alias("op")), F.struct(F.lit(1).alias("i"), F.lit("or").alias("op"))))
+    asked = top.join(F.broadcast(following), "at").select("at", "term", "next", ops.alias("x"))
+    q = asked.select((2 * F.col("at") + F.col("x.i")).cast("bigint").alias("query_id"), F.concat_ws(" ", "term", "x.op", "next").alias("query"))
+    return boolean.search(idx.tf, q, stemmer="none").select("query_id", "op", "left", "right", F.size("docids").cast("bigint").alias("n"), F.array_join("docids", " ").alias("docids"))
+
+
 def boolean_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boolean(spark, sf_dir, (2, 4))
 
@@ -260,7 +279,7 @@ def macro_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = evaluation.measures(_run(spark, sf_dir), qrels(spark, sf_dir), topics(spark, sf_dir))
-    return rounded(m, *evaluation.METRICS).toDF("qid", "ap", "ndcg_10", "ndcg_20", "p_5", "p_10", "r_100", "rr")
+    return rounded(m, *evaluation.METRICS).toDF("qid", *MEASURES)
 
 
 def _measure(name: str, column: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -277,6 +296,13 @@ def baseline_better_worse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.compare(a, b, "AP"), "mean", "t")
 
 
+def tuned_vs_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 tuned on the odd topics against its defaults: seven measures for the even topics and for all, with p."""
+    idx, q = body_index(spark, sf_dir), topics(spark, sf_dir)
+    found = workflow.tuned_against_default(idx, q, qrels(spark, sf_dir), learning.odd_even(q).select("qid", "split"))
+    return rounded(found, "baseline", "other", "t", "p", "sign_p")
+
+
 def split_odd_even(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.odd_even(topics(spark, sf_dir)).select("qid", "split")
 
@@ -345,36 +371,46 @@ def _three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return topics(spark, sf_dir).join(F.broadcast(_three_way(spark, sf_dir).filter(F.col("split") == name).select("qid")), "qid", "left_semi")
+    return topics(spark, sf_dir).join(small(_three_way(spark, sf_dir).filter(F.col("split") == name).select("qid")), "qid", "left_semi")
 
 
-def _training(spark: SparkSession, sf_dir: str, idx: index.Index) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows to train on, bare features, judgements) for the training topics: every pair of topic and document."""
+def _training(spark: SparkSession, sf_dir: str, idx: index.Index) -> DataFrame:
+    """The rows to train on: every pair of topic and document of the training topics."""
     q, j, bare = _part(spark, sf_dir, "train"), qrels(spark, sf_dir), features.bare_features(idx)
-    v = features.feature_vectors(idx, q).persist(StorageLevel.DISK_ONLY)  # read for the counts and for the rows
-    return learning.labelled(v, j, learning.unmatched(v, bare, j, q)), bare, j
+    v = stored(features.feature_vectors(idx, q), "features")  # read for the counts and for the rows
+    return learning.labelled(v, j, learning.unmatched(v, bare, j, q))
 
 
 def svm_alpha_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """f1 at 10 over the validation topics for all eight alphas."""
-    idx = full_index(spark, sf_dir)
-    bare = features.bare_features(idx).persist(StorageLevel.DISK_ONLY)
+    idx, j = full_index(spark, sf_dir), qrels(spark, sf_dir)
+    bare = stored(features.bare_features(idx), "bare")
+    vectors = stored(features.feature_vectors(idx, topics(spark, sf_dir).filter(F.pmod("qid", F.lit(5)) < 4)), "features")
     train, held = _part(spark, sf_dir, "train"), _part(spark, sf_dir, "validation")
-    trials, _, _ = learning.choose_alpha(features.feature_vectors(idx, train).persist(StorageLevel.DISK_ONLY), features.feature_vectors(idx, held).persist(StorageLevel.DISK_ONLY), bare, qrels(spark, sf_dir), train, held)
+    of = lambda part: vectors.join(small(part.select("qid")), "qid", "left_semi")
+    trials, _, _ = learning.choose_alpha(of(train), of(held), bare, j, train, held)
     return spark.createDataFrame(trials, "alpha double, f1 double")
 
 
+#: A fit's certificate: its objectives may differ by so much.
+GAP = 1e-6
+
+
+def svm_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every alpha the pairs it was fitted to and whether the dual proves its loss to be the least but for ``GAP``."""
+    rows = _training(spark, sf_dir, full_index(spark, sf_dir))
+    pairs = F.broadcast(rows.agg(F.sum("n").alias("pairs"), F.sum(F.when(F.col("label") > 0, F.col("n")).otherwise(0)).alias("relevant")))  # one row
+    found = learning.objectives(spark, learning.svm_path(rows, learning.ALPHAS))
+    proved = (F.col("gap") <= GAP * F.greatest(F.col("primal"), F.lit(1.0))) & (F.col("gap") > -GAP)
+    return found.select("alpha", proved.alias("optimal")).crossJoin(pairs)
+
+
 #: What the queries of one model take; the grid above is about the choice.
 ALPHA = 0.01
 
 
 def _model(spark: SparkSession, sf_dir: str) -> tuple[list[float], float]:
-    rows, _, _ = _training(spark, sf_dir, full_index(spark, sf_dir))
-    rows = rows.persist(StorageLevel.DISK_ONLY)
-    try:
-        return learning.fit_svms(rows, (ALPHA,))[0]
-    finally:
-        rows.unpersist()
+    return learning.fit_svms(_training(spark, sf_dir, full_index(spark, sf_dir)), (ALPHA,))[0]
 
 
 def svm_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,14 +419,14 @@ def svm_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def svm_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train, write a bundle, read it and rank all documents for topics that were not trained on."""
-    path = f"{scratch(spark)}/bundle"
+    path = f"{folder(spark)}/bundle"
     learning.save_bundle(spark, path, *_model(spark, sf_dir), WEIGHTS, {"alpha": ALPHA, "features": features.feature_names()})
     return rounded(workflow.predict(spark, path, full_index(spark, sf_dir), _part(spark, sf_dir, "test"), 10), "score")
 
 
 def svm_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of each feature over all pairs of training topics and documents."""
-    rows, _, _ = _training(spark, sf_dir, full_index(spark, sf_dir))
+    rows = _training(spark, sf_dir, full_index(spark, sf_dir))
     mean, std = learning.scaler(rows)
     return rounded(spark.createDataFrame([(f, float(m), float(d)) for f, m, d in zip(features.feature_names(), mean, std, strict=True)], "feature string, mean double, deviation double"), "mean", "deviation", places=5)
 
@@ -409,49 +445,45 @@ def linear_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def svm_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs, and the weight of each, by label."""
-    rows, _, _ = _training(spark, sf_dir, full_index(spark, sf_dir))
+    rows = _training(spark, sf_dir, full_index(spark, sf_dir))
     return rounded(rows.groupBy("label").agg(F.sum("n").alias("pairs"), F.sum("weight").alias("weight")), "weight")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder for files that a query writes and reads, in the shared folder if the session names one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lexispark-")
-    return f"{top.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def collection_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as a tagged file and read back by the fielded reader; line ends in a field are blanks."""
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     d = documents(spark, sf_dir).select("docid", *(flat(F.col(f)).alias(f) for f in FIELDS))
-    path = scratch(spark)
+    path = folder(spark)
     sinks.write_lines(d.select("docid", F.concat(F.lit(".I "), F.col("docid").cast("string"), *(F.concat(F.lit(f"\n{tag}\n"), F.regexp_replace(F.col(f), r"(?m)^\.", "·")) for tag, f in collection.TAGS.items())).alias("line")), path, ["docid"])
     return collection.read_collection(spark, path).select("docid", *(F.octet_length(f).cast("bigint").alias(f) for f in FIELDS))
 
 
 def processed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged titles and bodies analyzed, written as a processed file and read back."""
-    path = scratch(spark)
+    path = folder(spark)
     sinks.write_processed(workflow.analyze(documents(spark, sf_dir), Analyzer(possessive=True)), path)
     return collection.read_processed(spark, path).select("docid", F.array_join("tokens", " ").alias("tokens"))
 
 
 def index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index as a text file, read back."""
-    path = scratch(spark)
+    path = folder(spark)
     sinks.write_index(body_index(spark, sf_dir, BOOLEAN).tf, path)
     return collection.read_index(spark, path)
 
 
 def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three terms looked up in a saved index."""
-    path = scratch(spark)
-    full_index(spark, sf_dir).save(path)
-    return index.lookup(spark, path, "body", ("others", "things", "nothinglikethis"))
+    """Three frequent terms, three rare ones and one that is nowhere, looked up in a saved index."""
+    path, idx = folder(spark), full_index(spark, sf_dir)
+    idx.save(path)
+    body = idx.df.filter("field = 'body'")
+    terms = [r[0] for order in (F.desc("df"), F.asc("df")) for r in body.orderBy(order, "term").limit(3).select("term").collect()]
+    return index.lookup(spark, path, "body", (*terms, "nothinglikethis"))
 
 
 def topic_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics written as a tagged file, read back: places from 1 and labels."""
-    path = scratch(spark)
+    path = folder(spark)
     t = topics(spark, sf_dir)
     line = F.concat(F.lit(".I "), F.format_string("%03d", F.col("qid").cast("bigint")), F.lit("\n.W\n"), F.trim(F.regexp_replace(F.coalesce("query", F.lit("")), r"\s+", " ")))
     t.orderBy("qid").select(line.alias("line")).coalesce(1).write.text(path)  # topics are few and their places count
@@ -460,7 +492,7 @@ def topic_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judgement_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judgements written as codes and read back as gains and as binary labels."""
-    path = scratch(spark)
+    path = folder(spark)
     j = qrels(spark, sf_dir)
     sinks.write_lines(j.select("qid", "docid", F.concat_ws(" ", "qid", "docid", (5 - F.col("label")).cast("string"), F.lit("")).alias("line")), path, ["qid", "docid"])
     return collection.read_graded(spark, path).join(collection.read_binary(spark, path).withColumnRenamed("label", "relevant"), ["qid", "docid"])
@@ -469,7 +501,7 @@ def judgement_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boolean_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer blocks of all accepted queries as written."""
     q = spark.createDataFrame(list(BOOLEAN_QUERIES), "query_id bigint, query string")
-    path = scratch(spark)
+    path = folder(spark)
     if not sinks.write_answers(boolean.search(body_index(spark, sf_dir, BOOLEAN).tf, q), path):
         raise ValueError("no query was parsed")
     return spark.read.text(path).filter("value <> ''").groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
@@ -477,7 +509,7 @@ def boolean_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written(spark: SparkSession, sf_dir: str, model: str = "bm25") -> DataFrame:
     labels = topics(spark, sf_dir).select("qid", F.format_string("%05d", F.col("qid").cast("bigint")).alias("original_id"))
-    path = scratch(spark)
+    path = folder(spark)
     sinks.write_run(ranking.run_lines(ranking.rank(scoring.score(body_index(spark, sf_dir), topics(spark, sf_dir), model), DEPTH), "lexispark", 9, labels), path)
     return verify.numbered(collection.read_run(spark, path), labels)
 
@@ -559,11 +591,11 @@ def id_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     run = [
         rank_top10, token_stream, token_counts, stage_counts, stop_filter, stop_anti_join, porter_vocabulary, build_postings, index_header, tf_table, df_table, field_lengths,
-        collection_stats, preprocessing_grid, boolean_and, boolean_or, boolean_batch, boolean_rejected, clean_topics, *(_score(m) for m in scoring.MODELS), zone_scores, zone_or_scores, equal_zone,
+        collection_stats, preprocessing_grid, preprocessing_measures, boolean_and, boolean_common, boolean_or, boolean_batch, boolean_rejected, clean_topics, *(_score(m) for m in scoring.MODELS), zone_scores, zone_or_scores, equal_zone,
         *(_feature_matrix(f) for f in FIELDS), feature_matrix_all, rank_padded_topk, trec_run, run_label_ids, prf_at_k, macro_prf, ranked_measures, _measure("average_precision", "ap"),
-        _measure("ndcg_at_10", "ndcg_10"), _measure("reciprocal_rank", "rr"), _measure("recall_at_100", "r_100"), baseline_better_worse, split_odd_even, split_semi_join, qrels_join_default_zero,
+        _measure("ndcg_at_10", "ndcg_10"), _measure("reciprocal_rank", "rr"), _measure("recall_at_100", "r_100"), baseline_better_worse, tuned_vs_default, split_odd_even, split_semi_join, qrels_join_default_zero,
         qrels_coverage_anti, dangling_docs, simplex_grid, zone_grid_search, argmax_first, bm25_grid_search, run_verification, tie_diagnostics, score_diagnostics, split_seeded,
-        svm_train_predict, svm_alpha_grid, svm_weights, svm_scaler, svm_class_counts, linear_decision, collection_file, processed_file, index_file, index_lookup, topic_file, judgement_file,
+        svm_train_predict, svm_alpha_grid, svm_certificate, svm_weights, svm_scaler, svm_class_counts, linear_decision, collection_file, processed_file, index_file, index_lookup, topic_file, judgement_file,
         boolean_file, run_recheck, run_disagreements, split_check, split_three_way, model_table, model_spread, model_names, variant_pairs, top_coefficients, input_digests, mean_distinct_scores, id_counts,
     ]
     return {f.__name__: f for f in run}

