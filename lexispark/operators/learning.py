@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from lexispark.operators import evaluation
 from lexispark.operators.index import FIELDS, small
 from lexispark.operators.ranking import rank
-from lexispark.operators.scoring import term_weight
 from lexispark.sources.store import stored
 
 #: The grids.
@@ -87,15 +86,23 @@ def first_best(grid: DataFrame, metric: str = "f1", order: str = "g") -> DataFra
 def bm25_grid(found: DataFrame, qrels: DataFrame, topics: DataFrame, depth: int = 1000, k1s: Sequence[float] = K1, bs: Sequence[float] = B) -> DataFrame:
     """(g, k1, b, ap): mean average precision of every setting, from one set of matches."""
     settings = [(i * len(bs) + j, float(k), float(b)) for i, k in enumerate(k1s) for j, b in enumerate(bs)]
-    grid = F.broadcast(found.sparkSession.createDataFrame(settings, "g int, k1 double, b double"))
-    scored = found.crossJoin(grid).groupBy("g", "qid", "docid").agg(F.sum(term_weight("bm25", F.col("k1"), F.col("b"))).alias("score"))
+    settings = found.sparkSession.createDataFrame(settings, "g int, k1 double, b double")
+    grid = F.broadcast(settings)
+    # The few terms of a pair are gathered first, so the grid meets pairs, and their sums need no shuffle.
+    # A setting changes only k1 * (1 - b + b * len / avg), which is the same for all terms of a document.
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    pairs = found.groupBy("qid", "docid").agg(F.collect_list(F.struct(idf.alias("idf"), F.col("tf").cast("double").alias("tf"))).alias("terms"), F.first(F.col("len") / F.col("avg")).alias("size"))
+    norm = F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("size"))
+    weight = lambda t: t["idf"] * (F.col("k1") + 1) * t["tf"] / (t["tf"] + F.col("norm"))
+    settled = pairs.crossJoin(grid).withColumn("norm", norm)
+    scored = settled.select("g", "qid", "docid", F.aggregate("terms", F.lit(0.0), lambda total, t: total + weight(t)).alias("score"))
     ranked = rank(scored.select(F.struct("g", "qid").alias("qid"), "docid", "score"), depth).select(F.col("qid.g").alias("g"), F.col("qid.qid").alias("qid"), "docid", "rank")
     hits = ranked.join(small(qrels.filter("label > 0").select("qid", "docid")), ["qid", "docid"])
     seen = F.row_number().over(Window.partitionBy("g", "qid").orderBy("rank"))
     ap = hits.withColumn("s", seen / F.col("rank")).groupBy("g", "qid").agg(F.sum("s").alias("s")).join(small(evaluation.totals(topics, qrels).filter("relevant > 0")), "qid")
     n = F.broadcast(topics.agg(F.count(F.lit(1)).alias("topics")))
     mean = ap.groupBy("g").agg(F.sum(F.col("s") / F.col("relevant")).alias("sum")).crossJoin(n)
-    return grid.join(mean, "g", "left").select("g", "k1", "b", F.coalesce(F.col("sum") / F.col("topics"), F.lit(0.0)).alias("ap"))
+    return settings.join(mean, "g", "left").select("g", "k1", "b", F.coalesce(F.col("sum") / F.col("topics"), F.lit(0.0)).alias("ap"))
 
 
 def unmatched(vectors: DataFrame, lengths: DataFrame, qrels: DataFrame, topics: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def analyze(docs: DataFrame, analyzer: Analyzer, fields: tuple[str, ...] = ("tit
 
 def preprocess(spark: SparkSession, source: str, path: str, stop: tuple[str, ...]) -> None:
     """A tagged collection's merged titles and bodies, analyzed, as a processed file. Of repeated ids the last counts."""
-    docs = collection.read_collection(spark, source, duplicates="last", inline=False, strip=False)
+    docs = collection.read_collection(spark, source, duplicates="last", form="merged")
     sinks.write_processed(analyze(docs, Analyzer(possessive=True, stop=stop, stemmer="porter_all")), path)
 
 
@@ -81,7 +81,8 @@ def train(idx: index.Index, topics: DataFrame, qrels: DataFrame, split: DataFram
     f1 at 10 over the validation topics and the reported model is that fit; zone
     weights are chosen on the training topics. The deployed model is fitted
     again with the chosen alpha over training and validation topics and enters
-    no reported measure. With ``path``, it is written as a bundle.
+    no reported measure. With ``path``, it is written as a bundle, with digests
+    of the lengths, topics, judgements and split that it was made from.
     """
     if any(verify.split_faults(split, topics).first()):
         raise ValueError("the split does not deal out exactly the topics")
@@ -97,7 +98,9 @@ def train(idx: index.Index, topics: DataFrame, qrels: DataFrame, split: DataFram
     metrics = vectors.sparkSession.createDataFrame(rows, "k int, precision double, recall double, f1 double")
     zone = (best["a"], best["b"], best["c"], best["d"])
     if path:
-        learning.save_bundle(vectors.sparkSession, path, *deployed, zone, {"alpha": alpha, "features": features.feature_names(), **(extra or {})})
+        tables = {"lengths": idx.dl, "topics": topics, "judgements": qrels, "split": split}
+        inputs = {name: reports.table_digest(t).first()["digest"] for name, t in tables.items()}
+        learning.save_bundle(vectors.sparkSession, path, *deployed, zone, {"alpha": alpha, "features": features.feature_names(), "inputs": inputs, **(extra or {})})
     return Trained(trials, alpha, zone, reported, deployed, metrics)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import porter, text
 from lexispark.functions.text import STOP, Analyzer
-from lexispark.operators import boolean, evaluation, features, index, learning, ranking, reports, scoring, variants, verify, workflow
+from lexispark.operators import blocks, boolean, evaluation, features, index, learning, ranking, reports, scoring, variants, verify, workflow
 from lexispark.operators.index import FIELDS, small
 from lexispark.sources import collection, sinks
 from lexispark.sources.store import folder, stored
@@ -24,6 +24,8 @@ BOOLEAN = Analyzer(possessive=True, stemmer="porter_all")
 #: Fixed queries for the Boolean operators; the last two are malformed.
 BOOLEAN_QUERIES = ((1, "things AND others"), (2, "erth or ened"), (3, "The AND nothinglikethis"), (4, "running's OR reeding"), (5, "reered and reered"), (6, "one two"), (7, "one NOT two"))
 DEPTH = 100
+#: Blocks of 64 ids, so that the small test tables have many.
+TOP_BITS = 6
 #: Columns for the measures, in their order.
 MEASURES = ("ap", "ndcg_10", "ndcg_20", "p_5", "p_10", "r_100", "rr")
 #: A second stop list for the preprocessing grid.
@@ -118,6 +120,28 @@ def build_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.postings(body_index(spark, sf_dir, BOOLEAN).tf).select("term", F.array_join("docids", ",").alias("docids"))
 
 
+def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each term's documents in blocks of 4,096 neighbouring ids, with the largest BM25 weight of each block."""
+    found = blocks.build(body_index(spark, sf_dir))
+    ids = F.transform("places", lambda p: F.shiftleft("block", blocks.BITS) + p)
+    return rounded(found.select("term", "block", "n", "first", "last", F.array_join(ids, ",").alias("docids"), "bound"), "bound")
+
+
+def _bounded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    idx = body_index(spark, sf_dir)
+    return blocks.top(idx, stored(blocks.build(idx, bits=TOP_BITS), "blocks"), topics(spark, sf_dir), 10, TOP_BITS)
+
+
+def top_by_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of score_bm25, from the blocks that can hold them."""
+    return rounded(_bounded(spark, sf_dir)[0], "score")
+
+
+def blocks_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each topic's terms, and how many of them were not opened."""
+    return _bounded(spark, sf_dir)[1]
+
+
 def index_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.header(body_index(spark, sf_dir, BOOLEAN).tf)
 
@@ -514,6 +538,25 @@ def _written(spark: SparkSession, sf_dir: str, model: str = "bm25") -> DataFrame
     return verify.numbered(collection.read_run(spark, path), labels)
 
 
+def run_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run written as a single file, read back with the place of each line in it."""
+    path = folder(spark, "run")
+    sinks.write_run(ranking.run_lines(_run(spark, sf_dir, 10), "lexispark", 6), path, single=True)
+    # One file of a few topics' lines: one split keeps their order.
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("at", "line"))
+    return lines.select((F.col("at") + 1).cast("bigint").alias("place"), "line")
+
+
+def table_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the ranker's inputs, and whether a table dealt out in another order has the same digest."""
+    out = None
+    for name, t in (("topics", topics(spark, sf_dir)), ("judgements", qrels(spark, sf_dir))):
+        one = reports.table_digest(t).join(F.broadcast(reports.table_digest(t.repartition(3)).select(F.col("digest").alias("again"))), F.col("digest") == F.col("again"), "left")
+        one = one.select(F.lit(name).alias("name"), "rows", F.col("again").isNotNull().alias("same"), F.length("digest").alias("size"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def run_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures counted again from a written run, beside those of the run that was written."""
     q, j = topics(spark, sf_dir), qrels(spark, sf_dir)
@@ -590,12 +633,12 @@ def id_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     run = [
-        rank_top10, token_stream, token_counts, stage_counts, stop_filter, stop_anti_join, porter_vocabulary, build_postings, index_header, tf_table, df_table, field_lengths,
+        rank_top10, token_stream, token_counts, stage_counts, stop_filter, stop_anti_join, porter_vocabulary, build_postings, posting_blocks, top_by_bounds, blocks_skipped, index_header, tf_table, df_table, field_lengths,
         collection_stats, preprocessing_grid, preprocessing_measures, boolean_and, boolean_common, boolean_or, boolean_batch, boolean_rejected, clean_topics, *(_score(m) for m in scoring.MODELS), zone_scores, zone_or_scores, equal_zone,
         *(_feature_matrix(f) for f in FIELDS), feature_matrix_all, rank_padded_topk, trec_run, run_label_ids, prf_at_k, macro_prf, ranked_measures, _measure("average_precision", "ap"),
         _measure("ndcg_at_10", "ndcg_10"), _measure("reciprocal_rank", "rr"), _measure("recall_at_100", "r_100"), baseline_better_worse, tuned_vs_default, split_odd_even, split_semi_join, qrels_join_default_zero,
         qrels_coverage_anti, dangling_docs, simplex_grid, zone_grid_search, argmax_first, bm25_grid_search, run_verification, tie_diagnostics, score_diagnostics, split_seeded,
         svm_train_predict, svm_alpha_grid, svm_certificate, svm_weights, svm_scaler, svm_class_counts, linear_decision, collection_file, processed_file, index_file, index_lookup, topic_file, judgement_file,
-        boolean_file, run_recheck, run_disagreements, split_check, split_three_way, model_table, model_spread, model_names, variant_pairs, top_coefficients, input_digests, mean_distinct_scores, id_counts,
+        boolean_file, run_file, table_digests, run_recheck, run_disagreements, split_check, split_three_way, model_table, model_spread, model_names, variant_pairs, top_coefficients, input_digests, mean_distinct_scores, id_counts,
     ]
     return {f.__name__: f for f in run}

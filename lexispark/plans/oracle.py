@@ -7,7 +7,8 @@ from lexispark.functions.text import FIELD_SETS, STOP, model_name
 from lexispark.operators.features import FEATURES, feature_names
 from lexispark.operators.index import FIELDS
 from lexispark.operators.learning import ALPHAS, B, K1
-from lexispark.plans.catalogue import BOOLEAN_QUERIES, DECISION, DEPTH, SHORT_STOP, WEIGHTS
+from lexispark.operators.blocks import BITS
+from lexispark.plans.catalogue import BOOLEAN_QUERIES, DECISION, DEPTH, SHORT_STOP, TOP_BITS, WEIGHTS
 
 STOPS = ", ".join(f"'{w}'" for w in STOP)
 SHORT_STOPS = ", ".join(f"'{w}'" for w in SHORT_STOP)
@@ -229,6 +230,21 @@ t AS (SELECT *, CASE WHEN sd > 1e-12 THEN mean / (sd / sqrt(topics)) END AS t, t
 SELECT set, measure, topics, {r6("baseline")} AS baseline, {r6("other")} AS other, better, worse, {r6("t")} AS t, {r6(T_TEST)} AS p, {r6(SIGN_TEST)} AS sign_p, k1, b FROM u, best"""
 
 
+#: A posting's part of BM25 without the topic.
+PLACED = "pl AS (SELECT tf.term, tf.docid, tf.docid >> {0} AS block, 2.2::DOUBLE * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / st.avg)) AS w FROM tf JOIN dl ON dl.docid = tf.docid AND dl.field = 'body' JOIN st ON st.field = 'body' WHERE tf.field = 'body')"
+
+
+def skipped(k: int = 10) -> str:
+    """Blocks of a topic's terms whose span's bounds stay below the k-th best score among documents of the rarest term."""
+    return f"""WITH {INDEX}, {MATCH}, {PLACED.format(TOP_BITS)}, {scored("bm25")},
+a AS (SELECT qid, qt.term, df, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5)) AS idf FROM qt JOIN df ON df.field = 'body' AND df.term = qt.term JOIN st ON st.field = 'body'),
+b AS (SELECT qid, block, idf * max(w) AS most FROM a JOIN pl USING (term) GROUP BY qid, term, block, idf),
+rare AS (SELECT qid, arg_min(term, (df, term)) AS term FROM a WHERE df >= {k} GROUP BY qid),
+c AS (SELECT s.qid, score, row_number() OVER (PARTITION BY s.qid ORDER BY round(score, 9) DESC, s.docid) AS rank FROM s JOIN rare ON rare.qid = s.qid JOIN pl ON pl.term = rare.term AND pl.docid = s.docid),
+sp AS (SELECT qid, block, sum(most) AS most, count(*) AS lists FROM b GROUP BY ALL)
+SELECT sp.qid, CAST(sum(lists) AS BIGINT) AS blocks, CAST(sum(CASE WHEN most >= coalesce(score, 0) - 2e-9 THEN 0 ELSE lists END) AS BIGINT) AS skipped FROM sp LEFT JOIN c ON c.qid = sp.qid AND c.rank = {k} GROUP BY sp.qid"""
+
+
 def scaled() -> str:
     """Mean and deviation of each feature over all pairs of training topics and documents."""
     ctes, parts = ", ".join(feature_sql(x, x) for x in FIELDS), []
@@ -283,6 +299,11 @@ def more() -> dict[str, str]:
 p AS (SELECT a.nr, a.term AS "left", b.term AS "right", op, i FROM w a JOIN w b ON b.nr = a.nr + 1, (VALUES ('AND', 0), ('OR', 1)) o(op, i)),
 h AS (SELECT nr, i, docid FROM p JOIN tf ON field = 'body' AND tf.term IN ("left", "right") GROUP BY ALL HAVING i = 1 OR count(*) = 2)
 SELECT 2 * p.nr + p.i AS query_id, op, "left", "right", count(docid) AS n, coalesce(string_agg(CAST(docid AS VARCHAR), ' ' ORDER BY docid), '') AS docids FROM p LEFT JOIN h ON h.nr = p.nr AND h.i = p.i GROUP BY ALL""",
+        "posting_blocks": f"{idx}, {PLACED.format(BITS)} SELECT term, block, CAST(count(*) AS INTEGER) AS n, min(docid) AS first, max(docid) AS last, string_agg(CAST(docid AS VARCHAR), ',' ORDER BY docid) AS docids, {r6('max(w)')} AS bound FROM pl GROUP BY term, block",
+        "top_by_bounds": top(scored("bm25")),
+        "blocks_skipped": skipped(),
+        "run_file": f"WITH {RUN} SELECT row_number() OVER (ORDER BY qid, rank) AS place, {LINE.format('qid')} AS line FROM run WHERE rank <= 10",
+        "table_digests": f"{idx}, {QRELS} SELECT 'topics' AS name, (SELECT count(*) FROM q) AS rows, true AS same, 64 AS size UNION ALL SELECT 'judgements', (SELECT count(*) FROM j), true, 64",
         "preprocessing_measures": grid_measures(),
         "tuned_vs_default": tuned(),
         "svm_certificate": f"{idx}, {QRELS} SELECT unnest([{', '.join(f'{a!r}::DOUBLE' for a in ALPHAS)}]) AS alpha, true AS optimal, (SELECT count(*) FROM q WHERE qid % 5 < 3) * (SELECT count(*) FROM d) AS pairs, (SELECT count(*) FROM j WHERE qid % 5 < 3) AS relevant",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,40 +20,62 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
     return text.filter(F.trim("r") != "").select(F.trim(F.get(lines, F.lit(0))).alias("head"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("lines"))
 
 
-def _fields(lines: Column, inline: bool, strip: bool) -> Column:
-    """Field texts by a walk over a record's lines.
+@dataclass(frozen=True)
+class Form:
+    """How a reader takes tags.
 
-    A tag opens its field, and text on the tag's line counts if ``inline``.
-    After the body has begun, author and bibliography tags are strays and what
-    follows them stays in the body; a second body tag goes on with the body.
+    ``opens``: (field that is open, tag) and the field that the tag opens; a
+    pair that is not there is a stray, and its line is text. ``tagged``: a tag
+    line. ``own``: text on a line whose tag opens a field counts. ``stray``:
+    of a stray's line only what follows the tag is text.
     """
+
+    opens: dict[tuple[str, str], str]
+    tagged: str
+    own: bool
+    stray: bool
+
+    @staticmethod
+    def after(strays: tuple[str, ...], tagged: str, own: bool, stray: bool) -> Form:
+        """Every tag opens its field, but for those that are strays once the body is open."""
+        states = ("", *TAGS.values())
+        return Form({(s, t): k for s in states for t, k in TAGS.items() if s != "body" or k == "body" or t not in strays}, tagged, own, stray)
+
+
+#: Titles and bodies read together, tags alone on their lines; fields, with text beside tags dropped where they open one;
+#: fields, with that text kept. In the last, a title tag opens the title again after a body.
+FORMS = {
+    "merged": Form.after((".A", ".B"), r"^(\.[TABW])\s*$", False, False),
+    "strict": Form.after((".T", ".A", ".B"), r"^(\.[TABW])(.*)$", False, True),
+    "fielded": Form.after((".A", ".B"), r"^\s*(\.[TABW])(?:\s+(.*))?$", True, True),
+}
+
+
+def _fields(lines: Column, form: Form) -> Column:
+    """Field texts by a walk over a record's lines: the open field and the line's tag are looked up in the form's table."""
     kinds = list(TAGS.values())
     start = F.struct(F.lit("").alias("now"), F.lit(False).alias("begun"), *(F.lit("").alias(k) for k in kinds))
+    table = F.create_map(*(F.lit(x) for (s, t), k in form.opens.items() for x in (f"{s} {t}", k)))
+    groups = 2 if form.stray else 1
 
     def walk(a: Column, line: Column) -> Column:
-        seen = F.trim(line) if strip else line
-        tag = F.substring(seen, 1, 2)
-        bare = F.length(F.trim(seen)) == 2
-        is_tag = tag.isin(*TAGS) & (bare | (F.substring(seen, 3, 1) == " ") if inline else bare)
-        field = F.lit(None).cast("string")
-        for t, k in TAGS.items():
-            field = F.when(tag == t, F.lit(k)).otherwise(field)
-        stray = is_tag & a["begun"] & F.coalesce(field.isin("author", "bibliography"), F.lit(False))
-        now = F.when(is_tag & ~stray, field).otherwise(a["now"])
-        text = F.when(is_tag, F.trim(F.substring(seen, F.lit(3), F.length(seen)))).otherwise(F.trim(line))
+        tag = F.regexp_extract(line, form.tagged, 1)
+        # Once a body has begun, tags are looked up as if it were open.
+        state = F.when(a["begun"], "body").otherwise(a["now"])
+        opened = F.when(tag != "", F.try_element_at(table, F.concat(state, F.lit(" "), tag)))
+        rest = F.regexp_extract(line, form.tagged, groups) if form.stray else F.lit("")
+        opening = F.trim(rest) if form.own else F.lit("")
+        text = F.when(opened.isNotNull(), opening).when(tag != "", F.trim(rest)).otherwise(F.trim(line))
+        now = F.coalesce(opened, a["now"])
         add = lambda k: F.when((now == k) & (text != ""), F.trim(F.concat(a[k], F.lit(" "), text))).otherwise(a[k])
-        return F.struct(now.alias("now"), (a["begun"] | F.coalesce(is_tag & (field == "body"), F.lit(False))).alias("begun"), *(add(k).alias(k) for k in kinds))
+        return F.struct(now.alias("now"), (a["begun"] | F.coalesce(opened == "body", F.lit(False))).alias("begun"), *(add(k).alias(k) for k in kinds))
 
     return F.aggregate(lines, start, walk)
 
 
-def read_collection(spark: SparkSession, path: str, duplicates: str = "error", inline: bool = True, strip: bool = True) -> DataFrame:
-    """(docid, title, author, bibliography, body) of a tagged file.
-
-    ``inline``: text on a tag's line counts. ``strip``: a tag may follow
-    blanks. ``duplicates``: error, keep (both) or last.
-    """
-    rows = _records(spark, path).select(F.col("head").cast("bigint").alias("docid"), F.monotonically_increasing_id().alias("at"), _fields(F.col("lines"), inline, strip).alias("f"))
+def read_collection(spark: SparkSession, path: str, duplicates: str = "error", form: str = "fielded") -> DataFrame:
+    """(docid, title, author, bibliography, body) of a tagged file, as one of ``FORMS`` reads it. ``duplicates``: error, keep (both) or last."""
+    rows = _records(spark, path).select(F.col("head").cast("bigint").alias("docid"), F.monotonically_increasing_id().alias("at"), _fields(F.col("lines"), FORMS[form]).alias("f"))
     docs = rows.select("docid", "at", *(F.col(f"f.{k}").alias(k) for k in TAGS.values()))
     if duplicates == "last":
         docs = docs.withColumn("n", F.row_number().over(Window.partitionBy("docid").orderBy(F.desc("at")))).filter("n = 1").drop("n")
@@ -66,7 +89,7 @@ def read_collection(spark: SparkSession, path: str, duplicates: str = "error", i
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
     """(qid, original_id, query): qid is the place in the file from 1, original_id the label there. Topic files are small."""
-    rows = _records(spark, path).coalesce(1).select(F.monotonically_increasing_id().alias("at"), F.col("head").alias("original_id"), _fields(F.col("lines"), True, True)["body"].alias("query"))
+    rows = _records(spark, path).coalesce(1).select(F.monotonically_increasing_id().alias("at"), F.col("head").alias("original_id"), _fields(F.col("lines"), FORMS["fielded"])["body"].alias("query"))
     out = rows.withColumn("qid", F.row_number().over(Window.orderBy("at")).cast("bigint")).select("qid", "original_id", "query")
     if not out.groupBy("original_id").count().filter("count > 1").isEmpty():
         raise ValueError("topic labels repeat")

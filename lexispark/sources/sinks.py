@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,38 @@ def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
     lines.orderBy(*order).select("line").write.mode("overwrite").text(path)
 
 
+def write_file(lines: DataFrame, path: str, order: list[str]) -> None:
+    """Text lines in order as one file at ``path``.
+
+    Parts are written in parallel to a folder of their own beside it, then
+    joined in their order under a temporary name, and that file is renamed.
+    Until then what stands at ``path`` stays, also if anything fails. The
+    parts pass the driver's JVM by the buffer: this is for files that other
+    programs read whole, such as runs; larger results stay folders.
+    """
+    spark, temporary = lines.sparkSession, f"{path}._{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop
+    parts, joined, target = (hadoop.fs.Path(p) for p in (f"{temporary}-parts", temporary, path))
+    disk = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        lines.orderBy(*order).select("line").write.text(parts.toString())
+        out = disk.create(joined, False)
+        try:
+            for name in sorted(f.getPath().getName() for f in disk.listStatus(parts)):
+                if name.startswith("part-"):
+                    part = disk.open(hadoop.fs.Path(parts, name))
+                    hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                    part.close()
+        finally:
+            out.close()
+        disk.delete(target, True)
+        if not disk.rename(joined, target):
+            raise OSError(f"cannot rename {joined.toString()} to {path}")
+    finally:
+        disk.delete(parts, True)
+        disk.delete(joined, True)
+
+
 def write_processed(docs: DataFrame, path: str) -> None:
     """(docid, tokens) as tagged records, in the order of ids."""
     write_lines(docs.select("docid", F.concat(F.lit(".I "), F.col("docid").cast("string"), F.lit("\n.S\n"), F.array_join("tokens", " ")).alias("line")), path, ["docid"])
@@ -32,8 +65,9 @@ def write_index(tf: DataFrame, path: str) -> None:
     write_lines(index_lines(tf), path, ["kind", "term"])
 
 
-def write_run(lines: DataFrame, path: str) -> None:
-    write_lines(lines, path, ["qid", "rank"])
+def write_run(lines: DataFrame, path: str, single: bool = False) -> None:
+    """A run as a folder of files that are sorted in turn, or as a single file."""
+    (write_file if single else write_lines)(lines, path, ["qid", "rank"])
 
 
 def write_answers(answers: DataFrame, path: str) -> bool:
