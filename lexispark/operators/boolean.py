@@ -23,6 +23,15 @@ def rejected(queries: DataFrame) -> DataFrame:
     return parse(queries).filter("not ok").select("query_id", "query")
 
 
+def stemmed(queries: DataFrame, stemmer: str = "porter_all") -> DataFrame:
+    """(query_id, query, op, left, right) of accepted queries: each word's first piece, stemmed."""
+    q = parse(queries).filter("ok").select("query_id", "query", "op", first_term(F.col("left")).alias("left"), first_term(F.col("right")).alias("right"))
+    stems = stem(q.select(F.col("left").alias("term")).union(q.select("right")).distinct(), stemmer=stemmer)
+    for side in ("left", "right"):
+        q = q.join(stems.select(F.col("term").alias(side), F.col("stem").alias(f"{side}_stem")), side).drop(side).withColumnRenamed(f"{side}_stem", side)
+    return q.select("query_id", "query", "op", "left", "right")
+
+
 def search(tf: DataFrame, queries: DataFrame, stemmer: str = "porter_all") -> DataFrame:
     """(query_id, query, op, left, right, docids) for accepted queries.
 
@@ -30,11 +39,7 @@ def search(tf: DataFrame, queries: DataFrame, stemmer: str = "porter_all") -> Da
     taken out. An absent term has no documents. A query's answer is found by
     counting its terms in each document, so no posting list is one row.
     """
-    q = parse(queries).filter("ok").select("query_id", "query", "op", first_term(F.col("left")).alias("left"), first_term(F.col("right")).alias("right"))
-    stems = stem(q.select(F.col("left").alias("term")).union(q.select("right")).distinct(), stemmer=stemmer)
-    for side in ("left", "right"):
-        q = q.join(stems.select(F.col("term").alias(side), F.col("stem").alias(f"{side}_stem")), side).drop(side).withColumnRenamed(f"{side}_stem", side)
-    q = q.select("query_id", "query", "op", "left", "right")
+    q = stemmed(queries, stemmer)
     terms = q.select("query_id", "op", F.explode(F.array_distinct(F.array("left", "right"))).alias("term"), F.when(F.col("left") == F.col("right"), 1).otherwise(2).alias("need"))
     hits = tf.select("term", "docid").distinct().join(small(terms), "term").groupBy("query_id", "op", "need", "docid").agg(F.count(F.lit(1)).alias("n"))
     hits = hits.filter((F.col("op") == "OR") | (F.col("n") == F.col("need")))

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import porter, text
 from lexispark.functions.text import STOP, Analyzer
-from lexispark.operators import blocks, boolean, evaluation, features, index, learning, ranking, reports, scoring, variants, verify, workflow
+from lexispark.operators import bitmaps, blocks, boolean, evaluation, features, index, learning, model, ranking, reports, scoring, variants, verify, workflow
 from lexispark.operators.index import FIELDS, small
-from lexispark.sources import collection, sinks
+from lexispark.sources import checked, collection, sinks
 from lexispark.sources.store import folder, stored
 
 PLAIN = Analyzer()
@@ -195,15 +196,27 @@ def boolean_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boolean(spark, sf_dir, (1, 3, 5))
 
 
-def boolean_common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twelve most frequent terms, each with the next, by AND and by OR."""
-    idx = body_index(spark, sf_dir)
+def _common(idx: index.Index) -> DataFrame:
+    """(query_id, query): the twelve most frequent terms, each with the next, by AND and by OR."""
     top = idx.df.orderBy(F.desc("df"), "term").limit(12).withColumn("at", F.row_number().over(Window.orderBy(F.desc("df"), "term")))  # twelve rows
     following = top.select((F.col("at") - 1).alias("at"), F.col("term").alias("next"))
     ops = F.explode(F.array(F.struct(F.lit(0).alias("i"), F.lit("AND").alias("op")), F.struct(F.lit(1).alias("i"), F.lit("or").alias("op"))))
     asked = top.join(F.broadcast(following), "at").select("at", "term", "next", ops.alias("x"))
-    q = asked.select((2 * F.col("at") + F.col("x.i")).cast("bigint").alias("query_id"), F.concat_ws(" ", "term", "x.op", "next").alias("query"))
-    return boolean.search(idx.tf, q, stemmer="none").select("query_id", "op", "left", "right", F.size("docids").cast("bigint").alias("n"), F.array_join("docids", " ").alias("docids"))
+    return asked.select((2 * F.col("at") + F.col("x.i")).cast("bigint").alias("query_id"), F.concat_ws(" ", "term", "x.op", "next").alias("query"))
+
+
+def boolean_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the same queries as boolean_common from bitmaps, with their bucket and its number of answers."""
+    idx = body_index(spark, sf_dir)
+    found = stored(bitmaps.search(idx.tf, _common(idx), stemmer="none"), "bitmaps")
+    place = F.bitmap_bucket_number("docid").alias("bucket")
+    return bitmaps.documents(found).select("query_id", "docid", place).join(found.drop("bits"), ["query_id", "bucket"])
+
+
+def boolean_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve most frequent terms, each with the next, by AND and by OR."""
+    idx = body_index(spark, sf_dir)
+    return boolean.search(idx.tf, _common(idx), stemmer="none").select("query_id", "op", "left", "right", F.size("docids").cast("bigint").alias("n"), F.array_join("docids", " ").alias("docids"))
 
 
 def boolean_or(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,6 +480,18 @@ def linear_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learning.rank_all(scores, learning.linear_scores(features.bare_features(idx), w, -0.5), topics(spark, sf_dir), 10), "score")
 
 
+def model_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking of linear_decision by a pipeline that was saved and loaded; an error if the topics are not those of its digest."""
+    idx, q = full_index(spark, sf_dir), topics(spark, sf_dir)
+    w = [DECISION.get(f.split(".")[1], 0.0) for f in features.feature_names()]
+    path = f"{folder(spark)}/pipeline"
+    PipelineModel([model.ranker(w, -0.5, {"topics": q})]).write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    if loaded.stages[-1].changed({"topics": q}):
+        raise ValueError("the topics differ from those of the model")
+    return rounded(model.rank(loaded, features.feature_vectors(idx, q), features.bare_features(idx), q, 10), "score")
+
+
 def svm_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs, and the weight of each, by label."""
     rows = _training(spark, sf_dir, full_index(spark, sf_dir))
@@ -522,6 +547,24 @@ def judgement_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.read_graded(spark, path).join(collection.read_binary(spark, path).withColumnRenamed("label", "relevant"), ["qid", "docid"])
 
 
+def fault_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, fault, n) of a collection and a file of judgements made faulty from the tables: ids that repeat or are
+    no number, texts left out, codes, topics and documents that there are not, and lines cut short."""
+    d, paths = documents(spark, sf_dir), (folder(spark), folder(spark))
+    flat = F.regexp_replace(F.regexp_replace("body", r"\s+", " "), r"^\.", "·")
+    head = F.when(F.col("docid") % 50 == 7, "none").otherwise((F.col("docid") - F.when(F.col("docid") % 50 == 3, 1).otherwise(0)).cast("string"))
+    record = F.concat(F.lit(".I "), head, F.lit("\n.W\n"), F.when(F.col("docid") % 40 != 5, flat).otherwise(""))
+    sinks.write_lines(d.select("docid", record.alias("line")), paths[0], ["docid"])
+    # Every label is a judgement of twice its document; each seventh one stands twice, each tenth has no code.
+    x = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("x"), F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 7 == 0).cast("int"))))
+    line = F.concat_ws(" ", F.col("x") % 50, F.col("x") * 2, F.when(F.col("x") % 10 != 0, (F.col("x") % 8 - 1).cast("string")))
+    sinks.write_lines(x.select("x", line.alias("line")), paths[1], ["x"])
+    _, read = checked.collection(spark, paths[0], strict=False)
+    _, judged = checked.judgements(spark, paths[1], d, topics(spark, sf_dir), strict=False)
+    rows = [(source, fault, n) for source, counts in (("collection", read), ("judgements", judged)) for fault, n in counts.items()]
+    return spark.createDataFrame(rows, "source string, fault string, n bigint")
+
+
 def boolean_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer blocks of all accepted queries as written."""
     q = spark.createDataFrame(list(BOOLEAN_QUERIES), "query_id bigint, query string")
@@ -634,11 +677,11 @@ def id_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     run = [
         rank_top10, token_stream, token_counts, stage_counts, stop_filter, stop_anti_join, porter_vocabulary, build_postings, posting_blocks, top_by_bounds, blocks_skipped, index_header, tf_table, df_table, field_lengths,
-        collection_stats, preprocessing_grid, preprocessing_measures, boolean_and, boolean_common, boolean_or, boolean_batch, boolean_rejected, clean_topics, *(_score(m) for m in scoring.MODELS), zone_scores, zone_or_scores, equal_zone,
+        collection_stats, preprocessing_grid, preprocessing_measures, boolean_and, boolean_common, boolean_bitmaps, boolean_or, boolean_batch, boolean_rejected, clean_topics, *(_score(m) for m in scoring.MODELS), zone_scores, zone_or_scores, equal_zone,
         *(_feature_matrix(f) for f in FIELDS), feature_matrix_all, rank_padded_topk, trec_run, run_label_ids, prf_at_k, macro_prf, ranked_measures, _measure("average_precision", "ap"),
         _measure("ndcg_at_10", "ndcg_10"), _measure("reciprocal_rank", "rr"), _measure("recall_at_100", "r_100"), baseline_better_worse, tuned_vs_default, split_odd_even, split_semi_join, qrels_join_default_zero,
         qrels_coverage_anti, dangling_docs, simplex_grid, zone_grid_search, argmax_first, bm25_grid_search, run_verification, tie_diagnostics, score_diagnostics, split_seeded,
-        svm_train_predict, svm_alpha_grid, svm_certificate, svm_weights, svm_scaler, svm_class_counts, linear_decision, collection_file, processed_file, index_file, index_lookup, topic_file, judgement_file,
+        svm_train_predict, svm_alpha_grid, svm_certificate, svm_weights, svm_scaler, svm_class_counts, linear_decision, model_stage, collection_file, processed_file, index_file, index_lookup, topic_file, judgement_file, fault_counts,
         boolean_file, run_file, table_digests, run_recheck, run_disagreements, split_check, split_three_way, model_table, model_spread, model_names, variant_pairs, top_coefficients, input_digests, mean_distinct_scores, id_counts,
     ]
     return {f.__name__: f for f in run}

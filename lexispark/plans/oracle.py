@@ -7,6 +7,7 @@ from lexispark.functions.text import FIELD_SETS, STOP, model_name
 from lexispark.operators.features import FEATURES, feature_names
 from lexispark.operators.index import FIELDS
 from lexispark.operators.learning import ALPHAS, B, K1
+from lexispark.operators.bitmaps import BUCKET
 from lexispark.operators.blocks import BITS
 from lexispark.plans.catalogue import BOOLEAN_QUERIES, DECISION, DEPTH, SHORT_STOP, TOP_BITS, WEIGHTS
 
@@ -267,6 +268,15 @@ def decision() -> str:
     return f"WITH {INDEX}, {ctes}, s AS (SELECT q.qid, d.docid, {' + '.join(terms)} - 0.5::DOUBLE AS score FROM q CROSS JOIN d {joins}), {ranked('s')} SELECT qid, docid, {r6('score')} AS score, rank FROM rk WHERE rank <= 10"
 
 
+#: Documents and labels made faulty as the query does, and their faults.
+FAULTS = f"""WITH {DOCS}, c AS (SELECT CASE WHEN docid % 50 = 7 THEN NULL WHEN docid % 50 = 3 THEN docid - 1 ELSE docid END AS id, CASE WHEN docid % 40 = 5 THEN '' ELSE trim(regexp_replace(body, '\\s+', ' ', 'g')) END AS t FROM d),
+x AS (SELECT doc_id AS x FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 7 = 0),
+g AS (SELECT x % 50 AS qid, x * 2 AS docid, x % 8 - 1 AS code FROM x WHERE x % 10 <> 0)
+SELECT 'collection' AS source, unnest(['rows', 'unnumbered', 'empty', 'repeated']) AS fault, unnest([count(*), count(*) FILTER (id IS NULL), count(*) FILTER (t = ''), count(id) - count(DISTINCT id)]) AS n FROM c
+UNION ALL SELECT 'judgements', unnest(['rows', 'malformed', 'unknown_code', 'unknown_topic', 'unknown_document', 'repeated']), unnest([(SELECT count(*) FROM x), (SELECT count(*) FROM x WHERE x % 10 = 0),
+  count(*) FILTER (code NOT IN (-1, 1, 2, 3, 4, 5)), count(*) FILTER (qid NOT IN (SELECT item_id FROM benchmark)), count(*) FILTER (docid NOT IN (SELECT doc_id FROM documents)), count(*) - count(DISTINCT (qid, docid))]) FROM g"""
+
+
 def models() -> str:
     """CTE mt: three models with the means of two measures, and their places."""
     ctes, rows = [], []
@@ -295,6 +305,12 @@ def more() -> dict[str, str]:
         "processed_file": f"WITH {DOCS}, m AS (SELECT docid, title || ' ' || body AS t FROM d) SELECT docid, array_to_string(list_filter({NORMAL.format('t')}, lambda x: x NOT IN ({STOPS})), ' ') AS tokens FROM m",
         "index_file": f"WITH {DOCS}, {STEMMED} SELECT term, docid FROM sp",
         "index_lookup": f"{idx}, b AS (SELECT term, df FROM df WHERE field = 'body'), w AS ((SELECT term FROM b ORDER BY df DESC, term LIMIT 3) UNION (SELECT term FROM b ORDER BY df, term LIMIT 3)) SELECT tf.term, docid, tf FROM tf JOIN w ON w.term = tf.term WHERE field = 'body'",
+        "boolean_bitmaps": f"""{idx}, w AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) AS nr FROM df WHERE field = 'body' ORDER BY nr LIMIT 12),
+p AS (SELECT a.nr, a.term AS "left", b.term AS "right", op, i FROM w a JOIN w b ON b.nr = a.nr + 1, (VALUES ('AND', 0), ('OR', 1)) o(op, i)),
+h AS (SELECT nr, i, docid, CASE WHEN docid > 0 THEN 1 + (docid - 1) // {BUCKET} ELSE docid // {BUCKET} END AS bucket FROM p JOIN tf ON field = 'body' AND tf.term IN ("left", "right") GROUP BY ALL HAVING any_value(i) = 1 OR count(*) = 2)
+SELECT 2 * p.nr + p.i AS query_id, op, "left", "right", bucket, docid, count(*) OVER (PARTITION BY p.nr, p.i, bucket) AS n FROM p JOIN h ON h.nr = p.nr AND h.i = p.i""",
+        "model_stage": decision(),
+        "fault_counts": FAULTS,
         "boolean_common": f"""{idx}, w AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) AS nr FROM df WHERE field = 'body' ORDER BY nr LIMIT 12),
 p AS (SELECT a.nr, a.term AS "left", b.term AS "right", op, i FROM w a JOIN w b ON b.nr = a.nr + 1, (VALUES ('AND', 0), ('OR', 1)) o(op, i)),
 h AS (SELECT nr, i, docid FROM p JOIN tf ON field = 'body' AND tf.term IN ("left", "right") GROUP BY ALL HAVING i = 1 OR count(*) = 2)
