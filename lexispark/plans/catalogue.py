@@ -228,7 +228,11 @@ def boolean_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boolean_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boolean.rejected(spark.createDataFrame(list(BOOLEAN_QUERIES), "query_id bigint, query string"))
+    """Of the fixed queries, and of one made of each topic's first two words by AND, by NOT or without an operator, those that are malformed."""
+    w = F.split("query", " ")
+    op = F.element_at(F.array(F.lit(" AND "), F.lit(" "), F.lit(" not ")), (F.pmod("qid", F.lit(3)) + 1).cast("int"))
+    made = topics(spark, sf_dir).filter(F.size(w) >= 2).select((1000 + F.col("qid")).alias("query_id"), F.concat(w[0], op, w[1]).alias("query"))
+    return boolean.rejected(spark.createDataFrame(list(BOOLEAN_QUERIES), "query_id bigint, query string").unionByName(made))
 
 
 def clean_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,7 +368,11 @@ def dangling_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simplex_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.simplex(spark)
+    """All weights of the grid with the mean score of the matches under them."""
+    mean = _zones(spark, sf_dir).agg(*(F.coalesce(F.avg(f), F.lit(0.0)).alias(f"mean_{f}") for f in FIELDS))  # one row
+    score = sum((F.col(w) * F.col(f"mean_{f}") for w, f in zip("abcd", FIELDS, strict=True)), F.lit(0.0))
+    found = learning.simplex(spark).crossJoin(F.broadcast(mean)).select("g", "a", "b", "c", "d", score.alias("score"))
+    return rounded(found, "score")
 
 
 def zone_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -639,9 +647,12 @@ def model_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid settings by the controls in their names, with the change against a fixed value."""
-    grid = spark.createDataFrame([(text.model_name("bm25", {"k_1": k, "b": b}), 2.0, k + b) for k in learning.K1 for b in learning.B], "name string, old double, new double")
-    return reports.change(reports.within(reports.named(grid, "bm25(", ")"), (1.0, 1.4), (0.3, 0.6)), "old", "new").select("name", "k1", "b", "change")
+    """Settings of the BM25 grid by the controls in their names, with the change from the best setting's precision to theirs."""
+    grid = bm25_grid_search(spark, sf_dir)
+    name = F.concat(F.lit("bm25(k_1="), F.col("k1").cast("string"), F.lit(", b="), F.col("b").cast("string"), F.lit(")"))
+    best = F.broadcast(grid.agg(F.greatest(F.max("ap"), F.lit(1e-6)).alias("best")))  # one row
+    t = grid.select(name.alias("name"), "ap").crossJoin(best)
+    return reports.change(reports.within(reports.named(t, "bm25(", ")"), (1.0, 1.4), (0.3, 0.6)), "best", "ap").select("name", "k1", "b", "change")
 
 
 def variant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -652,9 +663,11 @@ def variant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three largest of given weights."""
-    w = [(f, DECISION.get(f.split(".")[1], 0.0) * (1 + i / 100)) for i, f in enumerate(features.feature_names())]
-    return rounded(reports.largest(spark.createDataFrame(w, "feature string, weight double")), "weight")
+    """The three features that add most to the decision of given weights, on average over the matches."""
+    v, names = features.feature_vectors(full_index(spark, sf_dir), topics(spark, sf_dir)), features.feature_names()
+    w = [DECISION.get(f.split(".")[1], 0.0) for f in names]
+    mean = v.agg(F.array(*(F.struct(F.lit(f).alias("feature"), (F.lit(x) * F.avg(F.col("features")[i])).alias("weight")) for i, (f, x) in enumerate(zip(names, w, strict=True)) if x)).alias("x"))
+    return rounded(reports.largest(mean.select(F.explode("x").alias("x")).select("x.*")), "weight")
 
 
 def input_digests(spark: SparkSession, sf_dir: str) -> DataFrame:

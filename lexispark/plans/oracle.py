@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexispark.functions.porter import stem_sql
 from lexispark.functions.text import FIELD_SETS, STOP, model_name
-from lexispark.operators.features import FEATURES, feature_names
+from lexispark.operators.features import FEATURES
 from lexispark.operators.index import FIELDS
 from lexispark.operators.learning import ALPHAS, B, K1
 from lexispark.operators.bitmaps import BUCKET
@@ -268,6 +268,18 @@ def decision() -> str:
     return f"WITH {INDEX}, {ctes}, s AS (SELECT q.qid, d.docid, {' + '.join(terms)} - 0.5::DOUBLE AS score FROM q CROSS JOIN d {joins}), {ranked('s')} SELECT qid, docid, {r6('score')} AS score, rank FROM rk WHERE rank <= 10"
 
 
+def contributions() -> str:
+    """Fixed weights times the means of their features over all matches, the three of the largest size."""
+    ctes, pairs = ", ".join(feature_sql(x, x) for x in FIELDS), " UNION ".join(f"SELECT qid, docid FROM {x}ff" for x in FIELDS)
+    joins = " ".join(f"LEFT JOIN {x}ff ON p.qid = {x}ff.qid AND p.docid = {x}ff.docid" for x in FIELDS)
+    rows = []
+    for x in FIELDS:
+        for y, w in DECISION.items():
+            rest = f"(SELECT len::DOUBLE FROM dl WHERE dl.docid = p.docid AND dl.field = '{x}')" if y == "stream_length" else "0.0::DOUBLE"
+            rows.append(f"SELECT '{x}.{y}' AS feature, {w}::DOUBLE * avg(coalesce({x}ff.{y}, {rest})) AS weight FROM p {joins}")
+    return f"WITH {INDEX}, {ctes}, p AS ({pairs}), w AS ({' UNION ALL '.join(rows)}) SELECT feature, {r6('weight')} AS weight FROM w ORDER BY abs(round(weight, 12)) DESC, feature LIMIT 3"
+
+
 #: Documents and labels made faulty as the query does, and their faults.
 FAULTS = f"""WITH {DOCS}, c AS (SELECT CASE WHEN docid % 50 = 7 THEN NULL WHEN docid % 50 = 3 THEN docid - 1 ELSE docid END AS id, CASE WHEN docid % 40 = 5 THEN '' ELSE trim(regexp_replace(body, '\\s+', ' ', 'g')) END AS t FROM d),
 x AS (SELECT doc_id AS x FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 7 = 0),
@@ -293,8 +305,6 @@ def more() -> dict[str, str]:
     flat = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
     two = [f"{scored(m).replace('s AS', f'{m}s AS', 1)}, {ranked(f'{m}s', f'{m}k')}" for m in ("bm25", "tf")]
     split = "sp3 AS (SELECT item_id AS qid, CASE WHEN item_id % 5 < 3 THEN 'train' WHEN item_id % 5 = 3 THEN 'validation' ELSE 'test' END AS split FROM benchmark)"
-    names = ", ".join(f"('{model_name('bm25', {'k_1': k, 'b': b})}', {k}::DOUBLE, {b}::DOUBLE)" for k in K1 for b in B)
-    weights = ", ".join(f"('{f}', {DECISION.get(f.split('.')[1], 0.0) * (1 + i / 100)!r}::DOUBLE)" for i, f in enumerate(feature_names()))
     lines = "unnest(['Query: ' || trim(query), 'Stemmed query: ' || \"left\" || ' ' || op || ' ' || \"right\", 'Matched documents: ' || n, docids])"
     asked = ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in BOOLEAN_QUERIES)
     return {
@@ -332,9 +342,9 @@ SELECT 2 * p.nr + p.i AS query_id, op, "left", "right", count(docid) AS n, coale
         "split_three_way": f"WITH {split} SELECT qid, split FROM sp3",
         "model_table": f"{models()} SELECT name, place, {r6('ap')} AS ap, {r6('ndcg_10')} AS ndcg_10 FROM mt",
         "model_spread": f"{models()} SELECT family, count(*) AS settings, {r6('max(ap) - min(ap)')} AS spread, arg_min(name, place) AS best FROM (SELECT *, CASE WHEN starts_with(name, 'bm25') THEN 'bm25' ELSE 'tf' END AS family FROM mt) GROUP BY family",
-        "model_names": f"SELECT name, k1, b, printf('%+.1f%%', 100 * (k1 + b - 2) / 2) AS change FROM (VALUES {names}) v(name, k1, b) WHERE k1 BETWEEN 1.0 AND 1.4 AND b BETWEEN 0.3 AND 0.6",
+        "model_names": f"SELECT name, k1, b, printf('%+.1f%%', 100 * (ap - best) / best) AS change FROM (SELECT 'bm25(k_1=' || k1 || ', b=' || b || ')' AS name, k1, b, ap, greatest(max(ap) OVER (), 1e-6::DOUBLE) AS best FROM ({BM25_GRID}) gs) WHERE k1 BETWEEN 1.0 AND 1.4 AND b BETWEEN 0.3 AND 0.6",
         "variant_pairs": f"SELECT substr(a.variant, 7) AS name, a.terms, a.tokens, b.terms AS terms_2, b.tokens AS tokens_2 FROM ({grid_stats()}) a JOIN ({grid_stats()}) b ON starts_with(a.variant, 'text__') AND starts_with(b.variant, 'all__') AND substr(a.variant, 7) = substr(b.variant, 6)",
-        "top_coefficients": f"SELECT feature, {r6('weight')} AS weight FROM (SELECT * FROM (VALUES {weights}) v(feature, weight) ORDER BY abs(round(weight, 12)) DESC, feature LIMIT 3)",
+        "top_coefficients": contributions(),
         "input_digests": f"WITH {DOCS} SELECT docid, sha256(body) AS sha256 FROM d",
         "mean_distinct_scores": f"{idx}, {ZONES}, {zone(WEIGHTS)}, t AS (SELECT qid, max(score) AS best, count(DISTINCT score) AS ds FROM s GROUP BY qid), u AS (SELECT s.qid, any_value(ds) AS ds, count(*) FILTER (abs(score - best) < 1e-12) AS tt FROM s JOIN t ON s.qid = t.qid GROUP BY s.qid) SELECT {r6('avg(ds)')} AS distinct_scores, {r6('avg(tt)')} AS top_ties FROM u",
         "id_counts": f"{idx}, {QRELS} SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(DISTINCT docid) FROM d) AS ids, count(*) AS judged, count(DISTINCT qid) AS judged_topics, count(DISTINCT docid) AS judged_documents FROM j",
@@ -361,7 +371,7 @@ def oracle_sql() -> dict[str, str]:
         "boolean_and": boolean((1, 3, 5)),
         "boolean_or": boolean((2, 4)),
         "boolean_batch": boolean(tuple(i for i, _ in BOOLEAN_QUERIES)),
-        "boolean_rejected": "SELECT CAST(query_id AS BIGINT) AS query_id, query FROM (VALUES " + ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in BOOLEAN_QUERIES) + r") v(query_id, query) WHERE NOT (len(regexp_split_to_array(trim(query), '\s+')) = 3 AND coalesce(upper(regexp_split_to_array(trim(query), '\s+')[2]) IN ('AND', 'OR'), false))",
+        "boolean_rejected": "SELECT CAST(query_id AS BIGINT) AS query_id, query FROM (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in BOOLEAN_QUERIES) + r") v(query_id, query)" + r" UNION ALL SELECT 1000 + item_id, w[1] || [' AND ', ' ', ' not '][item_id % 3 + 1] || w[2] FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark) WHERE len(w) >= 2) bq" + r" WHERE NOT (len(regexp_split_to_array(trim(query), '\s+')) = 3 AND coalesce(upper(regexp_split_to_array(trim(query), '\s+')[2]) IN ('AND', 'OR'), false))",
         "clean_topics": r"SELECT item_id AS qid, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS query FROM benchmark",
         **{f"score_{m}": top(scored(m)) for m in ("tf", "tf_idf", "lemur_tf_idf", "bm25_engine", "bm25")},
         "score_cosine": top(cosine()),
@@ -386,7 +396,7 @@ def oracle_sql() -> dict[str, str]:
         "qrels_join_default_zero": f"WITH {RUN} SELECT run.qid, run.docid, rank, coalesce(label, 0) AS label FROM run LEFT JOIN j ON run.qid = j.qid AND run.docid = j.docid WHERE rank <= 20",
         "qrels_coverage_anti": f"{idx}, {QRELS} SELECT qid FROM q WHERE qid NOT IN (SELECT qid FROM j)",
         "dangling_docs": "SELECT doc_id * 2 AS docid FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)",
-        "simplex_grid": f"WITH {SIMPLEX} SELECT * FROM gr",
+        "simplex_grid": f"{idx}, {ZONES}, {SIMPLEX} SELECT gr.*, " + r6(" + ".join(f"{w} * coalesce(m_{x}, 0.0::DOUBLE)" for w, x in zip("abcd", FIELDS, strict=True))) + " AS score FROM gr, (SELECT " + ", ".join(f"avg({x}) AS m_{x}" for x in FIELDS) + " FROM z)",
         "zone_grid_search": f"{zone_grid(False)} SELECT g, a, b, c, d, {r6('f1')} AS f1 FROM gz",
         "argmax_first": f"{zone_grid(True)} SELECT g, a, b, c, d, {r6('f1')} AS f1 FROM gz ORDER BY round(f1, 12) DESC, g LIMIT 1",
         "bm25_grid_search": BM25_GRID,
