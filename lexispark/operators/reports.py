@@ -43,6 +43,29 @@ def change(table: DataFrame, old: str, new: str) -> DataFrame:
     return table.withColumn("change", percent_change(F.col(old), F.col(new)))
 
 
+def lines(table: DataFrame, order: str, decimals: dict[str, int], changes: dict[str, str] | None = None) -> DataFrame:
+    """(place, line): a table as the lines of a Markdown table, in the order of a column of whole numbers from 1.
+
+    ``decimals`` names the columns to write and the decimals of each, -1 for
+    those that are written as they are. ``changes`` gives, for some columns, the
+    one whose change to it in percent stands in brackets. Missing values are ``-``.
+    """
+    def cell(c: str) -> Column:
+        places, value = decimals[c], F.col(f"`{c}`")
+        # Halves go upward before printing, since their last digit is not exact.
+        text = value.cast("string") if places < 0 else F.format_string(f"%.{places}f", F.round(value + 1e-10, places))
+        if old := (changes or {}).get(c):
+            base = F.col(f"`{old}`")
+            told = F.when(base != 0, F.concat(F.lit(" ("), percent_change(base, value), F.lit(")"))).otherwise("")
+            text = F.concat(text, F.coalesce(told, F.lit("")))
+        return F.when(value.isNotNull(), text).otherwise("-")
+
+    spark = table.sparkSession
+    head = [(-1, "| " + " | ".join(decimals) + " |"), (0, "|" + "".join(" --- |" if p < 0 else " ---: |" for p in decimals.values()))]
+    rows = table.select(F.col(order).cast("bigint").alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in decimals)), F.lit(" |")).alias("line"))
+    return spark.createDataFrame(head, "place bigint, line string").unionByName(rows)
+
+
 def largest(weights: DataFrame, n: int = 3, weight: str = "weight", name: str = "feature") -> DataFrame:
     """The n weights of the largest size, equal ones in the order of names."""
     return weights.orderBy(F.desc(F.abs(F.round(weight, 12))), name).limit(n)

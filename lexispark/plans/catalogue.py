@@ -573,6 +573,88 @@ def fault_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, fault string, n bigint")
 
 
+def reader_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tagged file with text beside tags and tags after the body, as each of the three readers takes it: bytes of fields and a digest of all."""
+    flat = lambda c: F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"^\.", "·")
+    lang, path = flat(F.coalesce("bibliography", F.lit(""))), folder(spark)
+    record = F.concat_ws("\n", F.concat(F.lit(".I "), F.col("docid").cast("string")), F.concat(F.lit(".T in "), lang), flat(F.col("title")), F.lit(".A"), flat(F.col("author")), F.lit(".B extra"), lang, F.lit(".W"), flat(F.col("body")), F.lit(".A tail"), F.lit(".T again"))
+    sinks.write_lines(documents(spark, sf_dir).select("docid", record.alias("line")), path, ["docid"])
+    out = None
+    for form in collection.FORMS:
+        d = collection.read_collection(spark, path, form=form)
+        one = d.select(F.lit(form).alias("form"), "docid", *(F.octet_length(f).cast("bigint").alias(f) for f in FIELDS), F.sha2(F.concat_ws("|", *FIELDS), 256).alias("digest"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def stop_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 words of most documents as a stop list, written in capitals several to a line, read, and taken out of the texts."""
+    words = documents(spark, sf_dir).select("docid", F.explode(text.alnum(F.col("body"))).alias("term")).distinct()
+    most = words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(25)
+    path = folder(spark)
+    most.select(F.concat_ws(", ", F.upper("term"), "term").alias("value")).write.text(path)
+    stop = collection.read_stop(spark, path)
+    t = documents(spark, sf_dir).select("docid", text.alnum(F.col("body")).alias("all"), Analyzer(stop=stop).terms(F.col("body")).alias("kept"))
+    return t.select("docid", F.size("all").cast("bigint").alias("tokens"), F.array_join("kept", " ").alias("kept"))
+
+
+def boolean_query_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of the topics' first two words, written as a file with blank lines and blanks around, read and answered."""
+    w = F.split(F.trim(F.regexp_replace(F.coalesce("query", F.lit("")), r"\s+", " ")), " ")
+    asked = F.concat(F.lit("  "), F.get(w, F.lit(0)), F.when(F.col("qid") % 2 == 0, " and ").otherwise(" OR "), F.get(w, F.lit(1)), F.lit(" "))
+    path = folder(spark, "queries")
+    sinks.write_file(topics(spark, sf_dir).select("qid", F.coalesce(F.when(F.col("qid") % 5 != 0, asked), F.lit("  ")).alias("line")), path, ["qid"])
+    found = boolean.search(body_index(spark, sf_dir, BOOLEAN).tf, collection.read_queries(spark, path))
+    return found.select("query_id", "op", "left", "right", F.size("docids").cast("bigint").alias("n"), F.array_join("docids", " ").alias("docids"))
+
+
+def index_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of a written index file and the places of their lines; the header has the first."""
+    path = folder(spark)
+    sinks.write_index(body_index(spark, sf_dir, BOOLEAN).tf, path)
+    lines = collection.placed_lines(spark, path)
+    return lines.select("place", F.when(F.col("place") == 1, F.col("value")).otherwise(F.substring_index("value", " ", 1)).alias("term"))
+
+
+#: The report's settings, and what its file changes of them.
+REPORT, REPORT_CHANGES = {"depth": 1000, "decimals": {"place": -1, "name": -1, "AP": 4, "P@5": 4, "RR": 4}}, {"depth": DEPTH, "decimals": {"place": -1, "name": -1, "AP": 4, "nDCG@10": 3, "P@10": 2, "RR": 5}}
+
+
+def model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All weighting models' measures, written as CSV and read again, as the lines of a table with
+    the change of AP and nDCG@10 from the models' mean; settings come from a file laid over defaults."""
+    config, path = folder(spark), folder(spark)
+    sinks.write_json(spark, REPORT_CHANGES, config)
+    settings = collection.read_config(spark, config, REPORT)
+    sinks.write_csv(workflow.experiments(body_index(spark, sf_dir), topics(spark, sf_dir), qrels(spark, sf_dir), depth=settings["depth"]), path)
+    # Columns as experiments() has them.
+    table = collection.read_table(spark, path, ", ".join([*(f"`{m}` double" for m in evaluation.METRICS), "name string", "place int"]))
+    means = F.broadcast(table.agg(F.avg("AP").alias("mean AP"), F.avg("`nDCG@10`").alias("mean nDCG")))  # one row
+    return reports.lines(table.crossJoin(means), "place", settings["decimals"], {"AP": "mean AP", "nDCG@10": "mean nDCG"})
+
+
+def model_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each weighting model's run at the depth, and whether a time was taken for it in all and for a topic."""
+    idx, q = body_index(spark, sf_dir), topics(spark, sf_dir)
+    n, rows = q.count(), []
+    for m in scoring.MODELS:
+        found, seconds, each = reports.timed(lambda m=m: ranking.rank(scoring.score(idx, q, m), DEPTH), n)
+        rows.append((m, found, seconds > 0 and abs(each * n / 1000 - seconds) < 1e-9 * max(1, n)))
+    return spark.createDataFrame(rows, "model string, rows bigint, timed boolean")
+
+
+def refit_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model for use, fitted to training and validation topics alike: its pairs, and whether the dual proves its loss to be the least."""
+    idx, j = full_index(spark, sf_dir), qrels(spark, sf_dir)
+    both = topics(spark, sf_dir).join(small(_three_way(spark, sf_dir).filter("split <> 'test'").select("qid")), "qid", "left_semi")
+    v = stored(features.feature_vectors(idx, both), "features")
+    rows = stored(learning.labelled(v, j, learning.unmatched(v, features.bare_features(idx), j, both)), "training")
+    pairs = F.broadcast(rows.agg(F.sum("n").alias("pairs"), F.sum(F.when(F.col("label") > 0, F.col("n")).otherwise(0)).alias("relevant")))  # one row
+    found = learning.objectives(spark, learning.svm_path(rows, (ALPHA,)))
+    proved = (F.col("gap") <= GAP * F.greatest(F.col("primal"), F.lit(1.0))) & (F.col("gap") > -GAP)
+    return found.select("alpha", proved.alias("optimal")).crossJoin(pairs)
+
+
 def boolean_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer blocks of all accepted queries as written."""
     q = spark.createDataFrame(list(BOOLEAN_QUERIES), "query_id bigint, query string")
@@ -694,7 +776,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         *(_feature_matrix(f) for f in FIELDS), feature_matrix_all, rank_padded_topk, trec_run, run_label_ids, prf_at_k, macro_prf, ranked_measures, _measure("average_precision", "ap"),
         _measure("ndcg_at_10", "ndcg_10"), _measure("reciprocal_rank", "rr"), _measure("recall_at_100", "r_100"), baseline_better_worse, tuned_vs_default, split_odd_even, split_semi_join, qrels_join_default_zero,
         qrels_coverage_anti, dangling_docs, simplex_grid, zone_grid_search, argmax_first, bm25_grid_search, run_verification, tie_diagnostics, score_diagnostics, split_seeded,
-        svm_train_predict, svm_alpha_grid, svm_certificate, svm_weights, svm_scaler, svm_class_counts, linear_decision, model_stage, collection_file, processed_file, index_file, index_lookup, topic_file, judgement_file, fault_counts,
+        svm_train_predict, svm_alpha_grid, svm_certificate, svm_weights, svm_scaler, svm_class_counts, linear_decision, model_stage, collection_file, processed_file, index_file, index_lookup, topic_file, judgement_file, fault_counts, reader_forms, stop_list_file, boolean_query_file, index_order, model_report, model_times, refit_certificate,
         boolean_file, run_file, table_digests, run_recheck, run_disagreements, split_check, split_three_way, model_table, model_spread, model_names, variant_pairs, top_coefficients, input_digests, mean_distinct_scores, id_counts,
     ]
     return {f.__name__: f for f in run}

@@ -9,7 +9,8 @@ from lexispark.operators.index import FIELDS
 from lexispark.operators.learning import ALPHAS, B, K1
 from lexispark.operators.bitmaps import BUCKET
 from lexispark.operators.blocks import BITS
-from lexispark.plans.catalogue import BOOLEAN_QUERIES, DECISION, DEPTH, SHORT_STOP, TOP_BITS, WEIGHTS
+from lexispark.operators.scoring import MODELS
+from lexispark.plans.catalogue import ALPHA, BOOLEAN_QUERIES, DECISION, DEPTH, REPORT_CHANGES, SHORT_STOP, TOP_BITS, WEIGHTS
 
 STOPS = ", ".join(f"'{w}'" for w in STOP)
 SHORT_STOPS = ", ".join(f"'{w}'" for w in SHORT_STOP)
@@ -103,11 +104,12 @@ def feature_matrix_all() -> str:
     return f"WITH {INDEX}, {ctes}, p AS ({pairs}) SELECT p.qid, p.docid, {', '.join(cols)} FROM p {joins}"
 
 
-def boolean(keep: tuple[int, ...]) -> str:
+def boolean(keep: tuple[int, ...], asked: str = "") -> str:
+    """Answers of the fixed queries, or of those that ``asked`` selects."""
     rows = ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in BOOLEAN_QUERIES if i in keep)
     first = NORMAL.format("{0}") + "[1]"
     voc = f"voc AS (SELECT DISTINCT term FROM (SELECT unnest({NORMAL.format('body')}) AS term FROM d) WHERE term NOT IN ({STOPS}) UNION SELECT l FROM p UNION SELECT r FROM p)"
-    return f"""WITH {DOCS}, bq AS (SELECT * FROM (VALUES {rows}) v(query_id, query)),
+    return f"""WITH {DOCS}, bq AS ({asked or f'SELECT * FROM (VALUES {rows}) v(query_id, query)'}),
 p AS (SELECT query_id, upper(w[2]) AS op, coalesce({first.format("w[1]")}, '') AS l, coalesce({first.format("w[3]")}, '') AS r FROM (SELECT query_id, regexp_split_to_array(trim(query), '\\s+') AS w FROM bq) WHERE len(w) = 3 AND upper(w[2]) IN ('AND', 'OR')),
 {voc}, {stem_sql("voc", "porter_all")},
 post AS (SELECT DISTINCT stem, docid FROM (SELECT docid, unnest({NORMAL.format("body")}) AS term FROM d) t JOIN stems USING (term) WHERE t.term NOT IN ({STOPS})),
@@ -289,16 +291,47 @@ UNION ALL SELECT 'judgements', unnest(['rows', 'malformed', 'unknown_code', 'unk
   count(*) FILTER (code NOT IN (-1, 1, 2, 3, 4, 5)), count(*) FILTER (qid NOT IN (SELECT item_id FROM benchmark)), count(*) FILTER (docid NOT IN (SELECT doc_id FROM documents)), count(*) - count(DISTINCT (qid, docid))]) FROM g"""
 
 
-def models() -> str:
-    """CTE mt: three models with the means of two measures, and their places."""
+def models(names: tuple[str, ...] = ("tf", "tf_idf", "bm25")) -> str:
+    """CTE mt: models with the means of their measures, and their places."""
     ctes, rows = [], []
-    for m in ("tf", "tf_idf", "bm25"):
-        ctes += [scored(m).replace("s AS", f"{m}s AS", 1), ranked(f"{m}s", f"{m}k"), f"{m}r AS (SELECT * FROM {m}k WHERE rank <= {DEPTH})", measured(f"{m}r", f"{m}m")]
+    for m in names:
+        ctes += [cosine(name=f"{m}s") if m == "cosine" else scored(m).replace("s AS", f"{m}s AS", 1), ranked(f"{m}s", f"{m}k"), f"{m}r AS (SELECT * FROM {m}k WHERE rank <= {DEPTH})", measured(f"{m}r", f"{m}m")]
         name = model_name(m, {"k_1": 1.2, "b": 0.75}) if m.startswith("bm25") else m
-        rows.append(f"SELECT '{name}' AS name, avg(ap) AS ap, avg(ndcg_10) AS ndcg_10 FROM {m}m")
+        rows.append(f"SELECT '{name}' AS name, avg(ap) AS ap, avg(ndcg_10) AS ndcg_10, avg(p_10) AS p_10, avg(rr) AS rr, (SELECT count(*) FROM {m}r) AS rows FROM {m}m")
     return f"WITH {INDEX}, {MATCH}, {QRELS}, {', '.join(ctes)}, mt AS (SELECT *, CAST(row_number() OVER (ORDER BY round(ap, 12) DESC, name) AS INTEGER) AS place FROM ({' UNION ALL '.join(rows)}))"
 
 
+def report() -> str:
+    """The lines of the models' table."""
+    cells = []
+    for c, places in REPORT_CHANGES["decimals"].items():
+        x = {"AP": "ap", "nDCG@10": "ndcg_10", "P@10": "p_10", "RR": "rr"}.get(c, c)
+        cell = f"CAST({x} AS VARCHAR)" if places < 0 else f"printf('%.{places}f', round({x} + 1e-10::DOUBLE, {places}))"
+        if c in ("AP", "nDCG@10"):
+            cell += f" || CASE WHEN avg({x}) OVER () <> 0 THEN printf(' (%+.1f%%)', 100 * ({x} - avg({x}) OVER ()) / avg({x}) OVER ()) ELSE '' END"
+        cells.append(cell)
+    line, names = " || ' | ' || ".join(cells), " | ".join(REPORT_CHANGES["decimals"])
+    kinds = "".join(" --- |" if p < 0 else " ---: |" for p in REPORT_CHANGES["decimals"].values())
+    return f"{models(MODELS)} SELECT CAST(place AS BIGINT) AS place, '| ' || {line} || ' |' AS line FROM mt UNION ALL SELECT CAST(-1 AS BIGINT), '| {names} |' UNION ALL SELECT CAST(0 AS BIGINT), '|{kinds}'"
+
+
+def forms() -> str:
+    """What the three readers take of a file with text beside tags and tags after the body."""
+    flat = r"regexp_replace(trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g')), '^\.', '·')"
+    title, author, lang, body = (flat.format(x) for x in FIELDS)
+    of = {
+        "merged": (["''"], [author, "'.B extra'", lang], ["''"], [body, "'.A tail'", "'.T again'"]),
+        "strict": ([title], [author], [lang], [body, "'tail'", "'again'"]),
+        "fielded": (["'in ' || " + lang, title, "'again'"], [author], ["'extra'", lang], [body, "'tail'"]),
+    }
+    rows = []
+    for form, parts in of.items():
+        cols = [f"array_to_string(list_filter([{', '.join(p)}], lambda x: x <> ''), ' ') AS {f}" for f, p in zip(FIELDS, parts, strict=True)]
+        rows.append(f"SELECT '{form}' AS form, docid, {', '.join(cols)} FROM d")
+    sizes = ", ".join(f"CAST(strlen({f}) AS BIGINT) AS {f}" for f in FIELDS)
+    return f"WITH {DOCS}, r AS ({' UNION ALL '.join(rows)}) SELECT form, docid, {sizes}, sha256({' || chr(124) || '.join(FIELDS)}) AS digest FROM r"
+
+
 def more() -> dict[str, str]:
     """Queries over written files, runs, splits and tables of results."""
     idx = f"WITH {INDEX}"
@@ -328,6 +361,13 @@ SELECT 2 * p.nr + p.i AS query_id, op, "left", "right", count(docid) AS n, coale
         "posting_blocks": f"{idx}, {PLACED.format(BITS)} SELECT term, block, CAST(count(*) AS INTEGER) AS n, min(docid) AS first, max(docid) AS last, string_agg(CAST(docid AS VARCHAR), ',' ORDER BY docid) AS docids, {r6('max(w)')} AS bound FROM pl GROUP BY term, block",
         "top_by_bounds": top(scored("bm25")),
         "blocks_skipped": skipped(),
+        "reader_forms": forms(),
+        "stop_list_file": f"WITH {DOCS}, t AS (SELECT docid, {PLAIN.format('body')} AS t FROM d), w AS (SELECT list(term) AS w FROM (SELECT term, count(DISTINCT docid) AS df FROM (SELECT docid, unnest(t) AS term FROM t) GROUP BY term ORDER BY df DESC, term LIMIT 25)) SELECT docid, CAST(len(t) AS BIGINT) AS tokens, array_to_string(list_filter(t, lambda x: NOT list_contains(w.w, x)), ' ') AS kept FROM t, w",
+        "boolean_query_file": boolean((), "SELECT row_number() OVER (ORDER BY item_id) AS query_id, w[1] || CASE WHEN item_id % 2 = 0 THEN ' and ' ELSE ' OR ' END || w[2] AS query FROM (SELECT item_id, string_split(" + flat.format("coalesce(text, '')") + ", ' ') AS w FROM benchmark) WHERE item_id % 5 <> 0 AND len(w) > 1"),
+        "index_order": f"WITH {DOCS}, {STEMMED}, v AS (SELECT DISTINCT term FROM sp) SELECT CAST(1 AS BIGINT) AS place, count(DISTINCT term) || ', ' || coalesce(max(docid), 0) AS term FROM sp UNION ALL SELECT 1 + row_number() OVER (ORDER BY term), term FROM v",
+        "model_report": report(),
+        "model_times": f"{models(MODELS)} SELECT CASE WHEN contains(name, '(') THEN split_part(name, '(', 1) ELSE name END AS model, rows, true AS timed FROM mt",
+        "refit_certificate": f"{idx}, {QRELS} SELECT {ALPHA!r}::DOUBLE AS alpha, true AS optimal, (SELECT count(*) FROM q WHERE qid % 5 < 4) * (SELECT count(*) FROM d) AS pairs, (SELECT count(*) FROM j WHERE qid % 5 < 4) AS relevant",
         "run_file": f"WITH {RUN} SELECT row_number() OVER (ORDER BY qid, rank) AS place, {LINE.format('qid')} AS line FROM run WHERE rank <= 10",
         "table_digests": f"{idx}, {QRELS} SELECT 'topics' AS name, (SELECT count(*) FROM q) AS rows, true AS same, 64 AS size UNION ALL SELECT 'judgements', (SELECT count(*) FROM j), true, 64",
         "preprocessing_measures": grid_measures(),
