@@ -106,12 +106,19 @@ def log_probabilities(n: np.ndarray) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+#: Longer spans are decoded each time, so that the cache of readings has a bound in bytes too.
+CACHED = 200
+
+
 class Decoder:
     """Viterbi decoding of a disguised span to the likeliest letters."""
 
     def __init__(self, logp: np.ndarray) -> None:
         self.logp = logp.tolist()
-        self.decode = lru_cache(1 << 16)(self._decode)
+        self.kept = lru_cache(1 << 16)(self._decode)
+
+    def decode(self, span: str) -> str:
+        return self.kept(span) if len(span) <= CACHED else self._decode(span)
 
     def options(self, span: str) -> Iterator[list[tuple[str, float]]]:
         """For each sign or run of a letter, what it may be and at what cost."""
@@ -132,9 +139,10 @@ class Decoder:
             yield found
 
     def _decode(self, span: str) -> str:
-        states = {(0, 0): (0.0, "")}
+        # A state's reading is a chain of (text, rest), so a step costs the same at any length.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for found in [*self.options(span), [(" ", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, out) in states.items():
                 for text, cost in found:
                     x, y, s = a, b, score - cost
@@ -145,9 +153,18 @@ class Decoder:
                         s += self.logp[x][y][c]
                         x, y = y, c
                     if (x, y) not in new or new[x, y][0] < s:
-                        new[x, y] = (s, out + text)
+                        new[x, y] = (s, (text, out))
             states = new  # at most K * K
-        return max(states.values(), key=lambda v: (v[0], v[1]))[1].strip()
+        best = max(s for s, _ in states.values())
+        return max(self.reading(out) for s, out in states.values() if s == best).strip()
+
+    @staticmethod
+    def reading(chain: tuple | None) -> str:
+        parts = []
+        while chain:
+            text, chain = chain
+            parts.append(text)
+        return "".join(reversed(parts))
 
     def restored(self, text: str) -> list[tuple[str, bool]]:
         """The decoded spans of a lower-cased text; true: set apart in single characters, where word ends are lost."""

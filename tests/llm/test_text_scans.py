@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from collections import Counter
 from datetime import date
 
@@ -249,6 +250,22 @@ def test_decoding_matches_all_paths():
         assert any("".join(t for t, _ in r).strip() == found or re.sub(" +", " ", "".join(t for t, _ in r)).strip() == re.sub(" +", " ", found) for r in readings if score(r) > best - 1e-6), span
 
 
+def test_long_spans_are_decoded_at_even_cost():
+    n = np.zeros(toxicity.K**3, np.int64)
+    toxicity.count_trigrams(["the idiot ran by a river and sat still"] * 30, n)
+    d = toxicity.Decoder(toxicity.log_probabilities(n))
+    assert d.decode("1d10t") == "idiot" and d.kept.cache_info().currsize == 1
+
+    def seconds(signs):
+        span, began = "1d10t" * (signs // 5), time.perf_counter()
+        assert d.decode(span).startswith("idiotidiot")
+        return time.perf_counter() - began
+
+    few = min(seconds(20_000) for _ in range(3))
+    assert seconds(400_000) < 60 * few  # twenty times the signs
+    assert d.kept.cache_info().currsize == 1
+
+
 def test_very_long_values_are_permuted_in_pieces(spark):
     p = pii.Pseudonymizer(b"k")
     runs = ["a" * 100_000, "a" * 99_999 + "b", "b" + "a" * 99_999, "aB3" * 5000, "7" * 10_000]
