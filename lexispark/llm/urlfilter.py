@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import ascii_lower, discard, few, stored
+from lexispark.llm import common
+from lexispark.llm.common import ascii_lower, discard, stored
 
 #: (action, host, path)
 Rule = tuple[str, str, str]
@@ -58,6 +59,23 @@ def shape_of(path: Column) -> Column:
 EXTENSION = r"(\.[A-Za-z]{1,5})$"
 
 
+#: One host or branch may hold a third of all rows; its rows are dealt over so many tasks.
+SALTS = 16
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the row of ``table`` that has their ``keys``, at most one.
+
+    A stored table of small files is broadcast. Any other is sent once for each
+    salt, and rows are dealt by the columns ``spread``, so that rows of a hot
+    key are work for many tasks.
+    """
+    if hasattr(table, "_stored_at") and common.file_bytes(table) <= common.BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), keys, how)
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    return dealt.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"], how).drop("salt")
+
+
 def alike(child: DataFrame, purity: float, z: float) -> DataFrame:
     """(host, template, kind, s): the siblings that a test on their labels finds alike.
 
@@ -76,18 +94,18 @@ def alike(child: DataFrame, purity: float, z: float) -> DataFrame:
     free = child.filter(~F.col("ruled") & (F.col("s") != ""))
     some = free.filter("labelled > 0")
     all_ = some.groupBy(keys).agg(F.count(F.lit(1)).alias("m"), F.sum("labelled").alias("L"), F.sum("bad").alias("B")).filter("m > 1")
-    some = some.join(all_, keys)
+    some = lookup(some, all_, keys, ["s"])
     others, p = F.col("L") - F.col("labelled"), F.col("B") / F.col("L")
     apart = F.abs(F.col("bad") / F.col("labelled") - (F.col("B") - F.col("bad")) / others)
     some = some.filter(apart <= z * F.greatest(F.sqrt(p * (1 - p) * (1 / F.col("labelled") + 1 / others)), F.lit(1e-12))).drop("m", "L", "B")
     sums = some.groupBy(keys).agg(F.count(F.lit(1)).alias("m"), F.sum("labelled").alias("L"), F.sum("bad").alias("B"), F.sum(F.col("bad") * F.col("bad") / F.col("labelled")).alias("squares")).filter("m > 1")
     chi = F.when(p * (1 - p) > 0, (F.col("squares") - F.col("B") * p) / F.when(p * (1 - p) > 0, p * (1 - p))).otherwise(F.lit(0.0))
     sums = sums.filter(chi <= F.col("m") - 1 + z * F.sqrt(2 * (F.col("m") - 1))).select(*keys, "m")
-    labelled = some.join(sums, keys).select(*keys, "s")
+    labelled = lookup(some, sums, keys, ["s"]).select(*keys, "s")
     enough = sums.filter(F.col("m") >= purity * z * z / (1 - purity)).drop("m")
-    near = free.join(enough, keys)
+    near = lookup(free, enough, keys, ["s"])
     rate = near.groupBy(keys).agg((F.sum(F.least("labelled", "n")) / F.greatest(F.sum("n"), F.lit(1))).alias("rate"))
-    none = near.filter("labelled = 0").join(rate, keys).filter(F.pow(1 - F.col("rate"), F.col("n")) >= 0.025)
+    none = lookup(near.filter("labelled = 0"), rate, keys, ["s"]).filter(F.pow(1 - F.col("rate"), F.col("n")) >= 0.025)
     return labelled.unionByName(none.select(*keys, "s"))
 
 
@@ -113,7 +131,7 @@ def templates(shapes: DataFrame, purity: float, z: float, sampled: bool) -> Data
         inside = F.size("shape") > level
         branches = tree.filter(inside).groupBy("host", "template").agg((F.count(F.when(F.col("labelled") > 0, 1)) > 1).alias("open"))
         # One table for each level, so that no level is computed again for the next.
-        split = stored(tree.join(branches, ["host", "template"], "left"), "tree")
+        split = stored(lookup(tree, branches, ["host", "template"], ["shape"], "left"), "tree")
         tree = split.filter(F.col("open") & inside).drop("open")
         done.append(split)
         if tree.isEmpty():
@@ -127,7 +145,7 @@ def templates(shapes: DataFrame, purity: float, z: float, sampled: bool) -> Data
         beside = form.join(merged.select(*keys).distinct(), keys, "left_semi").withColumn("beside", F.lit(True))
         star = F.concat(F.when(F.col("beside"), "*word").otherwise("*"), F.when(F.size("shape") == level + 1, ext).otherwise(""))
         step = F.concat("template", F.lit("/"), F.when(F.col("merged"), star).otherwise(F.col("s")))
-        tree = tree.join(few(merged), [*keys, "s"], "left").join(beside, keys, "left").withColumn("template", step).drop("s", "kind", "merged", "beside")
+        tree = lookup(lookup(tree, merged, [*keys, "s"], ["shape"], "left"), beside, keys, ["shape"], "left").withColumn("template", step).drop("s", "kind", "merged", "beside")
         level += 1
     closed = []
     for at, split in enumerate(done):
@@ -150,21 +168,27 @@ def judged(counts: DataFrame, purity: float, smoothing: float, z: float) -> Data
     of given labels, itself smoothed by that of all hosts; labels that come
     from rules say nothing about other templates, so they do not enter it.
     Templates without labels are not like any other and stay allowed.
+
+    Templates of one share are never apart, so a branch is walked by its shares,
+    each with the labels of its first and last template, not by its templates.
     """
     c = counts.filter("labelled > 0").withColumn("branch", F.regexp_extract("template", r"(?s)^(.*)/[^/]*$", 1)).withColumn("share", F.col("bad") / F.col("labelled"))
-    order = Window.partitionBy("host", "branch").orderBy("share", "template")
-    before, n0 = F.lag("share").over(order), F.lag("labelled").over(order)
-    pooled = (F.col("bad") + before * n0) / (F.col("labelled") + n0)
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / n0))
-    c = c.withColumn("apart", F.coalesce((F.col("share") - before) > z * F.greatest(error, F.lit(1e-12)), F.lit(False)).cast("int"))
-    c = c.withColumn("class", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first, last = F.min_by(F.struct("bad", "labelled"), "template"), F.max_by("labelled", "template")
+    shares = c.groupBy("host", "branch", "share").agg(first.alias("first"), last.alias("last"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+    order = Window.partitionBy("host", "branch").orderBy("share")
+    before, n0 = F.lag("share").over(order), F.lag("last").over(order)
+    pooled = (F.col("first.bad") + before * n0) / (F.col("first.labelled") + n0)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("first.labelled") + 1 / n0))
+    shares = shares.withColumn("apart", F.coalesce((F.col("share") - before) > z * F.greatest(error, F.lit(1e-12)), F.lit(False)).cast("int"))
+    shares = shares.withColumn("class", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     group = Window.partitionBy("host", "branch", "class")
-    c = c.withColumn("b", F.sum("bad").over(group)).withColumn("l", F.sum("labelled").over(group))
+    shares = shares.select("host", "branch", "share", F.sum("bad").over(group).alias("b"), F.sum("labelled").over(group).alias("l"))
     hosts = counts.groupBy("host").agg(F.sum("given").alias("hn"), F.sum("given_bad").alias("hb"))
     overall = counts.agg(F.coalesce(F.try_divide(F.sum("given_bad"), F.sum("given")), F.lit(0.5)).alias("overall"))  # one row
-    c = c.join(hosts, "host").crossJoin(F.broadcast(overall))
+    shares = lookup(shares, hosts, ["host"], ["branch", "share"]).crossJoin(F.broadcast(overall))
     prior = (F.col("hb") + smoothing * F.col("overall")) / (F.col("hn") + smoothing)
-    return c.withColumn("purity", (F.col("b") + smoothing * prior) / (F.col("l") + smoothing)).select("host", "template", F.col("l").alias("labelled"), "purity", (F.col("purity") >= purity).alias("rejected"))
+    shares = shares.select("host", "branch", "share", "l", ((F.col("b") + smoothing * prior) / (F.col("l") + smoothing)).alias("purity"))
+    return lookup(c, shares, ["host", "branch", "share"], ["template"]).select("host", "template", F.col("l").alias("labelled"), "purity", (F.col("purity") >= purity).alias("rejected"))
 
 
 #: Words of a page are runs between blanks; a word is odd if it has no letter or two signs of this kind in a row.
@@ -211,8 +235,9 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], labels: DataFrame | None
     by_shape = stored(by_shape, "shapes")
     tree = templates(by_shape, purity, z, labels is not None)
     counts = stored(by_shape.join(tree, ["host", "shape"]).groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("labelled", "bad", "given", "given_bad"))), "counts")
-    verdicts = stored(tree.join(judged(counts, purity, smoothing, z), ["host", "template"], "left").select("host", "shape", "template", "purity", "rejected"), "verdicts")
+    judgements = judged(counts, purity, smoothing, z)
+    verdicts = stored(lookup(tree, judgements, ["host", "template"], ["shape"], "left").select("host", "shape", "template", "purity", "rejected"), "verdicts")
     discard(by_shape, counts)
-    out = rows.join(few(verdicts), ["host", "shape"], "left")
+    out = lookup(rows, verdicts, ["host", "shape"], ["page_id", "path"], "left")
     verdict = F.when(F.col("m").isNotNull(), F.col("m.action")).when(F.coalesce("rejected", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("m.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")

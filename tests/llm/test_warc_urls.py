@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.llm import urlfilter, warc
+from lexispark.llm import common, urlfilter, warc
 
 PAGES = "page_id long, url string, html string, digest string, shard int"
 
@@ -183,6 +183,133 @@ def test_verdicts_match_brute_force(spark):
     assert any(seen[i] == "block" and "d.example" in u and "/fr/" in u for i, u in rows)
 
 
+def brute_alike(children, purity, z):
+    """The children of one branch and kind that merge: children is {segment: (n, labelled, bad, ruled)}."""
+    free = {s: c for s, c in children.items() if s and not c[3]}
+    some = {s: c for s, c in free.items() if c[1]}
+    if len(some) < 2:
+        return set()
+    labelled, bad = sum(c[1] for c in some.values()), sum(c[2] for c in some.values())
+    p = bad / labelled
+    error = lambda n: max((p * (1 - p) * (1 / n + 1 / (labelled - n))) ** 0.5, 1e-12)
+    some = {s: c for s, c in some.items() if abs(c[2] / c[1] - (bad - c[2]) / (labelled - c[1])) <= z * error(c[1])}
+    m = len(some)
+    if m < 2:
+        return set()
+    labelled, bad = sum(c[1] for c in some.values()), sum(c[2] for c in some.values())
+    p = bad / labelled
+    chi = sum((c[2] - c[1] * p) ** 2 / (c[1] * p * (1 - p)) for c in some.values()) if 0 < p < 1 else 0.0
+    if chi > m - 1 + z * (2 * (m - 1)) ** 0.5:
+        return set()
+    out = set(some)
+    if m >= purity * z * z / (1 - purity):
+        rate = sum(min(c[1], c[0]) for c in free.values()) / max(1, sum(c[0] for c in free.values()))
+        out |= {s for s, c in free.items() if not c[1] and (1 - rate) ** c[0] >= 0.025}
+    return out
+
+
+def brute_templates(shapes, purity, z):
+    """{(host, shape): template} of {(host, shape): (n, labelled, bad, ruled)}, by a walk from branch to branch."""
+    extension = lambda s: (re.search(r"(\.[A-Za-z]{1,5})$", s) or [""])[0]
+    out, todo = {}, [(h, "", 0, [k for k in shapes if k[0] == h]) for h in {k[0] for k in shapes}]
+    while todo:
+        h, template, level, some = todo.pop()
+        inside = [k for k in some if len(k[1]) > level]
+        walk = sum(shapes[k][1] > 0 for k in inside) > 1
+        for k in some:
+            if len(k[1]) <= level:
+                out[k] = template
+            elif not walk:
+                out[k] = template + "".join(f"/{s}" for s in k[1][level:])
+        if not walk:
+            continue
+        below = defaultdict(list)
+        for kind in {(len(k[1]), extension(k[1][-1])) for k in inside}:
+            mine = [k for k in inside if (len(k[1]), extension(k[1][-1])) == kind]
+            children = {}
+            for k in mine:
+                old, own = children.get(k[1][level], (0, 0, 0, False)), shapes[k]
+                children[k[1][level]] = (*(old[i] + own[i] for i in range(3)), old[3] or own[3])
+            merged = brute_alike(children, purity, z)
+            beside = bool(merged) and any(re.fullmatch(r"\*(\.[A-Za-z]{1,5})?", s) and s not in merged for s in children)
+            for k in mine:
+                star = ("*word" if beside else "*") + (kind[1] if kind[0] == level + 1 else "")
+                below[f"{template}/{star if k[1][level] in merged else k[1][level]}"].append(k)
+        todo += [(h, t, level + 1, ks) for t, ks in below.items()]
+    return out
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_merging_and_purity_match_brute_force(spark, monkeypatch, most):
+    """Templates, purities and verdicts with merged siblings, also where no table is broadcast."""
+    if most is not None:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    rng, z, smoothing, purity = random.Random(41), 1.96, 3.0, 0.7
+    bad = {"buy": 0.97, "blog": 0.05, "mix": 0.5, "about": 0.1}
+    urls = []
+    for i in range(900):
+        host, part = rng.choice(["h.example", "h.example", "k.example"]), rng.choice(list(bad))
+        path = {"buy": f"buy/item-{chr(97 + i % 23)}/{i}.html", "blog": f"blog/{rng.choice('pqrstuvw')}{rng.choice('xyz')}", "mix": f"mix/{rng.choice('abcdef')}/{rng.choice('abcdefgh')}/{i}", "about": rng.choice([f"about/{i}", "about/us", "about"])}[part]
+        urls.append((f"http://{host}/{path}", int(rng.random() < (bad[part] if host[0] == "h" else 1 - bad[part]))))
+    rows = [(i, u) for i, (u, _) in enumerate(urls)]
+    labels = [x for x in urls if rng.random() < 0.4]
+    form = lambda s: "*" + (m[2] or "") if (m := re.match(r"^([0-9]+|[0-9a-fA-F]{8,})(\.[A-Za-z]{1,5})?$", s)) else s
+    key = lambda u: (u.split("/")[2], tuple(map(form, u.split("/")[3:])))
+    shapes, given = {}, defaultdict(list)
+    for u, _ in urls:
+        n, l, b, r = shapes.get(key(u), (0, 0, 0, False))
+        shapes[key(u)] = (n + 1, l, b, r)
+    for u, y in labels:
+        n, l, b, r = shapes[key(u)]
+        shapes[key(u)] = (n, l + 1, b + y, r)
+        given[key(u)[0]].append(y)
+    made = brute_templates(shapes, purity, z)
+    counts = defaultdict(lambda: [0, 0])
+    for k, t in made.items():
+        counts[k[0], t][0] += shapes[k][1]
+        counts[k[0], t][1] += shapes[k][2]
+    branches, overall, pure = defaultdict(list), sum(y for _, y in labels) / len(labels), {}
+    for (h, t), (l, b) in counts.items():
+        if l:
+            branches[h, t.rpartition("/")[0]].append((b / l, t, l, b))
+    for (h, _), some in branches.items():
+        prior, classes, last = (sum(given[h]) + smoothing * overall) / (len(given[h]) + smoothing), [[]], None
+        for share, t, l, b in sorted(some):
+            if last:
+                p = (b + last[0] * last[1]) / (l + last[1])
+                if share - last[0] > z * max((p * (1 - p) * (1 / l + 1 / last[1])) ** 0.5, 1e-12):
+                    classes.append([])
+            classes[-1].append((t, l, b))
+            last = (share, l)
+        for c in classes:
+            for t, _, _ in c:
+                pure[h, t] = (sum(x[2] for x in c) + smoothing * prior) / (sum(x[1] for x in c) + smoothing)
+    got = urlfilter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), [], spark.createDataFrame(labels, "url string, bad int"), purity=purity, smoothing=smoothing, z=z).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        k = key(rows[r.page_id][1])
+        want = pure.get((k[0], made[k]))
+        assert r.template == made[k] and (r.purity is None) == (want is None) and (want is None or abs(r.purity - want) < 1e-9)
+        assert r.verdict == ("block" if want is not None and want >= purity else "allow")
+    assert any("item" in rows[r.page_id][1] and r.template == "/buy/*/*.html" and r.verdict == "block" for r in got)
+    assert {r.verdict for r in got} == {"block", "allow"}
+
+
+def test_a_hot_host_is_work_for_many_tasks(spark, monkeypatch):
+    """Beyond the bound of broadcasts, rows of one key are dealt out."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rows = spark.range(4000).select("id", F.lit("h").alias("host"), F.lit("/x").alias("path"))
+    table = common.stored(spark.createDataFrame([("h", 1)], "host string, v int"), "test")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = urlfilter.lookup(rows, table, ["host"], ["id"]).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(r.n for r in got) == sum(r.v for r in got) == 4000 and max(r.n for r in got) < 1200
+
+
 def test_junk_labels(spark):
     rows = [("a", "<p>plain words of a page, as usual.</p>"), ("b", "<b>THIS!! IS!! ALL!! NOISE!!</b>"), ("c", None), ("d", "<style>p{}</style><script>x==1;;</script>"), ("e", "one two three four five six seven &&&"), ("f", "w " * 200_000)]
     got = dict(urlfilter.junk_labels(spark.createDataFrame(rows, "url string, html string")).collect())
