@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.operators import tallies
 from lexispark.operators.index import FIELDS, Index, bounded, small
 from lexispark.operators.scoring import topic_sizes, topic_terms
 
@@ -50,9 +55,90 @@ def features_by_field(index: Index, topics: DataFrame, fields: tuple[str, ...] =
     return pairs.select("field", "qid", "docid", *(out[f].alias(f) for f in FEATURES))
 
 
+def assembled(plan: tallies.Asked, names: tuple[str, ...] = FEATURES) -> Callable:
+    """A function from a batch of ``tallies.tallied`` to (row, topic, features) of the pairs that match in any field: the sums of ``features_by_field`` over arrays."""
+    hits, place, width, topics = tallies.triples(plan), {n: i for i, n in enumerate(names)}, len(names), len(plan.qids)
+    docs, avg, size = plan.docs, plan.avg, max(1, len(plan.vocabulary))
+    idf = np.log((np.repeat(docs, size) + 1) / (plan.df + 1)) + 1
+    inverse = np.log1p((np.repeat(docs, size) - plan.df + 0.5) / (plan.df + 0.5))
+    n = plan.sizes
+    # The norm of a topic in a field: over its terms that the field has.
+    per_term = np.repeat(np.arange(len(plan.start) - 1), np.diff(plan.start))
+    qnorm = np.array([np.sqrt(np.bincount(plan.of, np.where(plan.df[f * size + per_term] > 0, ((1 + np.log(plan.qtf)) * idf[f * size + per_term]) ** 2, 0.0), topics)) for f in range(len(docs))])
+
+    def run(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lens, norms = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) for c in ("lens", "norms"))
+        row, topic, field, code, tf, qtf = hits(batch)
+        key = row * topics + topic
+        pairs = np.unique(key)
+        x = np.zeros((len(pairs), len(docs) * width))
+        x[:, place["stream_length"] :: width] = lens[pairs // topics]
+        for f in range(len(docs)):
+            mine = np.flatnonzero(field == f)
+            if not len(mine):
+                continue
+            mine = mine[np.argsort(key[mine], kind="stable")]
+            k = key[mine]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            r, q = k[first] // topics, k[first] % topics
+            t, w = tf[mine], idf[code[mine]]
+            length = lens[row[mine], f]
+            total = lambda v: np.add.reduceat(v, first)  # noqa: B023, E731
+            bm25 = inverse[code[mine]] * t * 2.2 / (t + 1.2 * (0.25 + 0.75 * length / avg[f]))
+            matched, terms = np.diff(np.append(first, len(mine))).astype(float), n[q]
+            out = {"query_term_number": matched, "query_term_ratio": matched / terms, "idf": total(w), "boolean": np.ones(len(first)), "bm25": total(bm25)}
+            out["vector_space"] = total((1 + np.log(t)) * w * (1 + np.log(qtf[mine])) * w) / (norms[r, f] * qnorm[f, q])
+            for name, v in (("tf", t), ("normalized_tf", t / np.maximum(length, 1)), ("tfidf", t * w)):
+                added = total(v)
+                mean = added / terms
+                out |= {f"{name}_sum": added, f"{name}_min": np.where(matched < terms, 0.0, np.minimum.reduceat(v, first)), f"{name}_max": np.maximum.reduceat(v, first), f"{name}_mean": mean, f"{name}_variance": np.maximum(total(v * v) / terms - mean * mean, 0.0)}
+            at = np.searchsorted(pairs, k[first])
+            for name, v in out.items():
+                x[at, f * width + place[name]] = v
+        return pairs // topics, pairs % topics, x
+
+    return run
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, tallies.SLICE):
+            yield b.slice(at, tallies.SLICE)
+
+
+def in_rows(index: Index, topics: DataFrame, fields: tuple[str, ...], schema: str, columns: Callable) -> DataFrame | None:
+    """(qid, docid and what ``columns`` makes of a batch's features) of the pairs that match in any field, none of
+    which is shuffled or stored: they are put together where a document's counts lie. None if those are not in one row."""
+    found = tallies.tallied(index, topics, fields)
+    if found is None:
+        return None
+    table, plan = found
+    pairs, qids, keys = assembled(plan), plan.qids, [(c, d.schema[c].dataType.simpleString()) for c, d in (("qid", topics), ("docid", table))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            row, topic, x = pairs(b)
+            values = columns(x)
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(topic)), b.column("docid").take(pa.array(row)), *values.values()], names=["qid", "docid", *values])
+
+    return table.mapInArrow(run, ", ".join([f"{c} {t}" for c, t in keys]) + ", " + schema)
+
+
 def field_features(index: Index, field: str, topics: DataFrame) -> DataFrame:
     """(qid, docid, the features) of one field, for pairs that match in it."""
-    return features_by_field(index, topics, (field,)).drop("field")
+    names = FEATURES
+    found = in_rows(index, topics, (field,), ", ".join(f"{x} double" for x in names), lambda x: {f: pa.array(x[:, i]) for i, f in enumerate(names)})
+    return features_by_field(index, topics, (field,)).drop("field") if found is None else found
+
+
+def feature_table(index: Index, topics: DataFrame, places: int, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(qid, docid, a column for each feature), rounded to ``places``, exact halves upward, for pairs that match in any field."""
+    names, unit = [f.replace(".", "_") for f in feature_names(fields)], 10.0**places
+    found = in_rows(index, topics, fields, ", ".join(f"{x} double" for x in names), lambda x: {f: pa.array(v) for f, v in zip(names, np.ascontiguousarray((np.floor((x + 1e-10) * unit + 0.5) / unit).T), strict=True)})
+    if found is not None:
+        return found
+    v = feature_vectors(index, topics, fields)
+    return v.select("qid", "docid", *((F.round(F.col("features")[i] + F.lit(1e-10), places) + F.lit(0.0)).alias(n) for i, n in enumerate(names)))
 
 
 def feature_names(fields: tuple[str, ...] = FIELDS) -> list[str]:
@@ -68,6 +154,14 @@ def bare_features(index: Index, fields: tuple[str, ...] = FIELDS) -> DataFrame:
 
 def feature_vectors(index: Index, topics: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(qid, docid, features): an array in the order of feature_names, for pairs that match in any field."""
+
+    def columns(x: np.ndarray) -> dict[str, pa.Array]:
+        ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+        return {"features": pa.ListArray.from_arrays(ends, pa.array(x.ravel()))}
+
+    found = in_rows(index, topics, fields, "features array<double>", columns)
+    if found is not None:
+        return found
     one = features_by_field(index, topics, fields).select("qid", "docid", "field", F.array(*FEATURES).alias("v"))
     out = one.groupBy("qid", "docid").agg(*(F.first(F.when(F.col("field") == f, F.col("v")), ignorenulls=True).alias(f"v_{f}") for f in fields))
     out = out.join(bare_features(index, fields).withColumnRenamed("features", "bare"), "docid")
