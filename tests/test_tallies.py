@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import Analyzer
-from lexispark.operators import features, index, tallies
+from lexispark.operators import features, index, learning, tallies
 
 
 def made(spark, ids=range(1, 41), seed=3):
@@ -52,3 +52,23 @@ def test_repeated_ids_are_merged_by_groups(spark):
     idx = index.build(docs, Analyzer())
     assert idx.row_by_row() is None and tallies.tallied(idx, topics, index.FIELDS) is None
     assert features.feature_vectors(idx, topics).filter("docid = 2").count() > 0
+
+
+def test_training_and_ranking_in_rows(spark):
+    docs, topics = made(spark, seed=7)
+    idx = index.build(docs, Analyzer())
+    judged = spark.createDataFrame([(q, d, 1 + d % 3) for q in range(1, 10) for d in range(q, 40, 6)], "qid long, docid long, label int")
+    v, bare = features.feature_vectors(idx, topics), features.bare_features(idx)
+    pairs, rows = learning.in_rows(idx, topics, judged), learning.labelled(v, judged, learning.unmatched(v, bare, judged, topics))
+    want = {r.label: (r.n, pytest.approx(r.w)) for r in rows.groupBy("label").agg(F.sum("n").alias("n"), F.sum("weight").alias("w")).collect()}
+    assert pairs.classes == want and sum(n for n, _ in want.values()) == 9 * 40
+    for a, b in zip(learning.scaler(pairs), learning.scaler(rows), strict=True):
+        assert a == pytest.approx(b, abs=1e-9)
+    (a,), (b,) = learning.svm_path(pairs, (0.1,)), learning.svm_path(rows, (0.1,))
+    assert a.weights == pytest.approx(b.weights, abs=1e-4) and a.primal == pytest.approx(b.primal, abs=2e-7)
+    model = (a.weights, a.intercept)
+    got = learning.rank_in_rows(idx, topics, [model, ([0.0] * len(a.weights), 1.0)], 12)
+    want = learning.rank_all(learning.linear_scores(v, *model), learning.linear_scores(bare, *model), topics, 12)
+    key = lambda df: sorted((r.qid, r["rank"], r.docid, round(r.score, 8)) for r in df.collect())
+    assert key(got.filter("g = 0")) == key(want)
+    assert {(r["rank"], r.docid) for r in got.filter("g = 1").collect()} == {(i, i) for i in range(1, 13)}
