@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import Analyzer
-from lexispark.operators import features, index, learning, tallies
+from lexispark.operators import features, index, learning, scoring, tallies
 
 
 def made(spark, ids=range(1, 41), seed=3):
@@ -72,3 +72,17 @@ def test_training_and_ranking_in_rows(spark):
     key = lambda df: sorted((r.qid, r["rank"], r.docid, round(r.score, 8)) for r in df.collect())
     assert key(got.filter("g = 0")) == key(want)
     assert {(r["rank"], r.docid) for r in got.filter("g = 1").collect()} == {(i, i) for i in range(1, 13)}
+
+
+def test_matches_in_rows(spark, monkeypatch):
+    docs, topics = made(spark, seed=11)
+    idx = index.build(docs, Analyzer(), ("body",)).field("body")
+    terms = scoring.topic_terms(topics, idx.analyzer)
+    found = scoring.matches(idx, terms)
+    plan = found.groupBy("qid", "docid").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "lowered" not in plan  # texts are not read again
+    columns = ("qid", "docid", "term", "qtf", "tf", "df", "len", "n", "avg")
+    rows = lambda df: sorted(tuple(r[c] for c in columns[:-1]) + (round(r["avg"], 9),) for r in df.collect())
+    got = rows(found)
+    monkeypatch.setattr(index.Index, "row_by_row", lambda *_: None)
+    assert got == rows(scoring.matches(idx, terms)) and len(got) > 100
