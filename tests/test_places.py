@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import Analyzer
-from lexispark.operators import index, learning, places, ranking, scoring, tallies
+from lexispark.operators import index, learning, places, ranking, scoring, tallies, workflow
 from tests.test_tallies import made
 
 
@@ -52,3 +52,17 @@ def test_first_are_enough(spark):
     few = places.first(all_.coalesce(2), 3)
     assert few.count() < all_.count()
     assert sorted(map(tuple, ranking.rank(few, 3).collect())) == sorted(map(tuple, ranking.rank(all_, 3).collect()))
+
+
+def test_experiments_in_rows(spark, monkeypatch):
+    idx, topics, judged = setting_up(spark)
+    split = learning.odd_even(topics).select("qid", "split")
+    plain = lambda rows: [[round(v, 9) if isinstance(v, float) else v for v in r] for r in sorted(map(tuple, rows), key=str)]
+    both = lambda: (plain(workflow.experiments(idx, topics, judged, depth=40).collect()), plain(workflow.tuned_against_default(idx, topics, judged, split, 40).collect()))
+    monkeypatch.setattr(learning.bm25_settings, "__defaults__", ((0.4, 1.2), (0.0, 1.0)))
+    monkeypatch.setattr(learning.bm25_grid, "__defaults__", (1000, (0.4, 1.2), (0.0, 1.0)))
+    with monkeypatch.context() as m:
+        m.setattr(scoring, "matches", None)  # not asked for pairs
+        got = both()
+    monkeypatch.setattr(index.Index, "row_by_row", lambda *_: None)
+    assert len(got[0]) == 6 and len(got[1]) == 14 and got == both()
