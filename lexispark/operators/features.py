@@ -106,10 +106,10 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, tallies.SLICE)
 
 
-def in_rows(index: Index, topics: DataFrame, fields: tuple[str, ...], schema: str, columns: Callable) -> DataFrame | None:
+def in_rows(index: Index, topics: DataFrame, fields: tuple[str, ...], schema: str, columns: Callable, known: tuple[DataFrame, tallies.Asked] | None = None) -> DataFrame | None:
     """(qid, docid and what ``columns`` makes of a batch's features) of the pairs that match in any field, none of
-    which is shuffled or stored: they are put together where a document's counts lie. None if those are not in one row."""
-    found = tallies.tallied(index, topics, fields)
+    which is shuffled or stored: they are put together where a document's counts lie (``known``, if they were taken before). None if those are not in one row."""
+    found = known or tallies.tallied(index, topics, fields)
     if found is None:
         return None
     table, plan = found
@@ -152,14 +152,14 @@ def bare_features(index: Index, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return lengths.select("docid", F.concat(*parts).alias("features"))
 
 
-def feature_vectors(index: Index, topics: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def feature_vectors(index: Index, topics: DataFrame, fields: tuple[str, ...] = FIELDS, known: tuple[DataFrame, tallies.Asked] | None = None) -> DataFrame:
     """(qid, docid, features): an array in the order of feature_names, for pairs that match in any field."""
 
     def columns(x: np.ndarray) -> dict[str, pa.Array]:
         ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
         return {"features": pa.ListArray.from_arrays(ends, pa.array(x.ravel()))}
 
-    found = in_rows(index, topics, fields, "features array<double>", columns)
+    found = in_rows(index, topics, fields, "features array<double>", columns, known)
     if found is not None:
         return found
     one = features_by_field(index, topics, fields).select("qid", "docid", "field", F.array(*FEATURES).alias("v"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -14,8 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from lexispark.operators.features import feature_names
-from lexispark.operators.learning import VERSION, rank_all
+from lexispark.operators import tallies
+from lexispark.operators.features import FEATURES, feature_names, feature_vectors
+from lexispark.operators.index import FIELDS, Index
+from lexispark.operators.learning import BLOCK, VERSION, rank_all
+from lexispark.operators.places import first
+from lexispark.operators.ranking import rank as first_by_rank
 from lexispark.operators.reports import table_digest
 
 
@@ -88,3 +94,33 @@ def rank(model: Transformer, vectors: DataFrame, bare: DataFrame, topics: DataFr
     """
     scored, rest = model.transform(vectors), model.transform(bare)
     return rank_all(scored.select("qid", "docid", "score"), rest.select("docid", "score"), topics, k)
+
+
+def rank_in_rows(model: Transformer, index: Index, topics: DataFrame, k: int) -> DataFrame | None:
+    """``rank`` where documents are counted in their rows: a task scores its documents' features by the stage, for the topics
+    that they match and for any other, and passes on the first k of each topic. None if the counts are not in one row."""
+    found = tallies.tallied(index, topics, FIELDS)
+    if found is None or dict(found[0].dtypes)["docid"] not in ("bigint", "int"):
+        return None
+    table, plan = found
+    scored = model.transform(feature_vectors(index, topics, known=found))
+    bare = F.array(*(F.col("lens")[i].cast("double") if x == "stream_length" else F.lit(0.0) for i in range(len(FIELDS)) for x in FEATURES))
+    rest = model.transform(table.withColumn("features", bare)).select("docid", "codes", "tfs", "score")
+    hits, qids, many = tallies.triples(plan), plan.qids, len(plan.qids)
+
+    def unmatched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                b = batch.slice(i, BLOCK)
+                s = b.column("score").to_numpy(zero_copy_only=False)
+                free = np.ones((b.num_rows, many), bool)
+                row, topic, *_ = hits(b)
+                free[row, topic] = False
+                order = np.lexsort((b.column("docid").to_numpy(), -np.round(s, 9)))
+                free = free[order]
+                at, topic = np.nonzero(free & (np.cumsum(free, axis=0) <= k))
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(topic)), b.column("docid").take(pa.array(order[at])), pa.array(s[order[at]])], names=["qid", "docid", "score"])
+
+    kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c, d in (("qid", topics), ("docid", table)))
+    fill = rest.mapInArrow(unmatched, f"{kinds}, score double")
+    return first_by_rank(first(scored, k).unionByName(first(fill, k)), k)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import Analyzer
-from lexispark.operators import index, learning, places, ranking, scoring, tallies, workflow
+from lexispark.operators import features, index, learning, model, places, ranking, scoring, tallies, workflow
 from tests.test_tallies import made
 
 
@@ -66,3 +66,23 @@ def test_experiments_in_rows(spark, monkeypatch):
         got = both()
     monkeypatch.setattr(index.Index, "row_by_row", lambda *_: None)
     assert len(got[0]) == 6 and len(got[1]) == 14 and got == both()
+
+
+def test_zones_in_rows(spark, monkeypatch):
+    docs, topics = made(spark, seed=13)
+    idx = index.build(docs, Analyzer())
+    got = sorted(map(tuple, scoring.zones(idx, topics).collect()))
+    padded = lambda: sorted(map(tuple, ranking.padded(scoring.weighted(scoring.zones(idx, topics), (0.4, 0.0, 0.2, 0.4)), docs, topics, 15).collect()))
+    run = padded()
+    monkeypatch.setattr(index.Index, "row_by_row", lambda *_: None)
+    assert len(got) > 100 and got == sorted(map(tuple, scoring.zones(idx, topics).collect())) and run == padded()
+
+
+def test_stage_in_rows(spark):
+    docs, topics = made(spark, range(1, 31), seed=17)
+    idx = index.build(docs, Analyzer())
+    weights = [((7 * i) % 5 - 2) / 4 for i in range(len(features.feature_names()))]
+    stage = model.ranker(weights, -0.5)
+    got = sorted((r.qid, r.rank, r.docid, round(r.score, 9)) for r in model.rank_in_rows(stage, idx, topics, 12).collect())
+    want = model.rank(stage, features.feature_vectors(idx, topics), features.bare_features(idx), topics, 12)
+    assert len(got) == 12 * 9 and got == sorted((r.qid, r.rank, r.docid, round(r.score, 9)) for r in want.collect())
