@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from lexispark.functions.porter import stem
 from lexispark.functions.text import FIELD_SETS, Analyzer, alnum
 from lexispark.operators import evaluation, index, ranking, reports
 from lexispark.operators.index import small
+from lexispark.operators.tallies import FREQUENT, words_of
 from lexispark.operators.scoring import term_weight
 from lexispark.sources.store import stored
 
@@ -91,3 +95,79 @@ def grid(docs: DataFrame, topics: DataFrame, qrels: DataFrame, stops: Mapping[st
     per = measured(found, topics, qrels, variants, model, depth)
     means = per.groupBy(*VARIANT).agg(*(F.avg(F.col(f"`{m}`")).alias(m) for m in evaluation.METRICS))
     return reports.by_metric(means.withColumn("name", F.concat_ws("__", *VARIANT)), "AP")
+
+
+def words(docs: DataFrame, stops: Mapping[str, Sequence[str]], field_sets: Mapping[str, Sequence[str]] = FIELD_SETS) -> DataFrame:
+    """(docid, term, mask, n_0, n_1, ...), stored: a row for each word of a document, counted where it lies. ``n`` has its
+    occurrences by field set; a bit of ``mask`` for each field set and stop list, in turn, tells whether that variant has the word."""
+    fields = list(dict.fromkeys(f for fs in field_sets.values() for f in fs))
+    within = np.array([[int(f in fs) for fs in field_sets.values()] for f in fields])
+    lists = [pa.array(list(w), pa.string()) for w in stops.values()]
+    counts = [f"n_{i}" for i in range(len(field_sets))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                found = [words_of(b.column(f), pa.array([], pa.string())) for f in fields]
+                row, field = np.concatenate([r for r, *_ in found]), np.repeat(np.arange(len(fields)), [len(r) for r, *_ in found])
+                terms = pa.concat_arrays([w.take(pa.array(i)) for _, i, w in found]).dictionary_encode()
+                w = max(1, len(terms.dictionary))
+                key, place = np.unique(row * w + terms.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+                n = np.bincount(place * len(fields) + field, minlength=len(key) * len(fields)).reshape(-1, len(fields)) @ within
+                kept = np.stack([~pc.is_in(terms.dictionary, value_set=x).to_numpy(zero_copy_only=False) for x in lists], 1)[key % w]
+                bits = ((n > 0)[:, :, None] & kept[:, None, :]).reshape(len(key), -1)
+                mask = bits @ (1 << np.arange(bits.shape[1]))
+                numbers = [pa.array(v.astype(np.int32)) for v in (mask, *n.T)]
+                yield pa.RecordBatch.from_arrays([b.column("docid").take(pa.array(key // w)), terms.dictionary.take(pa.array(key % w)), *numbers], names=["docid", "term", "mask", *counts])
+
+    plain = Analyzer(stop=())
+    kinds = ", ".join([f"docid {dict(docs.dtypes)['docid']}, term string, mask int", *(f"{c} int" for c in counts)])
+    out = docs.select("docid", *(plain.lowered(F.col(f)).alias(f) for f in fields)).mapInArrow(run, kinds)
+    if not docs.groupBy("docid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():  # rows of one id are one document
+        out = out.groupBy("docid", "term").agg(F.bit_or("mask").alias("mask"), *(F.sum(c).cast("int").alias(c) for c in counts))
+    return stored(out, "words", "zstd")
+
+
+def statistics(docs: DataFrame, stops: Mapping[str, Sequence[str]], field_sets: Mapping[str, Sequence[str]] = FIELD_SETS, stemmers: Sequence[str] = STEMMERS) -> DataFrame:
+    """(fields, stemmer, stop, terms, postings, tokens) of every variant that has a term.
+
+    A row of a document and word has a bit for each field set and stop list, so variants are no rows. Tokens do
+    not depend on stemmers, and a stem of one word has that word's documents; only rows of words that share their
+    stem are put together by document and stem.
+    """
+    pairs = [(f, s) for f in field_sets for s in stops]
+    found, sets = words(docs, stops, field_sets), list(field_sets)
+    has = lambda i, m="mask": F.shiftright(m, i).bitwiseAND(F.lit(1))
+    sums = [F.sum(has(i)).alias(f"p_{i}") for i in range(len(pairs))] + [F.sum(has(i) * F.col(f"n_{sets.index(f)}")).alias(f"t_{i}") for i, (f, _) in enumerate(pairs)]
+    by_term = stored(found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.bit_or("mask").alias("mask"), *sums), "terms")
+    out, ids = None, by_term.select("term", "df")
+    ends = by_term.agg(*(F.sum(f"t_{i}").alias(f"t_{i}") for i in range(len(pairs))))  # one row
+    parts = []
+    for s in stemmers:
+        if s == "none":
+            parts.append(by_term.agg(*(F.sum(has(i)).alias(f"terms_{i}") for i in range(len(pairs))), *(F.sum(f"p_{i}").alias(f"p_{i}") for i in range(len(pairs)))).withColumn("stemmer", F.lit(s)))
+            continue
+        stems = stored(stem(by_term, stemmer=s), "stems")
+        classes = stems.groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.bit_or("mask").alias("mask"), *(F.sum(f"p_{i}").alias(f"p_{i}") for i in range(len(pairs))))
+        classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+        alone = lambda i: F.sum(F.when(F.col("n") == 1, F.col(f"p_{i}")).otherwise(0)).alias(f"p_{i}")
+        parts.append(classes.agg(*(F.sum(has(i)).alias(f"terms_{i}") for i in range(len(pairs))), *(alone(i) for i in range(len(pairs)))).withColumn("stemmer", F.lit(s)))
+        shared = stems.select("term", "stem").join(classes.filter("n > 1").select("stem", F.col("id").alias(f"id_{s}")), "stem").select("term", f"id_{s}")
+        ids = ids.join(shared, "term", "left")
+    ids = stored(ids.filter(F.coalesce(*(F.col(c) for c in ids.columns if c.startswith("id_")), F.lit(None)).isNotNull()), "shared") if len(ids.columns) > 2 else None
+    if ids is not None:
+        # The most frequent words are looked up in the scan; only rows of others are sent to theirs.
+        often = F.broadcast(stored(ids.orderBy(F.desc("df"), "term").limit(FREQUENT), "frequent").drop("df"))
+        rare = ids.join(often.select("term"), "term", "left_anti").drop("df")
+        rows, rest = found.select("docid", "term", "mask"), found.select("docid", "term", "mask").join(often.select("term"), "term", "left_anti")
+        rows = rows.join(often, "term").unionByName(rest.join(small(rare), "term"))
+        names = [c for c in ids.columns if c.startswith("id_")]
+        each = F.explode(F.filter(F.array(*(F.struct(F.lit(c[3:]).alias("stemmer"), F.col(c).alias("id")) for c in names)), lambda x: x["id"].isNotNull()))
+        merged = rows.select("docid", "mask", each.alias("x")).groupBy("docid", "x.stemmer", "x.id").agg(F.bit_or("mask").alias("mask"))
+        parts.append(merged.groupBy("stemmer").agg(*(F.lit(0).cast("bigint").alias(f"terms_{i}") for i in range(len(pairs))), *(F.sum(has(i)).alias(f"p_{i}") for i in range(len(pairs)))))
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    out = out.groupBy("stemmer").agg(*(F.sum(f"{c}_{i}").alias(f"{c}_{i}") for c in ("terms", "p") for i in range(len(pairs)))).crossJoin(F.broadcast(ends))
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("fields"), F.lit(s).alias("stop"), F.col(f"terms_{i}").alias("terms"), F.col(f"p_{i}").alias("postings"), F.col(f"t_{i}").alias("tokens")) for i, (f, s) in enumerate(pairs))))
+    return out.select("stemmer", each.alias("x")).select("x.fields", "stemmer", "x.stop", "x.terms", "x.postings", "x.tokens").filter("terms > 0")

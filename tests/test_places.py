@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.functions.text import Analyzer
-from lexispark.operators import features, index, learning, model, places, ranking, scoring, tallies, workflow
-from tests.test_tallies import made
+from lexispark.functions.text import FIELD_SETS, Analyzer
+from lexispark.operators import blocks, features, index, learning, model, places, ranking, scoring, tallies, variants, workflow
+from tests.test_tallies import exchanges, made
 
 
 def setting_up(spark, copies=True):
@@ -86,3 +86,35 @@ def test_stage_in_rows(spark):
     got = sorted((r.qid, r.rank, r.docid, round(r.score, 9)) for r in model.rank_in_rows(stage, idx, topics, 12).collect())
     want = model.rank(stage, features.feature_vectors(idx, topics), features.bare_features(idx), topics, 12)
     assert len(got) == 12 * 9 and got == sorted((r.qid, r.rank, r.docid, round(r.score, 9)) for r in want.collect())
+
+
+@pytest.mark.parametrize("frequent", [2, 1000])
+def test_variants_by_bits(spark, monkeypatch, frequent):
+    monkeypatch.setattr(variants, "FREQUENT", frequent)
+    say = ["thing things", "running runs run the", "The thing", "", "reading reads w1", "w1 w1 things running"]
+    docs = spark.createDataFrame([(i % 7, say[i % 6], say[(i + 1) % 6], None, say[(i * i) % 6] + " " + say[i % 5]) for i in range(1, 10)], "docid long, title string, author string, bibliography string, body string")
+    stops = {"none": (), "list": ("the", "w1")}
+    got = sorted(map(tuple, variants.statistics(docs, stops).collect()))
+    tf = index.build(docs, Analyzer(stop=())).tf
+    rows, want = tf.join(variants.stems_of(tf.select("term").distinct()), "term").collect(), {}
+    for r in rows:
+        for f, fields in FIELD_SETS.items():
+            for s, words in stops.items():
+                if r.field in fields and r.term not in words:
+                    stems, postings, tokens = want.setdefault((f, r.stemmer, s), (set(), set(), []))
+                    stems.add(r.stem), postings.add((r.stem, r.docid)), tokens.append(r.tf)
+    assert len(got) == 18 and got == sorted((*k, len(a), len(b), sum(c)) for k, (a, b, c) in want.items())
+
+
+def test_blocks_from_documents(spark, monkeypatch):
+    docs, topics = made(spark, range(-9, 60), seed=19)
+    idx = index.build(docs, Analyzer()).field("body")
+    found = lambda: sorted((r.term, r.block, r.n, r.first, r.last, r.places, [round(w, 9) for w in r.weights], round(r.bound, 9)) for r in blocks.build(idx, bits=4).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)  # blocks that go on in the next batch
+    got = found()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lean = tallies.lean(idx)
+    assert exchanges(lean.tf) == 0 and sorted(map(tuple, lean.tf.select("docid", "term", "tf").collect())) == sorted(map(tuple, idx.tf.select("docid", "term", "tf").collect()))
+    assert sorted(map(tuple, lean.df.collect())) == sorted(map(tuple, idx.df.select("term", "df").collect()))
+    monkeypatch.setattr(index.Index, "row_by_row", lambda *_: None)
+    assert len(got) > 80 and got == found()
