@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.porter import stem
 from lexispark.functions.text import FIELD_SETS, Analyzer, alnum
-from lexispark.operators import evaluation, index, ranking, reports
-from lexispark.operators.index import small
-from lexispark.operators.tallies import FREQUENT, words_of
+from lexispark.operators import evaluation, index, places, ranking, reports
+from lexispark.operators.index import BROADCAST_ROWS, small
+from lexispark.operators.tallies import DEALT, FREQUENT, Asked, asked, words_of
+from lexispark.operators.tallies import lists as listed
 from lexispark.operators.scoring import term_weight
 from lexispark.sources.store import stored
 
@@ -75,24 +76,200 @@ def matches(docs: DataFrame, topics: DataFrame, stops: Mapping[str, Sequence[str
     return hits.join(lengths, "docid").select(*VARIANT, "qid", "docid", F.col("stem").alias("term"), "qtf", "tf", "df", of[0]["len"].alias("len"), "n", "avg")
 
 
+def vocabulary(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(term): the words of the fields, each once for every batch of texts that has it."""
+    none = pa.array([], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pc.unique(pa.concat_arrays([words_of(b.column(f), none)[2] for f in fields]))
+            yield pa.RecordBatch.from_arrays([found.filter(pc.not_equal(found, ""))], names=["term"])
+
+    return docs.select(*(Analyzer(stop=()).lowered(F.col(f)).alias(f) for f in fields)).mapInArrow(run, "term string")
+
+
+def places_in_rows(docs: DataFrame, topics: DataFrame, qrels: DataFrame, stops: Mapping[str, Sequence[str]], stemmers: Sequence[str] = STEMMERS, field_sets: Mapping[str, Sequence[str]] = FIELD_SETS, depth: int = 1000, k1: float = 1.2, b: float = 0.75, k3: float = 8.0) -> DataFrame | None:
+    """(fields, stemmer, stop, qid, docid, rank): the relevant documents among the first ``depth`` of each topic by BM25 over each variant.
+
+    A document's row has its counts of the words that share a stem with a topic's, by field set; stems, stop lists and
+    scores of all variants are put together from them where they lie, and only the judged documents' places are passed on.
+    None if ids repeat, are null or no whole numbers, or if topics, their words or judgements are many.
+    """
+    sets, lists, fields = list(field_sets), list(stops), list(dict.fromkeys(f for fs in field_sets.values() for f in fs))
+    kind, session = dict(docs.dtypes)["docid"], docs.sparkSession
+    few = asked(topics, Analyzer(stop=()))
+    if kind not in ("bigint", "int") or few is None or not docs.groupBy("docid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or docid is null").isEmpty():
+        return None
+    ids, terms = few
+    own = session.createDataFrame([(t,) for t in sorted({t for _, t, _ in terms})], "term string")
+    stems = stored(stems_of(vocabulary(docs, fields).union(own).distinct(), stemmers), "stems")
+    stem_of_term = {(s, t): x for s, t, x in stems.join(F.broadcast(own), "term").select("stemmer", "term", "stem").collect()}  # the topics' words
+    number = [{x: i for i, x in enumerate(sorted({x for (s, _), x in stem_of_term.items() if s == name}))} for name in stemmers]
+    wanted = session.createDataFrame([(s, x) for s, n in zip(stemmers, number, strict=True) for x in n], "stemmer string, stem string")
+    same = stems.join(F.broadcast(wanted), ["stemmer", "stem"], "left_semi").limit(BROADCAST_ROWS + 1).collect()
+    if len(same) > BROADCAST_ROWS:
+        return None
+    words_ = sorted({r["term"] for r in same})
+    place, size = {t: i for i, t in enumerate(words_)}, len(words_)
+    stem_at = np.full((len(stemmers), size), -1)  # a word's stem, by stemmer; -1 if no topic has it
+    for s, t, x in ((r["stemmer"], r["term"], r["stem"]) for r in same):
+        i = list(stemmers).index(s)
+        stem_at[i, place[t]] = number[i][x]
+    known = pa.array(words_, pa.string())
+    kept = np.array([[t not in set(stops[w]) for t in words_] for w in lists]).reshape(len(lists), size)
+    out = [pa.array(list(stops[w]), pa.string()) for w in lists]
+    within = np.array([[int(f in field_sets[x]) for x in sets] for f in fields])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = pa.array([], pa.string())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                x = batch.slice(at, 4096)
+                n, lens, keys, held = x.num_rows, np.zeros((x.num_rows, len(sets), len(lists)), np.int64), [], []
+                for f, name in enumerate(fields):
+                    row, word, found = words_of(x.column(name), none)
+                    for w, stop in enumerate(out):
+                        stays = ~pc.is_in(found, value_set=stop).to_numpy(zero_copy_only=False)
+                        lens[:, :, w] += np.bincount(row[stays[word]], minlength=n)[:, None] * within[f]
+                    p = pc.fill_null(pc.index_in(found, value_set=known), -1).to_numpy(zero_copy_only=False)[word]
+                    keys.append((row * max(1, size) + p)[p >= 0])
+                    held.append(np.full(len(keys[-1]), f))
+                key, back = np.unique(np.concatenate(keys), return_inverse=True)
+                tf = np.bincount(back * len(fields) + np.concatenate(held), minlength=len(key) * len(fields)).reshape(-1, len(fields)) @ within
+                row, numbers = key // max(1, size), lambda v: pa.array(v.astype(np.int32))
+                ends = pa.array(np.arange(n + 1, dtype=np.int32) * (len(sets) * len(lists)))
+                columns = [x.column("docid"), pa.ListArray.from_arrays(ends, numbers(lens.ravel())), listed(row, numbers(key % max(1, size)), n), *(listed(row, numbers(v), n) for v in tf.T)]
+                yield pa.RecordBatch.from_arrays(columns, names=["docid", "lens", "codes", *(f"n_{i}" for i in range(len(sets)))])
+
+    schema = f"docid {kind}, lens array<int>, codes array<int>, " + ", ".join(f"n_{i} array<int>" for i in range(len(sets)))
+    table = stored(docs.select("docid", *(Analyzer(stop=()).lowered(F.col(f)).alias(f) for f in fields)).mapInArrow(count, schema), "variants", "zstd")
+    sums = table.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("lens")[i]).alias(f"l_{i}") for i in range(len(sets) * len(lists)))).first()
+    n = sums["n"]
+    avg = np.array([max((sums[f"l_{i}"] or 0) / max(n, 1), 1e-12) for i in range(len(sets) * len(lists))])
+    tasks = max(2 * session.sparkContext.defaultParallelism, n // DEALT + 1)
+    table = table.repartition(tasks, "docid")
+
+    def grouped(batch: pa.RecordBatch, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, stem, tf): the stems of a batch's documents by a stemmer, ``tf`` by stop list and field set."""
+        codes = batch.column("codes")
+        row, code = np.repeat(np.arange(batch.num_rows), pc.list_value_length(codes).to_numpy(zero_copy_only=False)), codes.flatten().to_numpy(zero_copy_only=False)
+        stem_ = stem_at[s][code]
+        mine = np.flatnonzero(stem_ >= 0)
+        key = row[mine] * max(1, len(number[s])) + stem_[mine]
+        order = np.argsort(key, kind="stable")
+        mine, key = mine[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        tfs = [batch.column(f"n_{i}").flatten().to_numpy(zero_copy_only=False)[mine].astype(np.int64) for i in range(len(sets))]
+        tf = np.array([[np.add.reduceat(v * kept[w][code[mine]], first) if len(first) else np.zeros(0, np.int64) for v in tfs] for w in range(len(lists))])
+        return key[first] // max(1, len(number[s])), key[first] % max(1, len(number[s])), tf
+
+    order = [(s, w, f) for s in range(len(stemmers)) for w in range(len(lists)) for f in range(len(sets))]
+
+    def documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(len(number[s]), np.int64) for s, *_ in order]
+        for batch in batches:
+            for s in range(len(stemmers)):
+                _, stem_, tf = grouped(batch, s)
+                for g, (of, w, f) in enumerate(order):
+                    if of == s:
+                        total[g] += np.bincount(stem_[tf[w, f] > 0], minlength=len(total[g]))
+        for g, v in enumerate(total):
+            at = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, np.int32)), pa.array(at.astype(np.int32)), pa.array(v[at])], names=["g", "stem", "df"])
+
+    df = [np.zeros(len(number[s])) for s, *_ in order]
+    for g, x, v in table.mapInArrow(documents_with, "g int, stem int, df bigint").groupBy("g", "stem").agg(F.sum("df").alias("df")).collect():  # the topics' stems
+        df[g][x] = v
+    inverse = [np.log2((n - v + 0.5) / (v + 0.5)) for v in df]
+    length = np.zeros(0)
+    asks = Asked(pa.array(ids), length, known, length, length, length, length, length, length)
+    pairs = places.judged_pairs(asks, table, qrels)
+    if pairs is None:
+        return None
+    judged_topics = np.unique(pairs[0])
+    names, active = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(judged_topics.tolist())}
+    postings = []
+    for s, name in enumerate(stemmers):
+        qtf: dict[tuple[int, int], np.ndarray] = {}
+        for q, t, k in terms:
+            if names[q] in active:
+                at = number[s][stem_of_term[name, t]], active[names[q]]
+                qtf[at] = qtf.get(at, 0) + np.array([k * (t not in stops[w]) for w in lists], float)
+        by = sorted(qtf)
+        start = np.searchsorted(np.array([x for x, _ in by]), np.arange(len(number[s]) + 1)) if by else np.zeros(len(number[s]) + 1, int)
+        v = np.array([qtf[x] for x in by]).reshape(-1, len(lists)).T
+        postings.append((start, np.array([t for _, t in by], int), (k3 + 1) * v / (k3 + v)))
+    many = len(ids)
+
+    def read(batch: pa.RecordBatch, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, Callable[[int], np.ndarray]]:
+        rows = batch.num_rows
+        lens = batch.column("lens").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+        row, topic = np.tile(np.arange(rows), len(judged_topics)), np.repeat(judged_topics, rows)
+        some = None if only is None else np.flatnonzero(np.isin(row * many + topic, only))
+        held: dict = {}
+
+        def hits(s: int, w: int) -> tuple:
+            """A stemmer's stems of documents, and their hits that topics have under a stop list: kept for the settings that follow."""
+            if s not in held:
+                held.clear()
+                r, x, tf = grouped(batch, s)
+                start, of, q = postings[s]
+                k = start[x + 1] - start[x]
+                again = np.repeat(np.arange(len(x)), k)
+                at = start[x[again]] + np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
+                held[s] = r, x, tf, again, at, of[at] * rows + r[again], q
+            r, x, tf, again, at, key, q = held[s]
+            if (s, w) not in held:
+                for old in [o for o in held if isinstance(o, tuple)]:
+                    del held[old]
+                v = q[w][at]
+                mine = np.flatnonzero(v > 0)
+                held[s, w] = again[mine], key[mine], v[mine]
+            return r, x, tf[w], *held[s, w]
+
+        def score(g: int) -> np.ndarray:
+            s, w, f = order[g]
+            r, x, tf, again, key, v = hits(s, w)
+            i, t = f * len(lists) + w, tf[f]
+            weight = inverse[g][x] * ((k1 + 1) * t / ((k1 * (1 - b + b * lens[:, i] / avg[i]))[r] + t))
+            if not (t > 0).all():
+                mine = np.flatnonzero((t > 0)[again])
+                again, key, v = again[mine], key[mine], v[mine]
+            total = np.bincount(key, weight[again] * v, len(row))
+            total[np.bincount(key, minlength=len(row)) == 0] = -np.inf
+            return total if some is None else total[some]
+
+        return (row, topic, score) if some is None else (row[some], topic[some], score)
+
+    found = places.of_judged(table, asks, topics, pairs, read, len(order), depth)
+    variants = session.createDataFrame([(g, sets[f], stemmers[s], lists[w]) for g, (s, w, f) in enumerate(order)], "g int, fields string, stemmer string, stop string")
+    return found.join(F.broadcast(variants), "g").select(*VARIANT, "qid", "docid", "rank")
+
+
 def measured(found: DataFrame, topics: DataFrame, qrels: DataFrame, variants: DataFrame, model: str = "bm25_engine", depth: int = 1000, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(fields, stemmer, stop, qid and each measure) of the run of each of ``variants`` over every topic, in one plan."""
-    both = F.struct(*VARIANT, "qid").alias("qid")
     scores = found.groupBy(*VARIANT, "qid", "docid").agg(F.sum(term_weight(model, F.lit(k1), F.lit(b))).alias("score"))
-    run = ranking.rank(scores.select(both, "docid", "score"), depth)
+    return judged_by(ranking.rank(scores.select(F.struct(*VARIANT, "qid").alias("qid"), "docid", "score"), depth), topics, qrels, variants)
+
+
+def judged_by(run: DataFrame, topics: DataFrame, qrels: DataFrame, variants: DataFrame) -> DataFrame:
+    """(fields, stemmer, stop, qid and each measure) of a run (qid, docid, rank) whose ``qid`` has variant and topic; documents that are not relevant may be left out."""
+    both = F.struct(*VARIANT, "qid").alias("qid")
     # The variants are few, so topics and judgements are repeated for each.
-    asked = topics.select("qid").crossJoin(F.broadcast(variants)).select(both)
+    asked_ = topics.select("qid").crossJoin(F.broadcast(variants)).select(both)
     judged = qrels.crossJoin(F.broadcast(variants)).select(both, "docid", "label")
-    out = evaluation.measures(run, judged, asked)
-    return out.select("qid.*", *(F.col(f"`{m}`") for m in evaluation.METRICS))
+    return evaluation.measures(run, judged, asked_).select("qid.*", *(F.col(f"`{m}`") for m in evaluation.METRICS))
 
 
 def grid(docs: DataFrame, topics: DataFrame, qrels: DataFrame, stops: Mapping[str, Sequence[str]], stemmers: Sequence[str] = STEMMERS, field_sets: Mapping[str, Sequence[str]] = FIELD_SETS, model: str = "bm25_engine", depth: int = 1000) -> DataFrame:
     """(name, fields, stemmer, stop, each measure, place): every variant by the means of its measures over topics, best average precision first."""
     names = [(f, s, w) for f in field_sets for s in stemmers for w in stops]
     variants = docs.sparkSession.createDataFrame(names, "fields string, stemmer string, stop string")
-    found = matches(docs, topics, stops, stemmers, field_sets)
-    per = measured(found, topics, qrels, variants, model, depth)
+    found = places_in_rows(docs, topics, qrels, stops, stemmers, field_sets, depth) if model == "bm25_engine" else None
+    if found is None:
+        per = measured(matches(docs, topics, stops, stemmers, field_sets), topics, qrels, variants, model, depth)
+    else:
+        per = judged_by(found.select(F.struct(*VARIANT, "qid").alias("qid"), "docid", "rank"), topics, qrels, variants)
     means = per.groupBy(*VARIANT).agg(*(F.avg(F.col(f"`{m}`")).alias(m) for m in evaluation.METRICS))
     return reports.by_metric(means.withColumn("name", F.concat_ws("__", *VARIANT)), "AP")
 

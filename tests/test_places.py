@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import FIELD_SETS, Analyzer
-from lexispark.operators import blocks, features, index, learning, model, places, ranking, scoring, tallies, variants, workflow
+from lexispark.operators import blocks, evaluation, features, index, learning, model, places, ranking, scoring, tallies, variants, workflow
 from tests.test_tallies import exchanges, made
 
 
@@ -118,3 +118,20 @@ def test_blocks_from_documents(spark, monkeypatch):
     assert sorted(map(tuple, lean.df.collect())) == sorted(map(tuple, idx.df.select("term", "df").collect()))
     monkeypatch.setattr(index.Index, "row_by_row", lambda *_: None)
     assert len(got) > 80 and got == found()
+
+
+def test_variants_in_rows(spark, monkeypatch):
+    """The measures of all variants from judged documents' places are those of ranking every pair, which no plan has any more."""
+    docs, topics = made(spark, range(1, 41), seed=4)
+    docs = docs.unionByName(docs.withColumn("docid", F.col("docid") - 100))  # equal scores
+    topics = topics.unionByName(spark.createDataFrame([(900, "the nothinglikethis"), (901, "")], topics.schema))
+    judged = spark.createDataFrame([(q, d, (q + d) % 3) for q in [*range(1, 12), 900] for d in range(-100 + q, 60, 3)], "qid long, docid long, label int")
+    stops = {"none": (), "list": ("the", "of", "a"), "short": ("the",)}
+    plain = lambda rows: {r.name: (r.place, *(round(r[m], 9) for m in evaluation.METRICS)) for r in rows}
+    with monkeypatch.context() as m:
+        m.setattr(places, "DOCUMENTS", 7)
+        m.setattr(variants, "matches", None)
+        got = plain(variants.grid(docs, topics, judged, stops, depth=15).collect())
+    monkeypatch.setattr(variants, "places_in_rows", lambda *_: None)
+    want = plain(variants.grid(docs, topics, judged, stops, depth=15).collect())
+    assert len(got) == 27 and len({v[1:] for v in got.values()}) > 5 and got == want
