@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +141,34 @@ def feature_table(index: Index, topics: DataFrame, places: int, fields: tuple[st
     return v.select("qid", "docid", *((F.round(F.col("features")[i] + F.lit(1e-10), places) + F.lit(0.0)).alias(n) for i, n in enumerate(names)))
 
 
+def means(index: Index, topics: DataFrame, names: Sequence[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(feature, mean) of the named features over the pairs that match in any field. A task passes on its sums alone.
+
+    Norms, for which all terms are counted, are taken only if a vector_space is among the names.
+    """
+    every = feature_names(fields)
+    at = [every.index(n) for n in names]
+    found = tallies.tallied(index, topics, fields, any(n.endswith(".vector_space") for n in names))
+    if found is None:
+        v = feature_vectors(index, topics, fields)
+        one = v.agg(F.array(*(F.struct(F.lit(n).alias("feature"), F.avg(F.col("features")[i]).alias("mean")) for n, i in zip(names, at, strict=True))).alias("x"))
+        return one.select(F.explode("x").alias("x")).select("x.*")
+    table, plan = found
+    pairs = assembled(plan)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros(len(at))
+        with np.errstate(divide="ignore", invalid="ignore"):  # norms that were not taken
+            for b in slices(batches):
+                x = pairs(b)[2]
+                n, total = n + len(x), total + x[:, at].sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), pa.array(np.full(len(at), n)), pa.array(total)], names=["feature", "n", "total"])
+
+    sums = table.mapInArrow(run, "feature string, n bigint, total double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    every = table.sparkSession.createDataFrame([(n,) for n in names], "feature string")  # also without any pair
+    return every.join(F.broadcast(sums), "feature", "left").select("feature", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean"))
+
+
 def feature_names(fields: tuple[str, ...] = FIELDS) -> list[str]:
     return [f"{field}.{f}" for field in fields for f in FEATURES]
 

@@ -86,3 +86,16 @@ def test_matches_in_rows(spark, monkeypatch):
     got = rows(found)
     monkeypatch.setattr(index.Index, "row_by_row", lambda *_: None)
     assert got == rows(scoring.matches(idx, terms)) and len(got) > 100
+
+
+def test_means_in_rows(spark, monkeypatch):
+    """Means of features are sums of tasks; norms, which send rare terms to their frequencies, are taken only if asked for."""
+    docs, topics = made(spark)
+    idx, names = index.build(docs, Analyzer()), ["title.bm25", "body.query_term_ratio", "author.stream_length"]
+    want = features.feature_vectors(idx, topics).select(*(F.avg(F.col("features")[features.feature_names().index(n)]).alias(n) for n in [*names, "body.vector_space"])).first()
+    for some in (names, [*names, "body.vector_space"]):
+        got = {r.feature: r["mean"] for r in features.means(idx, topics, some).collect()}
+        assert got == pytest.approx({n: want[n] for n in some})
+    monkeypatch.setattr(tallies, "frequencies", None)
+    assert {r.feature: r["mean"] for r in features.means(idx, topics, names).collect()} == pytest.approx({n: want[n] for n in names})
+    assert [r["mean"] for r in features.means(idx, topics.withColumn("query", F.lit("nothinglikethis")), names).collect()] == [None] * 3
