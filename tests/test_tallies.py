@@ -99,3 +99,12 @@ def test_means_in_rows(spark, monkeypatch):
     monkeypatch.setattr(tallies, "frequencies", None)
     assert {r.feature: r["mean"] for r in features.means(idx, topics, names).collect()} == pytest.approx({n: want[n] for n in names})
     assert [r["mean"] for r in features.means(idx, topics.withColumn("query", F.lit("nothinglikethis")), names).collect()] == [None] * 3
+
+
+def test_shares_are_counted(spark, monkeypatch):
+    docs, topics = made(spark)
+    idx = index.build(docs.unionByName(docs.withColumn("docid", F.col("docid") + 100)), Analyzer())
+    got = sorted(tuple(r) for r in scoring.alike(idx, topics).collect())
+    monkeypatch.setattr(index.Index, "row_by_row", lambda *_: None)
+    want = sorted(tuple(r) for r in scoring.alike(idx, topics).collect())
+    assert len(got) > 50 and sum(r[-1] for r in got) > 2 * len(got) and got == want
