@@ -56,8 +56,12 @@ def write_processed(docs: DataFrame, path: str) -> None:
 
 def index_lines(tf: DataFrame) -> DataFrame:
     """(kind, term, line): the header, then a line for each term."""
-    head = header(tf).select(F.lit(0).alias("kind"), F.lit("").alias("term"), F.concat_ws(", ", F.col("vocabulary").cast("string"), F.col("max_docid").cast("string")).alias("line"))
-    rows = postings(tf).select(F.lit(1).alias("kind"), "term", F.concat_ws(" ", "term", F.array_join("docids", ",")).alias("line"))
+    return _lines(header(tf), postings(tf))
+
+
+def _lines(header: DataFrame, postings: DataFrame) -> DataFrame:
+    head = header.select(F.lit(0).alias("kind"), F.lit("").alias("term"), F.concat_ws(", ", F.col("vocabulary").cast("string"), F.col("max_docid").cast("string")).alias("line"))
+    rows = postings.select(F.lit(1).alias("kind"), "term", F.concat_ws(" ", "term", F.array_join("docids", ",")).alias("line"))
     return head.unionByName(rows)
 
 
@@ -65,6 +69,12 @@ def write_index(tf: DataFrame, path: str) -> None:
     write_lines(index_lines(tf), path, ["kind", "term"])
 
 
+def write_postings(postings: DataFrame, path: str) -> None:
+    """The file of ``write_index`` from (term, docids), ids in order; the table is read twice, so it should be a stored one."""
+    last = F.coalesce(F.max(F.try_element_at("docids", F.lit(-1))), F.lit(0)).cast("bigint")
+    write_lines(_lines(postings.agg(F.count(F.lit(1)).alias("vocabulary"), last.alias("max_docid")), postings), path, ["kind", "term"])
+
+
 def write_run(lines: DataFrame, path: str, single: bool = False) -> None:
     """A run as a folder of files that are sorted in turn, or as a single file."""
     (write_file if single else write_lines)(lines, path, ["qid", "rank"])

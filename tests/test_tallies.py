@@ -108,3 +108,21 @@ def test_shares_are_counted(spark, monkeypatch):
     monkeypatch.setattr(index.Index, "row_by_row", lambda *_: None)
     want = sorted(tuple(r) for r in scoring.alike(idx, topics).collect())
     assert len(got) > 50 and sum(r[-1] for r in got) > 2 * len(got) and got == want
+
+
+@pytest.mark.parametrize("stemmer", ["none", "porter_all"])
+def test_postings_in_rows(spark, tmp_path, stemmer):
+    from lexispark.sources import sinks
+
+    say = ["running runs the dog's", "The runs", "", "dogs dog 7", "ran running"]
+    docs = spark.createDataFrame([(i % 11 - 3, say[i % 5] + " " + say[i * i % 5]) for i in range(20)], "docid long, body string").repartition(3)
+    one = Analyzer(possessive=True, stemmer=stemmer)
+    tf = index.build(docs, one, ("body",)).field("body").tf
+    found = tallies.posted(docs, one)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, index.postings(tf).collect()))
+    sinks.write_postings(found, str(tmp_path / "a"))
+    sinks.write_index(tf, str(tmp_path / "b"))
+    lines = lambda p: sorted(r.value for r in spark.read.text(str(tmp_path / p)).collect())
+    assert lines("a") == lines("b") and len(lines("a")) > 4
+    sinks.write_postings(tallies.posted(docs.filter("false"), one), str(tmp_path / "c"))
+    assert lines("c") == ["0, 0"]
