@@ -23,6 +23,12 @@ FEATURES = (
 )
 
 
+#: Pairs at once where rows of like values are put together.
+PAIRS = 1 << 17
+#: Rows of a batch that goes back to Spark.
+ROWS = 1 << 15
+
+
 def features_by_field(index: Index, topics: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(field, qid, docid, the features), for pairs that match in the field; all fields in one pass.
 
@@ -100,41 +106,73 @@ def assembled(plan: tallies.Asked, names: tuple[str, ...] = FEATURES) -> Callabl
     return run
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], n: int | None = None) -> Iterator[pa.RecordBatch]:
+    n = n or tallies.SLICE
     for b in batches:
-        for at in range(0, b.num_rows, tallies.SLICE):
-            yield b.slice(at, tallies.SLICE)
+        for at in range(0, b.num_rows, n):
+            yield b.slice(at, n)
 
 
-def in_rows(index: Index, topics: DataFrame, fields: tuple[str, ...], schema: str, columns: Callable, known: tuple[DataFrame, tallies.Asked] | None = None) -> DataFrame | None:
+def in_rows(index: Index, topics: DataFrame, fields: tuple[str, ...], schema: str, columns: Callable, known: tuple[DataFrame, tallies.Asked] | None = None, once: bool = False) -> DataFrame | None:
     """(qid, docid and what ``columns`` makes of a batch's features) of the pairs that match in any field, none of
-    which is shuffled or stored: they are put together where a document's counts lie (``known``, if they were taken before). None if those are not in one row."""
-    found = known or tallies.tallied(index, topics, fields)
+    which is shuffled or stored: they are put together where a document's counts lie (``known``, if they were taken before). None if those are not in one row.
+
+    ``once``: the result is read once, so the counts are not stored, and rows of like idf and tf stand together, so files of them are smaller.
+    """
+    found = known or tallies.tallied(index, topics, fields, keep=not once)
     if found is None:
         return None
     table, plan = found
     pairs, qids, keys = assembled(plan), plan.qids, [(c, d.schema[c].dataType.simpleString()) for c, d in (("qid", topics), ("docid", table))]
 
+    at_once = max(1, PAIRS // max(1, len(qids))) if once else None
+    like = [FEATURES.index(f) for f in ("tf_sum", "idf")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, at_once):
             row, topic, x = pairs(b)
+            if once:
+                order = np.lexsort((topic, *x[:, like].T))
+                row, topic, x = row[order], topic[order], x[order]
             values = columns(x)
-            yield pa.RecordBatch.from_arrays([qids.take(pa.array(topic)), b.column("docid").take(pa.array(row)), *values.values()], names=["qid", "docid", *values])
+            del x
+            out = pa.RecordBatch.from_arrays([qids.take(pa.array(topic)), b.column("docid").take(pa.array(row)), *values.values()], names=["qid", "docid", *values])
+            for at in range(0, out.num_rows, ROWS):
+                yield out.slice(at, ROWS)
 
     return table.mapInArrow(run, ", ".join([f"{c} {t}" for c, t in keys]) + ", " + schema)
 
 
-def field_features(index: Index, field: str, topics: DataFrame) -> DataFrame:
-    """(qid, docid, the features) of one field, for pairs that match in it."""
-    names = FEATURES
-    found = in_rows(index, topics, (field,), ", ".join(f"{x} double" for x in names), lambda x: {f: pa.array(x[:, i]) for i, f in enumerate(names)})
-    return features_by_field(index, topics, (field,)).drop("field") if found is None else found
+def columns_of(names: Sequence[str], places: int | None = None) -> Callable:
+    """A function from a batch's features to a column for each, rounded to ``places``, exact halves upward."""
+    unit = 10.0 ** (places or 0)
+
+    def run(x: np.ndarray) -> dict[str, pa.Array]:
+        x = np.array(x.T, order="C")  # a copy, rounded in its place
+        if places is not None:
+            x += 1e-10
+            x *= unit
+            x += 0.5
+            np.floor(x, out=x)
+            x /= unit
+        return {f: pa.array(v) for f, v in zip(names, x, strict=True)}
+
+    return run
+
+
+def field_features(index: Index, field: str, topics: DataFrame, places: int | None = None) -> DataFrame:
+    """(qid, docid, the features) of one field, rounded to ``places``, exact halves upward, for pairs that match in it."""
+    found = in_rows(index, topics, (field,), ", ".join(f"{x} double" for x in FEATURES), columns_of(FEATURES, places), once=True)
+    if found is not None:
+        return found
+    by = features_by_field(index, topics, (field,)).drop("field")
+    return by if places is None else by.select("qid", "docid", *((F.round(F.col(f) + F.lit(1e-10), places) + F.lit(0.0)).alias(f) for f in FEATURES))
 
 
 def feature_table(index: Index, topics: DataFrame, places: int, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(qid, docid, a column for each feature), rounded to ``places``, exact halves upward, for pairs that match in any field."""
-    names, unit = [f.replace(".", "_") for f in feature_names(fields)], 10.0**places
-    found = in_rows(index, topics, fields, ", ".join(f"{x} double" for x in names), lambda x: {f: pa.array(v) for f, v in zip(names, np.ascontiguousarray((np.floor((x + 1e-10) * unit + 0.5) / unit).T), strict=True)})
+    names = [f.replace(".", "_") for f in feature_names(fields)]
+    found = in_rows(index, topics, fields, ", ".join(f"{x} double" for x in names), columns_of(names, places))
     if found is not None:
         return found
     v = feature_vectors(index, topics, fields)

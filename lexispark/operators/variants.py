@@ -14,12 +14,14 @@ from lexispark.functions.porter import stem
 from lexispark.functions.text import FIELD_SETS, Analyzer, alnum
 from lexispark.operators import evaluation, index, places, ranking, reports
 from lexispark.operators.index import BROADCAST_ROWS, small
-from lexispark.operators.tallies import DEALT, FREQUENT, Asked, asked, words_of
+from lexispark.operators.tallies import DEALT, Asked, asked, words_of
 from lexispark.operators.tallies import lists as listed
 from lexispark.operators.scoring import term_weight
 from lexispark.sources.store import stored
 
 STEMMERS = ("none", "weak", "porter")
+#: The most frequent words, which are looked up by broadcast.
+FREQUENT = 50_000
 #: A variant is a field set, a stemmer and a stop list.
 VARIANT = ("fields", "stemmer", "stop")
 

@@ -47,6 +47,34 @@ def test_feature_table_is_rounded_alike(spark, monkeypatch):
     assert one == sorted(map(tuple, features.field_features(idx, "body", topics).select("qid", "docid", F.round("bm25", 9)).collect()))
 
 
+@pytest.mark.parametrize("frequent", [3, 1000])
+def test_features_of_a_field_are_read_once(spark, monkeypatch, frequent):
+    """Documents' counts are not stored again; they and the weights of their rare terms are shuffled once, together."""
+    from lexispark.sources import store
+
+    monkeypatch.setattr(tallies, "FREQUENT", frequent)
+    monkeypatch.setattr(features, "PAIRS", 40)  # some documents at once
+    monkeypatch.setattr(store, "_written", [])
+    docs, topics = made(spark, seed=9)
+    idx = index.build(docs, Analyzer())
+    found = features.field_features(idx, "body", topics, 6)
+    assert sorted(p.rsplit("/", 1)[1].split("-")[0] for p in store._written) == ["frequencies", "tallies"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(docid") == 1
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(map(tuple, features.feature_table(idx, topics, 6, ("body",)).collect()))
+    monkeypatch.setattr(index.Index, "row_by_row", lambda *_: None)
+    assert len(got) > 100 and got == sorted(map(tuple, features.field_features(idx, "body", topics, 6).collect()))
+
+
+@pytest.mark.parametrize(("most", "least"), [(0, [6, 3]), (1, [5, 3]), (2, [5, 2]), (3, [2, 1]), (9, [1, 1])])
+def test_frequencies_that_tasks_look_up(spark, monkeypatch, most, least):
+    monkeypatch.setattr(tallies, "FREQUENT", most)
+    counts = [("a", "v", 5), ("a", "w", 2), ("a", "x", 2), ("a", "y", 1), ("a", "z", 1), ("a", None, 9), ("b", "v", 2), ("b", "w", 2), ("b", "x", 1)]
+    assert tallies.often(spark.createDataFrame(counts, "field string, term string, df long"), ["a", "b"]) == least
+    assert tallies.often(spark.createDataFrame([], "field string, term string, df long"), ["a"]) == [1]
+
+
 def test_repeated_ids_are_merged_by_groups(spark):
     docs, topics = made(spark, [1, 2, 2, 3])
     idx = index.build(docs, Analyzer())
