@@ -142,9 +142,11 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """(term, docid) of an index file: a header, then a term and comma-joined ids on each line."""
-    p = F.split("value", " ")
     lines = spark.read.text(path).filter(~F.col("value").rlike(r"^[0-9]+,\s"))
-    return lines.select(p[0].alias("term"), F.explode(F.split(p[1], ",").cast("array<bigint>")).alias("docid"))
+    # A line is taken apart below its explode, else each of its ids carries the line and takes it apart again.
+    p = F.split("value", " ")
+    parts = lines.select(F.substring_index("value", " ", 1).alias("term"), F.split(p[1], ",").cast("array<bigint>").alias("docids"))
+    return parts.select("term", F.explode("docids").alias("docid"))
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:

@@ -351,6 +351,15 @@ def test_index_file_round_trip(spark, tmp_path):
     assert index.Index.load(spark, str(tmp_path / "idx"), NONE).df.count() == 2
 
 
+def test_index_lines_are_taken_apart_once(spark, tmp_path):
+    """No id carries its line, or a term's line would be split again for each of its documents."""
+    (tmp_path / "i").write_text("2, 9\na " + ",".join(map(str, range(1, 10))) + "\nb 7\n")
+    found = collection.read_index(spark, str(tmp_path / "i"))
+    assert sorted(map(tuple, found.collect())) == [("a", i) for i in range(1, 10)] + [("b", 7)]
+    above, below = found._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")
+    assert "value#" not in above and "split(value#" in below
+
+
 def test_judgement_checks(spark):
     t, d = topics(spark, "a"), docs(spark, ["x"])
     good = spark.createDataFrame([(1, 1, 1)], "qid long, docid long, label int")
